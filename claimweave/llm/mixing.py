@@ -12,8 +12,6 @@ from ..sources.staging import staged
 LEVELS = ("domain", "language", "source")
 #: Leaves up to which their table of budgets is broadcast (about 100 bytes each).
 BROADCAST_LEAVES = 50_000
-#: Documents of one hash bucket of a leaf, about; only the bucket with the cut is sorted.
-BUCKET_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -111,12 +109,13 @@ class Plan:
     small: bool
 
 
-def plan(docs: DataFrame, mix: Mix, domain=default_domain, bucket_rows: int = BUCKET_ROWS) -> Plan:
+def plan(docs: DataFrame, mix: Mix, domain=default_domain) -> Plan:
     """Count tokens, budget the leaves and find each leaf's cut.
 
     A leaf's budget is whole epochs, then a prefix of one more: its documents
     in seeded order, as long as the tokens before one are fewer than what is
     left. Sums per hash bucket find the bucket with the cut; only it is sorted.
+    A leaf of n documents has about as many buckets as a bucket has documents.
     """
     tokens = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     counted = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *leaf_columns(docs, domain), tokens.alias("tokens")), "counted")
@@ -125,7 +124,7 @@ def plan(docs: DataFrame, mix: Mix, domain=default_domain, bucket_rows: int = BU
     small = n <= BROADCAST_LEAVES
     budgets = leaf_budgets(leaves.select(*LEVELS, "tokens"), mix).withColumn("epochs", F.expr("coalesce(try_divide(budget - budget % nullif(tokens, 0), tokens), 0)").cast("int"))
     budgets = staged(budgets.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
-    bits = max(1, (max(1, (most or 0) // bucket_rows)).bit_length())
+    bits = 1 + (most or 0).bit_length() // 2
     keyed = _with_leaf(counted, budgets.filter("rest > 0").select(*LEVELS, "epochs", "rest"), small).withColumn("key", seeded_key(mix, F.col("epochs"), F.col("doc_id")))
     keyed = keyed.withColumn("bucket", F.shiftright("key", 60 - bits))
     sums = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("in_bucket"), F.max("rest").alias("rest"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, ngram_join, sharding
+from . import decontaminate, html_text, language_id, license_scan, mixing, ngram_join, pii, quality, sharding, token_rollup
 
 #: Weights of the query for mixing.
 MIX = mixing.Mix()
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
 
@@ -24,30 +28,51 @@ def op3_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.rollup(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"), MIX)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_license_scan,
             op2_ngram_jaccard_join,
             op3_language_identification,
+            op4_token_rollups,
             op5_byte_balanced_sharding,
+            op6_quality_outliers,
             op7_benchmark_decontamination,
+            op8_html_text,
             op9_source_mixing,
+            op10_personal_data,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.mixture_sql(MIX)}
+    return {"op4_token_rollups": token_rollup.ROLLUP_SQL, "op9_source_mixing": mixing.mixture_sql(MIX)}

@@ -82,14 +82,15 @@ def word_spans(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each word, A-Z lower-cased."""
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """The hash of each word; A-Z lower-cased, unless ``fold`` is false."""
     out, i, n = np.empty(len(starts), np.uint64), 0, len(starts)
     while i < n:
         lo = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, lo + CHUNK, "right")))
         power, inverse = _power_tables(int(ends[j - 1] - lo) + 1)
-        part = _BYTE[_FOLD[raw[lo : ends[j - 1]]]]
+        part = raw[lo : ends[j - 1]]
+        part = _BYTE[_FOLD[part] if fold else part]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * power[: len(part)], out=sums[1:])
         out[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * inverse[starts[i:j] - lo]
