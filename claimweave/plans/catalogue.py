@@ -1,17 +1,16 @@
-"""The registered queries of the claims operators, each with its SQL."""
+"""All registered queries of the claims operators, and the SQL of those it can express."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import claims
+from .base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (claims.catalogue,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.oracle_sql().items()}
