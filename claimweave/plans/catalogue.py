@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import claims
+from . import claims, evaluation, governance, matching, records, streams
 from .base import Query
 
-_PARTS = (claims.catalogue,)
+_PARTS = (claims.catalogue, matching.catalogue, evaluation.catalogue, governance.catalogue, records.catalogue, streams.catalogue)
 
 
 def queries() -> dict[str, Query]:

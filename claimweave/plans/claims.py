@@ -162,12 +162,12 @@ _LABELS = ("the", "and", "patient name", "la que", "das ist")
 
 
 @query(f"""SELECT doc_id, value <> '' AND NOT ({" OR ".join(f"contains('{x.upper()}', value)" for x in _LABELS)}) AS passes, (CASE WHEN list_contains(w, 'the') THEN 1 ELSE 0 END + CASE WHEN list_contains(w, 'and') THEN 1 ELSE 0 END + CASE WHEN list_contains(w, 'of') THEN 1 ELSE 0 END) >= 2 AS contaminated
-FROM (SELECT doc_id, upper(trim(split_part(text, ' ', 2))) AS value, string_split_regex(lower(substr(text, 1, 200)), '[^a-z0-9]+') AS w FROM documents)""")
+FROM (SELECT doc_id, upper(trim(split_part(text, ' ', 2))) AS value, string_split_regex(lower(text), '[^a-z0-9]+') AS w FROM documents)""")
 def label_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that are labels or parts of one, and values full of their field's own words."""
     docs = table(spark, sf_dir, "documents")
     value = F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit(""))
-    return docs.select("doc_id", text.firewall(value, F.array(*map(F.lit, _LABELS))).alias("passes"), text.label_contaminated(F.lit("the_and_of"), F.substring("text", 1, 200)).alias("contaminated"))
+    return docs.select("doc_id", text.firewall(value, F.array(*map(F.lit, _LABELS))).alias("passes"), text.label_contaminated(F.lit("the_and_of"), F.col("text")).alias("contaminated"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total, CAST(o_orderdate AS DATE) AS d, o_custkey, o_orderstatus FROM orders)

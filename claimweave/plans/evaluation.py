@@ -145,12 +145,12 @@ def distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT b.item_id, d.doc_id, round(CAST(levenshtein(b.t, d.t) AS DOUBLE) / length(b.t), 9) AS cer
-FROM (SELECT item_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) AS t FROM benchmark) b JOIN (SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) AS t FROM documents) d ON d.doc_id % 40 = b.item_id % 40 WHERE length(b.t) > 0""")
+FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark) b JOIN (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents) d ON d.doc_id % 40 = b.item_id % 40 WHERE length(b.t) > 0""")
 def cer_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character error rate of documents' beginnings against the items they are paired with."""
-    start = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60)
-    b = table(spark, sf_dir, "benchmark").select("item_id", start.alias("expected"), (F.col("item_id") % 40).alias("k")).filter(F.length("expected") > 0)
-    d = table(spark, sf_dir, "documents").select("doc_id", start.alias("actual"), (F.col("doc_id") % 40).alias("k"))
+    """Character error rate of documents against the items they are paired with."""
+    plain = F.regexp_replace("text", "[^ -~]", "")
+    b = table(spark, sf_dir, "benchmark").select("item_id", plain.alias("expected"), (F.col("item_id") % 40).alias("k")).filter(F.length("expected") > 0)
+    d = table(spark, sf_dir, "documents").select("doc_id", plain.alias("actual"), (F.col("doc_id") % 40).alias("k"))
     return d.join(b, "k").select("item_id", "doc_id", F.round(text.character_error_rate(F.col("expected"), F.col("actual")), 9).alias("cer"))
 
 

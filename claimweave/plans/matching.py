@@ -191,10 +191,11 @@ def cosine_nearest_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_with_margin(scored, ["vec_id"], "similarity", [F.col("label")]).select("vec_id", F.col("label").alias("nearest"), "similarity")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey % 3000 AS b FROM orders WHERE o_custkey % 40 = 1), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, CASE WHEN o_orderstatus = 'P' THEN 20000000 + o_custkey // 12 ELSE 10000000 + o_custkey // 3 END AS b FROM orders), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS reach FROM two UNION SELECT r.node, two.b FROM r JOIN two ON r.reach = two.a)
 SELECT node, min(reach) AS component FROM r GROUP BY node""")
 def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of records that share an identity, through any number of others."""
-    edges = table(spark, sf_dir, "orders").filter("o_custkey % 40 = 1").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 3000 + 1000000).alias("b"))
+    group = F.expr("CASE WHEN o_orderstatus = 'P' THEN 20000000 + o_custkey div 12 ELSE 10000000 + o_custkey div 3 END")
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), group.alias("b"))
     return connected_components(edges, "a", "b")
