@@ -133,13 +133,14 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, conta
         return F.filter(starts, lambda s: s.isNotNull())
 
     found = joined.select(
-        "doc_id", "h", "n_words", "label",
+        "doc_id", "h", "n_words", "label", "pattern",
         F.when(F.col("holds") & is_text, sequence(F.col("places"), F.col("words"))).alias("starts"),
         F.when(F.col("holds") & ~is_text, F.col("shared") / F.col("n")).alias("part"),
     )
     base = F.size("starts") > 0
     grouped = found.groupBy("doc_id", "h", "n_words").agg(
-        F.coalesce(F.sum(F.when(base, F.size("starts"))), F.lit(0)).cast("long").alias("n_base"),
+        # a set, so that an equal row adds nothing
+        F.aggregate(F.collect_set(F.when(base, F.struct("pattern", "starts"))), F.lit(0), lambda n, p: n + F.size(p["starts"])).cast("long").alias("n_base"),
         F.min(F.when(base, F.array_min("starts"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.array_max("starts"))).cast("long").alias("last_word"),
         F.array_sort(F.collect_set(F.when(base, F.col("label")))).alias("base"),
