@@ -7,9 +7,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two texts, 0 to 1; null counts as empty, and two empty texts are equal."""
     out, known = [], {}
@@ -20,7 +21,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatible_form(a: pd.Series) -> pd.Series:
     """Unicode compatibility form (NFKC); null stays null."""
     return a.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
