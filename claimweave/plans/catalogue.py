@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import claims, decisions, evaluation, governance, matching, records, streams
+from . import claims, decisions, evaluation, fields, governance, matching, records, streams
 from .base import Query
 
-_PARTS = (claims.catalogue, decisions.catalogue, matching.catalogue, evaluation.catalogue, governance.catalogue, records.catalogue, streams.catalogue)
+_PARTS = (claims.catalogue, fields.catalogue, decisions.catalogue, matching.catalogue, evaluation.catalogue, governance.catalogue, records.catalogue, streams.catalogue)
 
 
 def queries() -> dict[str, Query]:
