@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import claims, decisions, evaluation, fields, governance, matching, records, reference, reports, streams
+from . import claims, decisions, evaluation, fields, governance, matching, pages, records, reference, reports, streams
 from .base import Query
 
-_PARTS = (claims.catalogue, fields.catalogue, decisions.catalogue, matching.catalogue, evaluation.catalogue, governance.catalogue, records.catalogue, reference.catalogue, reports.catalogue, streams.catalogue)
+_PARTS = (claims.catalogue, fields.catalogue, decisions.catalogue, matching.catalogue, evaluation.catalogue, governance.catalogue, records.catalogue, pages.catalogue, reference.catalogue, reports.catalogue, streams.catalogue)
 
 
 def queries() -> dict[str, Query]:
