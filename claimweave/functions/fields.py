@@ -100,3 +100,43 @@ def fold_hash(values: Column, bins: int) -> Column:
     )
     norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, v: a + v * v))
     return F.transform(sums, lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
+
+
+#: Characters that OCR takes for each other.
+CONFUSABLE = {"0": "O", "1": "I", "2": "Z", "5": "S", "6": "G", "8": "B", "B": "8", "G": "6", "I": "1", "L": "1", "O": "0", "S": "5", "Z": "2"}
+
+
+def confusable_alternatives(value: Column, swaps: int = 2) -> Column:
+    """The value with up to ``swaps`` of its confusable characters exchanged, without repeats: none, one, two."""
+    chars = F.filter(F.split(F.upper(value), ""), lambda c: c != "")
+    pairs = F.create_map(*(F.lit(x) for kv in CONFUSABLE.items() for x in kv))
+    places = F.filter(F.transform(chars, lambda c, i: F.struct(i.alias("i"), F.try_element_at(pairs, c).alias("to"))), lambda p: p["to"].isNotNull())
+
+    def swapped(text_: Column, place: Column) -> Column:
+        return F.overlay(text_, place["to"], place["i"] + 1, 1)
+
+    found = F.array(F.upper(value))
+    levels = [F.transform(places, lambda p: F.struct(p["i"].alias("last"), swapped(F.upper(value), p).alias("v")))]
+    for _ in range(swaps - 1):
+        levels.append(F.flatten(F.transform(levels[-1], lambda s: F.transform(F.filter(places, lambda p: p["i"] > s["last"]), lambda p: F.struct(p["i"].alias("last"), swapped(s["v"], p).alias("v"))))))
+    for level in levels:
+        found = F.concat(found, F.transform(level, lambda s: s["v"]))
+    return F.array_distinct(found)
+
+
+def transformed_box(box: list[Column], h: list[float]) -> Column:
+    """Struct (x0, y0, x1, y1, convex): the box around a box's corners under a 3 x 3 homography given by rows."""
+    corners = [(box[0], box[1]), (box[2], box[1]), (box[2], box[3]), (box[0], box[3])]
+    moved = []
+    for x, y in corners:
+        w = x * h[6] + y * h[7] + h[8]
+        moved.append(((x * h[0] + y * h[1] + h[2]) / w, (x * h[3] + y * h[4] + h[5]) / w))
+    turns = []
+    for k in range(4):
+        (ax, ay), (bx, by), (cx, cy) = moved[k], moved[(k + 1) % 4], moved[(k + 2) % 4]
+        turns.append((bx - ax) * (cy - by) - (by - ay) * (cx - bx))
+    convex = F.lit(True)
+    for t in turns:
+        convex = convex & (t > 0)
+    xs, ys = [m[0] for m in moved], [m[1] for m in moved]
+    return F.struct(F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"), convex.alias("convex"))

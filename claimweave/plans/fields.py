@@ -135,3 +135,26 @@ def keyed_fingerprint_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("source", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias("side")).distinct()
     marked = d.select(hashing.hmac_sha256(F.col("source"), "overlap-key").alias("fingerprint"), "side")
     return marked.groupBy("fingerprint").agg(F.countDistinct("side").alias("sides")).filter("sides > 1")
+
+
+_SWAPS = ", ".join(f"('{a}', '{b}')" for a, b in fields.CONFUSABLE.items())
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES {_SWAPS}) t(a, b)), v AS (SELECT p_partkey, upper(p_brand) AS v FROM part), p AS (SELECT p_partkey, v, i, b FROM v, (SELECT unnest(range(1, 40)) AS i) JOIN c ON TRUE WHERE substr(v, i, 1) = a),
+one AS (SELECT p_partkey, i, substr(v, 1, i - 1) || b || substr(v, i + 1) AS v FROM p), two AS (SELECT one.p_partkey, substr(one.v, 1, p.i - 1) || p.b || substr(one.v, p.i + 1) AS v FROM one JOIN p ON p.p_partkey = one.p_partkey AND p.i > one.i),
+u AS (SELECT p_partkey, v FROM v UNION SELECT p_partkey, v FROM one UNION SELECT p_partkey, v FROM two)
+SELECT p_partkey, count(*) AS n, count(*) FILTER (WHERE regexp_full_match(v, '.*#[0-9]+')) AS n_valid, min(v) AS first_form FROM u GROUP BY 1""")
+def confusable_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes with up to two confusable characters exchanged, and how many of these are valid."""
+    c = table(spark, sf_dir, "part").select("p_partkey", fields.confusable_alternatives(F.col("p_brand")).alias("a"))
+    return c.select("p_partkey", F.size("a").cast("long").alias("n"), F.size(F.filter("a", lambda v: v.rlike("^.*#[0-9]+$"))).cast("long").alias("n_valid"), F.array_min("a").alias("first_form"))
+
+
+@query("""WITH b AS (SELECT event_id, CAST(user_id % 100 AS DOUBLE) AS x0, value AS y0, CAST(user_id % 100 AS DOUBLE) + 30 AS x1, value + 10 AS y1 FROM events), c AS (SELECT event_id, k, CASE WHEN k IN (0, 3) THEN x0 ELSE x1 END AS x, CASE WHEN k IN (0, 1) THEN y0 ELSE y1 END AS y FROM b, (SELECT unnest(range(0, 4)) AS k)),
+m AS (SELECT event_id, (x * 1.1 + y * 0.05 + 3) / (x * 0.0002 + y * 0.0001 + 1) AS mx, (x * -0.04 + y * 0.95 - 2) / (x * 0.0002 + y * 0.0001 + 1) AS my FROM c)
+SELECT event_id, round(min(mx), 6) AS x0, round(min(my), 6) AS y0, round(max(mx), 6) AS x1, round(max(my), 6) AS y1, TRUE AS convex FROM m GROUP BY 1""")
+def registered_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template boxes brought onto a page by its homography."""
+    x, y = (F.col("user_id") % 100).cast("double"), F.col("value")
+    box = fields.transformed_box([x, y, x + 30, y + 10], [1.1, 0.05, 3.0, -0.04, 0.95, -2.0, 0.0002, 0.0001, 1.0])
+    return table(spark, sf_dir, "events").select("event_id", box.alias("b")).select("event_id", *(F.round(f"b.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")), "b.convex")
