@@ -25,3 +25,21 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def compatible_form(a: pd.Series) -> pd.Series:
     """Unicode compatibility form (NFKC); null stays null."""
     return a.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+@F.pandas_udf(T.DoubleType())
+def phrase_ratio(phrase: pd.Series, text: pd.Series) -> pd.Series:
+    """How well a phrase is found in a text: 1 if it's contained, else the best ratio over windows of as many words."""
+    out = []
+    for p, t in zip(phrase.fillna(""), text.fillna(""), strict=True):
+        words, n = t.split(), max(1, len(p.split()))
+        if p and p in t:
+            out.append(1.0)
+            continue
+        matcher, best = difflib.SequenceMatcher(None, "", p), 0.0
+        for k in range(max(1, len(words) - n + 1) if words else 0):
+            matcher.set_seq1(" ".join(words[k : k + n]))
+            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+                best = max(best, matcher.ratio())
+        out.append(best)
+    return pd.Series(out, dtype=float)

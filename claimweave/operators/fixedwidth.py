@@ -78,3 +78,24 @@ def file_structure(lines: DataFrame, column: str, lengths: dict[str, int], expec
     out = counts.join(wanted, "prefix", "full").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("wrong_length", F.coalesce("wrong_length", F.lit(0)))
     ok = (F.col("wrong_length") == 0) & (F.col("prefix") != "?") & F.coalesce(F.col("n") == F.col("expected"), F.lit(True))
     return out.select("prefix", "n", "wrong_length", "expected", ok.alias("ok"))
+
+
+def parse_spec_text(lines: DataFrame, source: str, number: str, column: str) -> DataFrame:
+    """source, record, name, start, length, kind, clear: fields of record layouts written as text.
+
+    A line ``RECORD <type>`` begins a record, ``<name> <start>-<end> <picture>``
+    is a field of the record begun last; other lines are passed over. ``clear``
+    is false where picture and positions disagree, or no record has begun.
+    """
+    from ..functions.text import picture_length
+
+    head, field = r"^\s*RECORD\s+([A-Z0-9]+)\s*$", r"^\s*([A-Za-z][A-Za-z0-9_ ]*?)\s+([0-9]+)-([0-9]+)\s+([X9A][0-9X9AV()]*)\s*$"
+    begun = F.last(F.nullif(F.regexp_extract(column, head, 1), F.lit("")), ignorenulls=True).over(Window.partitionBy(source).orderBy(number))
+    rows = lines.withColumn("record", begun).filter(F.col(column).rlike(field))
+    part = lambda k: F.regexp_extract(column, field, k)
+    size = part(3).cast("int") - part(2).cast("int") + 1
+    return rows.select(
+        source, "record", F.lower(F.regexp_replace(part(1), " +", "_")).alias("name"), part(2).cast("int").alias("start"), size.alias("length"),
+        F.when(F.contains(part(4), F.lit("V")), "DECIMAL_IMPLIED").when(part(4).startswith("9"), "NUMERIC").otherwise("STRING").alias("kind"),
+        (F.col("record").isNotNull() & (picture_length(part(4)) == size)).alias("clear"),
+    )

@@ -62,3 +62,27 @@ def reconstruct_rows(tokens: DataFrame, page: str, line: str, column: Column, te
     cells = tokens.groupBy(page, line, column.alias("column")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda t: t[text]), " ").alias("cell"))
     rows = cells.groupBy(page, line).agg(F.array_sort(F.collect_list(F.struct("column", "cell"))).alias("c"))
     return rows.filter(F.size("c") >= least_cells).select(page, line, F.array_join(F.transform("c", lambda x: F.concat(x["column"], F.lit("="), x["cell"])), ";").alias("cells"))
+
+
+def family_scores(pages: DataFrame, page: str, text: Column, anchors: dict[str, list[str]], good: float = 0.55) -> DataFrame:
+    """page, family, score: the best phrase found, and 0.12 for each good one up to two; 1 at most.
+
+    Phrases that a text holds are settled by an expression; only the others go
+    to the window search.
+    """
+    from ..functions.similarity import phrase_ratio
+
+    low = F.lower(text)
+    phrases = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(p.lower()).alias("phrase")) for f, ps in sorted(anchors.items()) for p in ps))
+    rows = pages.select(page, low.alias("__low"), F.explode(phrases).alias("p")).select(page, "__low", "p.*").withColumn("held", F.contains("__low", F.col("phrase")))
+    sure = rows.filter("held").select(page, "family", F.lit(1.0).alias("ratio"))
+    searched = rows.filter("NOT held").select(page, "family", phrase_ratio("phrase", "__low").alias("ratio"))
+    g = sure.unionByName(searched).groupBy(page, "family").agg(F.max("ratio").alias("best"), F.count_if(F.col("ratio") >= good).alias("n"))
+    return g.select(page, "family", F.least(F.lit(1.0), F.col("best") + 0.12 * F.least("n", F.lit(2))).alias("score"))
+
+
+def single_row_text(tokens: DataFrame, page: str, text: str, inside: Column) -> DataFrame:
+    """page, rows, value: the text of the tokens in a region, if they are on exactly one row, else null."""
+    lines = reading_order(tokens.filter(inside), page)
+    value = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text))), lambda t: t[text]), " ")
+    return lines.groupBy(page).agg(F.countDistinct("line").alias("rows"), value.alias("v")).select(page, "rows", F.when(F.col("rows") == 1, F.col("v")).alias("value"))

@@ -103,3 +103,31 @@ def label_value_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values found on a label's line or on the two below."""
     lines = table(spark, sf_dir, "conversations")
     return layout.link_values(lines, "conv_id", "turn", F.col("role") == "user", F.nullif(F.regexp_extract("text", "[A-Z][a-z]+", 0), F.lit("")))
+
+
+@query()
+def family_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The family of each page by its best phrases, also misread ones; review below the threshold."""
+    anchors = {"greeting": ["good morning to you", "thanks for the help"], "question": ["what is the", "how do i"], "statement": ["this is a", "there are many"]}
+    scores = layout.family_scores(table(spark, sf_dir, "conversations").withColumn("page", F.concat_ws("-", "conv_id", "turn")), "page", F.col("text"), anchors)
+    best = scores.groupBy("page").agg(F.min(F.struct((-F.col("score")).alias("s"), "family")).alias("b"))
+    return best.select("page", F.when(F.col("b.s") <= -0.7, F.col("b.family")).otherwise("REVIEW").alias("route"), (-F.col("b.s")).alias("score"))
+
+
+@query()
+def region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in the first two columns of a page's first turn, if it is one row."""
+    return layout.single_row_text(_boxes(spark, sf_dir), "conv_id", "word", (F.col("x1") <= 100) & (F.col("y0") < 5))
+
+
+@query("""WITH f AS (SELECT p_brand AS source, p_partkey, 'R' || p_size % 4 AS rec, p_size * 3 + 1 AS s, p_size * 3 + 1 + p_partkey % 7 AS e, p_partkey % 3 AS k, p_partkey % 5 = 0 AS wrong FROM part)
+SELECT source, rec AS record, 'field_' || p_partkey AS name, CAST(s AS INTEGER) AS start, CAST(e - s + 1 AS INTEGER) AS length, CASE k WHEN 0 THEN 'NUMERIC' WHEN 1 THEN 'STRING' ELSE 'DECIMAL_IMPLIED' END AS kind, NOT wrong AS clear FROM f""")
+def specification_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record layouts written out as text and read back; every fifth picture is wrong."""
+    start, size, key = F.col("p_size") * 3 + 1, F.col("p_partkey") % 7 + 1, F.col("p_partkey")
+    shown = F.when(key % 5 == 0, size + 1).otherwise(size).cast("string")
+    picture = F.when(key % 3 == 0, F.concat(F.lit("9("), shown, F.lit(")"))).when(key % 3 == 1, F.concat(F.lit("X("), shown, F.lit(")"))).otherwise(F.concat(F.lit("9("), shown, F.lit(")V")))
+    field = F.concat(F.lit("  Field "), key.cast("string"), F.lit("  "), start.cast("string"), F.lit("-"), (start + size - 1).cast("string"), F.lit(" "), picture)
+    text = F.array(F.concat(F.lit("RECORD R"), (F.col("p_size") % 4).cast("string")), F.lit("-- note"), field)
+    lines = table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), "p_partkey", F.posexplode(text).alias("k", "line")).withColumn("number", F.col("p_partkey") * 10 + F.col("k"))
+    return fw.parse_spec_text(lines, "source", "number", "line")
