@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import shared_folder, staged
+from .words import batched
 
 GROUP = ("source", "lang", "tokenizer_version")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
 
 #: Tokenizer versions that are counted by an expression.
-COUNTERS = {"spaced-words-1": r"[^\x20\x09-\x0D]+", "alnum-words-1": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}
+COUNTERS = {"spaced-words-1": r"[^\x20\x09-\x0D]+", "alnum-words-1": r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"}
 
 
 def expression_counters(patterns: dict[str, str] = COUNTERS) -> dict[str, Column]:
@@ -31,20 +32,25 @@ def expression_counters(patterns: dict[str, str] = COUNTERS) -> dict[str, Column
 def counted(docs: DataFrame, counters: dict[str, Column]) -> DataFrame:
     """doc_id, source, lang, digest, n_bytes, tokenizer_version, n_tokens: a row for each document and version.
 
-    A null source or language is the name '', a null text has no tokens and no digest.
+    A null source or language is the name '', a null text has no tokens and no
+    digest. Texts are read once: the counts are written, and rows made of them.
     """
     text = F.col("text").cast("string")
     versions = F.array(*(F.struct(F.lit(v).alias("tokenizer_version"), c.alias("n_tokens")) for v, c in sorted(counters.items())))
-    wide = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")),
-        F.md5(text.cast("binary")).alias("digest"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), versions.alias("v"),
+    wide = staged(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")),
+            F.md5(text.cast("binary")).alias("digest"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), versions.alias("v"),
+        ),
+        "counted",
     )
     return wide.select("doc_id", "source", "lang", "digest", "n_bytes", F.explode("v").alias("v")).select("doc_id", "source", "lang", "digest", "n_bytes", "v.*")
 
 
 def bpe_counted(docs: DataFrame, version: str, tokenizer_file: str) -> DataFrame:
     """The same rows with the counts of a public tokenizer's vocabulary file (tokenizers library, JSON), which all machines have at that path."""
-    base = counted(docs, {version: F.lit(0).cast("long")}).schema
+    names = ["doc_id", "source", "lang", "digest", "n_bytes", "tokenizer_version", "n_tokens"]
+    kinds = ("long", "string", "string", "string", "long", "string", "long")
 
     def run(batches):
         from tokenizers import Tokenizer
@@ -57,14 +63,14 @@ def bpe_counted(docs: DataFrame, version: str, tokenizer_file: str) -> DataFrame
             for k in range(0, len(texts), 256):
                 n += [len(x) for x in tokenizer.encode_batch_fast([t or "" for t in texts[k : k + 256]], add_special_tokens=False)]
             kept = [batch.column(c) for c in ("doc_id", "source", "lang", "digest", "n_bytes")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], base.names)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names)
 
     text = F.col("text").cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")),
         F.md5(text.cast("binary")).alias("digest"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"),
     )
-    return rows.mapInArrow(run, base)
+    return batched(rows).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def signed(rows: DataFrame, sign: int) -> DataFrame:
@@ -153,8 +159,7 @@ def rollup(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     ledger = ledger or f"{shared_folder(spark)}/claimweave/{uuid.uuid4().hex}/ledger"
     estimate = (F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)) / 4).cast("long")
-    real = staged(counted(docs, expression_counters()), "counted")
-    first = staged(counted(docs, dict.fromkeys(COUNTERS, estimate)), "estimated")
+    real, first = counted(docs, expression_counters()), counted(docs, dict.fromkeys(COUNTERS, estimate))
     commit(ledger, "0001-estimates", signed(first, 1))
     for _ in range(2):
         commit(ledger, "0002-revision", revised(first, real))
