@@ -44,8 +44,9 @@ TEMPLATES = (
 
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _OTHER_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
-# letter case doesn't move a word's ends, so words can be counted before it is folded
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# letter case doesn't move a word's ends, so words can be counted before it is folded; a list of what
+# words consist of is several times as fast to match as one of what they don't
+_WORD_ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def _patterns(templates, phrases, containment: float) -> list[dict]:
