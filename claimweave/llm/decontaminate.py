@@ -217,7 +217,7 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
             shard = _scan(block, max(block.window, 1))
             for batch in batches:
                 ids = batch.column(0)
-                for lo, hi, raw, offs in words.chunks(batch.column(1), 4 * words.CHUNK):
+                for lo, hi, raw, offs in words.chunks(batch.column(1), 32 * words.CHUNK):
                     n, hits, names, longest = shard(raw, offs)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -230,7 +230,7 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
                         ["doc_id", "n_words", "hits", "items", "longest_match"],
                     )
 
-        return source.mapInArrow(run, _COLUMNS)
+        return words.batched(source).mapInArrow(run, _COLUMNS)
 
     blocks = item_blocks(benchmark, window, block_words)
     head = next(blocks, None)
@@ -287,9 +287,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     def run(batches):
         shard = _scan(sent.value, max(sent.value.window, 1))
         for batch in batches:
-            for lo, hi, raw, offs in words.chunks(batch.column(text), 4 * words.CHUNK):
+            for lo, hi, raw, offs in words.chunks(batch.column(text), 32 * words.CHUNK):
                 n, hits, _, _ = shard(raw, offs)
                 hit = [sum(b - a for a, b in _merged(x)) for x in hits]
                 yield batch.slice(lo, hi - lo).filter(pa.array([not (h and 20 * h >= w) for h, w in zip(hit, n.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return words.batched(docs).mapInArrow(run, docs.schema)

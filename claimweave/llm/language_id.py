@@ -73,7 +73,7 @@ def train(docs: DataFrame) -> Model | None:
             if not len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.array([0], pa.int64())], ["lang", "gram", "n"])
 
-    table = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # languages x GRAMS rows at most
+    table = words.batched(rows).mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # languages x GRAMS rows at most
     if table.empty:
         return None
     languages = sorted(table["lang"].unique())
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY) ->
             )
 
     schema = base.schema.add("lang_pred", "string").add("score", "double").add("lang_mix", "string") if base.columns else None
-    return given.mapInArrow(run, schema)
+    return words.batched(given).mapInArrow(run, schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

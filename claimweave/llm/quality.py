@@ -85,7 +85,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(3)), *(pa.array(x, pa.int64()) for x in columns)], ["doc_id", "lang", "source", *_STATS])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _STATS))
+    return words.batched(rows).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _STATS))
 
 
 def _features() -> list[Column]:
