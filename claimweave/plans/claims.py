@@ -88,7 +88,7 @@ def service_line_rate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT conv_id, turn, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS clean, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits, regexp_replace(regexp_replace(lower(role), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS role_slug FROM conversations""")
+@query(r"""SELECT conv_id, turn, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS clean, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS INTEGER) AS n_digits, regexp_replace(regexp_replace(lower(role), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS role_slug FROM conversations""")
 def normalize_text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalize_text(F.col("text")).alias("clean"), F.length(text.only_digits(F.col("text"))).alias("n_digits"), text.slug(F.col("role")).alias("role_slug"))
 

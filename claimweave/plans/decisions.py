@@ -71,7 +71,7 @@ _ROUTES = [("local", ["E1", "E2"], 1.0), ("reference", ["E3"], 2.5), ("human", [
 
 @query("""WITH f AS (SELECT l_orderkey AS claim_id, list_distinct(list(CASE l_returnflag WHEN 'A' THEN 'E1' WHEN 'N' THEN 'E2' ELSE 'E4' END)) AS a FROM lineitem GROUP BY 1),
 r AS (SELECT claim_id, CAST(NOT list_contains(a, 'E1') AS INTEGER) + CAST(NOT list_contains(a, 'E2') AS INTEGER) AS m, a FROM f)
-SELECT claim_id, CASE WHEN m = 0 THEN 'human' WHEN m * 1.0 <= 2.5 THEN 'local' ELSE 'reference' END AS naive, CASE WHEN m = 0 THEN 0.0 ELSE least(m * 1.0, 2.5) END AS cost FROM r""")
+SELECT claim_id, CASE WHEN m = 0 THEN 'human' WHEN m * 1.0 <= 2.5 THEN 'local' ELSE 'reference' END AS naive, CAST(CASE WHEN m = 0 THEN 0.0 ELSE least(m * 1.0, 2.5) END AS DOUBLE) AS cost FROM r""")
 def evidence_gap_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest way to complete each claim's evidence; nothing missing costs nothing."""
     kind = F.when(F.col("l_returnflag") == "A", "E1").when(F.col("l_returnflag") == "N", "E2").otherwise("E4")
@@ -99,7 +99,7 @@ def challenger_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT page_id, CASE WHEN contains(html, '<form') THEN 0.9 ELSE 0.1 END AS form, CASE WHEN length(html) < 1200 THEN 0.8 ELSE 0.2 END AS short, CASE WHEN contains(html, '<b>') THEN 0.6 ELSE 0.0 END AS bold FROM pages)
-SELECT page_id, greatest(form, short, bold) AS risk, concat_ws(',', CASE WHEN form >= 0.5 THEN 'FORM' END, CASE WHEN short >= 0.5 THEN 'SHORT' END, CASE WHEN bold >= 0.5 THEN 'BOLD' END) AS reasons FROM s""")
+SELECT page_id, CAST(greatest(form, short, bold) AS DOUBLE) AS risk, concat_ws(',', CASE WHEN form >= 0.5 THEN 'FORM' END, CASE WHEN short >= 0.5 THEN 'SHORT' END, CASE WHEN bold >= 0.5 THEN 'BOLD' END) AS reasons FROM s""")
 def wrong_crop_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk as the largest of several signals, and the signals that are over the threshold."""
     html = F.col("html")

@@ -108,7 +108,7 @@ def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("hash", "event_id").alias("head"))
 
 
-@query("""SELECT user_id, count(*) AS n, CASE WHEN user_id % 10 = 0 AND max(event_id) > min(event_id) THEN 2 WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS broken FROM events GROUP BY user_id""")
+@query("""SELECT user_id, count(*) AS n, CAST(CASE WHEN user_id % 10 = 0 AND max(event_id) > min(event_id) THEN 2 WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS broken FROM events GROUP BY user_id""")
 def hash_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledgers checked after the first digest of every tenth was tampered with: that event and the next one fail."""
     e = table(spark, sf_dir, "events")

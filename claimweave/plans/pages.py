@@ -91,7 +91,7 @@ def fallback_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE q AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), s AS (SELECT user_id, event_id, k, CASE WHEN value > 12 THEN 1 ELSE 0 END AS failures FROM q WHERE k = 1 UNION ALL SELECT q.user_id, q.event_id, q.k, CASE WHEN value > 12 THEN s.failures + 1 ELSE 0 END FROM s JOIN q ON q.user_id = s.user_id AND q.k = s.k + 1)
-SELECT user_id, count(*) FILTER (WHERE failures >= 3) AS open_events, max(failures) AS longest FROM s GROUP BY 1""")
+SELECT user_id, count(*) FILTER (WHERE failures >= 3) AS open_events, CAST(max(failures) AS BIGINT) AS longest FROM s GROUP BY 1""")
 def breaker_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures in a row: how often a circuit breaker that opens at three would have been open."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

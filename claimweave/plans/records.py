@@ -53,7 +53,7 @@ def file_control_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT p_brand AS record, p_size * 4 AS start, 3 + p_partkey % 4 AS length, p_partkey FROM part), e AS (SELECT *, coalesce(max(start + length - 1) OVER (PARTITION BY record ORDER BY start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last FROM s)
-SELECT record, start AS position, CASE WHEN start > last + 1 THEN 'GAP' ELSE 'OVERLAP' END AS kind, abs(start - last - 1) AS size FROM e WHERE start <> last + 1""")
+SELECT record, CAST(start AS BIGINT) AS position, CASE WHEN start > last + 1 THEN 'GAP' ELSE 'OVERLAP' END AS kind, abs(start - last - 1) AS size FROM e WHERE start <> last + 1""")
 def spec_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps and overlaps between the fields of record layouts."""
     spec = table(spark, sf_dir, "part").select(F.col("p_brand").alias("record"), (F.col("p_size") * 4).cast("long").alias("start"), (F.col("p_partkey") % 4 + 3).alias("length"))
