@@ -140,3 +140,35 @@ def transformed_box(box: list[Column], h: list[float]) -> Column:
         convex = convex & (t > 0)
     xs, ys = [m[0] for m in moved], [m[1] for m in moved]
     return F.struct(F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"), convex.alias("convex"))
+
+
+def table_cell(raw: Column, column: Column) -> Column:
+    """Struct (value, change, status, acceptable) of a table cell by its column: charge, units, date, code or text."""
+    squeezed = text.normalize_text(raw)
+    charge = text.money(raw).cast("string")
+    units = F.regexp_extract(raw, r"^\s*([0-9]{1,4})(?:\.0+)?\s*$", 1)
+    code = F.regexp_replace(F.upper(raw), "[^0-9A-Z]", "")
+    value = (
+        F.when(column == "charge", charge).when(column == "units", F.nullif(units, F.lit(""))).when(column == "date", dates.parse_date(raw).cast("string"))
+        .when(column == "code", F.when(code.rlike("^[0-9A-Z]{5}$"), code)).otherwise(squeezed)
+    )
+    status = F.when(squeezed.isNull(), "BLANK").when(value.isNull(), "INVALID").otherwise("VALID")
+    change = F.when(value.isNull(), "NONE").when(value == raw, "NONE").otherwise("NORMALISED")
+    return F.struct(value.alias("value"), change.alias("change"), status.alias("status"), (status == "VALID").alias("acceptable"))
+
+
+def fused_tokens(a: Column, b: Column, vocabulary: Column) -> Column:
+    """Two readings of a text made one, word by word; null if their words can't be matched up.
+
+    Equal words stay. Where they differ, a word of the vocabulary at one edit
+    from both is taken (the first by name), else the first reading's word if the
+    two are at most two edits apart.
+    """
+    x, y = F.split(a, " "), F.split(b, " ")
+
+    def choose(p: Column, q: Column) -> Column:
+        near = F.filter(F.array_sort(vocabulary), lambda v: (F.levenshtein(v, p) <= 1) & (F.levenshtein(v, q) <= 1))
+        return F.when(p == q, p).when(F.size(near) > 0, F.get(near, F.lit(0))).when(F.levenshtein(p, q) <= 2, p)
+
+    fused = F.zip_with(x, y, choose)
+    return F.when((F.size(x) == F.size(y)) & ~F.exists(fused, lambda w: w.isNull()), F.array_join(fused, " "))

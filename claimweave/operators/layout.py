@@ -86,3 +86,21 @@ def single_row_text(tokens: DataFrame, page: str, text: str, inside: Column) ->
     lines = reading_order(tokens.filter(inside), page)
     value = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text))), lambda t: t[text]), " ")
     return lines.groupBy(page).agg(F.countDistinct("line").alias("rows"), value.alias("v")).select(page, "rows", F.when(F.col("rows") == 1, F.col("v")).alias("value"))
+
+
+def detect_labels(lines: DataFrame, page: str, number: str, text: Column, aliases: list[tuple[str, str]], least: float = 0.84) -> DataFrame:
+    """page, number, field, alias, similarity: of each line the label it is, the first alias in order that is similar enough.
+
+    ``aliases``: (field, alias) in order. Lines that hold an alias are settled
+    by an expression, and only the others compared.
+    """
+    from ..functions.similarity import phrase_ratio
+
+    low = F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9 ]", " ")))
+    options = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(f).alias("field"), F.lit(a.lower()).alias("alias")) for k, (f, a) in enumerate(aliases)))
+    rows = lines.select(page, number, low.alias("__low")).filter("__low <> ''")
+    held = F.filter(options, lambda o: F.contains(F.col("__low"), o["alias"]))
+    sure = rows.filter(F.size(held) > 0).select(page, number, F.get(held, F.lit(0)).alias("o"), F.lit(1.0).alias("similarity"))
+    open_ = rows.filter(F.size(held) == 0).select(page, number, "__low", F.explode(options).alias("o")).withColumn("similarity", phrase_ratio(F.col("o.alias"), F.col("__low")))
+    near = open_.filter(F.col("similarity") >= least).groupBy(page, number).agg(F.min_by(F.struct("o", "similarity"), "o.place").alias("x")).select(page, number, "x.o", "x.similarity")
+    return sure.unionByName(near).select(page, number, "o.field", "o.alias", "similarity")

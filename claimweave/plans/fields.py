@@ -158,3 +158,32 @@ def registered_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = (F.col("user_id") % 100).cast("double"), F.col("value")
     box = fields.transformed_box([x, y, x + 30, y + 10], [1.1, 0.05, 3.0, -0.04, 0.95, -2.0, 0.0002, 0.0001, 1.0])
     return table(spark, sf_dir, "events").select("event_id", box.alias("b")).select("event_id", *(F.round(f"b.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")), "b.convex")
+
+
+_CELL = "CASE l_linenumber % 4 WHEN 0 THEN ' $' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS {text}) WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS {text}) || CASE WHEN l_suppkey % 2 = 0 THEN '.0' ELSE '' END WHEN 2 THEN CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE CAST(l_partkey % 100000 AS {text}) END ELSE l_returnflag || '  ' || l_linestatus END"
+_COLUMN = "CASE l_linenumber % 4 WHEN 0 THEN 'charge' WHEN 1 THEN 'units' WHEN 2 THEN 'code' ELSE 'text' END"
+
+
+@query(f"""WITH c AS (SELECT l_orderkey, {_CELL.format(text="VARCHAR")} AS raw, {_COLUMN} AS col FROM lineitem),
+v AS (SELECT *, CASE col WHEN 'charge' THEN trim(replace(raw, '$', '')) WHEN 'units' THEN regexp_replace(raw, '\\.0$', '') WHEN 'code' THEN CASE WHEN length(raw) = 5 THEN raw END ELSE regexp_replace(raw, ' +', ' ', 'g') END AS value FROM c)
+SELECT col, CASE WHEN raw = '' THEN 'BLANK' WHEN value IS NULL THEN 'INVALID' ELSE 'VALID' END AS status, CASE WHEN value IS NULL OR value = raw THEN 'NONE' ELSE 'NORMALISED' END AS change, count(*) AS n, min(value) AS least, max(value) AS most FROM v GROUP BY 1, 2, 3""")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of service line tables put in their column's form."""
+    c = table(spark, sf_dir, "lineitem").select(F.expr(_CELL.format(text="STRING")).alias("raw"), F.expr(_COLUMN).alias("col"))
+    v = c.select("col", fields.table_cell(F.col("raw"), F.col("col")).alias("c"))
+    return v.groupBy("col", "c.status", "c.change").agg(F.count(F.lit(1)).alias("n"), F.min("c.value").alias("least"), F.max("c.value").alias("most"))
+
+
+_VOCABULARY = ("office", "visit", "brief", "therapy")
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'office visit' WHEN 1 THEN 'offlce visit' WHEN 2 THEN 'brief vislt x' ELSE 'therapy note' END AS a, CASE o_custkey % 3 WHEN 0 THEN 'office visit' WHEN 1 THEN 'officc visil' ELSE 'therapv nota' END AS b FROM orders),
+w AS (SELECT o_orderkey, a, b, len(string_split(a, ' ')) = len(string_split(b, ' ')) AS same, i, string_split(a, ' ')[i] AS p, string_split(b, ' ')[i] AS q FROM r, (SELECT unnest([1, 2]) AS i)), v AS (SELECT unnest(['office', 'visit', 'brief', 'therapy']) AS v),
+t AS (SELECT o_orderkey, same, i, CASE WHEN p = q THEN p ELSE coalesce((SELECT min(v) FROM v WHERE levenshtein(v, p) <= 1 AND levenshtein(v, q) <= 1), CASE WHEN levenshtein(p, q) <= 2 THEN p END) END AS word FROM w)
+SELECT o_orderkey, CASE WHEN bool_and(same) AND count(word) = 2 THEN string_agg(word, ' ' ORDER BY i) END AS fused FROM t GROUP BY 1""")
+def fused_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readings of a description made one by a vocabulary."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey") % 3
+    a = F.when(k == 0, "office visit").when(k == 1, "offlce visit").when(k == 2, "brief vislt x").otherwise("therapy note")
+    b = F.when(c == 0, "office visit").when(c == 1, "officc visil").otherwise("therapv nota")
+    return table(spark, sf_dir, "orders").select("o_orderkey", fields.fused_tokens(a, b, F.array(*map(F.lit, _VOCABULARY))).alias("fused"))

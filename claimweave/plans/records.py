@@ -131,3 +131,10 @@ def specification_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.array(F.concat(F.lit("RECORD R"), (F.col("p_size") % 4).cast("string")), F.lit("-- note"), field)
     lines = table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), "p_partkey", F.posexplode(text).alias("k", "line")).withColumn("number", F.col("p_partkey") * 10 + F.col("k"))
     return fw.parse_spec_text(lines, "source", "number", "line")
+
+
+@query()
+def label_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of conversations that are labels, also misread ones."""
+    aliases = [("cause", "because of"), ("question", "what is"), ("question", "how do"), ("thanks", "thank you"), ("article", "the")]
+    return layout.detect_labels(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("text"), aliases)
