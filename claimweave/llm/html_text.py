@@ -4,7 +4,9 @@ Every DOM node gets its characters per tag, adjusted by the share of characters
 and tags in links; a node's density sum is that of its children. The node with
 the largest sum is the main one, the least density on its path to the body is
 the threshold, and below each node that reaches it the largest-sum subtree is
-content. Elements that by name are never part of an article are left out first.
+content. Elements that are never part of an article are left out first. A class,
+id or role only proposes: what holds the page's article, or most of its text
+outside links, stays whatever it is called.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql import functions as F
 from . import words
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[^a-z0-9]+")
 
 # HTML element names.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-_DROPPED = frozenset("head nav footer aside form script style textarea title noscript iframe template svg canvas button select option object audio video dialog menu math map".split())
+_DROPPED = frozenset("head nav footer aside form script style textarea title noscript iframe template svg canvas button select option object audio video dialog menu annotation annotation-xml map".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -36,6 +38,10 @@ _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTAINERS = frozenset("body main article section div td".split())
 _KEPT = frozenset(["html", "body", "main", "article"])
+#: MathML elements: part of the text around them, not nodes of their own.
+_MATH = frozenset("math semantics maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split())
+#: In a compound name, what follows is said of the element's surroundings: has-sidebar, page-with-sidebar, no-comments.
+_ABOUT = frozenset("has no with without".split())
 #: Words of a class, id or role that mark page furniture.
 FURNITURE = frozenset(
     (
@@ -46,33 +52,47 @@ FURNITURE = frozenset(
 )
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> bool:
+def _dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Never part of an article, by element or because it isn't shown."""
     if tag in _DROPPED or (tag == "header" and not inside):
         return True
-    if tag in _KEPT or not attributes:
+    return tag not in _KEPT and attributes.get("hidden", "until-found").lower() != "until-found"
+
+
+def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Furniture by a word of its class, id or role."""
+    if tag in _KEPT:
         return False
-    for name, *values in _NAMED.findall(attributes):
-        words = set(_WORDS.split("".join(values).lower()))
-        if words & FURNITURE or (not inside and name.lower() == "role" and "banner" in words):
-            return True
-        if not inside and words & {"header"} and tag != "h1":
-            return True
-    return "hidden" in attributes.lower().split()
+    for name in ("class", "id", "role"):
+        # the id of a heading, and of a section or paragraph of an article, is a slug of what it says
+        if name not in attributes or (name == "id" and (tag in _HEADINGS or (inside and tag in ("section", "p")))):
+            continue
+        for compound in attributes[name].lower().split():
+            for word in _WORDS.split(compound):
+                if word in _ABOUT:
+                    break
+                if word in FURNITURE or (not inside and word == "header" and tag != "h1"):
+                    return True
+    return False
 
 
 class _Page:
     """Nodes of a page in document order, without furniture."""
 
+    _COUNTS = ("tag", "parent", "end", "chars", "tags", "link_chars", "link_tags")
+
     def __init__(self, source: str):
         self.tag, self.parent, self.end = ["body"], [-1], [0]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []  # node, block, text
+        self.proposed: list[int] = []  # nodes that are furniture by name
         self.open = [0]
         self.block = self.skip = self.inside = self.linked = 0
         self._read(source)
         while len(self.open) > 1:
             self._close()
         self.end[0] = len(self.tag)
+        self._leave_out(self._by_name())
 
     def _text(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -82,6 +102,50 @@ class _Page:
         if self.linked:
             self.link_chars[self.open[-1]] += n
 
+    def _by_name(self) -> list[int]:
+        """The proposed nodes that go; inner ones are looked at first.
+
+        The one with the page's article stays. So does one with most of the text
+        outside links that is left, unless an article with a tenth of it stands beside.
+        """
+        text = [c - lc for c, lc in zip(self.chars, self.link_chars, strict=True)]
+        article = max((k for k, tag in enumerate(self.tag) if tag in ("article", "main") and text[k]), key=lambda k: (text[k], -k), default=0)
+        gone = []
+        for k in reversed(self.proposed):
+            real = article and 10 * text[article] >= text[0]
+            inside = article < k < self.end[article]
+            if (article and k < article < self.end[k]) or (2 * text[k] > text[0] and (inside or not real)):
+                continue
+            gone.append(k)
+            out, up = text[k], k
+            while up >= 0:
+                text[up] -= out
+                up = self.parent[up]
+        return gone if text[0] else []
+
+    def _leave_out(self, gone: list[int]) -> None:
+        live = [True] * len(self.tag)
+        for k in gone:  # inner ones first, so a count is taken off once
+            chars, tags, link_chars, link_tags = self.chars[k], self.tags[k] + 1, self.link_chars[k], self.link_tags[k] + (self.tag[k] == "a")
+            up = self.parent[k]
+            while up >= 0:
+                self.chars[up] -= chars
+                self.tags[up] -= tags
+                self.link_chars[up] -= link_chars
+                self.link_tags[up] -= link_tags
+                up = self.parent[up]
+            live[k : self.end[k]] = [False] * (self.end[k] - k)
+        if not gone:
+            return
+        number = [0]
+        for x in live:
+            number.append(number[-1] + x)
+        self.parent = [number[k] if k >= 0 else k for k in self.parent]
+        self.end = [number[k] for k in self.end]
+        self.pieces = [(number[k], block, text) for k, block, text in self.pieces if live[k]]
+        for name in self._COUNTS:
+            setattr(self, name, [x for x, stays in zip(getattr(self, name), live, strict=True) if stays])
+
     def _start(self, tag: str) -> None:
         node = len(self.tag)
         self.tag.append(tag)
@@ -129,6 +193,8 @@ class _Page:
                 continue
             tag = m[2].lower()
             if m[1]:
+                if tag in _MATH:
+                    continue
                 if skipped:
                     if tag in skipped:
                         while skipped.pop() != tag:
@@ -149,6 +215,8 @@ class _Page:
                 if not skipped:
                     self.tags[self.open[-1]] += 1
                 continue
+            if tag in _MATH:
+                continue
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
@@ -162,9 +230,14 @@ class _Page:
                 self._close_to({"p"}, {"td", "th", "button", "article", "section", "div"})
             if tag in _ENDS_SAME:
                 self._close_to(_ENDS_SAME[tag], _SCOPE[tag])
-            if _furniture(tag, m[3], self.inside > 0):
+            attributes = {}
+            for name, *values in _ATTRIBUTE.findall(m[3]):
+                attributes.setdefault(name.lower(), "".join(values))
+            if _dropped(tag, attributes, self.inside > 0):
                 skipped.append(tag)
                 continue
+            if _furniture(tag, attributes, self.inside > 0):
+                self.proposed.append(len(self.tag))
             self._start(tag)
 
     def densities(self) -> list[float]:

@@ -119,6 +119,26 @@ def test_main_text(source, text):
     assert html_text.main_text(source or "") == text
 
 
+_LONG = "A paragraph of the article, with words enough to count as one. " * 3
+_ARTICLE = f"<h1>Head</h1><p>{_LONG}</p><h2 id='social-history'>Social history</h2><section id='related-work'><p id='notice-period' title='the hidden cost'>{_LONG}<math><mi>a</mi><mo>+</mo><mi>b</mi></math></p></section>"
+
+
+@pytest.mark.parametrize("wrapper", ["class='has-sidebar'", "class='content no-comments'", "id='page-with-sidebar'", "class='layout sidebar'", "role='search'"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_names_only_propose_furniture(wrapper, tag):
+    """A wrapper's name doesn't take the article along, nor an id its sections; what stands beside it goes."""
+    page = f"<body><div class='menu'>Menu of it</div><div {wrapper}><{tag}>{_ARTICLE}<p hidden=''>Not shown</p></{tag}><div class='comments'><p>First! What a text.</p></div></div></body>"
+    long = _LONG.strip()
+    assert html_text.main_text(page) == f"Head\n{long}\nSocial history\n{long} a+b"
+
+
+def test_names_never_take_all_text():
+    half = "<p>Some text of the page, long enough.</p>"
+    assert html_text.main_text(f"<div class='promo'>{half}</div>") == "Some text of the page, long enough."
+    assert html_text.main_text(f"<div class='promo'>{half}</div><div class='related'>{half}</div>")
+    assert html_text.main_text("<div class='ad'>An advert with far more text than that.</div><article><p>A short text.</p></article>") == "A short text."
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
     out = html_text.extract(pages).collect()
