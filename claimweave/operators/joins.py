@@ -54,13 +54,15 @@ def in_cells(points: DataFrame, cells: DataFrame, x: str, y: str, size: float) -
 def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int) -> DataFrame:
     """Pairs (a, b, distance) of 64-bit hashes that differ in at most ``most`` bits.
 
-    Cut into ``most + 1`` bands, two such hashes share a whole band, so only
-    rows with an equal band are compared. Equal hashes are compared once, as
-    one, and named by their smallest key; ``copies`` tells how many there are.
+    Cut into ``most + 1`` bands, each of a bit or more, two such hashes share a
+    whole band, so only rows with an equal band are compared. Equal hashes are
+    compared once, as one, and named by their smallest key; ``copies`` tells
+    how many there are.
     """
-    width = -(-64 // (most + 1))
+    cuts = [k * 64 // (most + 1) for k in range(most + 2)] if most < 64 else [0, 0]  # beyond 63 bits every pair is one
     one = hashes.groupBy(value).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft(value, max(0, 64 - width * (k + 1))), max(0, 64 - min(width, 64 - width * k))).alias("bits")) for k in range(most + 1)))
+    parts = [F.shiftrightunsigned(value, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1).cast("long")) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    bands = F.array(*(F.struct(F.lit(k).alias("band"), bits.alias("bits")) for k, bits in enumerate(parts)))
     rows = one.select(F.col(key).alias("k"), F.col(value).alias("v"), F.explode(bands).alias("b")).select("k", "v", "b.band", "b.bits")
     left, right = rows.select(F.col("k").alias("a"), F.col("v").alias("va"), "band", "bits"), rows.select(F.col("k").alias("b"), F.col("v").alias("vb"), "band", "bits")
     distance = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))

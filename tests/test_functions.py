@@ -110,6 +110,14 @@ def test_hamming_pairs_equal_all_pairs(spark):
     assert got == {(i, j): d for i in ids for j in ids if i < j and (d := (values[i] ^ values[j]).bit_count()) <= 4}
 
 
+@pytest.mark.parametrize("most", [0, 4, 16, 18, 31, 63, 64])
+def test_hamming_pairs_of_any_distance(spark, most):
+    """Also pairs that differ in every nibble, when bands are narrower than one."""
+    values = [0, 0x1111111111111111, 0x1111111111111117, 0x7FFFFFFFFFFFFFFF, -1]
+    want = {(i, j): d for j in range(5) for i in range(j) if (d := ((values[i] ^ values[j]) & (2**64 - 1)).bit_count()) <= most}
+    assert {(r.a, r.b): r.distance for r in joins.hamming_pairs(spark.createDataFrame(list(enumerate(values)), "k long, v long"), "k", "v", most).collect()} == want
+
+
 @relaxed
 @given(st.lists(st.tuples(st.sampled_from("abcd"), st.integers(0, 50)), min_size=1, max_size=40), st.integers(1, 20))
 def test_largest_remainder_adds_up(spark, rows, target):
