@@ -7,8 +7,10 @@ words, at one of its own first ``size - overlap + 1``; candidates from that
 prefix join pass a length and a position filter and are then counted exactly.
 Words outside all templates can't add to an overlap, so blocks leave them out.
 
-Blocks are the lines of a text, and the text as a whole for base phrases,
-whose words must all be there (overlap ``n``) and are then found in sequence.
+Blocks are overlapping word windows, line breaks being blanks, and the text as a
+whole for base phrases, whose words must all be there (overlap ``n``) and are
+then found in sequence. A template matches where a run of at most twice its
+length holds the overlap and all of its names, and no other variant's word.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Part of a template's words that a line must hold.
+#: Part of a template's words that a run of words must hold.
 CONTAINMENT = 0.8
 
 #: The base phrases and their labels.
@@ -42,19 +44,28 @@ TEMPLATES = (
     ("cc0 1 0 universal public domain dedication", "cc0"),
 )
 
+#: Words of a template that must be there whatever else is.
+NAMES = frozenset("mit apache gnu lesser affero mozilla unencumbered cc sa nc creative commons cc0 2 3 4".split())
+#: Words that make another license of one with the name.
+VARIANTS = {"gnu": ("lesser", "affero"), "cc": ("sa", "nc", "nd"), "creative": ("sharealike", "noncommercial", "noderivatives", "noderivs")}
+#: Words after a match that may still name a variant.
+AFTER = 2
+
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_OTHER_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 # letter case doesn't move a word's ends, so words can be counted before it is folded; a list of what
 # words consist of is several times as fast to match as one of what they don't
 _WORD_ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def _patterns(templates, phrases, containment: float) -> list[dict]:
-    out = [{"unit": "line", "label": label, "words": text.split()} for text, label in templates]
+    out = [{"unit": "run", "label": label, "words": text.split()} for text, label in templates]
     out += [{"unit": "text", "label": label, "words": text.split()} for text, label in phrases.items()]
     for k, p in enumerate(out):
         p["id"], p["set"] = k, sorted(set(p["words"]))
         p["n"] = len(p["set"])
+        p["names"] = sorted(NAMES.intersection(p["set"])) if p["unit"] == "run" else []
+        p["variants"] = sorted({v for w in p["names"] for v in VARIANTS.get(w, ())} - set(p["set"]))
+        p["run"] = 2 * len(p["words"])
         p["overlap"] = p["n"] if p["unit"] == "text" else -(-int(round(containment * 100)) * p["n"] // 100)
     return out
 
@@ -70,17 +81,31 @@ def _block(number: Column, found: Column, places: Column) -> Column:
     return F.struct(number.alias("block"), F.array_distinct(found).alias("tokens"), places.alias("places"))
 
 
+def _most_held(places: Column, tokens_of: Column, names: Column, variants: Column, run: Column, overlap: Column) -> Column:
+    """The most words of a template that a run holds which meets the rules; null if none does."""
+    own = F.filter(places, lambda x: F.array_contains(tokens_of, x["w"]))
+    other = F.filter(places, lambda x: F.array_contains(variants, x["w"]))
+
+    def held(a: Column, b: Column) -> Column:
+        words = F.array_distinct(F.transform(F.filter(own, lambda x: x["i"].between(a["i"], b["i"])), lambda x: x["w"]))
+        clean = ~F.exists(other, lambda x: x["i"].between(a["i"], b["i"] + AFTER))
+        return F.when(clean & (F.size(words) >= overlap) & (F.size(F.array_except(names, words)) == 0), F.size(words))
+
+    ends = lambda a: F.filter(own, lambda b: (b["i"] >= a["i"] + overlap - 1) & (b["i"] < a["i"] + run))
+    return F.array_max(F.transform(own, lambda a: F.array_max(F.transform(ends(a), lambda b: held(a, b)))))
+
+
 def license_matches(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document.
 
     ``score`` is the largest containment among matched templates; a base phrase
-    counts as 1, no match as 0. A null or empty text has no words. Rows that
+    counts as 1, no match as 0. Where the words stand in lines doesn't matter. A null or empty text has no words. Rows that
     are equal in doc_id and text are one document; other rows with one doc_id,
     or none, stay apart.
     """
     spark = docs.sparkSession
     patterns = _patterns(templates, phrases, containment)
-    vocabulary = sorted({w for p in patterns for w in p["set"]})
+    vocabulary = sorted({w for p in patterns for w in (*p["set"], *p["variants"])})
     rank = {w: k for k, w in enumerate(word_order(docs, vocabulary))}
     index, starters = [], set()
     for p in patterns:
@@ -89,19 +114,20 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, conta
             index.append((w, p["id"], i))
             starters.add(w)
     index_table = spark.createDataFrame(index, "token string, pattern int, i int")
-    pattern_table = spark.createDataFrame([(p["id"], p["unit"], p["label"], p["words"], p["set"], p["n"], p["overlap"]) for p in patterns], "pattern int, unit string, label string, words array<string>, tokens_of array<string>, n int, overlap int")
+    pattern_table = spark.createDataFrame([(p["id"], p["unit"], p["label"], p["words"], p["set"], p["names"], p["variants"], p["run"], p["n"], p["overlap"]) for p in patterns], "pattern int, unit string, label string, words array<string>, tokens_of array<string>, names array<string>, variants array<string>, run int, n int, overlap int")
     prefixes = F.broadcast(index_table.join(pattern_table, "pattern"))  # as many rows as the templates have words, at most
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     phrase_words = sorted({w for p in patterns if p["unit"] == "text" for w in p["words"]})
     ranks = F.create_map(*(x for w, k in rank.items() for x in (F.lit(w), F.lit(k))))
-    empty_places = F.array().cast("array<struct<w:string,i:int>>")
-
-    low = F.col("low")
-    lines = F.split(F.regexp_replace(low, _OTHER_IN_LINE, " "), "\n")
-    line_blocks = F.transform(lines, lambda line, k: _block(k, F.filter(F.split(line, " "), lambda w: w.isin(vocabulary)), empty_places))
-    line_blocks = F.filter(line_blocks, lambda b: F.exists(b["tokens"], lambda w: w.isin(sorted(starters))))
-    all_words = F.filter(F.split(low, _OTHER), lambda w: w != "")
+    # any run, and what may follow it, lies whole in one of these windows
+    stride = max((p["run"] for p in patterns if p["unit"] == "run"), default=1) + AFTER
+
+    low, all_words = F.col("low"), F.col("words")
+    in_window = lambda k: F.filter(F.transform(F.slice(all_words, k * stride + 1, 2 * stride), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))
+    windows = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(all_words), F.lit(1)) - 1) / stride).cast("int")), lambda k: F.struct(k.alias("k"), in_window(k).alias("places")))
+    windows = F.filter(windows, lambda b: F.exists(b["places"], lambda x: x["w"].isin(sorted(starters))))
+    run_blocks = F.transform(windows, lambda b: _block(b["k"], F.transform(b["places"], lambda x: x["w"]), b["places"]))
     places = F.filter(F.transform(all_words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(phrase_words))
     text_block = F.transform(F.array(places), lambda ps: _block(F.lit(-1), F.transform(ps, lambda x: x["w"]), ps))
     # the prefix filter on whole documents: one of the first words of a template must be in the text
@@ -111,13 +137,14 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, conta
     scanned = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("__text"))
         .select("doc_id", F.xxhash64("__text").alias("h"), F.regexp_count("__text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), F.lower("__text").alias("low"))
-        .select("doc_id", "h", "n_words", F.when(gate, F.concat(line_blocks, text_block)).alias("blocks"))
+        .select("doc_id", "h", "n_words", F.when(gate, F.filter(F.split(low, _OTHER), lambda w: w != "")).alias("words"))
+        .select("doc_id", "h", "n_words", F.when(all_words.isNotNull(), F.concat(run_blocks, text_block)).alias("blocks"))
     )
     block = scanned.select("doc_id", "h", "n_words", F.explode_outer("blocks").alias("b"))
     ordered = F.transform(F.array_sort(F.transform(F.col("b.tokens"), lambda w: F.struct(ranks[w].alias("r"), w.alias("w")))), lambda x: x["w"])
     token = block.select("doc_id", "h", "n_words", "b.block", "b.places", ordered.alias("tokens")).select("doc_id", "h", "n_words", "block", "places", "tokens", F.posexplode_outer("tokens").alias("j", "token"))
     size = F.size("tokens")
-    unit = F.when(F.col("block") < 0, "text").otherwise("line")
+    unit = F.when(F.col("block") < 0, "text").otherwise("run")
     candidate = (
         (F.col("unit") == unit)
         & (size >= F.col("overlap"))
@@ -127,6 +154,7 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, conta
     shared = F.when(candidate, F.size(F.array_intersect("tokens", "tokens_of")))
     joined = token.join(prefixes, "token", "left").withColumn("shared", shared).withColumn("holds", F.coalesce(F.col("shared") >= F.col("overlap"), F.lit(False)))
     is_text = F.col("unit") == "text"
+    held = _most_held(*(F.col(c) for c in ("places", "tokens_of", "names", "variants", "run", "overlap")))
 
     def sequence(ps: Column, words: Column) -> Column:
         """Where the words stand one after another: neighbours in ``places`` that are neighbours in the text."""
@@ -136,7 +164,7 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, conta
     found = joined.select(
         "doc_id", "h", "n_words", "label", "pattern",
         F.when(F.col("holds") & is_text, sequence(F.col("places"), F.col("words"))).alias("starts"),
-        F.when(F.col("holds") & ~is_text, F.col("shared") / F.col("n")).alias("part"),
+        F.when(F.col("holds") & ~is_text, held / F.col("n")).alias("part"),
     )
     base = F.size("starts") > 0
     grouped = found.groupBy("doc_id", "h", "n_words").agg(

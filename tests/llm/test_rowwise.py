@@ -30,6 +30,25 @@ def test_licenses_equal_brute_force(noted):
     assert want[9001][1] == 6 and "mit" in want[9002][5]
 
 
+def test_licenses_in_wrapped_texts_and_their_variants(spark):
+    """Statements are found over line breaks and far inside a text; names and variants are told apart."""
+    import textwrap
+
+    from pyspark.sql.types import LongType, StringType, StructType
+
+    cases = [(textwrap.fill(f"{'lorem ipsum ' * k}{t}{' dolor sit' * 40}", 30), label) for t, label in license_scan.TEMPLATES for k in (0, 31)]
+    cases += [
+        ("Licensed under the GNU General Public License", "gpl"), ("Licensed under the GNU Lesser General Public License", "gpl,lgpl"), ("Licensed under CC BY 4.0", "cc-by,cc-by-4.0"), ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0", "cc-by"), ("Licensed under CC BY 4.0 or under CC BY-SA 4.0", "cc-by,cc-by-4.0,cc-by-sa-4.0"), ("released " + "word " * 30 + "under the old license", ""), ("released under the apache license", ""),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "gpl,lgpl"),
+    ]
+    docs = spark.createDataFrame(list(enumerate(x for x, _ in cases)), StructType().add("doc_id", LongType()).add("text", StringType()))
+    out = {r.doc_id: r for r in license_scan.license_matches(docs).collect()}
+    for k, (_, label) in enumerate(cases):
+        got, base = set(out[k].labels.split(",")) - {""}, set(out[k].base_labels.split(","))
+        assert got - base == set(label.split(",")) - base - {""} and set(label.split(",")) <= got | {""}, (cases[k], got)
+
+
 def test_licenses_of_repeated_rows_and_empty_table(spark, no_documents):
     assert license_scan.license_matches(no_documents).count() == 0
     rows = [(1, "all rights reserved", "x"), (1, "all rights reserved", "x"), (1, "other", "x"), (None, None, "x")]
