@@ -9,14 +9,16 @@ A document lies whole in one shard, so nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from . import words
 
 #: Words in one window of an item; a shorter item is one window itself.
@@ -24,6 +26,7 @@ WINDOW = 13
 #: Words of test items that are sent to the tasks at once; more items make more passes.
 BLOCK_WORDS = 2_000_000
 
+_ROW = "__row_of_texts"  # tells rows apart that are equal, or have no id
 _COLUMNS = "doc_id long, n_words long, hits binary, items array<string>, longest_match long"
 
 
@@ -44,14 +47,20 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The test items in blocks of bounded size, read one partition at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    """The test items in blocks of bounded size, tokenised in tasks and read one partition at a time; a null id is the name ''."""
+
+    def tokenised(batches):
+        for batch in batches:
+            texts = (np.frombuffer(x.encode(), np.uint8) for x in batch.column(1).to_pylist())
+            tokens = [words.words_of(raw, np.array([0, len(raw)]), words.ALNUM)[0].astype("<u8").tobytes() for raw in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], ["i", "tokens"])
+
+    rows = benchmark.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in (("item_id", "i"), ("text", "t"))))
     ids: list[str] = []
     texts: list[np.ndarray] = []
     held = 0
-    for row in rows.filter("i is not null").orderBy("i", "t").toLocalIterator():
-        raw = np.frombuffer(row.t.encode(), np.uint8)
-        tokens, _ = words.words_of(raw, np.array([0, len(raw)]), words.ALNUM)
+    for row in staged(words.batched(rows).mapInArrow(tokenised, "i string, tokens binary"), "items").toLocalIterator():
+        tokens = np.frombuffer(row.tokens, "<u8")
         if held and held + len(tokens) > block_words:
             yield _block(ids, texts, window)
             ids, texts, held = [], [], 0
@@ -78,7 +87,7 @@ def suffix_array(tokens: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarr
     step = 1
     while step < depth:
         ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:]
+        ahead[: max(0, n - step)] = rank[step:]
         ahead[tokens == 0] = 0
         rank = np.where(tokens == 0, 0, rank)
         _, rank = np.unique(rank * (int(ahead.max(initial=0)) + 1) + ahead, return_inverse=True)
@@ -196,55 +205,82 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _first_blocks(blocks: Iterator[Items], window: int) -> tuple[Items, Items | None]:
+    """The first block, empty if there are no items, and the second if there is one."""
+    none = Items([], np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64), window)
+    return next(blocks, none), next(blocks, None)
+
+
+def _over(rows: DataFrame, items: Items, keep: tuple[str, ...] = ("doc_id",), hit_only: bool = False):
+    """One pass: ``keep`` and the matches of each row, or of each that is hit; and the broadcast block."""
+    sent = rows.sparkSession.sparkContext.broadcast(items)
+    names_out = [*keep, "n_words", "hits", "items", "longest_match"]
+
+    def run(batches):
+        block = sent.value
+        shard = _scan(block, max(block.window, 1))
+        for batch in batches:
+            for lo, hi, raw, offs in words.chunks(batch.column(len(keep)), 32 * words.CHUNK):
+                n, hits, names, longest = shard(raw, offs)
+                out = pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(k).slice(lo, hi - lo) for k in range(len(keep))),
+                        pa.array(n, pa.int64()),
+                        pa.array([np.array(_merged(x), "<i8").tobytes() for x in hits], pa.binary()),
+                        pa.array([sorted({block.ids[i] for i in x}) for x in names], pa.list_(pa.string())),
+                        pa.array(longest, pa.int64()),
+                    ],
+                    names_out,
+                )
+                yield out.filter(pa.array([bool(x) for x in hits], pa.bool_())) if hit_only else out
+
+    source = rows.select(*(F.col(c).cast("long").alias(c) for c in keep), F.col("text").cast("string").alias("text"))
+    return words.batched(source).mapInArrow(run, _COLUMNS if keep == ("doc_id",) else f"{_ROW} long, {_COLUMNS}"), sent
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a number each, written so that every pass sees the same."""
+    return staged(rows.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _over_all(rows: DataFrame, blocks: Iterable[Items]) -> DataFrame:
+    """The matches of each numbered row with all blocks; one block is held at a time, its hits are written."""
+    out = None
+    for items in blocks:
+        found, sent = _over(rows, items, (_ROW, "doc_id"), out is not None)
+        found = staged(found, "hits")
+        sent.destroy()
+        out = found if out is None else out.union(found)
+
+    def disjoint(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("hits")
+            hits = [np.array(_merged([tuple(p) for p in np.frombuffer(x, "<i8").reshape(-1, 2).tolist()]), "<i8").tobytes() for x in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "hits", pa.array(hits, pa.binary()))
+
+    grouped = out.groupBy(_ROW).agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.unhex(F.array_join(F.collect_list(F.hex("hits")), "")).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match"),
+    )
+    return grouped.mapInArrow(disjoint, f"{_ROW} long, {_COLUMNS}")
+
+
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For every row of ``docs``: doc_id, n_words, hits, items, longest_match.
 
     ``hits`` is the list of disjoint hit word ranges as little-endian int64
-    pairs, ``items`` the sorted ids of the items with an occurring window,
-    ``longest_match`` the words of the longest verbatim match that holds a
-    window. A null or empty text has no words, a null id stays null, and an
-    item without words has no window. Repeated rows give repeated results.
-    An empty benchmark leaves every document clean.
+    pairs, ``items`` the sorted ids of the items with an occurring window (the
+    name '' for a null id), ``longest_match`` the words of the longest verbatim
+    match that holds a window. A null or empty text has no words, a null id
+    stays null, and an item without words has no window. Each row is judged on
+    its own, however many blocks of items there are: repeated rows give
+    repeated results. An empty benchmark leaves every document clean.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def over(items: Items) -> DataFrame:
-        sent = spark.sparkContext.broadcast(items)
-
-        def run(batches):
-            block = sent.value
-            shard = _scan(block, max(block.window, 1))
-            for batch in batches:
-                ids = batch.column(0)
-                for lo, hi, raw, offs in words.chunks(batch.column(1), 32 * words.CHUNK):
-                    n, hits, names, longest = shard(raw, offs)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.slice(lo, hi - lo),
-                            pa.array(n, pa.int64()),
-                            pa.array([np.array(_merged(x), "<i8").tobytes() for x in hits], pa.binary()),
-                            pa.array([sorted({block.ids[i] for i in x}) for x in names], pa.list_(pa.string())),
-                            pa.array(longest, pa.int64()),
-                        ],
-                        ["doc_id", "n_words", "hits", "items", "longest_match"],
-                    )
-
-        return words.batched(source).mapInArrow(run, _COLUMNS)
-
     blocks = item_blocks(benchmark, window, block_words)
-    head = next(blocks, None)
-    if head is None:
-        head = Items([], np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64), window)
-    out = over(head)
-    rest = [over(x) for x in blocks]
-    if rest:
-        for more in rest:
-            out = out.union(more)
-        out = out.groupBy("doc_id", "n_words").agg(
-            F.array_join(F.collect_list(F.hex("hits")), "").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match")
-        ).withColumn("hits", F.unhex("hits"))
-    return out
+    head, second = _first_blocks(blocks, window)
+    if second is None:
+        return _over(docs, head)[0]
+    return _over_all(_numbered(docs.select("doc_id", "text")), chain((head, second), blocks)).drop(_ROW)
 
 
 def _hit_words(batches):
@@ -256,6 +292,10 @@ def _hit_words(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n_hit"])
 
 
+def _contaminated(n_hit, n_words):
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match for every document.
 
@@ -268,20 +308,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        _contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
         "longest_match",
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns; one pass, no shuffle for one block of items."""
-    blocks = list(item_blocks(benchmark, window, block_words))
-    if len(blocks) > 1:
-        bad = contamination(docs, benchmark, window, block_words).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"].cast("long") == bad["__bad"], "left_anti")
-    if not blocks:
+    blocks = item_blocks(benchmark, window, block_words)
+    head, second = _first_blocks(blocks, window)
+    if second is not None:
+        rows = _numbered(docs)
+        found = _over_all(rows, chain((head, second), blocks)).mapInArrow(_hit_words, f"{_ROW} long, {_COLUMNS}, n_hit long")
+        bad = found.filter(_contaminated(F.col("n_hit"), F.col("n_words"))).select(_ROW)
+        return rows.join(bad, _ROW, "left_anti").select(*docs.columns)
+    if not head.ids:
         return docs
-    sent = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    sent = docs.sparkSession.sparkContext.broadcast(head)
     text = docs.columns.index("text")
 
     def run(batches):

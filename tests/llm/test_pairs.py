@@ -99,6 +99,20 @@ def test_contamination_equals_brute_force(documents, benchmark, rows):
         assert {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x[4]}
 
 
+@pytest.mark.parametrize("how", [{}, {"block_words": 20}])
+def test_rows_are_judged_each_on_its_own(spark, how):
+    """Null and repeated ids, repeated rows and items without an id; in one block of items, and in many."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(13))) for k in (1, 2, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    hit, clean = [t for _, t in items], [" ".join(f"{c}{j}" for j in range(13)) for c in "xy"]
+    rows = [(None, hit[0]), (None, clean[0]), (7, hit[1]), (7, clean[0]), (8, hit[0]), (8, hit[0]), (9, clean[1]), (9, clean[1]), (10, hit[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = decontaminate.contamination(docs, benchmark, **how).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in out) == sorted((i or 0, 13, 13 * (t in hit), int(t in hit), t in hit) for i, t in rows)
+    kept = decontaminate.decontaminated(docs, benchmark, **how).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t in rows if t not in hit)
+
+
 def test_longest_match(documents, benchmark):
     found = {r.doc_id: r.longest_match for r in decontaminate.contamination(documents, benchmark).collect()}
     assert found[405] == 30 and found[500] == 0
