@@ -213,3 +213,24 @@ def test_workbook_source(spark, tmp_path):
     spark.dataSource.register(files.WorkbookSource)
     df = spark.read.format("workbook").schema("name string, code string").option("path", str(book)).load()
     assert sorted(map(tuple, df.collect()), key=str) == [("Ann", "7"), (None, "8")]
+
+
+def test_staged_tables_and_their_folder(spark):
+    from claimweave.sources import staging
+
+    class Cluster:
+        """A session of a cluster without a shared folder."""
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: Cluster)
+
+    Cluster.getCheckpointDir = staticmethod(lambda: type("None_", (), {"isEmpty": staticmethod(lambda: True)}))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_folder(Cluster)
+    assert staging.staged(spark.range(3), "three").count() == 3
