@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -23,7 +24,8 @@ def duck(spark_docs):
 
 @pytest.mark.parametrize("rows_each", [10, 1_000_000])
 def test_shards_are_contiguous_and_balanced(documents, rows, rows_each):
-    out = sorted(sharding.byte_shards(documents, 8, rows_each=rows_each).collect(), key=lambda r: r.doc_id)
+    md5 = {i: hashlib.md5((t or "").encode()).hexdigest() for i, t, *_ in rows}
+    out = sorted(sharding.byte_shards(documents, 8, rows_each=rows_each).collect(), key=lambda r: (md5[r.doc_id], r.doc_id))
     size = {i: len((t or "").encode()) + 1 for i, t, *_ in rows}
     total, below, slots = sum(size.values()), 0, Counter()
     for r in out:
@@ -34,6 +36,23 @@ def test_shards_are_contiguous_and_balanced(documents, rows, rows_each):
     assert len(out) == len(rows)
 
 
+def test_shards_equal_sql_and_keep_copies_together(documents, rows):
+    more = documents.union(documents.filter("doc_id BETWEEN 500 AND 520").withColumn("doc_id", F.col("doc_id") + 10_000))
+    df = sharding.shard_table(more)
+    assert dict(df.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    out = df.collect()
+    assert sorted(map(tuple, out)) == sorted(duck(more).sql(f"SELECT doc_id, size, text_crc32, law, shard, slot, grown_shard FROM ({sharding.SHARD_SQL})").fetchall())
+    of = {r.doc_id: r.shard for r in out}
+    assert sum(of[k] != of[k + 10_000] for k in range(500, 521)) <= 7
+
+
+def test_copies_that_hold_most_rows_go_over_shards(spark):
+    """A text of most rows, without ids, is split where it must be; sizes stay equal."""
+    docs = spark.range(4000).selectExpr("IF(id % 4 = 0, id, NULL) AS doc_id", "IF(id % 4 = 0, concat('t', id), 'the same text') AS text")
+    out = sharding.byte_shards(docs, 8, rows_each=100).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert len(out) == 8 and max(r.b for r in out) - min(r.b for r in out) <= 30
+
+
 def test_shards_of_awkward_rows(spark, no_documents):
     assert sharding.shard_table(no_documents).count() == 0
     rows = [(None, "a"), (None, "a"), (5, None), (5, None), (7, "é" * 100)]
