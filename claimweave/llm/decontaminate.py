@@ -59,7 +59,7 @@ def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = B
     ids: list[str] = []
     texts: list[np.ndarray] = []
     held = 0
-    for row in staged(words.batched(rows).mapInArrow(tokenised, "i string, tokens binary"), "items").toLocalIterator():
+    for row in staged(rows.mapInArrow(tokenised, "i string, tokens binary"), "items").toLocalIterator():
         tokens = np.frombuffer(row.tokens, "<u8")
         if held and held + len(tokens) > block_words:
             yield _block(ids, texts, window)
@@ -235,7 +235,7 @@ def _over(rows: DataFrame, items: Items, keep: tuple[str, ...] = ("doc_id",), hi
                 yield out.filter(pa.array([bool(x) for x in hits], pa.bool_())) if hit_only else out
 
     source = rows.select(*(F.col(c).cast("long").alias(c) for c in keep), F.col("text").cast("string").alias("text"))
-    return words.batched(source).mapInArrow(run, _COLUMNS if keep == ("doc_id",) else f"{_ROW} long, {_COLUMNS}"), sent
+    return source.mapInArrow(run, _COLUMNS if keep == ("doc_id",) else f"{_ROW} long, {_COLUMNS}"), sent
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -335,4 +335,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 hit = [sum(b - a for a, b in _merged(x)) for x in hits]
                 yield batch.slice(lo, hi - lo).filter(pa.array([not (h and 20 * h >= w) for h, w in zip(hit, n.tolist(), strict=True)], pa.bool_()))
 
-    return words.batched(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

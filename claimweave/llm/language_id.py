@@ -22,6 +22,8 @@ STEPS = 12
 PENALTY = 12.0
 #: Documents whose main language has a smaller share are rejected by ``accepted``.
 LEAST_SHARE = 0.4
+#: Languages that are learned at most: the model has so many times GRAMS numbers.
+MOST_LANGUAGES = 128
 UNDETERMINED = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -55,30 +57,45 @@ def _trigrams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (code >> np.uint32(16)).astype(np.int64), np.searchsorted(at, offs)
 
 
-def train(docs: DataFrame) -> Model | None:
-    """Trigram counts per language, over all documents outside fold 1 with a language and a text."""
+def _counts(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different trigrams, in order, and how often each occurs."""
+    if len(grams) < GRAMS // 8:
+        return np.unique(grams, return_counts=True)
+    n = np.bincount(grams, minlength=GRAMS)
+    at = np.flatnonzero(n)
+    return at, n[at]
+
+
+def train(docs: DataFrame, most_languages: int = MOST_LANGUAGES) -> Model | None:
+    """Trigram counts per language, over all documents outside fold 1 with a language and a text.
+
+    Of the values of ``lang`` the ``most_languages`` with the most documents are
+    learned (ties: the smaller names), each from all of its documents; that
+    bounds the model, which every task gets. None if there is nothing to learn.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 1)).select(F.col("lang").cast("string").alias("lang"), F.lower("text").alias("text"))
+    often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    languages = sorted(r.lang for r in often.collect())
+    if not languages:
+        return None
+    number = {lang: k for k, lang in enumerate(languages)}
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            of_row = np.array([number.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
             for lo, hi, raw, offs in words.chunks(batch.column(1)):
                 grams, first = _trigrams(raw, offs)
-                for lang, x, y in zip(langs[lo:hi], first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    sums.setdefault(lang, np.zeros(GRAMS, np.int64))[:] += np.bincount(grams[x:y], minlength=GRAMS)
-        for lang, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "gram", "n"])
-            if not len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.array([0], pa.int64())], ["lang", "gram", "n"])
-
-    table = words.batched(rows).mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # languages x GRAMS rows at most
-    if table.empty:
-        return None
-    languages = sorted(table["lang"].unique())
-    counts = np.full((len(languages), GRAMS), SMOOTHING)
-    counts[np.searchsorted(languages, table["lang"].to_numpy(str)), table["gram"].to_numpy()] += table["n"].to_numpy()
+                lang = np.repeat(of_row[lo:hi], np.diff(first))
+                code, n = np.unique((lang * GRAMS + grams)[lang >= 0], return_counts=True)
+                code, at = np.unique(np.concatenate([held[0], code]), return_inverse=True)
+                held = code, np.bincount(at, np.concatenate([held[1], n])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[1], pa.int64())], ["code", "n"])
+
+    table = rows.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # languages x GRAMS rows at most
+    counts = np.full(len(languages) * GRAMS, SMOOTHING)
+    counts[table["code"].to_numpy(np.int64)] += table["n"].to_numpy()
+    counts = counts.reshape(len(languages), GRAMS)
     return Model(languages, counts / counts.sum(1, keepdims=True))
 
 
@@ -113,7 +130,8 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY) ->
 
     ``score`` is the main language's share of the text, ``lang_mix`` all chosen
     languages with theirs. A text that is null or has no letter, and every text
-    if nothing was learned, is ``und`` with score 0. Only the text is looked at.
+    if nothing was learned, is ``und`` with score 0. Only the text is looked at,
+    and all of it. Of equally likely languages the first by name is taken.
     """
     base = docs.drop("lang_pred", "score", "lang_mix")
     given = base.withColumn("__low", F.when(F.col("text").rlike("\\p{L}"), F.lower("text")))
@@ -135,9 +153,8 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY) ->
                         score.append(0.0)
                         mix.append("")
                         continue
-                    seen = np.bincount(grams[x:y], minlength=GRAMS)
-                    at = np.flatnonzero(seen)
-                    chosen = languages_of(model.probability, log_p, at, seen[at].astype(float), penalty)
+                    at, seen = _counts(grams[x:y])
+                    chosen = languages_of(model.probability, log_p, at, seen.astype(float), penalty)
                     named.append(model.languages[chosen[0][0]])
                     score.append(min(1.0, chosen[0][1]))
                     mix.append(",".join(f"{model.languages[i]}:{s:.4f}" for i, s in chosen))
@@ -146,21 +163,26 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY) ->
             )
 
     schema = base.schema.add("lang_pred", "string").add("score", "double").add("lang_mix", "string") if base.columns else None
-    return words.batched(given).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, lang_mix of every document; learned from the same table's other folds.
 
     A null doc_id is in no fold: not held out, and nothing is learned from it.
-    Empty tables give an empty result; repeated rows repeated ones.
+    Empty tables give an empty result; repeated rows repeated ones. Columns other
+    than doc_id, text and lang are left alone, whatever their names.
     """
     found = identify(docs.select("doc_id", "text"), train(docs))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_mix")
 
 
 def accepted(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The rows of ``docs`` that have a language, and a main one: ``und`` and texts of many languages go."""
+    """The rows of ``docs`` that have a language, and a main one: ``und`` and texts of many languages go.
+
+    All columns stay as they are, also ones named lang_pred, score or lang_mix.
+    Each row is judged on its own text; its doc_id may be null or repeated.
+    """
     ours = [c for c in ("lang_pred", "score", "lang_mix") if c in docs.columns]
     kept = docs.withColumnsRenamed({c: f"__{c}" for c in ours})
     found = identify(kept, train(docs)).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share))

@@ -15,6 +15,8 @@ length holds the overlap and all of its names, and no other variant's word.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +72,15 @@ def _patterns(templates, phrases, containment: float) -> list[dict]:
     return out
 
 
+def _folded(text: Column) -> Column:
+    """A-Z in lower case, and no other letter."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The vocabulary by how often each word occurs in all texts, rarest first; ties by name."""
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), _OTHER)).alias("w")).filter(F.col("w").isin(vocabulary))
+    """The vocabulary by the number of texts that have each word, rarest first; ties by name."""
+    known = F.array(*map(F.lit, vocabulary))
+    words = docs.select(F.explode(F.array_intersect(F.split(_folded(F.col("text").cast("string")), _OTHER), known)).alias("w"))
     seen = {r.w: r.n for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each template word
     return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
@@ -99,9 +107,11 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, conta
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document.
 
     ``score`` is the largest containment among matched templates; a base phrase
-    counts as 1, no match as 0. Where the words stand in lines doesn't matter. A null or empty text has no words. Rows that
-    are equal in doc_id and text are one document; other rows with one doc_id,
-    or none, stay apart.
+    counts as 1, no match as 0. Where the words stand in lines doesn't matter. A
+    null or empty text has no words. Every row gives a row: repeated rows
+    repeated ones, rows with a null or shared doc_id are looked at each on its
+    own; an empty table gives an empty result. Texts of any length are looked at
+    whole. Other columns of ``docs``, whatever their names, are left alone.
     """
     spark = docs.sparkSession
     patterns = _patterns(templates, phrases, containment)
@@ -136,8 +146,11 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, conta
         gate = gate | F.contains(low, F.lit(w))
     scanned = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("__text"))
-        .select("doc_id", F.xxhash64("__text").alias("h"), F.regexp_count("__text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), F.lower("__text").alias("low"))
-        .select("doc_id", "h", "n_words", F.when(gate, F.filter(F.split(low, _OTHER), lambda w: w != "")).alias("words"))
+        # all that is about a row comes from one read of it, so a number tells rows apart
+        .withColumn("h", F.monotonically_increasing_id())
+        # letters outside A-Z that lower() folds as well can only let more texts through the gate
+        .select("doc_id", "h", F.regexp_count("__text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), F.lower("__text").alias("low"), "__text")
+        .select("doc_id", "h", "n_words", F.when(gate, F.filter(F.split(_folded(F.col("__text")), _OTHER), lambda w: w != "")).alias("words"))
         .select("doc_id", "h", "n_words", F.when(all_words.isNotNull(), F.concat(run_blocks, text_block)).alias("blocks"))
     )
     block = scanned.select("doc_id", "h", "n_words", F.explode_outer("blocks").alias("b"))
@@ -168,7 +181,7 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, conta
     )
     base = F.size("starts") > 0
     grouped = found.groupBy("doc_id", "h", "n_words").agg(
-        # a set, so that an equal row adds nothing
+        # a set, as a phrase is found once for each of its words in the prefix
         F.aggregate(F.collect_set(F.when(base, F.struct("pattern", "starts"))), F.lit(0), lambda n, p: n + F.size(p["starts"])).cast("long").alias("n_base"),
         F.min(F.when(base, F.array_min("starts"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.array_max("starts"))).cast("long").alias("last_word"),

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import shared_folder, staged
-from .words import batched
 
 GROUP = ("source", "lang", "tokenizer_version")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
@@ -70,7 +69,7 @@ def bpe_counted(docs: DataFrame, version: str, tokenizer_file: str) -> DataFrame
         F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")),
         F.md5(text.cast("binary")).alias("digest"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"),
     )
-    return batched(rows).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def signed(rows: DataFrame, sign: int) -> DataFrame:

@@ -16,23 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
-#: Bytes of text handled at once; bounds the memory of a task, not what it covers.
+#: Bytes of text handled at once; bounds the memory of a task, not what it covers. Spark bounds the bytes of the Arrow batches themselves.
 CHUNK = 1 << 17
 
-#: Rows of an Arrow batch, unless the session says otherwise: texts can be long, so Spark's 10,000 could be gigabytes.
-BATCH_ROWS = 256
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def batched(rows: DataFrame) -> DataFrame:
-    """``rows``, of which batches of bounded size will be sent to Python."""
-    if rows.sparkSession.conf.get(_BATCH_SETTING, None) is None:
-        rows.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
-    return rows
-
-
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 SPACED = np.ones(256, dtype=bool)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,7 +55,15 @@ def test_licenses_of_repeated_rows_and_empty_table(spark, no_documents):
     rows = [(1, "all rights reserved", "x"), (1, "all rights reserved", "x"), (1, "other", "x"), (None, None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, token string").selectExpr("*", "1 AS label", "2 AS n", "3 AS h", "4 AS low")
     out = sorted((r.doc_id or 0, r.n_base, r.n_words) for r in license_scan.license_matches(docs).collect())
-    assert out == [(0, 0, 0), (1, 0, 1), (1, 1, 3)]
+    assert out == [(0, 0, 0), (1, 0, 1), (1, 1, 3), (1, 1, 3)]
+
+
+def test_only_ascii_capitals_are_folded(spark):
+    """KELVIN SIGN isn't k; words are counted alike whatever their case."""
+    docs = spark.createDataFrame([(1, "All rıghts reserved. ALL RIGHTS RESERVED"), (2, "this wor\u212a is licensed under the gnu general public license version 3"), (3, "\u0130 cc by")], "doc_id long, text string")
+    out = {r.doc_id: r for r in license_scan.license_matches(docs).collect()}
+    want = {r.doc_id: brute.licenses(r.text, license_scan.TEMPLATES, license_scan.PHRASES) for r in docs.collect()}
+    assert {i: tuple(r)[1:6] for i, r in out.items()} == {i: w[:5] for i, w in want.items()}
 
 
 def test_personal_data_equals_brute_force(noted):
@@ -184,6 +193,47 @@ def test_languages_on_held_out_documents(spark, small_dir):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_mixture_equals_plain_expectation_maximisation():
+    """The proportions, their likelihood and the chosen languages, against loops over single trigrams."""
+    import math
+
+    rng = np.random.default_rng(4)
+    for languages in (2, 5):
+        p = rng.dirichlet(np.full(40, 0.3), languages)
+        n = rng.multinomial(300, p[0] * 0.6 + p[1] * 0.4).astype(float)
+        seen = np.flatnonzero(n)
+
+        def plain(of):
+            share = [1 / len(of)] * len(of)
+            for _ in range(language_id.STEPS):
+                new = [0.0] * len(of)
+                for g in seen:
+                    whole = sum(share[k] * p[i][g] for k, i in enumerate(of))
+                    for k, i in enumerate(of):
+                        new[k] += n[g] * share[k] * p[i][g] / whole
+                share = [x / n.sum() for x in new]
+            return share, sum(n[g] * math.log(sum(share[k] * p[i][g] for k, i in enumerate(of))) for g in seen)
+
+        share, fit = language_id.mixture(p[:, seen], n[seen])
+        want, want_fit = plain(range(languages))
+        assert share == pytest.approx(want) and fit == pytest.approx(want_fit)
+        alone = [sum(n[g] * math.log(p[i][g]) for g in seen) for i in range(languages)]
+        order = [int(np.argmax(alone)), *(k for k in sorted(range(languages), key=lambda i: -want[i]) if k != int(np.argmax(alone)))]
+        best, chosen = max(alone), {order[0]: 1.0}
+        for size in range(2, languages + 1):
+            s, f = plain(order[:size])
+            if f - best <= language_id.PENALTY * math.log(n.sum()) / 2:
+                break
+            best, chosen = f, dict(zip(order[:size], s, strict=True))
+        assert dict(language_id.languages_of(p, np.log(p), seen, n[seen])) == pytest.approx(chosen)
+
+
+def test_most_languages_bounds_the_model(spark, documents):
+    assert language_id.train(documents, most_languages=2).languages == ["en", "fr"]
+    dirty = documents.unionByName(spark.range(900).selectExpr("id AS doc_id", "'zz' AS text", "concat('l', id) AS lang", "'s' AS source"))
+    assert len(language_id.train(dirty).languages) == language_id.MOST_LANGUAGES
+
+
 def test_mixed_texts_name_both_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs)
