@@ -113,9 +113,60 @@ def test_rows_are_judged_each_on_its_own(spark, how):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t in rows if t not in hit)
 
 
-def test_longest_match(documents, benchmark):
-    found = {r.doc_id: r.longest_match for r in decontaminate.contamination(documents, benchmark).collect()}
-    assert found[405] == 30 and found[500] == 0
+def test_contamination_equals_sql(spark, small_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    docs, items = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small_dir}/{t}.parquet'")
+    df = decontaminate.contamination(docs, items)
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({decontaminate.CONTAMINATION_SQL})").fetchall())
+
+
+@pytest.mark.parametrize("least", [1, 3])
+@pytest.mark.parametrize("block_words", [40, 1_000_000])
+def test_longest_matches_of_suffixes_equal_brute_force(spark, least, block_words):
+    """Length, places and first place of every test suffix, over several shards and blocks, short and repeated texts included."""
+    import random
+
+    rng = random.Random(3)
+    text = lambda n, v: " ".join(f"w{rng.randrange(v)}" for _ in range(n))
+    docs = [(k % 9 or None, text(rng.randrange(0, 60), 5)) for k in range(30)] + [(50, None), (51, "")]
+    items = [(str(k), text(rng.choice((1, 4, 20)), 7)) for k in range(8)] + [("none", None)]
+    want = {}
+    for item, t in items:
+        w = (t or "").split()
+        for i in range(len(w)):
+            for n in range(len(w) - i, least - 1, -1):
+                at = [(d is None, d or 0, j) for d, x in docs for j in range(len((x or "").split()) - n + 1) if (x or "").split()[j : j + n] == w[i : i + n]]
+                if at:
+                    no_id, d, j = min(at)
+                    want[item, i] = (n, len(at), None if no_id else d, j)
+                    break
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = decontaminate.suffix_matches(rows, spark.createDataFrame(items, "item_id string, text string"), least, block_words).collect()
+    assert {(r.item_id, r.item_word): (r.length, r.n_places, r.doc_id, r.doc_word) for r in out} == want
+
+
+def test_repeated_words_take_memory_in_proportion(spark):
+    """A long text of one word against a long item of it: ranges are marked, places aren't paired."""
+    import tracemalloc
+
+    raw = np.frombuffer(b"x " * 20_000, np.uint8)
+    block = decontaminate._block(["i"], [decontaminate.words.words_of(raw[:4000], np.array([0, 4000]), decontaminate.words.ALNUM)[0]], 13)
+    tracemalloc.start()
+    _, n_hit, _, names = decontaminate._scan(block, raw, np.array([0, len(raw)]))
+    assert n_hit.tolist() == [20_000] and names == [["i"]] and tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+
+
+def test_a_filter_that_lets_all_through_changes_nothing(spark, documents, benchmark, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOOM_BITS", 64)
+    want = brute.contaminated([(r[0], r[1]) for r in rows], [(r.item_id, r.text) for r in benchmark.collect()])
+    out = decontaminate.contamination(documents, benchmark, block_words=20).collect()
+    assert {r.doc_id: r.n_hit for r in out} == {i: x[1] for i, x in want.items()}
+    assert {r.doc_id for r in decontaminate.decontaminated(documents, benchmark, block_words=20).collect()} == {i for i, x in want.items() if not x[4]}
 
 
 def test_suffix_array_and_search():
