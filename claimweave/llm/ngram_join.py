@@ -16,10 +16,13 @@ and a position filter and are verified on their whole sets.
 Equal sets are one from the start. Each set has a parity bitmap of two to four
 bits a shingle; bits that differ bound the shingles that differ from below, so
 most candidates are refused without fetching their sets. A long posting list is
-never expanded into all its pairs: it is linked to one centre, and what is then
-in different groups is compared by bitmaps in blocks. Each member's partners
-that may link are verified, the nearest ones first where there are many; such
-lists are looked at again as long as their groups merge.
+never expanded into all its pairs: a task sends on one member of what it has of
+it, it is linked to one centre, and what is then outside its largest group is
+compared by bitmaps, in blocks, with all members. Partners that may link are
+verified, the nearest ones first where there are many; such lists are looked at
+again as long as their groups merge. That settles the groups. Where each set's
+number of links is asked for, the sets of a group are then intersected exactly,
+in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -53,6 +56,10 @@ NEAREST = 16
 NEAREST_ROUNDS = 8
 #: Members of a list that are compared in one task, with as many others.
 BLOCK_MEMBERS = 1024
+#: Members of a group whose links are counted in one task, with as many others.
+TILE_MEMBERS = 2048
+#: Lists up to which their least members are broadcast (16 bytes each).
+BROADCAST_LISTS = 200_000
 #: Bits of the Bloom filter that finds the sets to verify; a full one lets more through.
 BLOOM_BITS = 1 << 23
 
@@ -92,7 +99,9 @@ def _may_link(na, nb, differ, threshold: int):
 
 
 def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_id and bitmap (null for an empty set) of every document."""
+    """doc_id, n_shingles, set_id and bitmap (null for an empty set) of every document; and its row key, if ``docs`` has one."""
+    key = [c for c in docs.columns if c in ("__null", "__id", "__digest")]
+    kinds = "".join(f", {c} {t}" for c, t in docs.select(*key).dtypes)
 
     def run(batches):
         for batch in batches:
@@ -104,19 +113,26 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([set_id(x) if len(x) else None for x in sets], pa.int64()),
                         pa.array([parity_bitmap(x) if len(x) else None for x in sets], pa.binary()),
+                        *(c.slice(lo, hi - lo) for c in batch.columns[2:]),
                     ],
-                    ["doc_id", "n_shingles", "set_id", "bitmap"],
+                    ["doc_id", "n_shingles", "set_id", "bitmap", *key],
                 )
 
-    return _source(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id long, bitmap binary")
+    return _source(docs, key).mapInArrow(run, f"doc_id long, n_shingles long, set_id long, bitmap binary{kinds}")
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _source(docs: DataFrame, more: list[str] | None = None) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(more or []))
 
 
 def _buckets(entries: float, each: int) -> int:
-    return 1 << max(4, min(16, math.ceil(math.log2(max(1.0, entries / each)))))
+    return 1 << max(4, min(20, math.ceil(math.log2(max(1.0, entries / each)))))
+
+
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First entry and length of each run of equal entries."""
+    starts = np.flatnonzero(np.append(len(sorted_) > 0, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(sorted_)))
 
 
 def frequent_codes(docs: DataFrame, total: int, shingle: int = SHINGLE, least: int = FREQUENT_FROM, table: int = FREQUENT_TABLE) -> np.ndarray:
@@ -131,8 +147,9 @@ def frequent_codes(docs: DataFrame, total: int, shingle: int = SHINGLE, least: i
     def send(codes: list[np.ndarray], counts: list[np.ndarray]):
         code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
         count = np.bincount(inverse, np.concatenate(counts)).astype(np.uint32)
-        edges = np.searchsorted(code.astype(np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits))
-        rows = [(b, zlib.compress(np.diff(code[x:y], prepend=np.uint32(0)).tobytes(), 1), zlib.compress(count[x:y].tobytes(), 1)) for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+        bucket = code >> np.uint32(32 - bits)
+        starts, sizes = _runs(bucket)
+        rows = [(int(bucket[x]), zlib.compress(np.diff(code[x : x + m], prepend=np.uint32(0)).tobytes(), 1), zlib.compress(count[x : x + m].tobytes(), 1)) for x, m in zip(starts.tolist(), sizes.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "codes", "counts"])
 
     def count(batches):
@@ -196,6 +213,7 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, threshold: int = THRE
 
 
 _POSTING = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<i4"), ("at", "<i4")])
+_LONG = 1 << 30  # taken off ``at`` of a posting that stands for a task's long list
 _FOUND = "kind int, key long, a long, b long"
 
 
@@ -215,11 +233,21 @@ def candidates(docs: DataFrame, frequent: np.ndarray, total: int, shingle: int,
 
     def send(held):
         keys, sets, ns, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(keys >> np.uint64(64 - bits), kind="stable")
         rows = np.empty(len(keys), _POSTING)
-        rows["key"], rows["set"], rows["n"], rows["at"] = keys[order], sets[order], ns[order], at[order]
-        edges = np.searchsorted(rows["key"] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        out = [(b, rows[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+        rows["key"], rows["set"], rows["n"], rows["at"] = keys, sets, ns, at
+        rows = rows[np.lexsort((rows["set"], rows["key"]))]
+        starts, sizes = _runs(rows["key"])
+        # what this task has of a long list goes anywhere; one of it stands for it where the key's postings meet
+        many = np.repeat(sizes > short, sizes)
+        lists = rows[many]
+        rows["at"][starts[sizes > short]] -= _LONG
+        many[starts] = False
+        rows = rows[~many]
+        bucket = (rows["key"] >> np.uint64(64 - bits)).astype(np.int64)
+        starts, sizes = _runs(bucket)
+        out = [(b, rows[x : x + m].tobytes()) for b, x, m in zip(bucket[starts].tolist(), starts.tolist(), sizes.tolist(), strict=True)]
+        starts, sizes = _runs(lists["key"])
+        out += [((1 << bits) + int(lists["set"][x] % (1 << bits)), lists[x : x + m].tobytes()) for x, m in zip(starts.tolist(), sizes.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "postings"])
 
     def index(batches):
@@ -250,21 +278,21 @@ def candidates(docs: DataFrame, frequent: np.ndarray, total: int, shingle: int,
 
     def pairs(key, batch):
         rows = np.concatenate([np.frombuffer(x, _POSTING) for x in batch.column("postings").to_pylist()])
-        rows = rows[np.lexsort((rows["set"], rows["key"]))]
+        rows = rows[np.lexsort((rows["at"], rows["set"], rows["key"]))]
         fresh = np.ones(len(rows), bool)
         fresh[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["set"][1:] != rows["set"][:-1])
         rows = rows[fresh]
-        head = np.ones(len(rows), bool)
-        head[1:] = rows["key"][1:] != rows["key"][:-1]
-        starts = np.flatnonzero(head)
-        sizes = np.diff(np.append(starts, len(rows)))
+        stands = rows["at"] < -(_LONG >> 1)
+        rows["at"][stands] += _LONG
+        starts, sizes = _runs(rows["key"])
+        is_long = (sizes > short) | np.logical_or.reduceat(stands, starts)
         firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for m in np.unique(sizes[(sizes > 1) & (sizes <= short)]).tolist():
+        for m in np.unique(sizes[(sizes > 1) & ~is_long]).tolist():
             i, j = np.triu_indices(m, 1)
-            at = starts[sizes == m][:, None]
+            at = starts[(sizes == m) & ~is_long][:, None]
             firsts.append((at + i).ravel())
             seconds.append((at + j).ravel())
-        long_ = [np.arange(s, s + m) for s, m in zip(starts.tolist(), sizes.tolist(), strict=True) if m > short]
+        long_ = [np.arange(s, s + m) for s, m in zip(starts[is_long].tolist(), sizes[is_long].tolist(), strict=True)]
         for x in long_:
             firsts.append(np.full(len(x) - 1, x[0]))
             seconds.append(x[1:])
@@ -330,18 +358,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return named.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
-def with_sets(docs: DataFrame, pairs: DataFrame, shingle: int, known: DataFrame | None) -> DataFrame:
-    """``known`` (set_id, shingles) and the sets that the pairs need beyond it; texts are only read if some are missing."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    if known is None:
-        return staged(sets_of(docs, ends, shingle), "sets")
-    missing = staged(ends.join(known, "set_id", "left_anti"), "missing")
-    if missing.isEmpty():
-        return known
-    fetched = staged(sets_of(docs, missing, shingle), "sets")
-    return known.union(fetched.join(missing, "set_id", "left_semi"))
-
-
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets meet the threshold."""
 
@@ -393,29 +409,33 @@ def plausible(pairs: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFrame
 def _in_blocks(members: DataFrame, bitmaps: DataFrame, threshold: int, block: int, nearest: int | None) -> DataFrame:
     """key, a, b, more: differently labelled members of a list that their bitmaps don't refuse.
 
-    Of each member the ``nearest`` come out, ``more`` tells if there are others;
-    all if it is None. ``members``: key, a, label and size, the members of the
-    list. Lists are cut into blocks, and every two blocks of a list are compared
-    in a task of their own, so a task's rows have a bound.
+    ``members``: key, a, label, size and rest (members of the list, and those
+    outside its largest group) and major (is it in that group). Of two members
+    with different labels one at least is outside the largest group, so only
+    those look for partners, among all. Of each the ``nearest`` come out,
+    ``more`` tells if there are others; all if it is None. Seekers and members
+    are cut into blocks, and every two blocks are compared in a task of their
+    own, so a task's rows have a bound, and a list with few seekers few tasks.
     """
-    cut = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"), "a", "label")
-    dealt = dealt.join(bitmaps.select(F.col("set_id").alias("a"), "n", "bitmap"), "a")
+    cut = members.withColumn("rows", F.ceil(F.col("rest") / block).cast("int")).withColumn("columns", F.ceil(F.col("size") / block).cast("int"))
+    own = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    seekers = cut.filter("NOT major").withColumn("one", own("rows")).withColumn("two", every("columns")).withColumn("side", F.lit(0))
+    all_ = cut.withColumn("two", own("columns")).withColumn("one", every("rows")).withColumn("side", F.lit(1))
+    dealt = seekers.unionByName(all_).select("key", "one", "two", "side", "a", "label").join(bitmaps.select(F.col("set_id").alias("a"), "n", "bitmap"), "a")
 
     def compare(key, table):
         names, label, n = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "label", "n"))
         side = table.column("side").to_numpy()
         raw = table.column("bitmap").to_pylist()
-        alone = key[1].as_py() == key[2].as_py()
         sizes = np.array([len(x) // 8 for x in raw])
         out_a, out_b, out_more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for small in np.unique(sizes).tolist():
             for large in (small, 2 * small):  # linked sets differ by less than a factor of two
                 for left, right in ((small, large),) if small == large else ((small, large), (large, small)):
-                    i = np.flatnonzero((sizes == left) & (alone | (side == 0)))
-                    j = np.flatnonzero((sizes == right) & (alone | (side == 1)))
-                    if not len(i) or not len(j) or (alone and left > right):
+                    i = np.flatnonzero((sizes == left) & (side == 0))
+                    j = np.flatnonzero((sizes == right) & (side == 1))
+                    if not len(i) or not len(j):
                         continue
                     p = _folded(np.stack([np.frombuffer(raw[k], "<u8") for k in i]), small)
                     q = _folded(np.stack([np.frombuffer(raw[k], "<u8") for k in j]), small)
@@ -448,85 +468,217 @@ def _gathered(lists: DataFrame) -> DataFrame:
     the same members. All that share a least member become one, so that a
     member is looked at once for each of these, not for each shingle.
     """
-    least = lists.groupBy("key").agg(F.min("a").alias("least"))
-    return lists.join(least, "key").select(F.col("least").alias("key"), "a").distinct()
+    least = staged(lists.groupBy("key").agg(F.min("a").alias("least")), "least")
+    return lists.join(_small(least), "key").select(F.col("least").alias("key"), "a").distinct()
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """A written table with a row for each list, to be broadcast where there are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_LISTS else keys
 
 
 def _open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """key, a, label, size: members of the lists that aren't in one group yet."""
-    named = lists.join(_labels(links).withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("component", "a"))
-    spread = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-    return named.join(spread.filter("low <> high").select("key", "size"), "key").select("key", "a", "label", "size")
+    """key, a, label, size, rest, major: members of the lists that aren't in one group yet."""
+    named = staged(lists.join(_labels(links).withColumnRenamed("node", "a"), "a", "left").select("key", "a", F.coalesce("component", "a").alias("label")), "named")
+    spread = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
+    spread = staged(spread.filter("size > top.n").select("key", "size", (F.col("size") - F.col("top.n")).alias("rest"), F.col("top.label").alias("top")), "spread")
+    return named.join(_small(spread), "key").select("key", "a", "label", "size", "rest", (F.col("label") == F.col("top")).alias("major"))
 
 
-def similarity_links(docs: DataFrame, bitmaps: DataFrame, total: int, shingle: int = SHINGLE, threshold: int = THRESHOLD, short: int = SHORT_LIST, rounds: int = NEAREST_ROUNDS, frequent_from: int = FREQUENT_FROM, block: int = BLOCK_MEMBERS) -> DataFrame:
+def similarity_links(docs: DataFrame, bitmaps: DataFrame, total: int, shingle: int = SHINGLE, threshold: int = THRESHOLD, short: int = SHORT_LIST, rounds: int = NEAREST_ROUNDS, frequent_from: int = FREQUENT_FROM, block: int = BLOCK_MEMBERS) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between set ids whose components are those of all links.
 
     Every two sets that link are either verified here, or were already joined
     by verified links when their posting list was looked at. ``bitmaps`` has
     set_id, n and bitmap of every set, ``total`` is their number of shingles.
+    Also returns the shingles of every set in a pair or a long list (set_id,
+    shingles), fetched from the texts once.
     """
     frequent = frequent_codes(docs, total, shingle, frequent_from)
     found = staged(candidates(docs, frequent, total, shingle, threshold, short), "candidates")
     tried = staged(plausible(_ordered(found.filter("kind = 0")), bitmaps, threshold), "pairs")
-    sets = with_sets(docs, tried, shingle, None)
-    links = staged(verified(tried, sets, threshold), "links")
     lists = staged(_gathered(found.filter("kind = 1").select("key", "a")), "lists")
+    wanted = tried.select(F.explode(F.array("a", "b")).alias("set_id")).union(lists.select("a")).distinct()
+    sets = staged(sets_of(docs, staged(wanted, "wanted"), shingle), "sets")
+    links = staged(verified(tried, sets, threshold), "links")
     if lists.isEmpty():
-        return links
+        return links, sets
     nearest = NEAREST if rounds > 0 else None
     while True:
         open_ = staged(_open_lists(lists, links), "open")
         if open_.isEmpty():
-            return links
+            return links, sets
         pairs = staged(_in_blocks(open_, bitmaps, threshold, block, nearest), "partners")
         new = staged(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
         merged = False
         if not new.isEmpty():
-            sets = with_sets(docs, new, shingle, sets)
             more = staged(verified(new, sets, threshold), "links")
             tried = staged(tried.union(new), "tried")
             if merged := not more.isEmpty():
                 links = staged(links.union(more), "links")
         again = staged(pairs.filter("more").select("key").distinct(), "again")
         if again.isEmpty():  # all that may link was compared
-            return links
-        lists = staged(lists.join(again, "key", "left_semi"), "lists")
+            return links, sets
+        lists = staged(lists.join(_small(again), "key", "left_semi"), "lists")
         rounds -= 1
         nearest = NEAREST if merged and rounds > 0 else None
 
 
-def similar_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, **how) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies, n_links of every document.
-
-    ``component_id`` is the smallest doc_id that links reach, ``n_copies`` the
-    documents with the very same set, ``n_links`` the verified links of the set
-    to other sets (a spanning part of them in large groups). Null and blank
-    texts have an empty set, link to nothing and are their own component. Rows
-    with one doc_id and equal sets come out as often as they came in. Rows with
-    a null doc_id give their sets to the groups, and are named by the smallest
-    other id of theirs, or null.
+def _shared(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of ``xs`` shares with each of ``ys``: a product of incidence matrices, some columns at a time."""
+    nx, ny = (np.array([len(x) for x in part], np.int64) for part in (xs, ys))
+    code, column = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
+    split = int(nx.sum())
+    in_x, in_y = (np.bincount(c, minlength=len(code)) for c in (column[:split], column[split:]))
+    everywhere = (in_x == len(xs)) & (in_y == len(ys))
+    used = (in_x > 0) & (in_y > 0) & ~everywhere  # only these tell pairs apart
+    number = np.cumsum(used) - 1
+    out = np.full((len(xs), len(ys)), float(everywhere.sum()), np.float32)
+    sides = []
+    for part, of in ((column[:split], np.repeat(np.arange(len(xs)), nx)), (column[split:], np.repeat(np.arange(len(ys)), ny))):
+        keep = used[part]
+        order = np.argsort(number[part[keep]], kind="stable")
+        sides.append((of[keep][order], number[part[keep]][order]))
+    width = 2048
+    for lo in range(0, int(used.sum()), width):
+        made = []
+        for (row, col), n in zip(sides, (len(xs), len(ys)), strict=True):
+            a, b = np.searchsorted(col, (lo, lo + width))
+            m = np.zeros((n, width), np.float32)
+            m[row[a:b], col[a:b] - lo] = 1
+            made.append(m)
+        out += made[0] @ made[1].T
+    return out
+
+
+def link_counts(labels: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, tile: int = TILE_MEMBERS) -> DataFrame:
+    """set_id, n_links: how many other sets each set of a group links to.
+
+    Sets that link are in one group (``labels``: node, component), so all pairs
+    of a group, and no others, are intersected exactly. Groups are cut into
+    tiles; a tile of two blocks of a group is one task's work and sends a count
+    for each of its sets. Small groups share tasks.
     """
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    members = staged(labels.join(sizes, "component").select(F.col("node").alias("set_id"), "component", "size"), "members")
+    total = members.filter(F.col("size") > 2).count()
+    buckets = max(1, total // tile)
+    small = F.col("size") <= tile
+    cut = members.filter("size > 2").withColumn("blocks", F.ceil(F.col("size") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.when(small, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")).alias("part"), F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
+        F.when(small, F.lit(0)).otherwise(F.lit(1)).alias("large"), "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "set_id",
+    )
+
+    def count(key, table):
+        name, component, side = (table.column(c).to_numpy() for c in ("set_id", "component", "side"))
+        raw = table.column("shingles")
+        alone = key[2].as_py() == key[3].as_py()
+        order = np.argsort(component, kind="stable")
+        ids, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        starts, many = _runs(component[order])
+        for at, m in zip(starts.tolist(), many.tolist(), strict=True):
+            own = order[at : at + m]
+            i, j = (own, own) if alone else (own[side[own] == 0], own[side[own] == 1])
+            if not len(i) or not len(j):
+                continue
+            xs, ys = ([np.frombuffer(raw[int(k)].as_buffer(), "<u8") for k in part] for part in (i, j))
+            both = _shared(xs, ys).astype(np.int64)
+            nx, ny = (np.array([len(x) for x in part], np.int64) for part in (xs, ys))
+            ok = 100 * both >= threshold * (nx[:, None] + ny[None, :] - both)
+            ids.append(name[i])
+            links.append(ok.sum(1) - (1 if alone else 0))
+            if not alone:
+                ids.append(name[j])
+                links.append(ok.sum(0))
+        return pa.table({"set_id": pa.array(np.concatenate(ids), pa.int64()), "n_links": pa.array(np.concatenate(links), pa.int64())})
+
+    counted = dealt.join(sets, "set_id").groupBy("part", "large", "one", "two").applyInArrow(count, "set_id long, n_links long")
+    pairs = members.filter("size = 2").select("set_id", F.lit(1).cast("long").alias("n_links"))
+    return counted.union(pairs).groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+
+
+def _classes(docs: DataFrame, shingle: int, threshold: int, count: bool, **how) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets, and set_id, component, n_copies (and n_links) of every set."""
     docs_sets = staged(document_sets(docs, shingle), "document-sets")
     total = docs_sets.agg(F.sum("n_shingles")).first()[0] or 0
     bitmaps = staged(docs_sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap")), "bitmaps")
-    links = similarity_links(docs, bitmaps, total, shingle, threshold, **how)
+    links, sets = similarity_links(docs, bitmaps, total, shingle, threshold, **how)
+    labels = _labels(links)
     classes = docs_sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
-    labels = connected_components(links, "a", "b").select(F.col("node").alias("set_id"), "component")
-    degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
-    grouped = staged(classes.join(labels, "set_id", "left").join(degree, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "groups")
+    grouped = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    if count:
+        grouped = grouped.join(link_counts(labels, sets, threshold), "set_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return docs_sets, staged(grouped, "groups")
+
+
+def similar_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies, n_links of every row.
+
+    ``component_id`` is the smallest doc_id that links reach, ``n_copies`` the
+    rows with the very same set, ``n_links`` the other sets that the set links
+    to. Null and blank texts have an empty set, link to nothing and are their
+    own component. Rows with one doc_id and equal sets come out as often as they
+    came in. Rows with a null doc_id give their sets to the groups, and are
+    named by the smallest other id of theirs, or null. Texts of any length count
+    with all their shingles; an empty table gives an empty result; other columns
+    of ``docs``, whatever their names, are left alone.
+    """
+    docs_sets, grouped = _classes(docs, shingle, threshold, True, **how)
     # only groups of several sets need their smallest member looked up
-    roots = grouped.filter("n_links IS NOT NULL").groupBy("component").agg(F.min("least").alias("root"))
-    named = grouped.join(roots, "component", "left").select("set_id", F.coalesce("root", "least").alias("component_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    roots = grouped.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("root"))
+    named = grouped.join(roots, "component", "left").select("set_id", F.coalesce("root", "least").alias("component_id"), "n_copies", "n_links")
     return docs_sets.join(named, "set_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
-def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without the near copies: of each group the document with the smallest doc_id stays.
+def _row_key(docs: DataFrame) -> list[Column]:
+    """What tells rows apart: the id (null last) and the text's digest. Rows equal in both have equal texts."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.isNull().alias("__null"), F.coalesce(doc_id, F.lit(0)).alias("__id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("__digest")]
 
-    Rows whose doc_id is null or repeated stay if they are the smallest.
+
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, **how) -> DataFrame:
+    """The rows of ``docs`` without the near copies, with all their columns.
+
+    Of each group the row with the smallest doc_id stays, null ids last; of rows
+    of a group with one id that with the smallest md5 of its text, and of rows
+    equal in both one of them. Ids needn't be unique: a row goes only for what
+    its own text links to. Rows with a null or blank text all stay. Columns
+    named __null, __id and __digest must not be in ``docs``.
     """
-    gone = staged(similar_groups(docs, **how).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    keyed = docs.select("doc_id", "text", *_row_key(docs))
+    docs_sets, grouped = _classes(keyed, shingle, threshold, False, **how)
+    rows = docs_sets.filter("set_id IS NOT NULL").groupBy("set_id", "__null", "__id", "__digest").agg(F.count(F.lit(1)).alias("n"))
+    rows = staged(rows.join(grouped.select("set_id", F.coalesce("component", "set_id").alias("component")), "set_id"), "rows")
+    key = F.struct("__null", "__id", "__digest")
+    stays = rows.groupBy("component").agg(F.min(key).alias("stays"))
+    judged = rows.join(stays, "component").withColumn("kept", key == F.col("stays"))
+    judged = staged(judged.filter("NOT kept OR n > 1").select("__null", "__id", "__digest", "kept"), "judged")
+    names = ["__null", "__id", "__digest"]
+    out = docs.withColumns(dict(zip(names, _row_key(docs), strict=True)))
+    single = out.join(judged.select(names), names, "left_anti")
+    twice = judged.filter("kept").select(names)
+    if twice.isEmpty():
+        return single.select(*docs.columns)
+    # equal rows of which one stays; each task sends one at most of each
+    one = out.join(twice, names, "left_semi").dropDuplicates(names)
+    return single.union(one).select(*docs.columns)
+
+
+#: DuckDB SQL for ``similar_groups`` over ``documents`` with unique doc_id: all pairs of sets with a common shingle.
+GROUPS_SQL = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+held AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) >= {SHINGLE} THEN list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: hash(array_to_string(w[i : i + {SHINGLE - 1}], ' ')))) WHEN len(w) > 0 THEN [hash(array_to_string(w, ' '))] ELSE [] END) AS s FROM doc
+), named AS (SELECT doc_id, len(s) AS n, s, md5(array_to_string(s, chr(10))) AS id FROM held),
+class AS (SELECT id, min(doc_id) AS least, count(*) AS n_copies, any_value(n) AS n, any_value(s) AS s FROM named WHERE n > 0 GROUP BY id),
+entry AS (SELECT id, n, unnest(s) AS g FROM class),
+link AS (SELECT a.id AS x, b.id AS y FROM entry a JOIN entry b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {THRESHOLD} * (a.n + b.n - count(*))),
+reach AS (SELECT id, least FROM class UNION SELECT y, least FROM reach JOIN link ON x = id),
+root AS (SELECT id, min(least) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT x AS id, count(*) AS n_links FROM link GROUP BY x)
+SELECT doc_id, CAST(named.n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM named LEFT JOIN root ON named.id = root.id AND named.n > 0 LEFT JOIN class ON named.id = class.id LEFT JOIN degree ON named.id = degree.id
+"""

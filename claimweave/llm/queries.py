@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_token_rollups": token_rollup.ROLLUP_SQL, "op5_byte_balanced_sharding": sharding.SHARD_SQL, "op7_benchmark_decontamination": decontaminate.CONTAMINATION_SQL, "op9_source_mixing": mixing.mixture_sql(MIX)}
+    return {"op2_ngram_jaccard_join": ngram_join.GROUPS_SQL, "op4_token_rollups": token_rollup.ROLLUP_SQL, "op5_byte_balanced_sharding": sharding.SHARD_SQL, "op7_benchmark_decontamination": decontaminate.CONTAMINATION_SQL, "op9_source_mixing": mixing.mixture_sql(MIX)}

@@ -19,6 +19,35 @@ def test_groups_equal_brute_force(documents, rows, how):
     assert got_groups(documents, **how) == brute.groups([(r[0], r[1]) for r in rows])
 
 
+@pytest.mark.parametrize("how", [{}, {"frequent_from": 2, "short": 3, "block": 4}])
+def test_links_are_counted_like_all_pairs(documents, rows, how, monkeypatch):
+    """Every set's number of other sets it links to, also in families cut into several tiles."""
+    monkeypatch.setattr(ngram_join.link_counts, "__defaults__", (ngram_join.THRESHOLD, 7 if how else ngram_join.TILE_MEMBERS))
+    sets = {r[0]: brute.shingles(r[1]) for r in rows}
+    kinds = {s for s in sets.values() if s}
+    want = {s: sum(100 * len(s & t) >= 85 * len(s | t) for t in kinds) - 1 for s in kinds}
+    out = ngram_join.similar_groups(documents, **how).collect()
+    assert {r.doc_id: r.n_links for r in out} == {i: want.get(s, 0) for i, s in sets.items()}
+    assert max(want.values()) > 20
+
+
+def test_groups_equal_sql(spark, small_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small_dir}/documents.parquet'")
+    df = ngram_join.similar_groups(spark.read.parquet(f"{small_dir}/documents.parquet"))
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({ngram_join.GROUPS_SQL})").fetchall())
+
+
+def test_a_row_goes_only_for_its_own_text(spark):
+    """Null and repeated ids: a text that nobody else has stays, of equal rows one does."""
+    same, own = "one text that several rows have in common here", "a text that nobody else has"
+    rows = [(None, same, 1), (None, same, 2), (3, same, 3), (3, same, 4), (7, same, 5), (7, own, 6), (None, None, 7), (None, None, 8), (9, "", 9), (None, "only rows without ids", 10), (None, "only rows without ids", 11)]
+    kept = ngram_join.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect()
+    assert {r.row for r in kept} - {3, 4, 10, 11} == {6, 7, 8, 9} and len(kept) == 6 and len({r.row for r in kept} & {3, 4}) == 1
+
+
 def test_rounds_of_nearest_partners(documents, rows, monkeypatch):
     """Also where members have more partners than are verified at once."""
     monkeypatch.setattr(ngram_join, "NEAREST", 1)
