@@ -113,9 +113,9 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark, rows):
 
 def test_quality_of_small_groups_and_empty_table(spark, no_documents):
     assert quality.verdicts(no_documents).count() == 0
-    few = spark.createDataFrame([(1, "word " * 60 + " ".join(f"x{i}" for i in range(200)), None, None)], no_documents.schema)
-    row = quality.verdicts(few).first()
-    assert row.kept and row.distance is None
+    text = "word " * 60 + " ".join(f"x{i}" for i in range(200))
+    few = spark.createDataFrame([(1, text, None, None), (1, text, None, None), (2, "too short", "en", "s")], no_documents.schema).selectExpr("*", "1 AS key", "2 AS centre", "3 AS n_words", "4 AS start")
+    assert sorted((r.doc_id, r.kept, round(r.distance, 6) if r.doc_id == 1 else 0) for r in quality.verdicts(few).collect()) == [(1, True, 0.0), (1, True, 0.0), (2, False, 0)]
 
 
 def test_estimate_resists_contamination(spark):
@@ -129,6 +129,67 @@ def test_estimate_resists_contamination(spark):
     assert max(map(abs, centre)) < 0.5
 
 
+def plain_mcd(x, core=0.75):
+    """The estimate of one cloud with numpy alone: (centre, scatter, log-determinants of the starts after the first steps)."""
+    p, floors = x.shape[1], np.diag(np.square(quality.FLOORS))
+    at = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+    middle = np.array([at(c, 0.5) for c in x.T])
+    spread = np.maximum([(at(c, 0.75) - at(c, 0.25)) / 1.349 for c in x.T], quality.FLOORS)
+    z = (x - middle) / spread
+    signs = z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+    starts = [np.diag(spread**2), np.outer(spread, spread) * np.cov(np.tanh(z).T, bias=True) + floors, np.outer(spread, spread) * (signs.T @ signs) / len(x) * p + floors]
+
+    def step(centre, scatter):
+        gap = x - centre
+        d = (gap @ np.linalg.inv(scatter) * gap).sum(1)
+        near = x[d <= at(d, core)]
+        return near.mean(0), quality.consistency(core) * np.cov(near.T, bias=True) + floors
+
+    done = []
+    for scatter in starts:
+        now = step(*step(middle, scatter))
+        done.append((np.linalg.slogdet(now[1])[1], now))
+    least, now = min(done, key=lambda r: r[0])
+    for _ in range(quality.MORE_STEPS):
+        now, was = step(*now), np.linalg.slogdet(now[1])[1]
+        if abs(np.linalg.slogdet(now[1])[1] - was) < quality.SETTLED:
+            break
+    return now, [r[0] for r in done]
+
+
+def test_estimates_and_verdicts_equal_plain_mcd(spark):
+    """Small clouds of different shapes, one with a statistic that is always 0 and one with a cluster of outliers."""
+    rng = np.random.default_rng(8)
+    clouds = {"a": rng.normal(size=(160, 6)) @ rng.normal(size=(6, 6)), "b": rng.normal(3, 0.2, (90, 6)), "c": np.vstack([rng.normal(0, 1, (150, 6)), rng.normal(9, 0.5, (40, 6))]), "d": rng.normal(size=(1, 6))}
+    clouds["b"][:, 2] = 0
+    rows = [(k, *map(float, r)) for k, x in clouds.items() for r in x]
+    cloud = spark.createDataFrame(rows, "key string, " + ", ".join(f"f{i} double" for i in range(6)))
+    for r in quality.estimates(cloud).collect():
+        (centre, scatter), dets = plain_mcd(clouds[r.key])
+        if r.key != "d":  # other clouds settle at the same step
+            assert r.centre == pytest.approx(centre.tolist(), abs=0.02) and quality._full(r.scatter) == pytest.approx(scatter, abs=0.05)
+            assert r.logdet <= min(dets) + 1e-6
+    parent = quality.drawn(10, [1.0] * 6, np.eye(6)[quality._UPPER_AT], None)
+    mean, scatter = quality.drawn(200, [3.0] * 6, np.eye(6)[quality._UPPER_AT], parent)
+    both = np.vstack([rng.normal(1, 1, (200_000, 6)), rng.normal(3, 1, (200_000, 6))])
+    assert mean == pytest.approx([2.0] * 6) and scatter == pytest.approx(np.cov(both.T), abs=0.03)
+
+
+def test_chi_square_and_consistency():
+    assert quality.chi_square_quantile(0.999, 6) == pytest.approx(22.4577, abs=1e-3) and quality.chi_square_quantile(0.975, 6) == pytest.approx(14.4494, abs=1e-3)
+    x = np.random.default_rng(1).normal(size=(400_000, 6))
+    d = (x * x).sum(1)
+    assert np.cov(x[d <= np.quantile(d, 0.75)].T).diagonal().mean() * quality.consistency(0.75) == pytest.approx(1, abs=0.02)
+
+
+def test_quality_labels_agree(spark):
+    """Of labelled documents the good ones stay and the bad ones go, at the fixed chi-square quantile."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.verdicts(docs).join(labels, "doc_id").filter("NOT base_failed").collect()
+    good, bad = ([r for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 200 and sum(r.kept for r in good) >= 0.99 * len(good) and sum(r.kept for r in bad) <= 0.1 * len(bad)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body class="has-sidebar"><nav><ul><li><a href="/a">Home page of it</a></li></ul></nav>
 <!-- ad --><div class="ad">Buy this now, it is very cheap indeed today.</div><article><h1>Short &amp; head</h1><p><b>First   paragraph,
 with more&nbsp;words in it, and a <a href="x">link</a>.<br><p>Second one &lt;here&gt; goes on for a while, as texts do; it ends.</p><aside>Related</aside>
