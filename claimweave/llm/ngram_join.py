@@ -56,8 +56,10 @@ NEAREST = 16
 NEAREST_ROUNDS = 8
 #: Members of a list that are compared in one task, with as many others.
 BLOCK_MEMBERS = 1024
-#: Members of a group whose links are counted in one task, with as many others.
-TILE_MEMBERS = 2048
+#: Bytes of the sets of a group whose links are counted in one task, with as many others; and rows of the counts held at once.
+TILE_BYTES, STRIP, COLUMNS = 1 << 25, 512, 512
+#: Members of groups up to which they are broadcast to their sets, so that those are only shuffled to their tiles (60 bytes each).
+BROADCAST_MEMBERS = 200_000
 #: Lists up to which their least members are broadcast (16 bytes each).
 BROADCAST_LISTS = 200_000
 #: Bits of the Bloom filter that finds the sets to verify; a full one lets more through.
@@ -524,34 +526,41 @@ def similarity_links(docs: DataFrame, bitmaps: DataFrame, total: int, shingle: i
         nearest = NEAREST if merged and rounds > 0 else None
 
 
-def _shared(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each of ``xs`` shares with each of ``ys``: a product of incidence matrices, some columns at a time."""
+def _shared(xs: list[np.ndarray], ys: list[np.ndarray], alone: bool):
+    """For some of ``xs`` at a time: their first index, and how many shingles each shares with each of ``ys``; a product of incidence matrices, some columns at a time. If the two are the same, a set's count with itself means nothing."""
     nx, ny = (np.array([len(x) for x in part], np.int64) for part in (xs, ys))
     code, column = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
     split = int(nx.sum())
     in_x, in_y = (np.bincount(c, minlength=len(code)) for c in (column[:split], column[split:]))
     everywhere = (in_x == len(xs)) & (in_y == len(ys))
-    used = (in_x > 0) & (in_y > 0) & ~everywhere  # only these tell pairs apart
+    used = (in_x > alone) & (in_y > 0) & ~everywhere  # only these tell pairs apart
     number = np.cumsum(used) - 1
-    out = np.full((len(xs), len(ys)), float(everywhere.sum()), np.float32)
-    sides = []
-    for part, of in ((column[:split], np.repeat(np.arange(len(xs)), nx)), (column[split:], np.repeat(np.arange(len(ys)), ny))):
+
+    def by_column(part: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = used[part]
         order = np.argsort(number[part[keep]], kind="stable")
-        sides.append((of[keep][order], number[part[keep]][order]))
-    width = 2048
-    for lo in range(0, int(used.sum()), width):
-        made = []
-        for (row, col), n in zip(sides, (len(xs), len(ys)), strict=True):
-            a, b = np.searchsorted(col, (lo, lo + width))
-            m = np.zeros((n, width), np.float32)
-            m[row[a:b], col[a:b] - lo] = 1
-            made.append(m)
-        out += made[0] @ made[1].T
-    return out
-
-
-def link_counts(labels: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, tile: int = TILE_MEMBERS) -> DataFrame:
+        return of[keep][order], number[part[keep]][order]
+
+    row_y, col_y = by_column(column[split:], np.repeat(np.arange(len(ys)), ny))
+    ends = np.cumsum(nx)
+    for at in range(0, len(xs), STRIP):
+        n = min(STRIP, len(xs) - at)
+        row_x, col_x = by_column(column[ends[at] - nx[at] : ends[at + n - 1]], np.repeat(np.arange(n), nx[at : at + n]))
+        out = np.full((n, len(ys)), float(everywhere.sum()), np.float32)
+        for lo in range(0, int(used.sum()), COLUMNS):
+            a, b = np.searchsorted(col_x, (lo, lo + COLUMNS))
+            if a == b:
+                continue
+            one = np.zeros((n, COLUMNS), np.float32)
+            one[row_x[a:b], col_x[a:b] - lo] = 1
+            a, b = np.searchsorted(col_y, (lo, lo + COLUMNS))
+            two = np.zeros((len(ys), COLUMNS), np.float32)
+            two[row_y[a:b], col_y[a:b] - lo] = 1
+            out += one @ two.T
+        yield at, out
+
+
+def link_counts(labels: DataFrame, bitmaps: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, tile: int = TILE_BYTES) -> DataFrame:
     """set_id, n_links: how many other sets each set of a group links to.
 
     Sets that link are in one group (``labels``: node, component), so all pairs
@@ -559,12 +568,13 @@ def link_counts(labels: DataFrame, sets: DataFrame, threshold: int = THRESHOLD,
     tiles; a tile of two blocks of a group is one task's work and sends a count
     for each of its sets. Small groups share tasks.
     """
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = staged(labels.join(sizes, "component").select(F.col("node").alias("set_id"), "component", "size"), "members")
-    total = members.filter(F.col("size") > 2).count()
+    named = labels.withColumnRenamed("node", "set_id").join(bitmaps.select("set_id", "n"), "set_id")
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"), (8 * F.sum("n")).alias("bytes"))
+    members = staged(named.join(sizes, "component").select("set_id", "component", "size", "bytes", "n"), "members")
+    many, total = members.filter("size > 2").agg(F.count(F.lit(1)), F.coalesce(8 * F.sum("n"), F.lit(0))).first()
     buckets = max(1, total // tile)
-    small = F.col("size") <= tile
-    cut = members.filter("size > 2").withColumn("blocks", F.ceil(F.col("size") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    small = F.col("bytes") <= tile
+    cut = members.filter("size > 2").withColumn("blocks", F.ceil(F.col("bytes") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.when(small, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")).alias("part"), F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
         F.when(small, F.lit(0)).otherwise(F.lit(1)).alias("large"), "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "set_id",
@@ -583,17 +593,21 @@ def link_counts(labels: DataFrame, sets: DataFrame, threshold: int = THRESHOLD,
             if not len(i) or not len(j):
                 continue
             xs, ys = ([np.frombuffer(raw[int(k)].as_buffer(), "<u8") for k in part] for part in (i, j))
-            both = _shared(xs, ys).astype(np.int64)
             nx, ny = (np.array([len(x) for x in part], np.int64) for part in (xs, ys))
-            ok = 100 * both >= threshold * (nx[:, None] + ny[None, :] - both)
-            ids.append(name[i])
-            links.append(ok.sum(1) - (1 if alone else 0))
+            across = np.zeros(len(ys), np.int64)
+            for at, both in _shared(xs, ys, alone):
+                ok = (100 + threshold) * both >= threshold * (nx[at : at + len(both), None] + ny[None, :])
+                ids.append(name[i[at : at + len(both)]])
+                if alone:
+                    ok[np.arange(len(ok)), at + np.arange(len(ok))] = False
+                links.append(ok.sum(1))
+                across += ok.sum(0)
             if not alone:
                 ids.append(name[j])
-                links.append(ok.sum(0))
+                links.append(across)
         return pa.table({"set_id": pa.array(np.concatenate(ids), pa.int64()), "n_links": pa.array(np.concatenate(links), pa.int64())})
 
-    counted = dealt.join(sets, "set_id").groupBy("part", "large", "one", "two").applyInArrow(count, "set_id long, n_links long")
+    counted = sets.join(F.broadcast(dealt) if many <= BROADCAST_MEMBERS else dealt, "set_id").groupBy("part", "large", "one", "two").applyInArrow(count, "set_id long, n_links long")
     pairs = members.filter("size = 2").select("set_id", F.lit(1).cast("long").alias("n_links"))
     return counted.union(pairs).groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
 
@@ -608,7 +622,7 @@ def _classes(docs: DataFrame, shingle: int, threshold: int, count: bool, **how)
     classes = docs_sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     grouped = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     if count:
-        grouped = grouped.join(link_counts(labels, sets, threshold), "set_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        grouped = grouped.join(link_counts(labels, bitmaps, sets, threshold), "set_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     return docs_sets, staged(grouped, "groups")
 
 

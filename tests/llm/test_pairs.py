@@ -22,7 +22,7 @@ def test_groups_equal_brute_force(documents, rows, how):
 @pytest.mark.parametrize("how", [{}, {"frequent_from": 2, "short": 3, "block": 4}])
 def test_links_are_counted_like_all_pairs(documents, rows, how, monkeypatch):
     """Every set's number of other sets it links to, also in families cut into several tiles."""
-    monkeypatch.setattr(ngram_join.link_counts, "__defaults__", (ngram_join.THRESHOLD, 7 if how else ngram_join.TILE_MEMBERS))
+    monkeypatch.setattr(ngram_join.link_counts, "__defaults__", (ngram_join.THRESHOLD, 9000 if how else ngram_join.TILE_BYTES))
     sets = {r[0]: brute.shingles(r[1]) for r in rows}
     kinds = {s for s in sets.values() if s}
     want = {s: sum(100 * len(s & t) >= 85 * len(s | t) for t in kinds) - 1 for s in kinds}
