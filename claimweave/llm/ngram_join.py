@@ -60,7 +60,7 @@ BLOCK_MEMBERS = 1024
 TILE_BYTES, STRIP, COLUMNS = 1 << 25, 512, 512
 #: Members of groups up to which they are broadcast to their sets, so that those are only shuffled to their tiles (60 bytes each).
 BROADCAST_MEMBERS = 200_000
-#: Lists up to which their least members are broadcast (16 bytes each).
+#: Rows up to which a table of lists or of set ids is broadcast (16 bytes each).
 BROADCAST_LISTS = 200_000
 #: Bits of the Bloom filter that finds the sets to verify; a full one lets more through.
 BLOOM_BITS = 1 << 23
@@ -360,6 +360,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return named.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
+def with_sets(docs: DataFrame, wanted: DataFrame, shingle: int, known: DataFrame | None) -> DataFrame:
+    """``known`` (set_id, shingles) and the sets of ``wanted.set_id`` beyond it; texts are only read if some are missing."""
+    missing = staged(wanted.distinct() if known is None else wanted.distinct().join(known, "set_id", "left_anti"), "missing")
+    if missing.isEmpty():
+        return known if known is not None else docs.sparkSession.createDataFrame([], "set_id long, shingles binary")
+    fetched = staged(sets_of(docs, missing, shingle).join(_small(missing), "set_id", "left_semi"), "sets")
+    return fetched if known is None else known.union(fetched)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets meet the threshold."""
 
@@ -374,9 +383,11 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 keep.append(100 * both >= threshold * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # only the sets of these pairs are moved
+    side = lambda c, x: sets.join(_small(staged(pairs.select(F.col(c).alias("set_id")).distinct(), "ends")), "set_id", "left_semi").select(F.col("set_id").alias(c), F.col("shingles").alias(x))
     return (
-        pairs.select("a", "b").join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
+        pairs.select("a", "b").join(side("a", "x"), "a")
+        .join(side("b", "y"), "b")
         .select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
     )
 
@@ -475,7 +486,7 @@ def _gathered(lists: DataFrame) -> DataFrame:
 
 
 def _small(keys: DataFrame) -> DataFrame:
-    """A written table with a row for each list, to be broadcast where there are few."""
+    """A written table of keys, to be broadcast where there are few."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_LISTS else keys
 
 
@@ -493,23 +504,25 @@ def similarity_links(docs: DataFrame, bitmaps: DataFrame, total: int, shingle: i
     Every two sets that link are either verified here, or were already joined
     by verified links when their posting list was looked at. ``bitmaps`` has
     set_id, n and bitmap of every set, ``total`` is their number of shingles.
-    Also returns the shingles of every set in a pair or a long list (set_id,
-    shingles), fetched from the texts once.
+    Also returns the sets (set_id, shingles) fetched for that: those of the
+    first pairs, and once those of the lists that aren't in one group then.
     """
     frequent = frequent_codes(docs, total, shingle, frequent_from)
     found = staged(candidates(docs, frequent, total, shingle, threshold, short), "candidates")
     tried = staged(plausible(_ordered(found.filter("kind = 0")), bitmaps, threshold), "pairs")
     lists = staged(_gathered(found.filter("kind = 1").select("key", "a")), "lists")
-    wanted = tried.select(F.explode(F.array("a", "b")).alias("set_id")).union(lists.select("a")).distinct()
-    sets = staged(sets_of(docs, staged(wanted, "wanted"), shingle), "sets")
+    sets = with_sets(docs, tried.select(F.explode(F.array("a", "b")).alias("set_id")), shingle, None)
     links = staged(verified(tried, sets, threshold), "links")
     if lists.isEmpty():
         return links, sets
     nearest = NEAREST if rounds > 0 else None
+    first = True
     while True:
         open_ = staged(_open_lists(lists, links), "open")
         if open_.isEmpty():
             return links, sets
+        if first:  # whatever is verified from now on is a member of these lists
+            sets, first = with_sets(docs, open_.select(F.col("a").alias("set_id")), shingle, sets), False
         pairs = staged(_in_blocks(open_, bitmaps, threshold, block, nearest), "partners")
         new = staged(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
         merged = False
@@ -622,6 +635,7 @@ def _classes(docs: DataFrame, shingle: int, threshold: int, count: bool, **how)
     classes = docs_sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     grouped = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     if count:
+        sets = with_sets(docs, labels.select(F.col("node").alias("set_id")), shingle, sets)
         grouped = grouped.join(link_counts(labels, bitmaps, sets, threshold), "set_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     return docs_sets, staged(grouped, "groups")
 
