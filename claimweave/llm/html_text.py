@@ -4,9 +4,10 @@ Every DOM node gets its characters per tag, adjusted by the share of characters
 and tags in links; a node's density sum is that of its children. The node with
 the largest sum is the main one, the least density on its path to the body is
 the threshold, and below each node that reaches it the largest-sum subtree is
-content. Elements that are never part of an article are left out first. A class,
-id or role only proposes: what holds the page's article, or most of its text
-outside links, stays whatever it is called.
+content. Elements that are never part of an article, as scripts or navigation,
+are left out first. A class, id or role decides nothing by itself: what is
+called a menu or an advert counts like links, unless it holds the page's article
+or most of its text, and goes where its density then is below the threshold.
 """
 
 from __future__ import annotations
@@ -40,7 +41,11 @@ _KEPT = frozenset(["html", "body", "main", "article"])
 _MATH = frozenset("math semantics maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split())
 #: In a compound name, what follows is said of the element's surroundings: has-sidebar, page-with-sidebar, no-comments.
 _ABOUT = frozenset("has no with without".split())
-#: Words of a class, id or role that mark page furniture.
+#: Part of the main node's density that a node around it must have to be content as a whole.
+AROUND = 0.5
+#: Links from which a block of nothing but links is a menu, though it stands among content.
+MENU_LINKS = 3
+#: Words of a class, id or role whose text counts like links.
 FURNITURE = frozenset(
     (
         "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar footer masthead"
@@ -58,7 +63,7 @@ def _dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 
 
 def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Furniture by a word of its class, id or role."""
+    """Furniture by a word of its class, id or role; in an article, where names say what the text is about, by half of a name's words."""
     if tag in _KEPT:
         return False
     for name in ("class", "id", "role"):
@@ -66,31 +71,30 @@ def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         if name not in attributes or (name == "id" and (tag in _HEADINGS or (inside and tag in ("section", "p")))):
             continue
         for compound in attributes[name].lower().split():
-            for word in _WORDS.split(compound):
-                if word in _ABOUT:
-                    break
-                if word in FURNITURE or (not inside and word == "header" and tag != "h1"):
-                    return True
+            parts = [x for x in _WORDS.split(compound) if x]
+            parts = parts[: next((i for i, x in enumerate(parts) if x in _ABOUT), len(parts))]
+            known = sum(x in FURNITURE or (not inside and x == "header" and tag != "h1") for x in parts)
+            if known and (not inside or 2 * known >= len(parts)):
+                return True
     return False
 
 
 class _Page:
-    """Nodes of a page in document order, without furniture."""
-
-    _COUNTS = ("tag", "parent", "end", "chars", "tags", "link_chars", "link_tags")
+    """Nodes of a page in document order, without elements that are never part of an article."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.end = ["body"], [-1], [0]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []  # node, block, text
         self.proposed: list[int] = []  # nodes that are furniture by name
+        self.named: list[int] = []  # those of them that count like links
         self.open = [0]
         self.block = self.skip = self.inside = self.linked = 0
         self._read(source)
         while len(self.open) > 1:
             self._close()
         self.end[0] = len(self.tag)
-        self._leave_out(self._by_name())
+        self._as_links(self._by_name())
 
     def _text(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -101,14 +105,14 @@ class _Page:
             self.link_chars[self.open[-1]] += n
 
     def _by_name(self) -> list[int]:
-        """The proposed nodes that go; inner ones are looked at first.
+        """The nodes named like furniture that count like links; inner ones come first.
 
-        The one with the page's article stays. So does one with most of the text
-        outside links that is left, unless an article with a tenth of it stands beside.
+        Not the one with the page's article, nor one with most of the text outside
+        links that is left, unless an article with a tenth of it stands beside.
         """
         text = [c - lc for c, lc in zip(self.chars, self.link_chars, strict=True)]
         article = max((k for k, tag in enumerate(self.tag) if tag in ("article", "main") and text[k]), key=lambda k: (text[k], -k), default=0)
-        gone = []
+        gone = self.named
         for k in reversed(self.proposed):
             real = article and 10 * text[article] >= text[0]
             inside = article < k < self.end[article]
@@ -119,30 +123,21 @@ class _Page:
             while up >= 0:
                 text[up] -= out
                 up = self.parent[up]
-        return gone if text[0] else []
-
-    def _leave_out(self, gone: list[int]) -> None:
-        live = [True] * len(self.tag)
-        for k in gone:  # inner ones first, so a count is taken off once
-            chars, tags, link_chars, link_tags = self.chars[k], self.tags[k] + 1, self.link_chars[k], self.link_tags[k] + (self.tag[k] == "a")
+        if not text[0]:
+            gone.clear()
+        return gone
+
+    def _as_links(self, named: list[int]) -> None:
+        """Count all text and tags of the nodes as links, for them and the nodes around them."""
+        for k in named:
+            chars, tags = self.chars[k] - self.link_chars[k], self.tags[k] + 1 - self.link_tags[k] - (self.tag[k] == "a")
             up = self.parent[k]
             while up >= 0:
-                self.chars[up] -= chars
-                self.tags[up] -= tags
-                self.link_chars[up] -= link_chars
-                self.link_tags[up] -= link_tags
+                self.link_chars[up] += chars
+                self.link_tags[up] += tags
                 up = self.parent[up]
-            live[k : self.end[k]] = [False] * (self.end[k] - k)
-        if not gone:
-            return
-        number = [0]
-        for x in live:
-            number.append(number[-1] + x)
-        self.parent = [number[k] if k >= 0 else k for k in self.parent]
-        self.end = [number[k] for k in self.end]
-        self.pieces = [(number[k], block, text) for k, block, text in self.pieces if live[k]]
-        for name in self._COUNTS:
-            setattr(self, name, [x for x, stays in zip(getattr(self, name), live, strict=True) if stays])
+            for below in range(k, self.end[k]):
+                self.link_chars[below], self.link_tags[below] = self.chars[below], self.tags[below]
 
     def _start(self, tag: str) -> None:
         node = len(self.tag)
@@ -249,11 +244,14 @@ class _Page:
             t, rest = max(1, t), max(1, c - lc)
             base = math.log(c / rest * lc + lc_body / c_body * c + math.e)
             ratio = (c / max(1, lc)) * (t / max(1, lt))
+            if lc >= c:  # nothing but links
+                out.append(0.0)
+                continue
             out.append(c / t * max(0.0, math.log(max(1.0, ratio)) / math.log(base) if base > 1.0 + 1e-12 else math.log(max(1.0, ratio))))
         return out
 
-    def content(self) -> list[tuple[int, int]]:
-        """Disjoint node ranges that are content."""
+    def content(self) -> list[bool]:
+        """Which nodes are content."""
         density = self.densities()
         n = len(density)
         sums = [0.0] * n
@@ -283,41 +281,49 @@ class _Page:
                 k = self.end[k]
             else:
                 k += 1
-        nodes = sorted({self._whole(k) for k in found})
+        around = {self._whole(k, AROUND * density[k], density) for k in found}
         held = set()  # nodes around content: their headings belong to it
-        for k in nodes:
+        for k in around:
             up = self.parent[k]
             while up >= 0 and up not in held:
                 held.add(up)
                 up = self.parent[up]
-        nodes = sorted({*nodes, *(k for k in range(1, n) if self.tag[k] in _HEADINGS and self.parent[k] in held)})
-        ranges: list[tuple[int, int]] = []
-        for k in nodes:
-            if not ranges or k >= ranges[-1][1]:
-                ranges.append((k, self.end[k]))
-        return ranges
+        around |= {k for k in range(1, n) if self.tag[k] in _HEADINGS and self.parent[k] in held}
+        out = [False] * n
+        for k in around:
+            out[k : self.end[k]] = [True] * (self.end[k] - k)
+        own = [False] * n  # the subtrees that reach the threshold themselves
+        for k in found:
+            own[k : self.end[k]] = [True] * (self.end[k] - k)
+        written = [False] * n  # in an article by its element, where a list of links can be part of it
+        for k in range(1, n):
+            written[k] = written[self.parent[k]] or self.tag[k] in ("article", "main")
+        named = set(self.named)
+        for k in range(1, n):  # furniture in content, blocks of links that only stand beside it, and lists of links
+            links = self.tag[k] in _BLOCKS and self.link_chars[k] == self.chars[k] > 0
+            if out[k] and density[k] < threshold and (k in named or (links and (not own[k] or (self.link_tags[k] >= MENU_LINKS and not written[k])))):
+                out[k : self.end[k]] = [False] * (self.end[k] - k)
+        return out
 
-    def _whole(self, node: int) -> int:
-        """The container of a paragraph or an inline element, and the article around it."""
+    def _whole(self, node: int, least: float, density: list[float]) -> int:
+        """The container of a paragraph or an inline element, and what is around it as long as that is as dense."""
         k = node
         while k > 0 and self.tag[k] not in _CONTAINERS:
             k = self.parent[k]
-        out = up = k or node
-        while up > 0:
-            if self.tag[up] in ("article", "main"):
-                out = up
-            up = self.parent[up]
-        return out
+        k = k or node
+        while self.parent[k] > 0 and density[self.parent[k]] >= least:
+            k = self.parent[k]
+        return k
 
 
 def main_text(source: str) -> str:
     """Blocks of the main content, one a line, white space made one space."""
     page = _Page(source)
-    ranges = page.content()
+    content = page.content()
     out: list[str] = []
     last, held, r = -1, [], 0
     for node, block, text in page.pieces:
-        if not any(a <= node < b for a, b in ranges):
+        if not content[node]:
             continue
         if block != last:
             out.append(" ".join("".join(held).split()))
@@ -332,7 +338,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty page has the text ''. Broken markup is read as browsers do:
     open elements end with their parent, a new paragraph ends the one before.
-    Each row is read whole and on its own; repeated rows give repeated results.
+    Each row is read whole and on its own, however long; repeated rows give
+    repeated results, an empty table an empty one. Of nodes with equal density
+    sums the first is taken. Other columns, whatever their names, are left alone.
     """
 
     def run(batches):

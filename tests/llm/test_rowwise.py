@@ -228,6 +228,47 @@ def test_names_never_take_all_text():
     assert html_text.main_text("<div class='ad'>An advert with far more text than that.</div><article><p>A short text.</p></article>") == "A short text."
 
 
+def test_densities_decide(spark, small_dir, monkeypatch):
+    """With all densities equal, the text of every page is another one; so the densities choose, not the names."""
+    pages = [r.html for r in spark.read.parquet(f"{small_dir}/pages.parquet").collect()]
+    want = [html_text.main_text(h) for h in pages]
+    monkeypatch.setattr(html_text._Page, "densities", lambda page: [1.0] * len(page.tag))
+    assert all(html_text.main_text(h) != w for h, w in zip(pages, want, strict=True))
+
+
+_CHARS, _PER_TAG = lambda page: [float(x) for x in page.chars], lambda page: [c / max(1, t) for c, t in zip(page.chars, page.tags, strict=True)]
+
+
+@pytest.mark.parametrize(("links", "other"), [(60, lambda page: [1.0] * len(page.tag)), (1, _CHARS), (60, _PER_TAG), (1, _PER_TAG)])
+def test_tags_and_links_matter(monkeypatch, links, other):
+    """More text in links than in paragraphs: without the adjustment for links they come along."""
+    menu = "".join(f"<a href='/{k}'>{'A link with a text of its own that goes on and on. ' * (60 // links)}</a>" for k in range(links))
+    page = f"<body><div>{menu}</div><div><p>{_LONG}</p><p>{_LONG}</p></div></body>"
+    assert html_text.main_text(page) == f"{_LONG.strip()}\n{_LONG.strip()}"
+    monkeypatch.setattr(html_text._Page, "densities", other)
+    assert html_text.main_text(page) != f"{_LONG.strip()}\n{_LONG.strip()}"
+
+
+_LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>Link number {k}</a></li>" for k in range(12)) + "</ul>"
+
+
+@pytest.mark.parametrize("where", ["<div>{links}{text}</div>", "<div><div>{links}</div><div>{text}</div></div>", "<table><tr><td>{links}</td><td>{text}</td></tr></table>", "<div><div>{text}</div><div>Short words</div>{links}</div>"])
+def test_pages_without_article_or_names(where):
+    """Link lists go by density alone; the paragraphs stay together."""
+    text = f"<h2>Head</h2><p>{_LONG}</p><p>Short one.</p><p>{_LONG}</p>"
+    out = html_text.main_text("<body>" + where.format(links=_LINKS, text=text) + "</body>")
+    assert "Link number" not in out and f"Head\n{_LONG.strip()}\nShort one.\n{_LONG.strip()}" in out
+
+
+def test_names_inside_an_article_say_what_it_is_about():
+    page = f"<body><article><p>{_LONG}</p><div class='search-results-study'><p>{_LONG}</p></div><div class='related-posts'><p>See this one too.</p></div><p>Also: a <math><mi>x</mi></math></p></article></body>"
+    assert html_text.main_text(page) == f"{_LONG.strip()}\n{_LONG.strip()}\nAlso: a x"
+
+
+def test_long_pages():
+    assert html_text.main_text(f"<body><nav>{_LINKS}</nav><article>" + f"<p>{_LONG}</p>" * 20_000 + "</article></body>") == "\n".join([_LONG.strip()] * 20_000)
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
     out = html_text.extract(pages).collect()
