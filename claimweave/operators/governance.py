@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +70,28 @@ def leaking_identities(rows: DataFrame, identity: str, split: str) -> DataFrame:
 
 
 def chain(events: DataFrame, ledger: str, order: str, payload: Column) -> DataFrame:
-    """Hash chain of each ledger: every event's digest takes in the one before.
+    """ledger, order, previous, hash: every event's digest takes in the one before of its ledger.
 
-    A chain is one after the other by nature: a ledger's events are folded in
-    one row of a grouped array. Ledgers are many and each is short; a ledger
-    too long for one row must be cut into segments that start from a stored head.
+    A chain is one after the other by nature, so a ledger is one task's work;
+    its events are sorted by Spark and pass by one batch at a time, of which
+    only the last digest is kept. Ledgers may be long; ``order`` must be unique
+    in one. A null payload adds nothing.
     """
-    entries = events.select(ledger, F.struct(F.col(order).alias("o"), payload.alias("p")).alias("e")).groupBy(ledger).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    start = F.struct(F.lit("GENESIS").alias("h"), F.array().cast("array<struct<o:bigint,previous:string,hash:string>>").alias("out"))
+    rows = events.select(ledger, order, payload.cast("string").alias("__p")).repartition(ledger).sortWithinPartitions(ledger, order)
 
-    def add(acc: Column, e: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", acc["h"], e["p"]), 256)
-        return F.struct(digest.alias("h"), F.array_append(acc["out"], F.struct(e["o"].cast("bigint").alias("o"), acc["h"].alias("previous"), digest.alias("hash"))).alias("out"))
+    def fold(batches):
+        now, head = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for of, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if of != now:
+                    now, head = of, "GENESIS"
+                before.append(head)
+                head = hashlib.sha256((head if p is None else f"{head}|{p}").encode()).hexdigest()
+                after.append(head)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.string()), pa.array(after, pa.string())], [ledger, order, "previous", "hash"])
 
-    return entries.select(ledger, F.explode(F.aggregate("es", start, add, lambda a: a["out"])).alias("x")).select(ledger, F.col("x.o").alias(order), "x.previous", "x.hash")
+    return rows.mapInArrow(fold, rows.drop("__p").schema.add("previous", "string").add("hash", "string"))
 
 
 def verify_chain(events: DataFrame, ledger: str, order: str, payload: Column, previous: str = "previous", digest: str = "hash") -> DataFrame:
@@ -89,3 +100,8 @@ def verify_chain(events: DataFrame, ledger: str, order: str, payload: Column, pr
     expected = F.coalesce(F.lag(digest).over(w), F.lit("GENESIS"))
     ok = (F.col(previous) == expected) & (F.col(digest) == F.sha2(F.concat_ws("|", F.col(previous), payload), 256))
     return events.withColumn("__ok", F.coalesce(ok, F.lit(False))).groupBy(ledger).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("__ok")).alias("broken"))
+
+
+def balanced_top(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:
+    """``limit`` rows, as even over the groups as they allow: the first of each group by name, then the second of each."""
+    return round_robin(df, group, order, limit).drop("turn")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +59,10 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int) -> DataFra
     Cut into ``most + 1`` bands, each of a bit or more, two such hashes share a
     whole band, so only rows with an equal band are compared. Equal hashes are
     compared once, as one, and named by their smallest key; ``copies`` tells
-    how many there are.
+    how many there are. A band of b bits sorts rows into 2^b buckets, so the
+    pairs compared grow with the square of the rows as soon as these outnumber
+    the buckets: ``most`` above 7 (bands of fewer than 8 bits) is for tables of
+    some hundred thousand hashes only.
     """
     cuts = [k * 64 // (most + 1) for k in range(most + 2)] if most < 64 else [0, 0]  # beyond 63 bits every pair is one
     one = hashes.groupBy(value).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
@@ -70,11 +75,20 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int) -> DataFra
 
 
 def exact_binding(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str]) -> DataFrame:
-    """left_id, outcome and targets: rows bound by any of several keys; one target is exact, more are ambiguous."""
-    found = None
-    for k in keys:
-        pairs = left.filter(F.col(k).isNotNull()).select(left_id, k).join(right.select(right_id, k), k).select(left_id, right_id)
-        found = pairs if found is None else found.union(pairs)
-    targets = found.groupBy(left_id).agg(F.countDistinct(right_id).alias("targets"))
-    outcome = F.when(F.col("targets").isNull(), "NOT_FOUND").when(F.col("targets") == 1, "MATCHED_EXACT").otherwise("AMBIGUOUS")
-    return left.select(left_id).join(targets, left_id, "left").select(left_id, outcome.alias("outcome"), F.coalesce("targets", F.lit(0)).alias("targets"))
+    """left_id, outcome and targets: rows bound by any of several keys; one target is exact, more are ambiguous.
+
+    ``right`` has a row for each ``right_id``. It is counted per key, and per
+    combination of keys, before it is joined, so a key that occurs often isn't
+    multiplied out: what any of the keys binds is what each binds, less what
+    two do, and so on. Meant for a few keys.
+    """
+    out, targets = left, F.lit(0)
+    for n in range(1, len(keys) + 1):
+        for k, some in enumerate(combinations(keys, n)):
+            name = f"__n{n}_{k}"
+            counted = right.dropna(subset=list(some)).groupBy(*some).agg(F.count(F.lit(1)).alias(name))
+            out = out.join(counted, list(some), "left")
+            targets = targets + (1 if n % 2 else -1) * F.coalesce(name, F.lit(0))
+    out = out.select(left_id, targets.cast("long").alias("targets"))
+    outcome = F.when(F.col("targets") == 0, "NOT_FOUND").when(F.col("targets") == 1, "MATCHED_EXACT").otherwise("AMBIGUOUS")
+    return out.select(left_id, outcome.alias("outcome"), "targets")

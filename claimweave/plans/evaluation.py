@@ -105,11 +105,16 @@ def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isotonic calibration of a score against correctness; thresholds and fitted values."""
+    """Isotonic calibration of a score against correctness; thresholds and fitted values.
+
+    Scores are brought to thousandths first, so the fit has as many knots as
+    there are of these at most, however many rows there are.
+    """
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").cast("double").alias("label"), F.log1p("n_chars").alias("features"))
-    model = IsotonicRegression().fit(rows)
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").cast("double").alias("label"), F.round(F.log1p("n_chars"), 3).alias("features"))
+    points = rows.groupBy("features").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    model = IsotonicRegression(weightCol="weight").fit(points)
     return spark.createDataFrame(list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True)), "threshold double, value double")
 
 

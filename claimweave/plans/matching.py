@@ -72,12 +72,12 @@ def fuzzy_reference_match_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_with_margin(scored, ["member"], "similarity", [F.col("reference")]).select("member", "reference", "similarity", (F.col("similarity") >= 0.92).alias("verified"))
 
 
-@query("""WITH a AS (SELECT doc_id, md5(text) AS h, CAST(n_chars AS VARCHAR) || ':' || substr(text, 1, 12) AS r FROM documents),
+@query("""WITH a AS (SELECT doc_id, md5(text) AS h, CAST(n_chars AS VARCHAR) || ':' || lang || ':' || source AS r FROM documents),
 b AS (SELECT DISTINCT x.doc_id, y.doc_id AS other FROM a x JOIN a y ON x.h = y.h OR x.r = y.r), n AS (SELECT doc_id, count(DISTINCT other) AS targets FROM b GROUP BY 1)
 SELECT a.doc_id, CASE WHEN targets IS NULL THEN 'NOT_FOUND' WHEN targets = 1 THEN 'MATCHED_EXACT' ELSE 'AMBIGUOUS' END AS outcome, coalesce(targets, 0) AS targets FROM a LEFT JOIN n USING (doc_id)""")
 def exact_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents bound to pages by content hash or by length and beginning."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"), F.concat(F.col("n_chars").cast("string"), F.lit(":"), F.substring("text", 1, 12)).alias("r"))
+    """Documents bound to pages by content hash or by length, language and source."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"), F.concat(F.col("n_chars").cast("string"), F.lit(":"), "lang", F.lit(":"), "source").alias("r"))
     return joins.exact_binding(d, d.withColumnRenamed("doc_id", "page"), "doc_id", "page", ["h", "r"])
 
 

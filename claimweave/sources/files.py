@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -60,6 +63,47 @@ def write_report(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
 
 
+def archive_members(spark: SparkSession, folder: str) -> DataFrame:
+    """path, member, length, kind, sha256 of every file in the ZIP archives below a folder; error in place of these for one that can't be read.
+
+    Archives come through Spark's own reader, so they may lie in any store it
+    reads; each is read in the task of its row, member by member.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                        for info in sorted((x for x in archive.infolist() if not x.is_dir()), key=lambda x: x.filename):
+                            digest, head, size = hashlib.sha256(), b"", 0
+                            with archive.open(info) as member:
+                                while part := member.read(1 << 20):
+                                    head, size = head or part[:8], size + len(part)
+                                    digest.update(part)
+                            rows.append((path, info.filename, size, head, digest.hexdigest(), None))
+                except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+                    rows = [(path, None, None, None, None, type(e).__name__)]
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()), strict=True)], ["path", "member", "length", "head", "sha256", "error"])
+
+    found = files.mapInArrow(run, "path string, member string, length long, head binary, sha256 string, error string")
+    return found.select("path", "member", "length", F.when(F.col("member").isNotNull(), sniffed(F.coalesce("head", F.lit(b"")))).alias("kind"), "sha256", "error")
+
+
+def merged_shards(shards: list[DataFrame], key: str, expected: int) -> DataFrame:
+    """The rows of all shards, in order of ``key``; an error unless there are ``expected`` of them, each with another key."""
+    out = shards[0]
+    for more in shards[1:]:
+        out = out.unionByName(more)
+    n, keys = out.agg(F.count(F.lit(1)), F.countDistinct(key)).first()
+    if n != expected or keys != expected:
+        raise ValueError(f"expected {expected} rows with as many keys, got {n} and {keys}")
+    return out.orderBy(key)
+
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 

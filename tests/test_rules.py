@@ -1,0 +1,155 @@
+"""Policies, candidate rules, archives and chains on hand-made rows."""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import uuid
+import zipfile
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from claimweave.functions import candidates as c
+from claimweave.operators import governance, joins, policies
+from claimweave.plans import catalogue
+from claimweave.sources import files
+
+
+def values(spark, rows, schema, *columns):
+    """The columns over rows with names as in the schema."""
+    return [tuple(r) if len(columns) > 1 else r[0] for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
+
+
+GRADES = [
+    ("TEXT", "x", None, 0.0), ("TEXT", "relationship", "self", 1.0), ("TEXT", "relationship", "uncle", 0.0), ("TEXT", "member_id", "AB123", 1.0), ("TEXT", "member_id", "12345", 0.45), ("TEXT", "member_id", "a b", 0.1),
+    ("NPI", "x", "123-456-7890", 1.0), ("NPI", "x", "12", 0.0), ("DATE", "x", "2024-02-30", 0.0), ("DATE", "x", "02/29/24", 1.0), ("ICD_CODE", "x", "a01.1  B20", 1.0), ("ICD_CODE", "x", "U07", 0.1), ("CPT_HCPCS", "x", "j1234", 1.0),
+    ("CURRENCY", "x", "$1,200.5", 1.0), ("CURRENCY", "x", "1.234", 0.1), ("TYPE_OF_BILL", "x", "0131", 1.0), ("TAX_IDENTIFIER", "x", "12-3456789", 1.0), ("TAX_IDENTIFIER", "x", "1", 0.2), ("ALPHANUMERIC_ID", "x", "AB-12345", 0.95),
+    ("PERSON_NAME", "x", "patient name", 0.05), ("ADDRESS", "x", "12 34", 0.0), ("TEXT", "x", "words", 0.8), ("OTHER", "x", "?", 0.7),
+]
+
+
+def test_type_grades(spark):
+    got = values(spark, [g[:3] for g in GRADES], "kind string, field string, value string", c.type_compatibility(F.col("value"), F.col("kind"), F.col("field")))
+    assert got == [g[3] for g in GRADES]
+
+
+def test_digit_dates(spark):
+    cases = [("2024-03-01", "2024-03-01"), ("20240301", "2024-03-01"), ("03012024", "2024-03-01"), ("03/01/24", "2024-03-01"), ("13012024", None), ("1-2", None), (None, None), ("", None)]
+    assert [None if d is None else str(d) for d in values(spark, [(v,) for v, _ in cases], "v string", c.digit_date(F.col("v")))] == [d for _, d in cases]
+
+
+def test_places(spark):
+    cities = [("st. Paul!", "ST. PAUL"), ("CITY of x", None), ("  ", None), ("a", None), ("o'fallon -", "O'FALLON"), (None, None)]
+    assert values(spark, [(v,) for v, _ in cities], "v string", c.clean_city(F.col("v"))) == [x for _, x in cities]
+    streets = [("12( main st", "122 MAIN ST"), ("12) oak   road . 7", "122 OAK ROAD"), ("1( main st", None), ("12 main", None), ("12 patient road", None), ("main st", None), (None, None)]
+    assert values(spark, [(v,) for v, _ in streets], "v string", c.repaired_address(F.col("v"))) == [x for _, x in streets]
+
+
+def test_boxes(spark):
+    box = {k: F.col(k) for k in ("x0", "y0", "x1", "y1")}
+    rows = [(5, 5, 990, 95, True), (5, 5, 990, 95, False), (5, 5, 990, 95, None)]
+    got = values(spark, rows, "x0 int, y0 int, x1 int, y1 int, cut boolean", c.expanded(box, F.lit(1000), F.lit(100), F.col("cut")))
+    assert [tuple(r) for r in got] == [(0, 4, 1000, 96), (5, 5, 990, 95), (5, 5, 990, 95)]
+    clipped = values(spark, [(-5, 2, 50, 200), (1001, 0, 1002, 5)], "x0 int, y0 int, x1 int, y1 int", c.clipped(box, F.lit(100), F.lit(100)))
+    assert tuple(clipped[0]) == (0, 2, 50, 100) and clipped[1] is None
+
+
+def test_unknown_values_accept_nothing(spark):
+    none, text, many = F.lit(None).cast("boolean"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    row = spark.range(1).select(
+        policies.reference_accepted(none, none, F.lit(None).cast("double"), none, F.lit(None).cast("double")).alias("r"), policies.address_accepted(none, none, none, many, many, text).alias("a"), policies.processing_route(text, text, text, none, none)["route"].alias("p"),
+        policies.fixed_geometry_refusal(text, text, none, none, none, text, text).alias("g"), policies.adjudication_tier(none, none, none, none, none, none, none)["tier"].alias("t"), policies.region_usable(text, text, none, none, none).alias("u"),
+    ).first()
+    assert tuple(row) == (False, False, "SAFE_UNKNOWN", "REGISTERED_FIXED_REQUIRES_VERIFIED_FORM_IDENTITY", "LOCAL_ONLY", False)
+
+
+def test_next_actions(spark):
+    route = [{"action": "A", "cost": 0.5, "seconds": 1}, {"action": "R", "cost": 0, "seconds": 0, "reference": True}, {"action": "C", "cost": 0, "seconds": 9, "cloud": True}]
+    rows = [([], 1.0, 10, True, True), ([], 0.0, 10, True, False), (["A"], 1.0, 5, True, False), (["A", "HITL"], 1.0, 5, False, False), ([], 0.0, 10, False, False)]
+    step = policies.next_action(route, F.col("tried"), F.col("budget"), F.col("left"), F.col("cloud"), F.col("reference"))
+    got = values(spark, rows, "tried array<string>, budget double, left int, cloud boolean, reference boolean", step["action"], F.array_join(step["skipped"], ","))
+    assert got == [("A", ""), ("C", "budget_exceeded,reference_unavailable"), ("HITL", "reference_unavailable,sla_exceeded"), ("ABSTAIN", "cloud_processing_disallowed,reference_unavailable"), ("HITL", "budget_exceeded,cloud_processing_disallowed,reference_unavailable")]
+
+
+def test_claims_finalize_only_when_all_is_settled(spark):
+    done, open_ = "VERIFIED_BY_HUMAN", "CONFLICT"
+    rows = [(1, "a", done), (1, "b", done), (1, "c", open_), (2, "a", done), (3, "a", done), (3, "b", open_), (3, "b", done), (4, "a", None), (4, "b", done)]
+    fields = spark.createDataFrame(rows, "claim int, field string, state string")
+    claims = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5)], "claim int")
+    assert {r.claim: (r.can_finalize, r.open) for r in policies.finalizable(fields, claims, ["a", "b"], "claim", "field", "state").collect()} == {1: (True, 0), 2: (False, 1), 3: (False, 1), 4: (False, 1), 5: (False, 2)}
+
+
+def test_bindings_count_without_multiplying(spark):
+    """Against all pairs, with nulls and with keys that many share."""
+    rng = np.random.default_rng(3)
+    pick = lambda n: None if (v := int(rng.integers(0, n + 1))) == n else v
+    left, right = ([(k, pick(4), pick(3), pick(2)) for k in range(60)] for _ in range(2))
+    schema = "id int, a int, b int, c int"
+    out = joins.exact_binding(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema).withColumnRenamed("id", "other"), "id", "other", ["a", "b", "c"])
+    want = {x[0]: sum(any(p is not None and p == q for p, q in zip(x[1:], y[1:], strict=True)) for y in right) for x in left}
+    assert {r.id: r.targets for r in out.collect()} == want
+    assert {r.outcome for r in out.collect()} <= {"NOT_FOUND", "MATCHED_EXACT", "AMBIGUOUS"}
+
+
+def test_long_ledgers_are_chained(spark):
+    """A ledger of most events, in small batches and with null payloads."""
+    rows = [(1 if k % 4 else k, k, None if k % 50 == 0 else f"p{k}") for k in range(1, 3001)]
+    links = governance.chain(spark.createDataFrame(rows, "ledger int, at int, p string").repartition(7), "ledger", "at", F.col("p")).collect()
+    heads: dict[int, str] = {}
+    want = {}
+    for ledger, k, p in rows:
+        before = heads.get(ledger, "GENESIS")
+        heads[ledger] = hashlib.sha256((before if p is None else f"{before}|{p}").encode()).hexdigest()
+        want[k] = (before, heads[ledger])
+    assert {r["at"]: (r.previous, r.hash) for r in links} == want
+    payload = F.col("p")
+    again = spark.createDataFrame(rows, "ledger int, at int, p string").join(spark.createDataFrame(links), ["ledger", "at"])
+    assert governance.verify_chain(again, "ledger", "at", payload).agg(F.sum("broken")).first()[0] == 0
+
+
+def test_archives_and_merged_shards(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.pdf", b"%PDF-1.7 rest")
+        z.writestr("two", b"")
+    (tmp_path / "b.zip").write_bytes(b"broken")
+    (tmp_path / "c.txt").write_bytes(b"no archive")
+    out = sorted((r.path.rsplit("/", 1)[1], r.member or "", r.length, r.kind, r.sha256, r.error) for r in files.archive_members(spark, str(tmp_path)).collect())
+    assert out == [("a.zip", "two", 0, "UNKNOWN", hashlib.sha256(b"").hexdigest(), None), ("a.zip", "x/one.pdf", 13, "PDF", hashlib.sha256(b"%PDF-1.7 rest").hexdigest(), None), ("b.zip", "", None, None, None, "BadZipFile")]
+    shards = [spark.range(0, 5), spark.range(5, 9)]
+    assert [r.id for r in files.merged_shards(shards, "id", 9).collect()] == list(range(9))
+    for expected, parts in ((8, shards), (10, [*shards, spark.range(1)])):
+        with pytest.raises(ValueError, match="expected"):
+            files.merged_shards(parts, "id", expected)
+
+
+def test_isotonic_fit_equals_pooling(spark, small_dir):
+    labels, docs = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("labels", "documents"))
+    points: dict[float, list[int]] = {}
+    for r in labels.join(docs.select("doc_id", "n_chars"), "doc_id").collect():
+        points.setdefault(round(float(np.log1p(r.n_chars)), 3), []).append(r.quality)
+    pools: list[list[float]] = []  # value, weight, first, last score
+    for x in sorted(points):
+        pools.append([sum(points[x]) / len(points[x]), len(points[x]), x, x])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            b, a = pools.pop(), pools.pop()
+            pools.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2], b[3]])
+    rows = catalogue.queries()["isotonic_fit"](spark, small_dir).collect()
+    for r in rows:
+        assert any(p[2] - 1e-9 <= r.threshold <= p[3] + 1e-9 and p[0] == pytest.approx(r.value) for p in pools)
+    assert {round(r.value, 9) for r in rows} == {round(p[0], 9) for p in pools}
+
+
+def test_fingerprints_equal_the_standard_library(spark, small_dir):
+    names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{small_dir}/customer.parquet").collect()}
+    out = catalogue.queries()["identity_fingerprints"](spark, small_dir).collect()
+    assert len(out) == len(names)
+    for r in out:
+        assert r.fingerprint == hmac.new(b"review-key", names[r.c_custkey].encode(), hashlib.sha256).hexdigest() and r.uuid == str(uuid.uuid5(uuid.NAMESPACE_DNS, names[r.c_custkey]))
+
+
+def test_balanced_top(spark):
+    df = spark.createDataFrame([("a", k) for k in range(9)] + [("b", 1), ("c", 1), ("c", 2)], "g string, k int")
+    assert Counter(r.g for r in governance.balanced_top(df, "g", [F.col("k")], 8).collect()) == {"a": 5, "b": 1, "c": 2}
