@@ -384,10 +384,11 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # only the sets of these pairs are moved
-    side = lambda c, x: sets.join(_small(staged(pairs.select(F.col(c).alias("set_id")).distinct(), "ends")), "set_id", "left_semi").select(F.col("set_id").alias(c), F.col("shingles").alias(x))
+    near = F.broadcast if pairs.count() <= BROADCAST_LISTS else (lambda df: df)
+    left = sets.withColumnsRenamed({"set_id": "a", "shingles": "x"}).join(near(pairs.select("a", "b")), "a")
+    right = sets.withColumnsRenamed({"set_id": "b", "shingles": "y"}).join(near(pairs.select("b").distinct()), "b", "left_semi")
     return (
-        pairs.select("a", "b").join(side("a", "x"), "a")
-        .join(side("b", "y"), "b")
+        left.join(right, "b")
         .select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
     )
 
@@ -490,22 +491,23 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_LISTS else keys
 
 
-def _open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """key, a, label, size, rest, major: members of the lists that aren't in one group yet."""
-    named = staged(lists.join(_labels(links).withColumnRenamed("node", "a"), "a", "left").select("key", "a", F.coalesce("component", "a").alias("label")), "named")
+    named = staged(lists.join(labels.withColumnRenamed("node", "a"), "a", "left").select("key", "a", F.coalesce("component", "a").alias("label")), "named")
     spread = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
     spread = staged(spread.filter("size > top.n").select("key", "size", (F.col("size") - F.col("top.n")).alias("rest"), F.col("top.label").alias("top")), "spread")
     return named.join(_small(spread), "key").select("key", "a", "label", "size", "rest", (F.col("label") == F.col("top")).alias("major"))
 
 
-def similarity_links(docs: DataFrame, bitmaps: DataFrame, total: int, shingle: int = SHINGLE, threshold: int = THRESHOLD, short: int = SHORT_LIST, rounds: int = NEAREST_ROUNDS, frequent_from: int = FREQUENT_FROM, block: int = BLOCK_MEMBERS) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between set ids whose components are those of all links.
+def similarity_links(docs: DataFrame, bitmaps: DataFrame, total: int, shingle: int = SHINGLE, threshold: int = THRESHOLD, short: int = SHORT_LIST, rounds: int = NEAREST_ROUNDS, frequent_from: int = FREQUENT_FROM, block: int = BLOCK_MEMBERS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified links (a, b) between set ids whose components are those of all links, these components, and sets.
 
     Every two sets that link are either verified here, or were already joined
     by verified links when their posting list was looked at. ``bitmaps`` has
     set_id, n and bitmap of every set, ``total`` is their number of shingles.
-    Also returns the sets (set_id, shingles) fetched for that: those of the
-    first pairs, and once those of the lists that aren't in one group then.
+    Also returns the components (node, component) and the sets (set_id,
+    shingles) fetched for that: those of the pairs verified. The members of long
+    lists aren't, as few of them are ever compared.
     """
     frequent = frequent_codes(docs, total, shingle, frequent_from)
     found = staged(candidates(docs, frequent, total, shingle, threshold, short), "candidates")
@@ -513,27 +515,28 @@ def similarity_links(docs: DataFrame, bitmaps: DataFrame, total: int, shingle: i
     lists = staged(_gathered(found.filter("kind = 1").select("key", "a")), "lists")
     sets = with_sets(docs, tried.select(F.explode(F.array("a", "b")).alias("set_id")), shingle, None)
     links = staged(verified(tried, sets, threshold), "links")
+    labels = _labels(links)
     if lists.isEmpty():
-        return links, sets
+        return links, labels, sets
     nearest = NEAREST if rounds > 0 else None
-    first = True
     while True:
-        open_ = staged(_open_lists(lists, links), "open")
+        open_ = staged(_open_lists(lists, labels), "open")
         if open_.isEmpty():
-            return links, sets
-        if first:  # whatever is verified from now on is a member of these lists
-            sets, first = with_sets(docs, open_.select(F.col("a").alias("set_id")), shingle, sets), False
+            return links, labels, sets
         pairs = staged(_in_blocks(open_, bitmaps, threshold, block, nearest), "partners")
         new = staged(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
         merged = False
         if not new.isEmpty():
+            sets = with_sets(docs, new.select(F.explode(F.array("a", "b")).alias("set_id")), shingle, sets)
             more = staged(verified(new, sets, threshold), "links")
             tried = staged(tried.union(new), "tried")
             if merged := not more.isEmpty():
                 links = staged(links.union(more), "links")
+                # groups so far are stars already, so this settles in a few rounds
+                labels = _labels(labels.toDF("a", "b").union(more))
         again = staged(pairs.filter("more").select("key").distinct(), "again")
         if again.isEmpty():  # all that may link was compared
-            return links, sets
+            return links, labels, sets
         lists = staged(lists.join(_small(again), "key", "left_semi"), "lists")
         rounds -= 1
         nearest = NEAREST if merged and rounds > 0 else None
@@ -630,8 +633,7 @@ def _classes(docs: DataFrame, shingle: int, threshold: int, count: bool, **how)
     docs_sets = staged(document_sets(docs, shingle), "document-sets")
     total = docs_sets.agg(F.sum("n_shingles")).first()[0] or 0
     bitmaps = staged(docs_sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap")), "bitmaps")
-    links, sets = similarity_links(docs, bitmaps, total, shingle, threshold, **how)
-    labels = _labels(links)
+    _, labels, sets = similarity_links(docs, bitmaps, total, shingle, threshold, **how)
     classes = docs_sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     grouped = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     if count:
