@@ -82,6 +82,22 @@ def revised(old: DataFrame, new: DataFrame) -> DataFrame:
     return signed(old, -1).unionByName(signed(new, 1))
 
 
+def surplus_copies(rows: DataFrame) -> DataFrame:
+    """Changes that take out all but one of the documents with equal texts, from rows of ``counted``.
+
+    Copies are summed up by text, source and language before anything is joined,
+    so a text with very many copies is a row for each of its sources.
+    """
+    of, version = ["digest", "source", "lang", "tokenizer_version"], ["digest", "tokenizer_version"]
+    each = rows.filter("digest IS NOT NULL").groupBy(*of).agg(
+        F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("t"), F.max("n_bytes").alias("b"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    )
+    stays = each.groupBy(*version).agg(F.min(F.struct("first", "source", "lang")).alias("s"), F.sum("n").alias("all")).filter("all > 1")
+    less = F.col("n") - ((F.col("source") == F.col("s.source")) & (F.col("lang") == F.col("s.lang"))).cast("long")
+    gone = each.join(stays, version).select(*GROUP, less.alias("n"), "t", "b").filter("n > 0")
+    return gone.select(*GROUP, (-F.col("n")).alias("n_docs"), (-F.col("n") * F.col("t")).alias("n_tokens"), (-F.col("n") * F.col("b")).alias("n_bytes"))
+
+
 def _sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS))
 
@@ -101,13 +117,14 @@ def commit(ledger: str, batch_id: str, changes: DataFrame) -> bool:
     """Add a batch of changes to the ledger; false if that batch is in it already.
 
     One writer at a time for each batch id; a batch without changes is
-    committed as well.
+    committed as well. The driver reads the names of batches, one each, and
+    nothing of what is in them.
     """
     spark = changes.sparkSession
     path = f"{ledger}/batches/{batch_id}"
     if _exists(spark, f"{path}/_SUCCESS") or batch_id in _snapshot(spark, ledger)[1]:
         return False
-    _sums(changes).coalesce(1).write.mode("overwrite").parquet(path)
+    _sums(changes).write.mode("overwrite").parquet(path)
     return True
 
 
@@ -143,7 +160,7 @@ def compact(spark: SparkSession, ledger: str) -> None:
         return
     number = len(_children(spark, f"{ledger}/snapshots"))
     path = f"{ledger}/snapshots/{number:012d}"
-    totals(spark, ledger).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    totals(spark, ledger).write.mode("overwrite").parquet(f"{path}/totals")
     spark.createDataFrame([(b,) for b in sorted(done | set(pending))], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/members")
 
 
@@ -152,8 +169,12 @@ def rollup(docs: DataFrame, ledger: str | None = None) -> DataFrame:
 
     Documents come in with a quarter of their characters as token count, as a
     catalogue has it; all are then counted and revised; of equal texts all but
-    the one with the smallest doc_id are deleted. The revision is sent twice,
-    and counts once.
+    one are deleted. The revision is sent twice, and counts once. The text that
+    stays is that with the smallest doc_id (null last), then source, then
+    language; rows equal in these too are still several, of which one stays.
+    Null texts aren't copies of each other, and all stay. Texts are counted
+    whole; an empty table gives an empty result; columns of ``docs`` other than
+    doc_id, text, source and lang are left alone.
     """
     spark = docs.sparkSession
     ledger = ledger or f"{shared_folder(spark)}/claimweave/{uuid.uuid4().hex}/ledger"
@@ -162,9 +183,7 @@ def rollup(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     commit(ledger, "0001-estimates", signed(first, 1))
     for _ in range(2):
         commit(ledger, "0002-revision", revised(first, real))
-    least = real.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    copies = real.join(least.filter(F.col("copies") > len(COUNTERS)), "digest").filter("doc_id <> least")
-    commit(ledger, "0003-copies", signed(copies, -1))
+    commit(ledger, "0003-copies", surplus_copies(real))
     compact(spark, ledger)
     return totals(spark, ledger)
 
@@ -173,7 +192,7 @@ def rollup(docs: DataFrame, ledger: str | None = None) -> DataFrame:
 ROLLUP_SQL = r"""
 WITH kept AS (
   SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS body
-  FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS least FROM documents) WHERE text IS NULL OR doc_id = least
+  FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST, coalesce(source, ''), coalesce(lang, '')) AS k FROM documents) WHERE text IS NULL OR k = 1
 ), counts AS (
   SELECT source, lang, 'spaced-words-1' AS tokenizer_version, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS t, strlen(body) AS b FROM kept
   UNION ALL

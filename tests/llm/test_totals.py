@@ -103,6 +103,15 @@ def test_rollup_equals_sql(documents):
     assert out == duck(documents).sql(f"SELECT source, lang, tokenizer_version, n_docs, n_tokens, n_bytes FROM ({token_rollup.ROLLUP_SQL}) ORDER BY ALL").fetchall()
 
 
+def test_one_of_equal_texts_stays(spark):
+    """Whatever their ids: null, repeated, in several sources; the query and its SQL agree."""
+    rows = [(None, "a b", "en", "s"), (None, "a b", "en", "s"), (None, "a b", "de", "s"), (3, "x", "en", "s"), (3, "x", "en", "s"), (3, "x", "en", "r"), (5, None, None, None), (5, None, None, None), (6, "y z", None, "s"), (7, "y z", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = sorted(map(tuple, token_rollup.rollup(docs.selectExpr("*", "1 AS n_tokens", "2 AS digest")).select("source", "lang", "tokenizer_version", "n_docs", "n_tokens", "n_bytes").collect()))
+    assert out == duck(docs).sql(f"SELECT source, lang, tokenizer_version, n_docs, n_tokens, n_bytes FROM ({token_rollup.ROLLUP_SQL}) ORDER BY ALL").fetchall()
+    assert sum(r[3] for r in out) == 2 * 5
+
+
 def test_batches_count_once(spark, documents, no_documents, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     assert token_rollup.totals(spark, ledger).count() == 0
