@@ -21,6 +21,11 @@ FORM_LABELS = ("SYNTHETIC", "DOCUMENT", "OFFICIAL FORM", "PATIENT NAME", "PROVID
 #: Labels of an address or a city, and what streets end in.
 PLACE_LABELS = r"(?i)\b(?:PATIENT|ADDRESS|CITY|STATE|ZIP|INSURED)\b"
 STREETS = r"\b(?:STREET|ST|ROAD|RD|AVENUE|AVE|LANE|LN|DRIVE|DR)\b"
+#: Labels of a form that a name or an address read from it may hold by mistake.
+READ_LABELS = r"(?i)\b(?:PATIENT'?S?|ADDRESS|BIRTH\s*DATE|ADMISSION|SEX|STREET|CITY|STATEA?|STAEA|ZIP\s*CODE|INSURED|CLAIM)\b"
+#: Relationship codes, and formats of a date in claim evidence.
+RELATIONSHIPS = ("01", "02", "19", "G8", "09")
+EVIDENCE_DATES = (("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "y-M-d"), ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/y"), ("^[0-9]{8}$", "MMddyyyy"), ("^[0-9]{6}$", "MMddyy"), ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", "M/d/yy"))
 _SPACE = r"\s+"
 
 
@@ -59,6 +64,32 @@ def type_compatibility(value: Column, kind: Column, field: Column) -> Column:
     return out.when(kind.isin(*TEXT_TYPES), F.when(labelled, 0.05).when(~raw.rlike("[A-Za-z]"), 0.0).otherwise(0.8)).otherwise(0.7)
 
 
+def evidence_date(value: Column) -> Column:
+    """A date in one of the formats of claim evidence, the first that fits; two-digit years from 69 on are of the last century."""
+    v = F.trim(value)
+    out = []
+    for shape, form in EVIDENCE_DATES:
+        day = F.when(v.rlike(shape), F.try_to_timestamp(v, F.lit(form))).cast("date")
+        if form.endswith("yy") and not form.endswith("yyyy"):
+            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+        out.append(day)
+    return F.coalesce(*out)
+
+
+def candidate_valid(field: Column, value: Column) -> Column:
+    """Whether a value may stand in its field: codes, states, tax ids, postal codes, names and addresses have rules, anything else must not be empty."""
+    upper = F.upper(value)
+    whole = lambda shape: value.rlike(f"^(?:{shape})$")
+    name = ~value.rlike(READ_LABELS) & ~value.rlike("[0-9]") & (F.size(F.split(F.trim(value), _SPACE)) <= 2) & F.trim(value, F.lit(" ,")).rlike(r"^[A-Za-z][A-Za-z'.-]*$")
+    street = ~value.rlike(READ_LABELS) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    out = (
+        F.when(F.coalesce(value, F.lit("")) == "", F.lit(False)).when(field == "rel_code", upper.isin(*RELATIONSHIPS)).when(field == "patient_sex", upper.isin("M", "F", "U")).when(field.endswith("_state"), whole("[A-Za-z]{2}"))
+        .when(field.isin("federal_tax_id", "federal_tax_no"), whole("[0-9]{9}")).when(field.endswith("_zip"), (value != "999999999") & whole("[0-9]{5}|[0-9]{9}")).when(field.isin("insured_addr1", "insured_addr2", "insured_city") & (upper == "NA"), F.lit(False))
+        .when(field.isin("patient_first", "patient_last"), name).when(field.endswith("addr1") | field.endswith("addr2"), street).when(field.endswith("_city"), whole("[A-Za-z .'-]{2,}") & ~upper.isin("CITY", "STATE", "ZIP CODE"))
+    )
+    return out.otherwise(F.lit(True))
+
+
 def clean_city(value: Column) -> Column:
     """A city in capitals, without what isn't a letter, blank, point, apostrophe or hyphen; null if nothing is left or it has a label."""
     v = F.upper(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"[^A-Za-z .'-]", " "), _SPACE, " "), r"^[ .'-]+|[ .'-]+$", ""))

@@ -73,3 +73,13 @@ def effect_size(rows: DataFrame, value: str, group: Column, key: list[str]) -> D
     pooled = F.sqrt(((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / F.nullif(F.col("n0") + F.col("n1") - 2, F.lit(0)))
     d = F.when((F.col("n0") > 1) & (F.col("n1") > 1) & (pooled > 0), (F.col("m1") - F.col("m0")) / pooled)
     return g.select(*key, "n0", "n1", d.alias("effect"))
+
+
+def binned_error(rows: DataFrame, probability: str, label: str, bins: int = 10) -> DataFrame:
+    """n and error: the calibration error over half-open bins, weighted by all rows; a probability of 1 is in none of them, but counts."""
+    p = F.col(probability)
+    at = F.when((p >= 0) & (p < 1), F.floor(p * bins).cast("int"))
+    each = rows.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("k"), F.avg(p).alias("p"), F.avg(F.col(label).cast("double")).alias("y"))
+    whole = F.sum("k")
+    gap = F.sum(F.when(F.col("bin").isNotNull(), F.col("k") * F.abs(F.col("y") - F.col("p"))))
+    return each.agg(whole.alias("n"), (F.coalesce(gap, F.lit(0.0)) / F.greatest(whole, F.lit(1))).alias("error"))

@@ -199,3 +199,16 @@ def claim_quality(fields: DataFrame, claim: str, confidence: str, critical: str,
     weakest = F.coalesce("weakest_critical", F.lit(1.0))
     reasons = F.array_compact(F.array(F.when(F.col("completeness") < least_complete, "INCOMPLETE"), F.when(weakest < least_critical, "CRITICAL_CONFIDENCE_LOW")))
     return agg.select(claim, "completeness", "weakest_critical", F.least("completeness", weakest, F.coalesce("__any", F.lit(0.0))).alias("quality"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def with_criticality(rows: DataFrame, levels: DataFrame, field: str, level: str, default: str = "C1") -> DataFrame:
+    """``rows`` with the level of their field; fields that the policy table (field, level; a row each) doesn't name have the default."""
+    return rows.join(F.broadcast(levels.select(field, level)), field, "left").withColumn(level, F.coalesce(level, F.lit(default)))
+
+
+def finalisation_gate(stored: DataFrame, recomputed: DataFrame, claim: str, decision: str, accepted: str = "STP") -> DataFrame:
+    """claim, outcome of every stored claim: RELEASED if decided anew it is the same and accepted, else why not."""
+    again = recomputed.select(claim, F.col(decision).alias("__again"))
+    same = F.col(decision) == F.col("__again")
+    outcome = ladder((F.col("__again").isNull(), "NOT_RECOMPUTED"), (~_yes(same), "PARITY_FAILED"), (F.col(decision) == accepted, "RELEASED"), otherwise="NOT_STP")
+    return stored.join(again, claim, "left").select(claim, outcome.alias("outcome"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import candidates as c
-from ..operators import governance, policies
+from ..operators import governance, metrics, policies
 from ..sources.tables import table
 from .base import Catalogue
 
@@ -240,3 +240,47 @@ def path_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balanced_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty events, as even over the types as they allow."""
     return governance.balanced_top(table(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", [F.col("event_id")], 50)
+
+
+@query("""WITH v AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'patient_last' WHEN 1 THEN 'patient_sex' WHEN 2 THEN 'insured_addr1' WHEN 3 THEN 'insured_zip' ELSE 'provider_city' END AS field, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN CAST(10000 + c_custkey AS VARCHAR) ELSE '12 Oak' END AS value FROM customer)
+SELECT field, count(*) AS n, count(*) FILTER (WHERE CASE field WHEN 'patient_last' THEN NOT regexp_matches(value, '[0-9]') AND regexp_full_match(value, '[A-Za-z][A-Za-z''.-]*') WHEN 'patient_sex' THEN upper(value) IN ('M', 'F', 'U') WHEN 'insured_addr1' THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+ WHEN 'insured_zip' THEN regexp_full_match(value, '[0-9]{5}') ELSE regexp_full_match(value, '[A-Za-z .''-]{2,}') END) AS valid FROM v GROUP BY 1""")
+def valid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values may stand in their field."""
+    key = F.col("c_custkey")
+    field = F.when(key % 5 == 0, "patient_last").when(key % 5 == 1, "patient_sex").when(key % 5 == 2, "insured_addr1").when(key % 5 == 3, "insured_zip").otherwise("provider_city")
+    value = F.when(key % 3 == 0, F.col("c_mktsegment")).when(key % 3 == 1, (key + 10000).cast("string")).otherwise("12 Oak")
+    return table(spark, sf_dir, "customer").groupBy(field.alias("field")).agg(F.count(F.lit(1)).alias("n"), F.count_if(c.candidate_valid(field, value)).alias("valid"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""")
+def evidence_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days written in the five formats of claim evidence, and in one that isn't."""
+    key, day = F.col("o_orderkey") % 6, F.col("o_orderdate")
+    written = F.when(key == 0, F.date_format(day, "yyyy-MM-dd"))
+    for k, form in enumerate(("MM/dd/yyyy", "MMddyyyy", "MMddyy", "M/d/yy", "dd.MM.yyyy"), 1):
+        written = F.when(key == k, F.date_format(day, form)).otherwise(written)
+    return table(spark, sf_dir, "orders").select("o_orderkey", c.evidence_date(written).alias("day"))
+
+
+@query("""SELECT CASE event_type WHEN 'purchase' THEN 'C3' WHEN 'login' THEN 'C2' WHEN 'view' THEN 'C0' ELSE 'C1' END AS level, count(*) AS n FROM events GROUP BY 1""")
+def criticality_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = spark.createDataFrame([("purchase", "C3"), ("login", "C2"), ("view", "C0")], "event_type string, level string")
+    return policies.with_criticality(table(spark, sf_dir, "events").select("event_type"), levels, "event_type", "level").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'STP' ELSE 'HITL' END AS d FROM orders), r AS (SELECT l_orderkey, CASE WHEN bool_and(l_linestatus = 'F') AND max(l_discount) < 0.09 THEN 'STP' ELSE 'HITL' END AS d FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS claim, CASE WHEN r.d IS NULL THEN 'NOT_RECOMPUTED' WHEN s.d <> r.d THEN 'PARITY_FAILED' WHEN s.d = 'STP' THEN 'RELEASED' ELSE 'NOT_STP' END AS outcome FROM s LEFT JOIN r ON o_orderkey = l_orderkey""")
+def claims_released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored decisions against those made anew from the fields."""
+    stored = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim"), F.when(F.col("o_orderstatus") == "F", "STP").otherwise("HITL").alias("decision"))
+    anew = F.when(F.bool_and(F.col("l_linestatus") == "F") & (F.max("l_discount") < 0.09), "STP").otherwise("HITL")
+    recomputed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim")).agg(anew.alias("decision"))
+    return policies.finalisation_gate(stored, recomputed, "claim", "decision")
+
+
+@query("""WITH e AS (SELECT (event_id % 101) / 100.0 AS p, CAST(event_id % 3 = 0 AS INTEGER) AS y FROM events), b AS (SELECT CASE WHEN p < 1 THEN CAST(floor(p * 10) AS INTEGER) END AS bin, count(*) AS k, avg(p) AS p, avg(y) AS y FROM e GROUP BY 1)
+SELECT CAST(sum(k) AS BIGINT) AS n, round(sum(CASE WHEN bin IS NOT NULL THEN k * abs(y - p) END) / sum(k), 9) AS error FROM b""")
+def binned_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(((F.col("event_id") % 101) / 100.0).alias("p"), (F.col("event_id") % 3 == 0).cast("int").alias("y"))
+    return metrics.binned_error(e, "p", "y").select("n", F.round("error", 9).alias("error"))

@@ -41,6 +41,31 @@ def test_digit_dates(spark):
     assert [None if d is None else str(d) for d in values(spark, [(v,) for v, _ in cases], "v string", c.digit_date(F.col("v")))] == [d for _, d in cases]
 
 
+def test_evidence_dates(spark):
+    import datetime
+
+    forms = ("%Y-%m-%d", "%m/%d/%Y", "%m%d%Y", "%m%d%y", "%m/%d/%y")
+    cases = ["2024-02-29", "2023-02-29", "2/3/2024", "02032024", "020369", "020368", "2/3/69", " 12/31/99 ", "31122020", "", "x", None]
+
+    def plain(v):
+        for f in forms:
+            try:
+                return datetime.datetime.strptime((v or "").strip(), f).date()
+            except ValueError:
+                continue
+        return None
+
+    assert values(spark, [(v,) for v in cases], "v string", c.evidence_date(F.col("v"))) == [plain(v) for v in cases]
+
+
+def test_valid_candidates(spark):
+    cases = [
+        ("rel_code", "g8", True), ("rel_code", "03", False), ("patient_sex", "u", True), ("x_state", "Tx", True), ("x_state", "Tex", False), ("federal_tax_id", "123456789", True), ("federal_tax_no", "12-3456789", False), ("x_zip", "999999999", False), ("x_zip", "12345", True),
+        ("insured_city", "na", False), ("patient_first", "O'Neil,", True), ("patient_first", "Patient's", False), ("patient_last", "A B C", False), ("insured_addr1", "12 Oak", True), ("insured_addr1", "12", False), ("x_addr2", "12 street", False), ("x_city", "St. Paul", True), ("x_city", "CITY", False), ("other", "x", True), ("other", "", False), ("other", None, False),
+    ]
+    assert values(spark, [x[:2] for x in cases], "f string, v string", c.candidate_valid(F.col("f"), F.col("v"))) == [x[2] for x in cases]
+
+
 def test_places(spark):
     cities = [("st. Paul!", "ST. PAUL"), ("CITY of x", None), ("  ", None), ("a", None), ("o'fallon -", "O'FALLON"), (None, None)]
     assert values(spark, [(v,) for v, _ in cities], "v string", c.clean_city(F.col("v"))) == [x for _, x in cities]
