@@ -65,3 +65,61 @@ def cheapest_route(options: list[tuple[str, list[str], float]], available: Colum
         )
     )
     return F.array_min(routes)
+
+
+def field_decision(missing: Column, contradicted: Column, by_reference: Column, confidence: Column, accept_from: float = 0.98, corroborate_from: float = 0.94) -> Column:
+    """A field's place on the decision ladder."""
+    return ladder(
+        (missing, "HITL_MISSING"), (contradicted, "HITL_CONTRADICTION"), (by_reference, "REFERENCE_CONFIRMED"), (confidence >= accept_from, "AUTO_ACCEPT"), (confidence >= corroborate_from, "ACCEPT_WITH_CORROBORATION"), otherwise="HITL_LOW_CONFIDENCE"
+    )
+
+
+def label_refusals(reviewer: Column, approver: Column, contradictory: Column, held_out: Column) -> Column:
+    """Why a label may not be used for training; '' if it may."""
+    return reasons((reviewer == approver, "SELF_APPROVAL"), (contradictory, "CONTRADICTORY"), (held_out, "HOLDOUT_MEMBER"))
+
+
+def challenger_verdict(primary: Column, challenger: Column, primary_valid: Column, independent: Column, unsafe: Column) -> Column:
+    """Whether a challenger's value replaces the primary one: only an independent one does, and only an invalid one."""
+    return ladder((unsafe, "HITL"), (challenger.isNull(), "KEEP_PRIMARY"), (challenger == primary, "KEEP"), (~primary_valid & independent, "USE_CHALLENGER"), otherwise="HITL")
+
+
+def largest_risk(signals: dict[str, Column], flagged_from: float = 0.5) -> Column:
+    """Struct (risk, reasons): the largest of several signals (at least two), and those at or over the threshold."""
+    return F.struct(F.greatest(*signals.values()).alias("risk"), reasons(*((x >= flagged_from, name) for name, x in signals.items())).alias("reasons"))
+
+
+def form_status(traits: list[Column], essential: Column, verified_from: int, ambiguous_from: int) -> Column:
+    """Struct (score, status): the part of a form's traits that are there; without the essential one a form isn't verified."""
+    n = F.size(F.filter(F.array(*traits), lambda x: x))
+    status = ladder(((n >= verified_from) & essential, "VERIFIED"), (n >= ambiguous_from, "AMBIGUOUS"), otherwise="REJECTED")
+    return F.struct((n / float(len(traits))).alias("score"), status.alias("status"))
+
+
+def with_consensus(rows: DataFrame, population: list[str], value: str, document: str, anchored: Column, least: int = 3) -> DataFrame:
+    """The rows whose value enough documents of their population share, one of them anchored."""
+    agreed = rows.groupBy(*population, value).agg(F.countDistinct(document).alias("__n"), F.bool_or(anchored).alias("__anchored")).filter((F.col("__n") >= least) & F.col("__anchored"))
+    return rows.join(agreed, [*population, value], "left_semi")
+
+
+def routing_summary(rows: DataFrame, truth: str, route: str, wrong_risk: Column, abstain_risk: float = 5.0) -> DataFrame:
+    """truth, n, accuracy, abstained, mean_risk: a right route has no risk, an abstention little."""
+    n = F.count(F.lit(1))
+    risk = F.when(F.col(route).isNull(), abstain_risk).when(F.col(route) == F.col(truth), 0.0).otherwise(wrong_risk.cast("double"))
+    part = lambda c: F.count_if(c).cast("double") / n
+    return rows.groupBy(truth).agg(n.alias("n"), part(F.col(route) == F.col(truth)).alias("accuracy"), part(F.col(route).isNull()).alias("abstained"), (F.sum(risk) / n).alias("mean_risk"))
+
+
+def segment_gates(rows: DataFrame, segment: str, reviewed: Column, false_accept: Column, latency: str, least: int = 100, most_reviewed: float = 0.3, most_false: int = 0) -> DataFrame:
+    """segment, claims, review_rate, false_accepts, p95 and the gates that a shadow run fails."""
+    s = rows.groupBy(segment).agg(F.count(F.lit(1)).alias("claims"), F.count_if(reviewed).alias("__r"), F.count_if(false_accept).alias("false_accepts"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{latency}`)").alias("p95"))
+    rate = F.col("__r").cast("double") / F.col("claims")
+    failed = reasons((F.col("claims") < least, "ENOUGH"), (rate > most_reviewed, "REVIEW"), (F.col("false_accepts") > most_false, "FALSE_ACCEPTS"))
+    return s.select(segment, "claims", rate.alias("review_rate"), "false_accepts", "p95", failed.alias("failed"))
+
+
+def best_schema(fields: Column, known: dict[str, list[str]], least: float = 0.45, otherwise: str = "UNKNOWN") -> Column:
+    """Struct (schema, overlap): the schema whose fields (an array) are best covered; of equal ones the last by name."""
+    scores = F.array(*(F.struct((F.size(F.array_intersect(fields, F.array(*map(F.lit, needs)))) / F.lit(float(len(needs)))).alias("overlap"), F.lit(name).alias("schema")) for name, needs in known.items()))
+    best = F.array_max(scores)
+    return F.struct(F.when(best["overlap"] >= least, best["schema"]).otherwise(otherwise).alias("schema"), best["overlap"].alias("overlap"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
+from ..functions import text
 from ..operators import decisions as d
 from ..operators import joins
 from ..sources.tables import table
@@ -18,11 +18,7 @@ query = catalogue.query
 @query("""SELECT l_orderkey AS claim_id, l_linenumber AS line, CASE WHEN l_quantity IS NULL THEN 'HITL_MISSING' WHEN l_suppkey % 9 = 0 AND l_discount > 0.08 THEN 'HITL_CONTRADICTION' WHEN l_tax < 0.01 THEN 'REFERENCE_CONFIRMED' WHEN 1 - l_discount >= 0.98 THEN 'AUTO_ACCEPT' WHEN 1 - l_discount >= 0.94 THEN 'ACCEPT_WITH_CORROBORATION' ELSE 'HITL_LOW_CONFIDENCE' END AS decision, count(*) AS n FROM lineitem GROUP BY ALL""")
 def field_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each field's place on the decision ladder."""
-    confidence = 1 - F.col("l_discount")
-    decision = d.ladder(
-        (F.col("l_quantity").isNull(), "HITL_MISSING"), ((F.col("l_suppkey") % 9 == 0) & (F.col("l_discount") > 0.08), "HITL_CONTRADICTION"), (F.col("l_tax") < 0.01, "REFERENCE_CONFIRMED"),
-        (confidence >= 0.98, "AUTO_ACCEPT"), (confidence >= 0.94, "ACCEPT_WITH_CORROBORATION"), otherwise="HITL_LOW_CONFIDENCE",
-    )
+    decision = d.field_decision(F.col("l_quantity").isNull(), (F.col("l_suppkey") % 9 == 0) & (F.col("l_discount") > 0.08), F.col("l_tax") < 0.01, 1 - F.col("l_discount"))
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("line"), decision.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -85,7 +81,7 @@ SELECT doc_id, concat_ws(',', CASE WHEN reviewer = approver THEN 'SELF_APPROVAL'
 def trusted_label_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a label may not be used for training."""
     key = F.col("doc_id")
-    found = d.reasons((key % 4 == key % 3, "SELF_APPROVAL"), ((F.col("toxic") == 1) & (F.col("quality") == 1), "CONTRADICTORY"), (key % 10 == 0, "HOLDOUT_MEMBER"))
+    found = d.label_refusals(key % 4, key % 3, (F.col("toxic") == 1) & (F.col("quality") == 1), key % 10 == 0)
     return table(spark, sf_dir, "labels").select("doc_id", found.alias("reasons")).withColumn("eligible", F.col("reasons") == "")
 
 
@@ -93,8 +89,7 @@ def trusted_label_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN unsafe THEN 'HITL' WHEN challenger IS NULL THEN 'KEEP_PRIMARY' WHEN challenger = primary_value THEN 'KEEP' WHEN NOT primary_valid AND independent THEN 'USE_CHALLENGER' ELSE 'HITL' END AS verdict FROM l""")
 def challenger_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
-    challenger = F.when(key % 6 != 0, 1 - F.col("toxic"))
-    verdict = d.ladder((key % 11 == 0, "HITL"), (challenger.isNull(), "KEEP_PRIMARY"), (challenger == F.col("quality"), "KEEP"), ((key % 5 == 0) & (key % 7 != 0), "USE_CHALLENGER"), otherwise="HITL")
+    verdict = d.challenger_verdict(F.col("quality"), F.when(key % 6 != 0, 1 - F.col("toxic")), key % 5 != 0, key % 7 != 0, key % 11 == 0)
     return table(spark, sf_dir, "labels").select("doc_id", verdict.alias("verdict"))
 
 
@@ -103,8 +98,8 @@ SELECT page_id, CAST(greatest(form, short, bold) AS DOUBLE) AS risk, concat_ws('
 def wrong_crop_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk as the largest of several signals, and the signals that are over the threshold."""
     html = F.col("html")
-    form, short, bold = F.when(F.contains(html, F.lit("<form")), 0.9).otherwise(0.1), F.when(F.length(html) < 1200, 0.8).otherwise(0.2), F.when(F.contains(html, F.lit("<b>")), 0.6).otherwise(0.0)
-    return table(spark, sf_dir, "pages").select("page_id", F.greatest(form, short, bold).alias("risk"), d.reasons((form >= 0.5, "FORM"), (short >= 0.5, "SHORT"), (bold >= 0.5, "BOLD")).alias("reasons"))
+    signals = {"FORM": F.when(F.contains(html, F.lit("<form")), 0.9).otherwise(0.1), "SHORT": F.when(F.length(html) < 1200, 0.8).otherwise(0.2), "BOLD": F.when(F.contains(html, F.lit("<b>")), 0.6).otherwise(0.0)}
+    return table(spark, sf_dir, "pages").select("page_id", d.largest_risk(signals).alias("r")).select("page_id", "r.risk", "r.reasons")
 
 
 @query("""WITH t AS (SELECT page_id, CAST(contains(html, '<nav') AS INTEGER) + CAST(contains(html, '<h1>') AS INTEGER) + CAST(contains(html, '<footer') AS INTEGER) + CAST(contains(html, '<table') AS INTEGER) AS n, contains(html, '<article>') AS essential FROM pages)
@@ -112,17 +107,16 @@ SELECT page_id, n / 4.0 AS score, CASE WHEN n >= 3 AND essential THEN 'VERIFIED'
 def form_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traits of a standard form that a page has."""
     has = lambda s: F.contains("html", F.lit(s))
-    n = F.size(F.filter(F.array(*(has(s) for s in ("<nav", "<h1>", "<footer", "<table"))), lambda x: x))
-    return table(spark, sf_dir, "pages").select("page_id", (n / 4.0).alias("score"), d.ladder(((n >= 3) & has("<article>"), "VERIFIED"), (n >= 2, "AMBIGUOUS"), otherwise="REJECTED").alias("status"))
+    status = d.form_status([has(s) for s in ("<nav", "<h1>", "<footer", "<table")], has("<article>"), 3, 2)
+    return table(spark, sf_dir, "pages").select("page_id", status.alias("s")).select("page_id", "s.score", "s.status")
 
 
-@query("""WITH w AS (SELECT source, lang, substr(text, 1, 1) AS value, count(DISTINCT doc_id) AS docs, bool_or(n_chars > 5000) AS anchored FROM documents GROUP BY 1, 2, 3)
-SELECT d.doc_id FROM documents d JOIN w ON w.source = d.source AND w.lang = d.lang AND w.value = substr(d.text, 1, 1) WHERE docs >= 3 AND anchored""")
+@query("""WITH w AS (SELECT source, lang, n_chars // 100 AS value, count(DISTINCT doc_id) AS docs, bool_or(n_chars > 500) AS anchored FROM documents GROUP BY 1, 2, 3)
+SELECT d.doc_id FROM documents d JOIN w ON w.source = d.source AND w.lang = d.lang AND w.value = d.n_chars // 100 WHERE docs >= 3 AND anchored""")
 def population_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that enough documents of a population share, one of them anchored, hold for all of these."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 1).alias("value"), "n_chars")
-    agreed = docs.groupBy("source", "lang", "value").agg(F.countDistinct("doc_id").alias("n"), F.bool_or(F.col("n_chars") > 5000).alias("anchored")).filter("n >= 3 AND anchored")
-    return docs.join(agreed, ["source", "lang", "value"], "left_semi").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.floor(F.col("n_chars") / 100).alias("value"), "n_chars")
+    return d.with_consensus(docs, ["source", "lang"], "value", "doc_id", F.col("n_chars") > 500).select("doc_id")
 
 
 @query("""WITH o AS (SELECT lang AS truth, CASE WHEN doc_id % 8 = 0 THEN 'en' WHEN doc_id % 13 = 0 THEN NULL ELSE lang END AS route, n_chars FROM documents),
@@ -132,23 +126,15 @@ def routing_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy, abstention and mean risk of routes by true class."""
     key = F.col("doc_id")
     o = table(spark, sf_dir, "documents").select(F.col("lang").alias("truth"), F.when(key % 8 == 0, "en").when(key % 13 == 0, None).otherwise(F.col("lang")).alias("route"), "n_chars")
-    risk = F.when(F.col("route").isNull(), 5).when(F.col("route") == F.col("truth"), 0).when(F.col("n_chars") > 2000, 100).otherwise(40)
-    n = F.count(F.lit(1))
-    return o.groupBy("truth").agg(n.alias("n"), numbers.rate(F.count_if(F.col("route") == F.col("truth")), n).alias("accuracy"), numbers.rate(F.count_if(F.col("route").isNull()), n).alias("abstained"), (F.sum(risk).cast("double") / n).alias("mean_risk"))
+    return d.routing_summary(o, "truth", "route", F.when(F.col("n_chars") > 2000, 100).otherwise(40))
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS segment, count(*) AS claims, count(*) FILTER (WHERE o_orderstatus = 'P') AS review, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_totalprice < 20000) AS false_accepts, quantile_disc(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1)
 SELECT segment, claims, CAST(review AS DOUBLE) / claims AS review_rate, false_accepts, p95, concat_ws(',', CASE WHEN NOT claims >= 100 THEN 'ENOUGH' END, CASE WHEN NOT CAST(review AS DOUBLE) / claims <= 0.3 THEN 'REVIEW' END, CASE WHEN NOT false_accepts = 0 THEN 'FALSE_ACCEPTS' END) AS failed FROM s""")
 def shadow_qualification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a shadow run against the gates for going live."""
-    n = F.count(F.lit(1))
-    s = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("segment")).agg(
-        n.alias("claims"), F.count_if(F.col("o_orderstatus") == "P").alias("review"), F.count_if((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") < 20000)).alias("false_accepts"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY o_totalprice)").alias("p95"),
-    )
-    rate = F.col("review").cast("double") / F.col("claims")
-    failed = d.reasons((~(F.col("claims") >= 100), "ENOUGH"), (~(rate <= 0.3), "REVIEW"), (~(F.col("false_accepts") == 0), "FALSE_ACCEPTS"))
-    return s.select("segment", "claims", rate.alias("review_rate"), "false_accepts", "p95", failed.alias("failed"))
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "segment")
+    return d.segment_gates(o, "segment", F.col("o_orderstatus") == "P", (F.col("o_orderstatus") == "O") & (F.col("o_totalprice") < 20000), "o_totalprice")
 
 
 @query("""SELECT conv_id, bool_or(role = 'system') AS has_system, count(DISTINCT role) AS roles, CASE WHEN bool_and(role = 'user') THEN 'SINGLE' WHEN bool_or(role = 'user') AND bool_or(role = 'assistant') THEN 'DIALOGUE' ELSE 'OTHER' END AS bundle FROM conversations GROUP BY 1""")
@@ -184,9 +170,7 @@ def schema_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schema whose fields are best covered; ties by name, the last first."""
     known = {"shop": ["click", "purchase", "view"], "account": ["login", "logout", "signup"], "search": ["search", "view"]}
     f = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("fields"))
-    scores = F.array(*(F.struct((F.size(F.array_intersect("fields", F.array(*map(F.lit, needs)))) / F.lit(float(len(needs)))).alias("overlap"), F.lit(name).alias("schema")) for name, needs in known.items()))
-    best = F.array_max(scores)
-    return f.select("user_id", F.when(best["overlap"] >= 0.45, best["schema"]).otherwise("UNKNOWN").alias("schema"), best["overlap"].alias("overlap"))
+    return f.select("user_id", d.best_schema(F.col("fields"), known).alias("s")).select("user_id", "s.schema", "s.overlap")
 
 
 @query("""WITH p AS (SELECT o_orderkey % 500 AS document, CAST(o_custkey % 7 AS INTEGER) AS page, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2) SELECT document, page, n, CAST(row_number() OVER (PARTITION BY document ORDER BY n, page) AS INTEGER) AS place FROM p""")

@@ -178,3 +178,19 @@ def test_fingerprints_equal_the_standard_library(spark, small_dir):
 def test_balanced_top(spark):
     df = spark.createDataFrame([("a", k) for k in range(9)] + [("b", 1), ("c", 1), ("c", 2)], "g string, k int")
     assert Counter(r.g for r in governance.balanced_top(df, "g", [F.col("k")], 8).collect()) == {"a": 5, "b": 1, "c": 2}
+
+
+def test_decisions(spark):
+    from claimweave.operators import decisions as d
+
+    b = lambda *x: [F.lit(v) for v in x]
+    one = lambda column: spark.range(1).select(column.alias("x")).first().x
+    assert [one(d.field_decision(*b(*row))) for row in ((True, True, True, 1.0), (False, True, True, 1.0), (False, False, True, 0.1), (False, False, False, 0.98), (False, False, False, 0.94), (False, False, False, 0.93), (None, None, None, None))] == [
+        "HITL_MISSING", "HITL_CONTRADICTION", "REFERENCE_CONFIRMED", "AUTO_ACCEPT", "ACCEPT_WITH_CORROBORATION", "HITL_LOW_CONFIDENCE", "HITL_LOW_CONFIDENCE",
+    ]
+    verdict = lambda *x: one(d.challenger_verdict(*b(*x)))
+    assert [verdict("a", "b", False, True, True), verdict("a", None, False, True, False), verdict("a", "a", False, True, False), verdict("a", "b", False, True, False), verdict("a", "b", True, True, False), verdict("a", "b", False, False, False)] == ["HITL", "KEEP_PRIMARY", "KEEP", "USE_CHALLENGER", "HITL", "HITL"]
+    assert tuple(one(d.largest_risk({"A": F.lit(0.5), "B": F.lit(0.2), "C": F.lit(0.9)}))) == (0.9, "A,C")
+    assert tuple(one(d.form_status(b(True, True, False), F.lit(False), 2, 1))) == (pytest.approx(2 / 3), "AMBIGUOUS")
+    rows = spark.createDataFrame([("p", "v", k, k == 1) for k in (1, 2, 3)] + [("p", "w", k, False) for k in (4, 5, 6)] + [("q", "v", 7, True), ("q", "v", 7, True), ("q", "v", 8, True)], "pop string, value string, doc int, anchor boolean")
+    assert sorted(r.doc for r in d.with_consensus(rows, ["pop"], "value", "doc", F.col("anchor")).collect()) == [1, 2, 3]
