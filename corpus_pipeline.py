@@ -1,4 +1,12 @@
-"""A training corpus from documents: language, near copies, benchmark passages, mixture, shards."""
+"""A training corpus from documents: language, near copies, benchmark passages, mixture, shards.
+
+Every stage judges each row by its own values, so ids may be null or repeated
+and rows equal. A null or blank text has no language and goes in the first
+stage. A null language or source is a name of its own in the mixture. An empty
+table gives an empty result, whatever the stage; further columns stay until the
+last stage, whatever their names (but those that begin with two underscores).
+Texts of any length are looked at whole.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +25,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id, null ids last; of rows equal in id and text one."""
     return ngram_join.one_of_each_group(docs)
 
 
@@ -32,8 +40,8 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document that is left."""
-    return sharding.byte_shards(docs, keep=("lang", "source"))
+    """Shard and slot of every document that is left, with its language and source where the table has them."""
+    return sharding.byte_shards(docs, keep=tuple(c for c in ("lang", "source") if c in docs.columns))
 
 
 STAGES = [
