@@ -700,12 +700,15 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, threshold: int =
 #: DuckDB SQL for ``similar_groups`` over ``documents`` with unique doc_id: all pairs of sets with a common shingle.
 GROUPS_SQL = f"""
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-held AS (
-  SELECT doc_id, list_sort(CASE WHEN len(w) >= {SHINGLE} THEN list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: hash(array_to_string(w[i : i + {SHINGLE - 1}], ' ')))) WHEN len(w) > 0 THEN [hash(array_to_string(w, ' '))] ELSE [] END) AS s FROM doc
-), named AS (SELECT doc_id, len(s) AS n, s, md5(array_to_string(s, chr(10))) AS id FROM held),
+token AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS words FROM doc),
+run AS (SELECT doc_id, words, i, string_agg(t, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {SHINGLE - 1} FOLLOWING) AS x FROM token),
+named AS (
+  SELECT doc_id, len(s) AS n, s, md5(array_to_string(s, ',')) AS id
+  FROM (SELECT doc_id, coalesce(s, []) AS s FROM documents LEFT JOIN (SELECT doc_id, list_sort(list_distinct(list(hash(x)))) AS s FROM run WHERE i <= greatest(words - {SHINGLE - 1}, 1) GROUP BY doc_id) USING (doc_id))
+),
 class AS (SELECT id, min(doc_id) AS least, count(*) AS n_copies, any_value(n) AS n, any_value(s) AS s FROM named WHERE n > 0 GROUP BY id),
 entry AS (SELECT id, n, unnest(s) AS g FROM class),
-link AS (SELECT a.id AS x, b.id AS y FROM entry a JOIN entry b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {THRESHOLD} * (a.n + b.n - count(*))),
+link AS (SELECT a.id AS x, b.id AS y FROM entry a JOIN entry b ON a.g = b.g AND a.id <> b.id AND 100 * least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {THRESHOLD} * (a.n + b.n - count(*))),
 reach AS (SELECT id, least FROM class UNION SELECT y, least FROM reach JOIN link ON x = id),
 root AS (SELECT id, min(least) AS component_id FROM reach GROUP BY id),
 degree AS (SELECT x AS id, count(*) AS n_links FROM link GROUP BY x)

@@ -165,6 +165,28 @@ def test_pipeline_stage_by_stage(spark, small_dir):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, small_dir).collect()) == sorted(r.doc_id for r in shards)
 
 
+def test_pipeline_stages_with_awkward_rows(spark, small_dir, tmp_path):
+    """Null and repeated ids, equal rows, shared ids of different texts, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{small_dir}/documents.parquet").filter("length(text) > 600 AND lang = 'en'").limit(4).collect()}
+    a, b, c, d = text.values()
+    passage = spark.read.parquet(f"{small_dir}/benchmark.parquet").filter("length(text) > 100").first().text
+    rows = [(None, a), (None, a), (7, a), (7, b), (7, b), (None, c), (8, d + " " + passage), (8, passage), (None, None), (9, ""), (9, "12 34")]
+    odd = spark.createDataFrame([(i, t, "en", "src1", 1, 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_hit int, component_id int")
+    stage = dict(corpus_pipeline.STAGES)
+    known = stage["language"](spark, odd.unionByName(spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text", "lang", "source"), allowMissingColumns=True), small_dir)
+    assert known.filter("n_hit = 1 AND text IS NULL OR text IN ('', '12 34')").count() == 0
+    single = stage["near_copies"](spark, odd, small_dir)
+    kept = [(r.doc_id, r.text) for r in single.collect()]
+    assert single.columns == odd.columns and sorted(kept, key=repr) == sorted([(7, a), (7, b), (None, c), (8, d + " " + passage), (8, passage), (None, None), (9, ""), (9, "12 34")], key=repr)
+    clean = [(r.doc_id, r.text) for r in stage["benchmark"](spark, odd, small_dir).collect()]
+    assert (8, passage) not in clean and clean.count((None, a)) == 2 and clean.count((7, b)) == 2 and (None, None) in clean
+    none = odd.limit(0)
+    for name, f in corpus_pipeline.STAGES[1:]:
+        assert f(spark, none, small_dir).count() == 0, name
+
+
 def test_one_pass_decontamination_reads_items_in_blocks(spark):
     items = spark.createDataFrame([(k, f"w{k} x{k} y{k}") for k in range(9)], "item_id long, text string")
     assert len(list(decontaminate.item_blocks(items, block_words=7))) == 5
