@@ -586,7 +586,8 @@ def link_counts(labels: DataFrame, bitmaps: DataFrame, sets: DataFrame, threshol
     """
     named = labels.withColumnRenamed("node", "set_id").join(bitmaps.select("set_id", "n"), "set_id")
     sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"), (8 * F.sum("n")).alias("bytes"))
-    members = staged(named.join(sizes, "component").select("set_id", "component", "size", "bytes", "n"), "members")
+    # a group of any size is joined where its members are, unless there are very many groups
+    members = staged(named.join(_small(staged(sizes, "sizes")), "component").select("set_id", "component", "size", "bytes", "n"), "members")
     many, total = members.filter("size > 2").agg(F.count(F.lit(1)), F.coalesce(8 * F.sum("n"), F.lit(0))).first()
     buckets = max(1, total // tile)
     small = F.col("bytes") <= tile
