@@ -287,7 +287,8 @@ def candidates(docs: DataFrame, frequent: np.ndarray, total: int, shingle: int,
         stands = rows["at"] < -(_LONG >> 1)
         rows["at"][stands] += _LONG
         starts, sizes = _runs(rows["key"])
-        is_long = (sizes > short) | np.logical_or.reduceat(stands, starts)
+        # a task's part of a long list is one whatever is left of it, as the rest of the list is elsewhere
+        is_long = (sizes > short) | np.logical_or.reduceat(stands, starts) | (key[0].as_py() >= 1 << bits)
         firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for m in np.unique(sizes[(sizes > 1) & ~is_long]).tolist():
             i, j = np.triu_indices(m, 1)
