@@ -690,12 +690,13 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, threshold: int =
     judged = staged(judged.filter("NOT kept OR n > 1").select("__null", "__id", "__digest", "kept"), "judged")
     names = ["__null", "__id", "__digest"]
     out = docs.withColumns(dict(zip(names, _row_key(docs), strict=True)))
-    single = out.join(judged.select(names), names, "left_anti")
+    # texts aren't moved while the rows to leave out are few enough to be broadcast
+    single = out.join(_small(judged.select(names)), names, "left_anti")
     twice = judged.filter("kept").select(names)
     if twice.isEmpty():
         return single.select(*docs.columns)
     # equal rows of which one stays; each task sends one at most of each
-    one = out.join(twice, names, "left_semi").dropDuplicates(names)
+    one = out.join(_small(twice), names, "left_semi").dropDuplicates(names)
     return single.union(one).select(*docs.columns)
 
 
