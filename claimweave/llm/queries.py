@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language_id, license_scan, mixing, ngram_join, pii, quality, sharding, token_rollup
+from . import decontaminate, fim, hard_negatives, html_text, language_id, license_scan, mixing, ngram_join, packing, pii, quality, sharding, token_rollup
 
 #: Weights of the query for mixing.
 MIX = mixing.Mix()
@@ -56,6 +56,20 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transformed(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -70,9 +84,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_html_text,
             op9_source_mixing,
             op10_personal_data,
+            op11_best_fit_packing,
+            op12_fill_in_middle,
+            op13_hard_negatives,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": ngram_join.GROUPS_SQL, "op4_token_rollups": token_rollup.ROLLUP_SQL, "op5_byte_balanced_sharding": sharding.SHARD_SQL, "op7_benchmark_decontamination": decontaminate.CONTAMINATION_SQL, "op9_source_mixing": mixing.mixture_sql(MIX)}
+    return {
+        "op2_ngram_jaccard_join": ngram_join.GROUPS_SQL,
+        "op4_token_rollups": token_rollup.ROLLUP_SQL,
+        "op5_byte_balanced_sharding": sharding.SHARD_SQL,
+        "op7_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
+        "op9_source_mixing": mixing.mixture_sql(MIX),
+        "op12_fill_in_middle": fim.TRANSFORMED_SQL,
+        "op13_hard_negatives": hard_negatives.HARD_NEGATIVES_SQL,
+    }
