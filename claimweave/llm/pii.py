@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,9 @@ CONTEXT_GAIN = 0.3
 #: Spans of the added kinds below this score are dropped; base spans stay.
 LEAST_SCORE = 0.5
 
+#: Matches whose places are added up at once, and code points of a tile of the text: with them, work grows in proportion to matches.
+BLOCK, TILE = 256, 512
+
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 _SCORED = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
@@ -43,23 +47,40 @@ KINDS = (
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: what a lambda is given isn't computed anew inside it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All leftmost, non-overlapping matches: array of (start, end, value) in code points, end exclusive.
 
     The pieces between the matches have the matches' places: each one starts
-    where the lengths before it add up to.
+    where the lengths before it add up to. They are added up in blocks of
+    ``BLOCK`` matches, then over the blocks, so that time and memory follow the
+    number of matches.
     """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
+        begin = acc["at"] + x["skipped"]
         end = begin + F.length(x["v"])
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["v"].alias("value"))).alias("out"))
 
-    zipped = F.zip_with(values, F.slice(pieces, 1, F.size(values)), lambda v, p: F.struct(p.alias("p"), v.alias("v")))
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    def placed(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.transform(b["out"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["value"].alias("value")))))
+
+    def blocks(found: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(found) / BLOCK).cast("int") - 1), lambda k: F.aggregate(F.slice(found, k * BLOCK + 1, F.lit(BLOCK)), start, step))
+
+    def zipped(values: Column) -> Column:
+        pieces = F.slice(F.split(text, pattern, -1), 1, F.size(values))
+        return F.zip_with(values, pieces, lambda v, p: F.struct(F.length(p).alias("skipped"), v.alias("v")))
+
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(zipped(v), lambda z: _let(blocks(z), placed))).otherwise(F.array().cast(_SPAN)))
 
 
 def digits_of(value: Column) -> Column:
@@ -104,32 +125,39 @@ def _confirmed(kind: str, x: Column) -> Column:
 def _scored(text: Column, kind: Kind, rank: int) -> Column:
     """Confirmed spans of one kind with their score."""
 
-    def score(x: Column) -> Column:
+    def cut(tiles: Column, begin: Column, size: Column) -> Column:
+        """``size`` code points (no more than a tile has) from ``begin`` on, from the two tiles they are in."""
+        tile = F.floor(begin / TILE).cast("int")
+        return F.substring(F.concat(F.get(tiles, tile), F.coalesce(F.get(tiles, tile + 1), F.lit(""))), begin % TILE + 1, size)
+
+    def score(x: Column, tiles: Column) -> Column:
         value = x["value"]
         start = x["end"] - F.length(F.regexp_extract(value, "[A-Za-z0-9_/+-]{16,}$", 0)) if kind.name == "secret" else x["start"]
-        near = F.concat_ws(
-            " ", F.substring(text, F.greatest(x["start"] - CONTEXT_BEFORE, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT_BEFORE))), F.substring(text, x["end"] + 1, F.lit(CONTEXT_AFTER))
-        )
+        near = F.concat_ws(" ", cut(tiles, F.greatest(x["start"] - CONTEXT_BEFORE, F.lit(0)), F.least(x["start"], F.lit(CONTEXT_BEFORE))), cut(tiles, x["end"], F.lit(CONTEXT_AFTER)))
         worth = F.least(F.lit(1.0), F.lit(kind.score) + F.when(F.lower(near).rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0)))
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), x["end"].alias("end"), worth.alias("score"))
 
-    found = F.transform(F.filter(spans(text, kind.pattern), lambda x: _confirmed(kind.name, x)), score)
+    tiles = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0))  # a place in the text is found in its tile, not from the text's begin
+    confirmed = F.filter(spans(text, kind.pattern), lambda x: _confirmed(kind.name, x))
+    found = _let(confirmed, lambda c: F.when(F.size(c) > 0, _let(tiles, lambda t: F.transform(c, lambda x: score(x, t)))))
     if not kind.base:
         found = F.filter(found, lambda s: s["score"] >= LEAST_SCORE)
     gate = F.contains(text, F.lit("@")) if kind.gate == "@" else text.rlike(kind.gate)
-    return F.when(gate, found.cast(_SCORED)).otherwise(F.array().cast(_SCORED))
+    none = F.array().cast(_SCORED)
+    return F.when(gate, F.coalesce(found.cast(_SCORED), none)).otherwise(none)
 
 
 def find_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with an added ``pii`` column: spans (start, rank, kind, end, score) by start, then kind. Null text has none.
 
     One pass of row-wise expressions: nothing is shuffled and repeated rows are
-    each looked at. A column named pii is replaced.
+    each looked at; an empty table gives an empty result. Texts are looked at
+    whole, however long and however many matches they have: time and memory
+    follow both. A column named pii is replaced, all others stay.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.drop("pii").withColumn("__text", text)
-    each = [_scored(F.col("__text"), kind, rank) for rank, kind in enumerate(kinds)]
-    return out.withColumn("pii", F.array_sort(F.concat(*each))).drop("__text")
+    found = _let(text, lambda t: F.array_sort(F.concat(*(_scored(t, kind, rank) for rank, kind in enumerate(kinds)))))
+    return docs.drop("pii").withColumn("pii", found)
 
 
 def _listed(found: Column) -> Column:
