@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from . import words
 
 #: Hashed character trigrams of the model; with the languages they bound its size.
@@ -22,18 +23,77 @@ STEPS = 12
 PENALTY = 12.0
 #: Documents whose main language has a smaller share are rejected by ``accepted``.
 LEAST_SHARE = 0.4
-#: Languages that are learned at most: the model has so many times GRAMS numbers.
-MOST_LANGUAGES = 128
+#: Languages up to which a task keeps all probabilities (so many times GRAMS numbers), not only those of trigrams that were seen.
+DENSE_LANGUAGES = 128
+#: Entries (a trigram seen in a language) up to which the model is sent to the tasks; a larger one is joined to the documents by trigram.
+MODEL_ENTRIES = 1 << 24
+#: Copies of a joined model, so that a frequent trigram goes to as many tasks.
+SPREAD = 64
 UNDETERMINED = "und"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 
 
+class Sparse:
+    """Probabilities (languages x some trigrams) of which most are the smoothing of their language alone.
+
+    It stands for the matrix in products from both sides; rows are taken from
+    it as an ordinary matrix.
+    """
+
+    __array_ufunc__ = None
+
+    def __init__(self, total: np.ndarray, language: np.ndarray, column: np.ndarray, count: np.ndarray, columns: int) -> None:
+        self.base, self.columns = SMOOTHING / total, columns
+        self.language, self.column, self.more = language, column, count / total[language]
+
+    def __len__(self) -> int:
+        return len(self.base)
+
+    def __matmul__(self, weights: np.ndarray) -> np.ndarray:
+        return self.base * weights.sum() + np.bincount(self.language, self.more * weights[self.column], len(self.base))
+
+    def __rmatmul__(self, share: np.ndarray) -> np.ndarray:
+        return share @ self.base + np.bincount(self.column, self.more * share[self.language], self.columns)
+
+    def __getitem__(self, rows: list[int]) -> np.ndarray:
+        out = np.repeat(self.base[rows][:, None], self.columns, 1)
+        for k, row in enumerate(rows):
+            own = self.language == row
+            out[k, self.column[own]] += self.more[own]
+        return out
+
+    def alone(self, n: np.ndarray) -> np.ndarray:
+        """The log-likelihood under each language by itself."""
+        low = np.log(self.base)
+        rise = np.log(self.base[self.language] + self.more) - low[self.language]
+        return low * n.sum() + np.bincount(self.language, rise * n[self.column], len(low))
+
+
 @dataclass
 class Model:
+    """Trigram counts of languages: entries in order of trigram, or their table where they are too many."""
+
     languages: list[str]
-    probability: np.ndarray  # languages x GRAMS
+    total: np.ndarray  # each language's counts, with smoothing
+    start: np.ndarray | None = None  # of each trigram its first entry; GRAMS + 1 numbers
+    language: np.ndarray | None = None
+    count: np.ndarray | None = None
+    table: DataFrame | None = None  # code (language * GRAMS + trigram), n
+
+    def dense(self) -> np.ndarray:
+        """All probabilities: languages x GRAMS."""
+        counts = np.full((len(self.languages), GRAMS), SMOOTHING)
+        counts[self.language, np.repeat(np.arange(GRAMS), np.diff(self.start))] += self.count
+        return counts / self.total[:, None]
+
+    def at(self, grams: np.ndarray) -> Sparse:
+        """The probabilities of some trigrams."""
+        many = self.start[grams + 1] - self.start[grams]
+        first = np.cumsum(many) - many
+        entry = np.repeat(self.start[grams] - first, many) + np.arange(int(many.sum()))
+        return Sparse(self.total, self.language[entry], np.repeat(np.arange(len(grams)), many), self.count[entry], len(grams))
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -66,16 +126,16 @@ def _counts(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, n[at]
 
 
-def train(docs: DataFrame, most_languages: int = MOST_LANGUAGES) -> Model | None:
+def train(docs: DataFrame, model_entries: int = MODEL_ENTRIES) -> Model | None:
     """Trigram counts per language, over all documents outside fold 1 with a language and a text.
 
-    Of the values of ``lang`` the ``most_languages`` with the most documents are
-    learned (ties: the smaller names), each from all of its documents; that
-    bounds the model, which every task gets. None if there is nothing to learn.
+    All values of ``lang`` are learned, each from all of its documents. Names
+    and totals (two numbers for each) come to the driver; the counts do too if
+    they are no more than ``model_entries``, and stay a table otherwise. None
+    if there is nothing to learn.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 1)).select(F.col("lang").cast("string").alias("lang"), F.lower("text").alias("text"))
-    often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    languages = sorted(r.lang for r in often.collect())
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not languages:
         return None
     number = {lang: k for k, lang in enumerate(languages)}
@@ -92,11 +152,17 @@ def train(docs: DataFrame, most_languages: int = MOST_LANGUAGES) -> Model | None
                 held = code, np.bincount(at, np.concatenate([held[1], n])).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[1], pa.int64())], ["code", "n"])
 
-    table = rows.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # languages x GRAMS rows at most
-    counts = np.full(len(languages) * GRAMS, SMOOTHING)
-    counts[table["code"].to_numpy(np.int64)] += table["n"].to_numpy()
-    counts = counts.reshape(len(languages), GRAMS)
-    return Model(languages, counts / counts.sum(1, keepdims=True))
+    table = staged(rows.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "trigrams")
+    total = np.full(len(languages), SMOOTHING * GRAMS)
+    for r in table.groupBy(F.floor(F.col("code") / GRAMS).alias("k")).agg(F.sum("n").alias("n")).collect():
+        total[r.k] += r.n
+    if table.count() > model_entries:
+        return Model(languages, total, table=table)
+    entries = table.toArrow()
+    code, n = entries.column("code").to_numpy(), entries.column("n").to_numpy().astype(float)
+    order = np.lexsort((code // GRAMS, code % GRAMS))
+    code, n = code[order], n[order]
+    return Model(languages, total, np.searchsorted(code % GRAMS, np.arange(GRAMS + 1)), code // GRAMS, n)
 
 
 def mixture(p: np.ndarray, n: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -107,13 +173,14 @@ def mixture(p: np.ndarray, n: np.ndarray, steps: int = STEPS) -> tuple[np.ndarra
     return share, float(n @ np.log(share @ p))
 
 
-def languages_of(probability: np.ndarray, log_p: np.ndarray, gram: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> list[tuple[int, float]]:
-    """(language, proportion), largest first: the set with the best penalised likelihood, grown one by one."""
-    alone = log_p[:, gram] @ n
+def grown(p, alone: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> list[tuple[int, float]]:
+    """(language, proportion), largest first: the set with the best penalised likelihood, grown one by one.
+
+    ``p`` has the probabilities (languages x trigrams seen ``n`` times) and ``alone`` the log-likelihood under each language.
+    """
     first = int(np.argmax(alone))
     best, chosen = float(alone[first]), [(first, 1.0)]
     if len(alone) > 1:
-        p = probability[:, gram]
         whole, _ = mixture(p, n)
         order = [first, *(k for k in np.argsort(-whole, kind="stable").tolist() if k != first)]
         price = penalty * math.log(max(2.0, n.sum())) / 2
@@ -125,22 +192,71 @@ def languages_of(probability: np.ndarray, log_p: np.ndarray, gram: np.ndarray, n
     return chosen
 
 
+def languages_of(probability: np.ndarray, log_p: np.ndarray, gram: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> list[tuple[int, float]]:
+    """``grown`` with all probabilities (languages x GRAMS) and their logarithms at hand."""
+    return grown(probability[:, gram], log_p[:, gram] @ n, n, penalty)
+
+
+def _named(languages: list[str], chosen: list[tuple[int, float]]) -> tuple[str, float, str]:
+    return languages[chosen[0][0]], min(1.0, chosen[0][1]), ",".join(f"{languages[i]}:{s:.4f}" for i, s in chosen)
+
+
+def _low(text: Column) -> Column:
+    """The text that is looked at: null if it has no letter."""
+    return F.when(text.rlike("\\p{L}"), F.lower(text))
+
+
+def _joined(base: DataFrame, model: Model, penalty: float) -> DataFrame:
+    """``identify`` with the model's table joined to the documents' trigrams; a task holds those of one document at a time."""
+    tagged = staged(base.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    sent = base.sparkSession.sparkContext.broadcast((model.languages, model.total))
+
+    def grams(batches):
+        for batch in batches:
+            for lo, hi, raw, offs in words.chunks(batch.column(1)):
+                found, first = _trigrams(raw, offs)
+                row = batch.column(0).slice(lo, hi - lo).to_numpy()
+                each = [_counts(found[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, [len(g) for g, _ in each])), pa.array(np.concatenate([g for g, _ in each])), pa.array(np.concatenate([n for _, n in each]))], ["__row", "gram", "n"])
+
+    def solve(table: pa.Table) -> pa.Table:
+        languages, total = sent.value
+        n = table.column("n").to_numpy().astype(float)
+        language, count = table.column("languages").combine_chunks(), table.column("counts").combine_chunks()
+        many = language.value_lengths().fill_null(0).to_numpy()
+        p = Sparse(total, language.flatten().to_numpy(), np.repeat(np.arange(len(n)), many), count.flatten().to_numpy().astype(float), len(n))
+        name, score, mix = _named(languages, grown(p, p.alone(n), n, penalty))
+        return pa.table({"__row": table.column("__row").slice(0, 1), "lang_pred": [name], "score": [score], "lang_mix": [mix]})
+
+    known = tagged.select("__row", _low(F.col("text")).alias("low")).filter("low IS NOT NULL")
+    seen = known.mapInArrow(grams, "__row long, gram long, n long").withColumn("copy", F.pmod("__row", F.lit(SPREAD)))
+    by_gram = model.table.groupBy((F.col("code") % GRAMS).alias("gram")).agg(F.collect_list(F.struct(F.floor(F.col("code") / GRAMS).cast("long").alias("l"), "n")).alias("own"))
+    by_gram = by_gram.select("gram", F.col("own.l").alias("languages"), F.col("own.n").alias("counts"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("copy"))
+    solved = seen.join(by_gram, ["gram", "copy"], "left").select("__row", "gram", "n", "languages", "counts").groupBy("__row").applyInArrow(solve, "__row long, lang_pred string, score double, lang_mix string")
+    return tagged.join(solved, "__row", "left").select(*base.columns, F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("lang_mix", F.lit("")).alias("lang_mix"))
+
+
 def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY) -> DataFrame:
     """The columns of ``docs`` with lang_pred, score and lang_mix added (columns of these names are replaced).
 
     ``score`` is the main language's share of the text, ``lang_mix`` all chosen
     languages with theirs. A text that is null or has no letter, and every text
     if nothing was learned, is ``und`` with score 0. Only the text is looked at,
-    and all of it. Of equally likely languages the first by name is taken.
+    and all of it, however long. Of equally likely languages the first by name is
+    taken. However many languages there are, all take part: their model is sent
+    to the tasks or, if it is too large for that, joined by trigram.
     """
     base = docs.drop("lang_pred", "score", "lang_mix")
-    given = base.withColumn("__low", F.when(F.col("text").rlike("\\p{L}"), F.lower("text")))
+    if model is not None and model.table is not None:
+        return _joined(base, model, penalty)
+    given = base.withColumn("__low", _low(F.col("text")))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     width = len(base.columns)
 
     def run(batches):
         model = sent.value
-        log_p = np.log(model.probability) if model else None
+        probability = model.dense() if model and len(model.languages) <= DENSE_LANGUAGES else None
+        log_p = np.log(probability) if probability is not None else None
         for batch in batches:
             low = batch.column(width)
             named, score, mix = [], [], []
@@ -154,10 +270,13 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY) ->
                         mix.append("")
                         continue
                     at, seen = _counts(grams[x:y])
-                    chosen = languages_of(model.probability, log_p, at, seen.astype(float), penalty)
-                    named.append(model.languages[chosen[0][0]])
-                    score.append(min(1.0, chosen[0][1]))
-                    mix.append(",".join(f"{model.languages[i]}:{s:.4f}" for i, s in chosen))
+                    if probability is not None:
+                        chosen = languages_of(probability, log_p, at, seen.astype(float), penalty)
+                    else:
+                        sparse = model.at(at)
+                        chosen = grown(sparse, sparse.alone(seen.astype(float)), seen.astype(float), penalty)
+                    for out, x in zip((named, score, mix), _named(model.languages, chosen), strict=True):
+                        out.append(x)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:width], pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], [*batch.schema.names[:width], "lang_pred", "score", "lang_mix"]
             )
@@ -169,7 +288,8 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY) ->
 def predictions(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, lang_mix of every document; learned from the same table's other folds.
 
-    A null doc_id is in no fold: not held out, and nothing is learned from it.
+    A null doc_id is in no fold: not held out, and nothing is learned from it. So
+    where no document can be learned from (all ids null, say) all are ``und``.
     Empty tables give an empty result; repeated rows repeated ones. Columns other
     than doc_id, text and lang are left alone, whatever their names.
     """

@@ -80,6 +80,32 @@ def test_added_spans_are_checked(noted):
     assert [(s.kind, text[s.start : s.end]) for s in found] == [("email", "x@y.zz"), ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("ssn", "078-05-1120"), ("secret", "abcdEFGH12345678xx")]
 
 
+def test_many_matches_in_one_text(spark):
+    """A text with 100,000 addresses of two kinds: whole results, in time that follows their number."""
+    import time
+
+    from tests.llm import brute
+
+    took = {}
+    for n in (12_500, 50_000):
+        text = "call 1.2.3.4 or é@x a.b@c.de, " * n
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = pii.digests(docs).first()
+        took[n] = time.time() - began
+        assert (row.n_ip, row.n_email) == (n, n) and ([row.n_email, row.n_ip, row.n_card, row.n_phone], row.base_sha256) == brute.base_spans(text)
+        assert row.spans.count(",") == 2 * n - 1 and set(row.scores.split(",")) == {"0.60", "0.90"}
+    assert took[50_000] < 8 * max(took[12_500], 1)
+
+
+def test_context_is_found_over_tiles(spark):
+    """The word beside a span counts wherever the span stands."""
+    for pad in (*range(500, 516), 1020, 1024, 5000):
+        docs = spark.createDataFrame([(1, "é" * pad + " visa 4111 1111 1111 1111"), (2, "é" * pad + " 4111 1111 1111 1111 visa"), (3, "é" * pad + " 4111 1111 1111 1111")], "doc_id long, text string")
+        found = {r.doc_id: r.pii[0] for r in pii.find_spans(docs).collect()}
+        assert [round(found[k].score, 2) for k in (1, 2, 3)] == [1.0, 1.0, 0.7] and found[3].start == pad + 1
+
+
 def test_checksums(spark):
     df = spark.createDataFrame([("DE89370400440532013000", True), ("DE89370400440532013001", False), ("DE8937040", False)], "v string, ok boolean")
     assert df.filter(pii.mod97_ok(F.col("v")) != F.col("ok")).count() == 0
@@ -330,10 +356,43 @@ def test_mixture_equals_plain_expectation_maximisation():
         assert dict(language_id.languages_of(p, np.log(p), seen, n[seen])) == pytest.approx(chosen)
 
 
-def test_most_languages_bounds_the_model(spark, documents):
-    assert language_id.train(documents, most_languages=2).languages == ["en", "fr"]
-    dirty = documents.unionByName(spark.range(900).selectExpr("id AS doc_id", "'zz' AS text", "concat('l', id) AS lang", "'s' AS source"))
-    assert len(language_id.train(dirty).languages) == language_id.MOST_LANGUAGES
+def invented(seed: int, languages: int, each: int) -> list[tuple]:
+    """Documents in languages that each have their own letters' frequencies."""
+    rng, out = np.random.default_rng(seed), []
+    for k in range(languages):
+        weights = rng.dirichlet(np.full(26, 0.3))
+        for j in range(each):
+            word = ["".join(chr(97 + c) for c in rng.choice(26, 5, p=weights)) for _ in range(30)]
+            out.append((k * each + j, " ".join(word), f"l{k:03d}"))
+    return out
+
+
+def test_any_number_of_languages_is_learned(spark, monkeypatch):
+    """200 languages: all learned; sparse and dense probabilities, and a model joined by trigram, say the same."""
+    docs = spark.createDataFrame(invented(2, 200, 12), "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(docs)
+    assert len(model.languages) == 200 > language_id.DENSE_LANGUAGES
+    out = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert sum(r.lang_pred == r.lang for r in out.values()) >= 0.9 * len(out)
+    table = language_id.train(docs, model_entries=10)
+    assert table.start is None and table.table is not None
+    joined = {r.doc_id: r for r in language_id.identify(docs.unionByName(spark.createDataFrame([(5000, None, "x"), (5001, "12", "x")], docs.schema)), table).collect()}
+    assert [joined.pop(k).lang_pred for k in (5000, 5001)] == ["und", "und"]
+    dense = model.dense()
+    log_p = np.log(dense)
+    for i, r in out.items():
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        at, n = language_id._counts(language_id._trigrams(raw, np.array([0, len(raw)]))[0])
+        want = language_id._named(model.languages, language_id.languages_of(dense, log_p, at, n.astype(float)))
+        for got in (r, joined[i]):
+            assert (got.lang_pred, got.lang_mix) == (want[0], want[2]) and got.score == pytest.approx(want[1])
+
+
+def test_language_of_a_very_long_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long = {r.lang: r.text * (2_000_000 // len(r.text)) for r in docs.filter("n_chars > 3000 AND lang IN ('en', 'fr')").collect()}
+    rows = spark.createDataFrame([(1, long["en"]), (2, long["fr"])], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(rows, language_id.train(docs)).collect()} == {1: "en", 2: "fr"}
 
 
 def test_mixed_texts_name_both_languages(spark):
