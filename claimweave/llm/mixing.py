@@ -94,9 +94,13 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return now.join(out.withColumnRenamed("given", "budget"), list(LEVELS))
 
 
-def seeded_key(mix: Mix, epoch: Column, doc_id: Column) -> Column:
-    """60 bits of md5 of seed, epoch and document: the order of one epoch."""
-    text = F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), doc_id.cast("string"))
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def seeded_key(mix: Mix, epoch: Column, doc_id: Column, digest: Column) -> Column:
+    """60 bits of md5 of seed, epoch, document and its text's digest: the order of one epoch. Rows without an id, or with one id, are told apart by their texts."""
+    text = F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")), digest)
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -104,8 +108,8 @@ def seeded_key(mix: Mix, epoch: Column, doc_id: Column) -> Column:
 class Plan:
     """What was measured and decided: a row for each document, and one for each leaf."""
 
-    counted: DataFrame  # doc_id, domain, language, source, tokens
-    leaves: DataFrame  # domain, language, source, tokens, budget, epochs, cut_key, cut_id
+    counted: DataFrame  # doc_id, domain, language, source, tokens, digest
+    leaves: DataFrame  # domain, language, source, tokens, budget, epochs, cut_key, equal_rows, equal_taken
     small: bool
 
 
@@ -114,29 +118,30 @@ def plan(docs: DataFrame, mix: Mix, domain=default_domain) -> Plan:
 
     A leaf's budget is whole epochs, then a prefix of one more: its documents
     in seeded order, as long as the tokens before one are fewer than what is
-    left. Sums per hash bucket find the bucket with the cut; only it is sorted.
-    A leaf of n documents has about as many buckets as a bucket has documents.
+    left. Sums per hash bucket find the bucket with the cut; only it is sorted,
+    rows equal in id and text as one. A leaf of n different documents has about
+    as many buckets as a bucket has documents.
     """
     tokens = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    counted = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *leaf_columns(docs, domain), tokens.alias("tokens")), "counted")
+    counted = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *leaf_columns(docs, domain), tokens.alias("tokens"), text_digest(F.col("text")).alias("digest"), F.spark_partition_id().alias("part")), "counted")
     leaves = staged(counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
     n, most = leaves.agg(F.count(F.lit(1)), F.max("rows")).first()
     small = n <= BROADCAST_LEAVES
     budgets = leaf_budgets(leaves.select(*LEVELS, "tokens"), mix).withColumn("epochs", F.expr("coalesce(try_divide(budget - budget % nullif(tokens, 0), tokens), 0)").cast("int"))
     budgets = staged(budgets.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
     bits = 1 + (most or 0).bit_length() // 2
-    keyed = _with_leaf(counted, budgets.filter("rest > 0").select(*LEVELS, "epochs", "rest"), small).withColumn("key", seeded_key(mix, F.col("epochs"), F.col("doc_id")))
+    keyed = _with_leaf(counted, budgets.filter("rest > 0").select(*LEVELS, "epochs", "rest"), small).withColumn("key", seeded_key(mix, F.col("epochs"), F.col("doc_id"), F.col("digest")))
     keyed = keyed.withColumn("bucket", F.shiftright("key", 60 - bits))
     sums = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("in_bucket"), F.max("rest").alias("rest"))
     run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cut_bucket = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(run), F.lit(0))).filter("before < rest AND before + in_bucket >= rest").select(*LEVELS, "bucket", "before")
     cut_bucket = staged(cut_bucket, "cut-buckets")
-    inside = _with_leaf(keyed, cut_bucket, small, ["bucket"])
-    row = Window.partitionBy(*LEVELS).orderBy("key", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # equal keys (repeated rows) are one step of the running sum
-    upto = inside.withColumn("upto", F.sum("tokens").over(row)).withColumn("own", F.sum("tokens").over(Window.partitionBy(*LEVELS, "key", "doc_id")))
-    cut = upto.filter("before + upto - own < rest").groupBy(*LEVELS).agg(F.max(F.struct(F.col("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))).alias("cut"))
-    out = budgets.join(cut, list(LEVELS), "left").select(*LEVELS, "tokens", "budget", "epochs", F.col("cut.key").alias("cut_key"), F.col("cut.id").alias("cut_id"))
+    inside = _with_leaf(keyed, cut_bucket, small, ["bucket"]).groupBy(*LEVELS, "key").agg(F.sum("tokens").alias("own"), F.count(F.lit(1)).alias("equal_rows"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+    below = F.col("before") + F.coalesce(F.sum("own").over(Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = inside.withColumn("below", below).filter("below < rest AND below + own >= rest")
+    # of equal rows as many as it takes to reach what is left
+    taken = F.expr("CAST((CAST(rest - below AS decimal(20,0)) * equal_rows + own - 1) div own AS bigint)")
+    out = budgets.join(cut.select(*LEVELS, F.col("key").alias("cut_key"), "equal_rows", taken.alias("equal_taken")), list(LEVELS), "left").select(*LEVELS, "tokens", "budget", "epochs", "cut_key", "equal_rows", "equal_taken")
     return Plan(counted, staged(out, "leaf-plan"), small)
 
 
@@ -144,12 +149,17 @@ def _with_leaf(rows: DataFrame, leaves: DataFrame, small: bool, more: list[str]
     return rows.join(F.broadcast(leaves) if small else leaves, [*LEVELS, *(more or [])])
 
 
-def copies(mix: Mix, doc_id: Column) -> Column:
-    """How often a document is taken, from its leaf's ``epochs`` and cut."""
-    key = seeded_key(mix, F.col("epochs"), doc_id)
-    low = F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
-    within = (key < F.col("cut_key")) | ((key == F.col("cut_key")) & (low <= F.col("cut_id")))
-    return F.col("epochs") + F.coalesce(within, F.lit(False)).cast("int")
+def _numbered(rows: DataFrame, keys: list[str], part: str, name: str) -> DataFrame:
+    """``rows`` (written before) with their number, from 1, among those of equal keys: their number in a part and what earlier parts have."""
+    order = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    before = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*keys, part).orderBy(F.lit(1))
+    return rows.withColumn("__in", F.row_number().over(inside)).join(before, [*keys, part]).withColumn(name, F.col("__before") + F.col("__in")).drop("__before", "__in")
+
+
+def _split(made: Plan) -> bool:
+    """Whether some leaf takes a part only of the equal rows at its cut."""
+    return not made.leaves.filter("equal_taken < equal_rows").isEmpty()
 
 
 def mixture(docs: DataFrame, mix: Mix, domain=default_domain) -> DataFrame:
@@ -157,29 +167,44 @@ def mixture(docs: DataFrame, mix: Mix, domain=default_domain) -> DataFrame:
 
     A null language or source is the empty name. A null text has no tokens: it
     is taken with its leaf's whole epochs, and within the prefix where it falls.
-    Rows with equal doc_id in one leaf are taken together. An empty table gives
-    an empty result.
+    Every row is taken on its own: rows with one id, or none, are told apart by
+    their texts, and of rows equal in both as many are taken as the budget
+    needs. An empty table gives an empty result.
     """
     made = plan(docs, mix, domain)
     placed = _with_leaf(made.counted, made.leaves.withColumnsRenamed({"tokens": "leaf_tokens", "budget": "leaf_budget"}), made.small)
-    return placed.withColumn("copies", copies(mix, F.col("doc_id"))).filter("copies > 0").select("doc_id", *LEVELS, "tokens", "copies", "leaf_tokens", "leaf_budget")
+    key = seeded_key(mix, F.col("epochs"), F.col("doc_id"), F.col("digest"))
+    within = F.coalesce(key <= F.col("cut_key"), F.lit(False))
+    if _split(made):
+        at_cut = _numbered(staged(placed.filter(key == F.col("cut_key")), "at-cut"), list(LEVELS), "part", "nth").withColumn("copies", F.col("epochs") + (F.col("nth") <= F.col("equal_taken")).cast("int")).drop("nth")
+        placed = placed.filter(F.coalesce(key != F.col("cut_key"), F.lit(True))).withColumn("copies", F.col("epochs") + within.cast("int")).unionByName(at_cut)
+    else:
+        placed = placed.withColumn("copies", F.col("epochs") + within.cast("int"))
+    return placed.filter("copies > 0").select("doc_id", *LEVELS, "tokens", "copies", "leaf_tokens", "leaf_budget")
 
 
 def mixed(docs: DataFrame, mix: Mix, domain=default_domain) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with all their columns.
 
     Texts aren't shuffled as long as the table of leaves is small enough to be
-    broadcast; beyond that they are joined to it.
+    broadcast; beyond that they are joined to it. Only where a cut falls among
+    rows equal in id and text are those rows written and numbered.
     """
     made = plan(docs, mix, domain)
     keys = [f"__{c}" for c in LEVELS]
-    leaves = made.leaves.select(*(F.col(c).alias(k) for c, k in zip(LEVELS, keys, strict=True)), "epochs", "cut_key", "cut_id").withColumnsRenamed({c: f"__{c}" for c in ("epochs", "cut_key", "cut_id")})
+    own = ("epochs", "cut_key", "equal_taken")
+    leaves = made.leaves.select(*(F.col(c).alias(k) for c, k in zip(LEVELS, keys, strict=True)), *own).withColumnsRenamed({c: f"__{c}" for c in own})
     rows = docs.withColumns({k: c for k, c in zip(keys, leaf_columns(docs, domain), strict=True)})
     taken = rows.join(F.broadcast(leaves) if made.small else leaves, keys)
-    key = seeded_key(mix, F.col("__epochs"), F.col("doc_id"))
-    low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    within = F.coalesce((key < F.col("__cut_key")) | ((key == F.col("__cut_key")) & (low <= F.col("__cut_id"))), F.lit(False))
-    taken = taken.withColumn("__copies", F.col("__epochs") + within.cast("int")).filter("__copies > 0")
+    key = seeded_key(mix, F.col("__epochs"), F.col("doc_id").cast("long"), text_digest(F.col("text")))
+    within = F.coalesce(key <= F.col("__cut_key"), F.lit(False))
+    if _split(made):
+        at_cut = staged(taken.filter(key == F.col("__cut_key")).withColumn("__part", F.spark_partition_id()), "at-cut")
+        at_cut = _numbered(at_cut, keys, "__part", "__nth").withColumn("__copies", F.col("__epochs") + (F.col("__nth") <= F.col("__equal_taken")).cast("int")).drop("__nth", "__part")
+        taken = taken.filter(F.coalesce(key != F.col("__cut_key"), F.lit(True))).withColumn("__copies", F.col("__epochs") + within.cast("int")).unionByName(at_cut)
+    else:
+        taken = taken.withColumn("__copies", F.col("__epochs") + within.cast("int"))
+    taken = taken.filter("__copies > 0")
     if mix.max_epochs > 1:
         taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -210,8 +235,8 @@ b{depth} AS (SELECT {path}, CAST(CASE WHEN is_full THEN capacity WHEN weight = 0
     body = ",\n".join(steps)
     return f"""
 WITH doc AS (
-  SELECT doc_id, CASE WHEN regexp_extract(src, '([0-9]+)$', 1) = '0' THEN 'crawl' WHEN length(regexp_extract(src, '([0-9]+)$', 1)) = 1 THEN 'curated' ELSE 'reference' END AS domain, language, src AS source, tokens
-  FROM (SELECT doc_id, coalesce(lang, '') AS language, coalesce(source, '') AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM {documents})
+  SELECT doc_id, digest, CASE WHEN regexp_extract(src, '([0-9]+)$', 1) = '0' THEN 'crawl' WHEN length(regexp_extract(src, '([0-9]+)$', 1)) = 1 THEN 'curated' ELSE 'reference' END AS domain, language, src AS source, tokens
+  FROM (SELECT doc_id, md5(coalesce(text, '')) AS digest, coalesce(lang, '') AS language, coalesce(source, '') AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM {documents})
 ), leaf AS (
   SELECT domain, language, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM doc GROUP BY ALL
 ),
@@ -220,7 +245,7 @@ plan AS (
   SELECT leaf.*, b3.given AS budget, CASE WHEN leaf.tokens > 0 THEN b3.given // leaf.tokens ELSE 0 END AS epochs FROM leaf JOIN b3 USING (domain, language, source)
 ), keyed AS (
   SELECT doc.*, p.tokens AS leaf_tokens, p.budget AS leaf_budget, p.epochs, p.budget - p.epochs * p.tokens AS rest,
-    CAST('0x' || substr(md5('{mix.seed}:' || p.epochs || ':' || doc.doc_id), 1, 15) AS BIGINT) AS key
+    CAST('0x' || substr(md5('{mix.seed}:' || p.epochs || ':' || doc.doc_id || ':' || doc.digest), 1, 15) AS BIGINT) AS key
   FROM doc JOIN plan p USING (domain, language, source)
 ), run AS (
   SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - tokens AS below FROM keyed

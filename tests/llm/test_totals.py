@@ -98,6 +98,24 @@ def test_mixture_of_awkward_rows(spark, no_documents):
     assert mixing.mixed(docs, mixing.Mix(max_epochs=2)).columns == docs.columns
 
 
+def test_rows_without_ids_and_equal_rows_are_taken_one_by_one(spark):
+    """Leaves whose ids are all null, or one id, or whose rows are all equal, keep to the budget within a row."""
+    rows = [(None, f"a b {k}", "en", "src0") for k in range(200)] + [(7, f"a b {k}", "de", "src1") for k in range(200)] + [(9, "a b c", "fr", "src2")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5).selectExpr("*", "1 AS part", "2 AS digest")
+    for percent, epochs in ((30, 1), (130, 2), (100, 1)):
+        mix = mixing.Mix(domains={"crawl": 1, "curated": 2}, languages={}, budget_percent=percent, max_epochs=epochs)
+        out = mixing.mixture(docs, mix).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n"), F.max("leaf_budget").alias("budget"), F.max("copies").alias("most")).collect()
+        assert len(out) == 3 and all(0 <= r.n - r.budget < 3 and r.most <= epochs for r in out)
+        assert mixing.mixed(docs, mix).count() == sum(r.n for r in out) // 3 and mixing.mixed(docs, mix).columns == docs.columns
+
+
+def test_mixture_of_very_long_texts(spark):
+    rows = [(k, "word " * 400_000, "en", "src0") for k in range(3)] + [(9, "word", "en", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mixture(docs, mixing.Mix(budget_percent=50, max_epochs=1)).collect()
+    assert 600_000 <= sum(r.tokens for r in out) < 1_000_001 + 400_000
+
+
 def test_rollup_equals_sql(documents):
     out = sorted(map(tuple, token_rollup.rollup(documents).select("source", "lang", "tokenizer_version", "n_docs", "n_tokens", "n_bytes").collect()))
     assert out == duck(documents).sql(f"SELECT source, lang, tokenizer_version, n_docs, n_tokens, n_bytes FROM ({token_rollup.ROLLUP_SQL}) ORDER BY ALL").fetchall()
