@@ -35,13 +35,13 @@ def tiff_compression(tag: Column) -> Column:
     return F.coalesce(F.try_element_at(known, tag.cast("int")), F.lit("OTHER"))
 
 
-def digit_date(value: Column) -> Column:
-    """A date as ISO, as 8 digits year first, else month first, or as 6 digits month first in this century; null if none is a date."""
+def digit_date(value: Column, six_digits: bool = True) -> Column:
+    """A date as ISO, as 8 digits year first, else month first, or (unless not asked for) as 6 digits month first in this century; null if none is a date."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     iso = F.when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(value, F.lit("yyyy-MM-dd")))
     eight, six = F.length(digits) == 8, F.length(digits) == 6
     forms = (iso, F.when(eight, F.try_to_timestamp(digits, F.lit("yyyyMMdd"))), F.when(eight, F.try_to_timestamp(digits, F.lit("MMddyyyy"))), F.when(six, F.try_to_timestamp(F.concat(F.substring(digits, 1, 4), F.lit("20"), F.substring(digits, 5, 2)), F.lit("MMddyyyy"))))
-    return F.coalesce(*forms).cast("date")
+    return F.coalesce(*forms[: 4 if six_digits else 3]).cast("date")
 
 
 def type_compatibility(value: Column, kind: Column, field: Column) -> Column:
@@ -56,7 +56,7 @@ def type_compatibility(value: Column, kind: Column, field: Column) -> Column:
         F.when(raw == "", 0.0)
         .when(field == "relationship", F.when(upper.isin("SELF", "SPOUSE", "CHILD", "OTHER"), 1.0).otherwise(0.0))
         .when(field == "member_id", F.when(identifier & raw.rlike("[A-Za-z]") & raw.rlike("[0-9]"), 1.0).when(identifier, 0.45).otherwise(0.1))
-        .when(kind == "DATE", F.when(digit_date(raw).isNotNull(), 1.0).otherwise(0.0))
+        .when(kind == "DATE", F.when(digit_date(raw, six_digits=False).isNotNull(), 1.0).otherwise(0.0))
     )
     for name, (shape, good, bad) in {**GRADES, **DIGIT_GRADES}.items():
         of = digits if name in DIGIT_GRADES else compact if name in ("ICD_CODE", "CPT_HCPCS") else raw

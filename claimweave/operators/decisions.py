@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,9 +81,39 @@ def label_refusals(reviewer: Column, approver: Column, contradictory: Column, he
     return reasons((reviewer == approver, "SELF_APPROVAL"), (contradictory, "CONTRADICTORY"), (held_out, "HOLDOUT_MEMBER"))
 
 
-def challenger_verdict(primary: Column, challenger: Column, primary_valid: Column, independent: Column, unsafe: Column) -> Column:
-    """Whether a challenger's value replaces the primary one: only an independent one does, and only an invalid one."""
-    return ladder((unsafe, "HITL"), (challenger.isNull(), "KEEP_PRIMARY"), (challenger == primary, "KEEP"), (~primary_valid & independent, "USE_CHALLENGER"), otherwise="HITL")
+def independent_readings(crops: tuple[Column, Column], regions: tuple[Column, Column], shared: tuple[Column, Column]) -> Column:
+    """Whether two readings are of different crops and regions, all known, and share no dependency (arrays of names; null: none)."""
+    known = lambda a: F.coalesce(a, F.lit("")) != ""
+    apart = lambda p: known(p[0]) & known(p[1]) & (p[0] != p[1])
+    none = F.array().cast("array<string>")
+    return F.coalesce(apart(crops) & apart(regions) & ~F.arrays_overlap(F.coalesce(shared[0], none), F.coalesce(shared[1], none)), F.lit(False))
+
+
+def challenger_verdict(primary: Column, challenger: Column, primary_valid: Column, challenger_valid: Column, independent: Column, crop_safe: Column, agreement_form: Callable[[Column], Column] = lambda v: v) -> Column:
+    """Struct (action, agreement, reason): whether a challenger's value replaces the primary one.
+
+    Only a valid, independent challenger does, and only an invalid primary.
+    Values agree if their ``agreement_form`` is equal; two valid ones that
+    don't agree go to a person, as does all that isn't read from a safe crop.
+    """
+    yes = lambda c: F.coalesce(c.cast("boolean"), F.lit(False))
+    missing = F.coalesce(challenger.cast("string"), F.lit("")) == ""
+    agree = yes(agreement_form(primary) == agreement_form(challenger))
+    p, c, own = yes(primary_valid), yes(challenger_valid), yes(independent)
+    steps = (
+        (~yes(crop_safe), "HITL", F.when(challenger.isNull(), "NO_CANDIDATE").otherwise("DISAGREE"), "LOCALIZATION_NOT_CROP_SAFE"),
+        (missing, "KEEP_PRIMARY", F.lit("NO_CANDIDATE"), "CHALLENGER_EMPTY"),
+        (agree & own, "KEEP_PRIMARY", F.lit("AGREE"), "INDEPENDENT_ENGINE_AGREEMENT"),
+        (agree, "KEEP_PRIMARY", F.lit("AGREE"), "AGREEMENT_NOT_INDEPENDENT"),
+        (p & c, "HITL", F.lit("DISAGREE"), "INDEPENDENT_VALID_CANDIDATES_DISAGREE"),
+        (c & own, "USE_CHALLENGER", F.lit("DISAGREE"), "VALID_INDEPENDENT_CHALLENGER_REPLACES_INVALID_PRIMARY"),
+    )
+    agreement = F.lit("DISAGREE")
+    for condition, _, says, _ in reversed(steps):
+        agreement = F.when(condition, says).otherwise(agreement)
+    return F.struct(
+        ladder(*((s[0], s[1]) for s in steps), otherwise="HITL").alias("action"), agreement.alias("agreement"), ladder(*((s[0], s[3]) for s in steps), otherwise="CHALLENGER_ACCEPTANCE_GATES_FAILED").alias("reason")
+    )
 
 
 def largest_risk(signals: dict[str, Column], flagged_from: float = 0.5) -> Column:

@@ -21,14 +21,17 @@ def _yes(condition: Column) -> Column:
     return F.coalesce(condition.cast("boolean"), F.lit(False))
 
 
-def processing_route(top_class: Column, verification: Column, family: Column, structured: Column, claim_related: Column) -> Column:
-    """Struct (route, reason): what stops, what a verified form's extractor takes, and what goes by layout or as free text."""
+def processing_route(top_class: Column, verification: Column, family: Column, structured: Column, claim_related: Column, authorized: Column) -> Column:
+    """Struct (route, reason): what stops, what a verified form's extractor takes, and what goes by layout or as free text.
+
+    A form that is verified without leave for the fixed extractor is refused: its route is null.
+    """
     verified = _yes(verification == "VERIFIED")
     steps = (
-        (_yes(top_class == "NON_CLAIM"), "STOP_NON_CLAIM", "TOP_LEVEL_NON_CLAIM"), (verified & _yes(family == "CMS1500"), "CMS_STANDARD_EXTRACTOR", "STANDARD_FORM_VERIFIED"), (verified, "UB_STANDARD_EXTRACTOR", "STANDARD_FORM_VERIFIED"),
+        (_yes(top_class == "NON_CLAIM"), "STOP_NON_CLAIM", "TOP_LEVEL_NON_CLAIM"), (verified & ~_yes(authorized), "", "VERIFIED_WITHOUT_LEAVE_FOR_FIXED_EXTRACTOR"), (verified & _yes(family == "CMS1500"), "CMS_STANDARD_EXTRACTOR", "STANDARD_FORM_VERIFIED"), (verified, "UB_STANDARD_EXTRACTOR", "STANDARD_FORM_VERIFIED"),
         (_yes(structured), "LAYOUT_STRUCTURED_EXTRACTOR", "STRUCTURED_WITHOUT_STANDARD_VERIFICATION"), (_yes(claim_related), "UNSTRUCTURED_EXTRACTOR", "UNSTRUCTURED_CLAIM_RELATED"),
     )
-    route = ladder(*((c, name) for c, name, _ in steps), otherwise="SAFE_UNKNOWN")
+    route = F.nullif(ladder(*((c, name) for c, name, _ in steps), otherwise="SAFE_UNKNOWN"), F.lit(""))
     return F.struct(route.alias("route"), ladder(*((c, why) for c, _, why in steps), otherwise="INSUFFICIENT_SAFE_ROUTE_EVIDENCE").alias("reason"))
 
 
@@ -166,24 +169,32 @@ def chosen_template(scores: DataFrame, page: str, template: str, score: str, lea
     return top.select(page, first["t"].alias(template), (-first["s"]).alias(score), F.when(good, "SELECTED").otherwise("UNRESOLVED").alias("status"))
 
 
-def routed_fields(candidates: DataFrame, required: DataFrame, document: str, field: str, critical: str, score: str, page: str, value: str, least: float = 0.80, margin: float = 0.05) -> DataFrame:
-    """document, field, page, value, disposition of every required field, over all pages.
+def page_evidence(confidence: Column, family_confidence: Column, page_relevance: Column, crop_quality: Column) -> Column:
+    """What a reading on a page is worth as evidence."""
+    return 0.35 * confidence + 0.25 * family_confidence + 0.25 * page_relevance + 0.15 * crop_quality
+
 
-    The best candidate (ties: the smaller page, then value) is SELECTED if it is
-    good and ahead of any other value; a critical field that isn't is
-    HUMAN_REVIEW_REQUIRED, another is UNRESOLVED. ``required`` has a row for each
-    field (a policy table).
+def routed_fields(candidates: DataFrame, required: DataFrame, document: str, field: str, critical: str, score: str, page: str, value: str, valid: Column, least: float = 0.70, margin: float = 0.08) -> DataFrame:
+    """document, field, page, value, reason, review of every required field, over all pages of a document.
+
+    Of the candidates that pass hard validation (``valid``, and a value that
+    isn't empty) a page counts with its best one, so several readings of one
+    page don't stand against each other. The best page is selected if its score
+    is at least ``least`` and, where there is another page, ahead of it by
+    ``margin``; else a critical field is up for review. Ties: the smaller page,
+    then the smaller value. ``required`` has a row for each field.
     """
-    best_of_value = candidates.groupBy(document, field, value).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(page)).alias("p"))).alias("m"))
-    w = Window.partitionBy(document, field).orderBy(F.col("m.s").desc(), F.col("m.p").desc(), value)
-    ranked = best_of_value.withColumn("__k", F.row_number().over(w)).withColumn("__next", F.lead("m.s").over(w)).filter("__k = 1")
-    wanted = candidates.select(document).distinct().crossJoin(F.broadcast(required.select(field, critical)))
+    good = candidates.filter(_yes(valid) & (F.coalesce(F.col(value).cast("string"), F.lit("")) != ""))
+    best_of_page = good.groupBy(document, field, page).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(value).alias("v"))).alias("m"))
+    w = Window.partitionBy(document, field).orderBy("m.s", page)
+    ranked = best_of_page.withColumn("__k", F.row_number().over(w)).withColumn("__next", F.lead("m.s").over(w)).filter("__k = 1")
+    wanted = candidates.select(document).distinct().crossJoin(F.broadcast(required.select(field, critical)))  # a policy table
     out = wanted.join(ranked, [document, field], "left")
-    chosen = _yes((F.col("m.s") >= least) & (F.col("m.s") - F.coalesce("__next", F.lit(0.0)) >= margin))
-    return out.select(
-        document, field, F.when(chosen, -F.col("m.p")).alias(page), F.when(chosen, F.col(value)).alias(value),
-        F.when(chosen, "SELECTED").when(_yes(F.col(critical)), "HUMAN_REVIEW_REQUIRED").otherwise("UNRESOLVED").alias("disposition"),
-    )
+    top, second = -F.col("m.s"), -F.col("__next")
+    named = F.concat(F.lit("selected_page_"), F.col(page).cast("string"), F.lit("_for_"), F.col(field))
+    reason = F.when(top.isNull(), "no_page_candidate_passed_hard_validation").when(top < least, "best_page_evidence_below_threshold").when(F.round(top - second, 9) < margin, "winning_page_margin_below_threshold").otherwise(named)
+    chosen = _yes(reason == named)
+    return out.select(document, field, F.when(chosen, F.col(page)).alias(page), F.when(chosen, F.col("m.v")).alias(value), reason.alias("reason"), (~chosen & _yes(F.col(critical))).alias("review"))
 
 
 def claim_quality(fields: DataFrame, claim: str, confidence: str, critical: str, present: str, least_critical: float = 0.95, least_complete: float = 1.0) -> DataFrame:

@@ -43,11 +43,11 @@ def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.unpivot([], ["MISSING_ID", "DUPLICATE_ID", "INVERTED_VALIDITY"], "violation", "n")
 
 
-@query("""WITH f AS (SELECT source AS field, list_sort(list_distinct(list(lang))) AS have FROM documents WHERE n_chars > 3000 GROUP BY 1), o AS (SELECT unnest([['en', 'fr', 'de', 'es'], ['en', 'es']]) AS opt)
+@query("""WITH f AS (SELECT source AS field, coalesce(list_sort(list_distinct(list(lang) FILTER (WHERE n_chars > 3000))), []) AS have FROM documents GROUP BY 1), o AS (SELECT unnest([['en', 'fr', 'de', 'es'], ['en', 'es']]) AS opt)
 SELECT field, CASE WHEN field = 'src3' THEN 'UNCONFIGURED' WHEN bool_or(len(list_filter(opt, lambda x: NOT list_contains(have, x))) = 0) THEN 'REACHABLE' ELSE 'UNREACHABLE' END AS status FROM f, o GROUP BY 1""")
 def policy_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields whose policy some alternative of the evidence there is can meet."""
-    f = table(spark, sf_dir, "documents").filter("n_chars > 3000").groupBy(F.col("source").alias("field")).agg(F.collect_set("lang").alias("have"))
+    f = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("field")).agg(F.collect_set(F.when(F.col("n_chars") > 3000, F.col("lang"))).alias("have"))
     options = evidence.alternatives([["en", "fr", "de", "es"], ["en", "es"]])
     return f.select("field", d.ladder((F.col("field") == "src3", "UNCONFIGURED"), (evidence.satisfied(options, F.col("have")), "REACHABLE"), otherwise="UNREACHABLE").alias("status"))
 

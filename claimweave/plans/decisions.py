@@ -85,12 +85,15 @@ def trusted_label_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", found.alias("reasons")).withColumn("eligible", F.col("reasons") == "")
 
 
-@query("""WITH l AS (SELECT doc_id, quality AS primary_value, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 1 - toxic END AS challenger, doc_id % 5 <> 0 AS primary_valid, doc_id % 7 <> 0 AS independent, doc_id % 11 = 0 AS unsafe FROM labels)
-SELECT doc_id, CASE WHEN unsafe THEN 'HITL' WHEN challenger IS NULL THEN 'KEEP_PRIMARY' WHEN challenger = primary_value THEN 'KEEP' WHEN NOT primary_valid AND independent THEN 'USE_CHALLENGER' ELSE 'HITL' END AS verdict FROM l""")
+@query("""WITH l AS (SELECT doc_id, quality AS p, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 1 - toxic END AS c, doc_id % 5 <> 0 AS pv, doc_id % 3 <> 0 AS cv, doc_id % 7 <> 0 AS own, doc_id % 11 <> 0 AS safe FROM labels)
+SELECT doc_id, CASE WHEN NOT safe THEN 'HITL' WHEN c IS NULL OR c = p THEN 'KEEP_PRIMARY' WHEN cv AND NOT pv AND own THEN 'USE_CHALLENGER' ELSE 'HITL' END AS action,
+ CASE WHEN c IS NULL THEN 'NO_CANDIDATE' WHEN safe AND c = p THEN 'AGREE' ELSE 'DISAGREE' END AS agreement,
+ CASE WHEN NOT safe THEN 'LOCALIZATION_NOT_CROP_SAFE' WHEN c IS NULL THEN 'CHALLENGER_EMPTY' WHEN c = p AND own THEN 'INDEPENDENT_ENGINE_AGREEMENT' WHEN c = p THEN 'AGREEMENT_NOT_INDEPENDENT' WHEN pv AND cv THEN 'INDEPENDENT_VALID_CANDIDATES_DISAGREE'
+  WHEN cv AND own THEN 'VALID_INDEPENDENT_CHALLENGER_REPLACES_INVALID_PRIMARY' ELSE 'CHALLENGER_ACCEPTANCE_GATES_FAILED' END AS reason FROM l""")
 def challenger_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
-    verdict = d.challenger_verdict(F.col("quality"), F.when(key % 6 != 0, 1 - F.col("toxic")), key % 5 != 0, key % 7 != 0, key % 11 == 0)
-    return table(spark, sf_dir, "labels").select("doc_id", verdict.alias("verdict"))
+    verdict = d.challenger_verdict(F.col("quality"), F.when(key % 6 != 0, 1 - F.col("toxic")), key % 5 != 0, key % 3 != 0, key % 7 != 0, key % 11 != 0)
+    return table(spark, sf_dir, "labels").select("doc_id", verdict.alias("v")).select("doc_id", "v.*")
 
 
 @query("""WITH s AS (SELECT page_id, CASE WHEN contains(html, '<form') THEN 0.9 ELSE 0.1 END AS form, CASE WHEN length(html) < 1200 THEN 0.8 ELSE 0.2 END AS short, CASE WHEN contains(html, '<b>') THEN 0.6 ELSE 0.0 END AS bold FROM pages)

@@ -143,11 +143,11 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"), F.row_number().over(w).alias("place"), F.col("o_orderpriority").alias("queue"))
 
 
-@query("""WITH p AS (SELECT conv_id, role, substr(text, 1, 10) AS opening, max(turn) AS last_turn FROM conversations GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY last_turn DESC, opening) AS k FROM p)
+@query("""WITH p AS (SELECT conv_id, role, text AS opening, max(turn) AS last_turn FROM conversations GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY last_turn DESC, opening) AS k FROM p)
 SELECT conv_id, role, opening, last_turn FROM r WHERE k <= 3""")
 def recent_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three latest different openings of each role: a top-k report."""
-    p = table(spark, sf_dir, "conversations").groupBy("conv_id", "role", F.substring("text", 1, 10).alias("opening")).agg(F.max("turn").alias("last_turn"))
+    """The three latest different turns of each role: a top-k report."""
+    p = table(spark, sf_dir, "conversations").groupBy("conv_id", "role", F.col("text").alias("opening")).agg(F.max("turn").alias("last_turn"))
     k = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy(F.col("last_turn").desc(), "opening"))
     return p.withColumn("k", k).filter("k <= 3").drop("k")
 

@@ -15,13 +15,13 @@ catalogue = Catalogue()
 query = catalogue.query
 
 
-@query("""WITH g AS (SELECT l_orderkey AS field, l_returnflag AS v, count(*) AS support, count(DISTINCT l_suppkey % 3) AS families, max(1 - l_discount) AS best, bool_or(l_tax = 0) AS pixel FROM lineitem WHERE l_suppkey % 11 <> 0 GROUP BY 1, 2),
+@query("""WITH g AS (SELECT l_orderkey AS field, l_returnflag AS v, count(*) AS support, count(DISTINCT l_suppkey % 3) AS families, max(1 - l_discount) AS best, bool_or(l_tax = 0) AS pixel FROM lineitem GROUP BY 1, 2),
 s AS (SELECT field, v, round(least(1.0, least(0.6, 0.2 * families) + 0.15 * least(support, 2) / 2 + 0.2 * best + CASE WHEN pixel THEN 0.2 ELSE 0.0 END), 9) AS score FROM g),
 r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS s2 FROM s WINDOW w AS (PARTITION BY field ORDER BY score DESC, v))
 SELECT field, v AS value, score, CASE WHEN score < 0.45 THEN 'TOO_WEAK' WHEN round(score - coalesce(s2, 0), 9) < 0.08 THEN 'AMBIGUOUS_VALUE' ELSE 'SELECTED' END AS status FROM r WHERE k = 1""")
 def value_group_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with one value score together: families, support, confidence, pixels; then a margin."""
-    g = table(spark, sf_dir, "lineitem").filter("l_suppkey % 11 <> 0").groupBy(F.col("l_orderkey").alias("field"), F.col("l_returnflag").alias("value")).agg(
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("field"), F.col("l_returnflag").alias("value")).agg(
         F.count(F.lit(1)).alias("support"), F.countDistinct(F.col("l_suppkey") % 3).alias("families"), F.max(1 - F.col("l_discount")).alias("best"), F.bool_or(F.col("l_tax") == 0).alias("pixel")
     )
     score = F.least(F.lit(0.6), 0.2 * F.col("families")) + 0.15 * F.least("support", F.lit(2)) / 2 + 0.2 * F.col("best") + F.when(F.col("pixel"), 0.2).otherwise(0.0)

@@ -116,8 +116,10 @@ def family_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands in the first two columns of a page's first turn, if it is one row."""
-    return layout.single_row_text(_boxes(spark, sf_dir), "conv_id", "word", (F.col("x1") <= 100) & (F.col("y0") < 5))
+    """What stands at the top of the first two columns of each turn's page, if it is one row."""
+    turn = F.floor(F.col("ord") / 100000)
+    boxes = _boxes(spark, sf_dir).withColumn("page", F.concat_ws("-", "conv_id", turn.cast("string")))
+    return layout.single_row_text(boxes, "page", "word", (F.col("x1") <= 100) & (F.col("y0") - turn * 100000 < 5))
 
 
 @query("""WITH f AS (SELECT p_brand AS source, p_partkey, 'R' || p_size % 4 AS rec, p_size * 3 + 1 AS s, p_size * 3 + 1 + p_partkey % 7 AS e, p_partkey % 3 AS k, p_partkey % 5 = 0 AS wrong FROM part)

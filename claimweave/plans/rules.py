@@ -14,14 +14,14 @@ catalogue = Catalogue()
 query = catalogue.query
 
 
-@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'NON_CLAIM' ELSE 'CLAIM' END AS top, CASE o_orderstatus WHEN 'F' THEN 'VERIFIED' WHEN 'O' THEN 'REJECTED' END AS v, o_orderpriority AS family, o_custkey % 3 = 0 AS s, o_custkey % 3 = 1 AS r FROM orders)
-SELECT o_orderkey AS document, CASE WHEN top = 'NON_CLAIM' THEN 'STOP_NON_CLAIM' WHEN v = 'VERIFIED' AND family = '1-URGENT' THEN 'CMS_STANDARD_EXTRACTOR' WHEN v = 'VERIFIED' THEN 'UB_STANDARD_EXTRACTOR' WHEN s THEN 'LAYOUT_STRUCTURED_EXTRACTOR' WHEN r THEN 'UNSTRUCTURED_EXTRACTOR' ELSE 'SAFE_UNKNOWN' END AS route,
- CASE WHEN top = 'NON_CLAIM' THEN 'TOP_LEVEL_NON_CLAIM' WHEN v = 'VERIFIED' THEN 'STANDARD_FORM_VERIFIED' WHEN s THEN 'STRUCTURED_WITHOUT_STANDARD_VERIFICATION' WHEN r THEN 'UNSTRUCTURED_CLAIM_RELATED' ELSE 'INSUFFICIENT_SAFE_ROUTE_EVIDENCE' END AS reason FROM r""")
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'NON_CLAIM' ELSE 'CLAIM' END AS top, CASE o_orderstatus WHEN 'F' THEN 'VERIFIED' WHEN 'O' THEN 'REJECTED' END AS v, o_orderpriority AS family, o_custkey % 3 = 0 AS s, o_custkey % 3 = 1 AS r, o_custkey % 11 <> 0 AS leave FROM orders)
+SELECT o_orderkey AS document, CASE WHEN top = 'NON_CLAIM' THEN 'STOP_NON_CLAIM' WHEN v = 'VERIFIED' AND NOT leave THEN NULL WHEN v = 'VERIFIED' AND family = '1-URGENT' THEN 'CMS_STANDARD_EXTRACTOR' WHEN v = 'VERIFIED' THEN 'UB_STANDARD_EXTRACTOR' WHEN s THEN 'LAYOUT_STRUCTURED_EXTRACTOR' WHEN r THEN 'UNSTRUCTURED_EXTRACTOR' ELSE 'SAFE_UNKNOWN' END AS route,
+ CASE WHEN top = 'NON_CLAIM' THEN 'TOP_LEVEL_NON_CLAIM' WHEN v = 'VERIFIED' AND NOT leave THEN 'VERIFIED_WITHOUT_LEAVE_FOR_FIXED_EXTRACTOR' WHEN v = 'VERIFIED' THEN 'STANDARD_FORM_VERIFIED' WHEN s THEN 'STRUCTURED_WITHOUT_STANDARD_VERIFICATION' WHEN r THEN 'UNSTRUCTURED_CLAIM_RELATED' ELSE 'INSUFFICIENT_SAFE_ROUTE_EVIDENCE' END AS reason FROM r""")
 def processing_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, key = table(spark, sf_dir, "orders"), F.col("o_custkey") % 3
     top, family = F.when(F.col("o_orderkey") % 7 == 0, "NON_CLAIM").otherwise("CLAIM"), F.when(F.col("o_orderpriority") == "1-URGENT", "CMS1500").otherwise("UB04")
     verified = F.when(F.col("o_orderstatus") == "F", "VERIFIED").when(F.col("o_orderstatus") == "O", "REJECTED")
-    return o.select(F.col("o_orderkey").alias("document"), policies.processing_route(top, verified, family, key == 0, key == 1).alias("r")).select("document", "r.route", "r.reason")
+    return o.select(F.col("o_orderkey").alias("document"), policies.processing_route(top, verified, family, key == 0, key == 1, F.col("o_custkey") % 11 != 0).alias("r")).select("document", "r.route", "r.reason")
 
 
 @query("""SELECT event_id, (user_id % 2 = 0 AND event_id % 3 = 0 AND value >= 0.9) OR (event_id % 5 = 0 AND value / 2 >= 0.85) AS accepted FROM events""")
@@ -43,11 +43,12 @@ def address_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANY_OF = [["login", "view"], ["purchase"]]
 
 
-@query("""WITH a AS (SELECT user_id, list_distinct(list(event_type)) AS s FROM events WHERE event_id % 3 = 0 GROUP BY 1), u AS (SELECT user_id, list_contains(s, 'login') AND list_contains(s, 'view') AS x, list_contains(s, 'purchase') AS y FROM a)
+@query("""WITH a AS (SELECT user_id, list_distinct(list(event_type) FILTER (WHERE event_id % 3 = 0)) AS s FROM events GROUP BY 1), u AS (SELECT user_id, coalesce(list_contains(s, 'login') AND list_contains(s, 'view'), false) AS x, coalesce(list_contains(s, 'purchase'), false) AS y FROM a)
 SELECT user_id, x OR y AS passed, concat_ws(';', CASE WHEN NOT x THEN 'login+view' END, CASE WHEN NOT y THEN 'purchase' END) AS missing FROM u""")
 def signal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alternatives of signals: whether one is met, and all that aren't."""
-    a = table(spark, sf_dir, "events").filter("event_id % 3 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
+    signal = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))  # other events are no signal
+    a = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(signal).alias("s"))
     rule = policies.signal_rule(F.array(*(F.array(*map(F.lit, o)) for o in _ANY_OF)), F.col("s"))
     return a.select("user_id", rule.alias("r")).select("user_id", "r.passed", F.array_join("r.missing", ";").alias("missing"))
 
@@ -82,13 +83,14 @@ def adjudication_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROUTE = [{"action": "view", "cost": 0.0, "seconds": 1.0}, {"action": "REFERENCE", "cost": 0.1, "seconds": 1.0, "reference": True}, {"action": "CLOUD", "cost": 2.0, "seconds": 5.0, "cloud": True}]
 
 
-@query("""WITH a AS (SELECT user_id, list_distinct(list(event_type)) AS tried, CAST(count(*) AS DOUBLE) / 10 AS budget FROM events WHERE event_id % 4 = 0 GROUP BY 1),
+@query("""WITH a AS (SELECT user_id, coalesce(list_distinct(list(event_type) FILTER (WHERE event_id % 4 = 0)), []) AS tried, CAST(count(*) FILTER (WHERE event_id % 4 = 0) AS DOUBLE) / 10 AS budget FROM events GROUP BY 1),
 w AS (SELECT *, CASE WHEN list_contains(tried, 'view') THEN 'tried' WHEN budget < 0 THEN 'budget_exceeded' ELSE '' END AS v, CASE WHEN user_id % 3 <> 0 THEN 'reference_unavailable' WHEN budget < 0.1 THEN 'budget_exceeded' ELSE '' END AS r, CASE WHEN user_id % 2 = 0 THEN 'cloud_processing_disallowed' WHEN budget < 2 THEN 'budget_exceeded' ELSE '' END AS c FROM a)
 SELECT user_id, CASE WHEN v = '' THEN 'view' WHEN r = '' THEN 'REFERENCE' WHEN c = '' THEN 'CLOUD' WHEN list_contains(tried, 'signup') THEN 'ABSTAIN' ELSE 'HITL' END AS action,
  CASE WHEN v = '' OR r = '' THEN '' WHEN c = '' THEN r ELSE array_to_string(list_sort(list_distinct([r, c])), ';') END AS skipped FROM w""")
 def next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest next source of evidence that a member's limits allow."""
-    a = table(spark, sf_dir, "events").filter("event_id % 4 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("tried"), (F.count(F.lit(1)).cast("double") / 10).alias("budget"))
+    attempt = F.col("event_id") % 4 == 0
+    a = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(attempt, F.col("event_type"))).alias("tried"), (F.count_if(attempt).cast("double") / 10).alias("budget"))
     tried = F.when(F.array_contains("tried", "signup"), F.array_append("tried", F.lit("HITL"))).otherwise(F.col("tried"))
     step = policies.next_action(_ROUTE, tried, F.col("budget"), F.lit(60.0), F.col("user_id") % 2 == 1, F.col("user_id") % 3 == 0)
     return a.select("user_id", step.alias("s")).select("user_id", "s.action", F.array_join("s.skipped", ";").alias("skipped"))
@@ -104,13 +106,14 @@ def claims_to_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.finalizable(fields, claims, ["1", "2", "3"], "claim", "field", "state")
 
 
-@query("""WITH d AS (SELECT user_id, event_type AS g, CASE WHEN event_id % 5 = 0 THEN 'FAIL' WHEN event_id % 7 = 0 THEN 'unknown' ELSE 'PASS' END AS s FROM events WHERE event_id % 6 < 2),
+@query("""WITH d AS (SELECT user_id, CASE WHEN event_id % 6 < 2 THEN event_type ELSE 'other' END AS g, CASE WHEN event_id % 5 = 0 THEN 'FAIL' WHEN event_id % 7 = 0 THEN 'unknown' ELSE 'PASS' END AS s FROM events),
 w AS (SELECT user_id, g, min(CASE s WHEN 'PASS' THEN 'PASS' WHEN 'FAIL' THEN 'FAIL' ELSE 'NOT_TESTED' END) AS s FROM d WHERE g IN ('login', 'view') GROUP BY 1, 2), k AS (SELECT user_id, count(*) FILTER (WHERE s = 'PASS') AS p, count(*) FILTER (WHERE s = 'FAIL') AS f FROM w GROUP BY 1)
 SELECT u.user_id, CASE WHEN p = 2 THEN 'PROMOTABLE' ELSE 'BLOCKED' END AS decision, coalesce(f, 0) AS failed, 2 - coalesce(p, 0) - coalesce(f, 0) AS untested FROM (SELECT DISTINCT user_id FROM d) u LEFT JOIN k USING (user_id)""")
 def release_qualification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether all gates of a candidate are declared passed."""
     said = F.when(F.col("event_id") % 5 == 0, "FAIL").when(F.col("event_id") % 7 == 0, "unknown").otherwise(" tested")
-    d = table(spark, sf_dir, "events").filter("event_id % 6 < 2").select("user_id", F.col("event_type").alias("gate"), said.alias("value"))
+    gate = F.when(F.col("event_id") % 6 < 2, F.col("event_type")).otherwise("other")
+    d = table(spark, sf_dir, "events").select("user_id", gate.alias("gate"), said.alias("value"))
     return policies.declared_gates(d, ["login", "view"], "user_id", "gate", "value")
 
 
@@ -154,15 +157,17 @@ def page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.chosen_template(s, "page", "template", "score", margin=0.02)
 
 
-@query("""WITH c AS (SELECT l_orderkey AS document, CAST(l_linenumber % 3 AS VARCHAR) AS field, l_returnflag AS value, l_linenumber AS page, 1 - l_discount AS score FROM lineitem), q AS (SELECT * FROM (VALUES ('0', true), ('1', false), ('2', true)) t(field, critical)),
-v AS (SELECT *, row_number() OVER (PARTITION BY document, field, value ORDER BY score DESC, page) AS j FROM c), r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM v WHERE j = 1 WINDOW w AS (PARTITION BY document, field ORDER BY score DESC, page, value)),
-o AS (SELECT d.document, q.field, q.critical, r.page, r.value, coalesce(r.score >= 0.92 AND r.score - coalesce(second, 0) >= 0.02, false) AS ok FROM (SELECT DISTINCT document FROM c) d CROSS JOIN q LEFT JOIN r ON r.document = d.document AND r.field = q.field AND k = 1)
-SELECT document, field, CASE WHEN ok THEN page END AS page, CASE WHEN ok THEN value END AS value, CASE WHEN ok THEN 'SELECTED' WHEN critical THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'UNRESOLVED' END AS disposition FROM o""")
+@query("""WITH c AS (SELECT l_orderkey AS document, CAST(l_linenumber % 3 AS VARCHAR) AS field, l_returnflag AS value, l_suppkey % 3 AS page, round(0.35 * (1 - l_discount) + 0.25 * (1 - l_tax) + 0.25 * l_quantity / 50 + 0.15 * 0.9, 9) AS score, l_linestatus = 'F' AS valid FROM lineitem), q AS (SELECT * FROM (VALUES ('0', true), ('1', false), ('2', true)) t(field, critical)),
+v AS (SELECT *, row_number() OVER (PARTITION BY document, field, page ORDER BY score DESC, value) AS j FROM c WHERE valid AND value <> ''), r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM v WHERE j = 1 WINDOW w AS (PARTITION BY document, field ORDER BY score DESC, page)),
+o AS (SELECT d.document, q.field, q.critical, r.page, r.value, CASE WHEN score IS NULL THEN 'no_page_candidate_passed_hard_validation' WHEN score < 0.70 THEN 'best_page_evidence_below_threshold' WHEN round(score - second, 9) < 0.08 THEN 'winning_page_margin_below_threshold' ELSE 'selected_page_' || r.page || '_for_' || q.field END AS reason
+ FROM (SELECT DISTINCT document FROM c) d CROSS JOIN q LEFT JOIN r ON r.document = d.document AND r.field = q.field AND k = 1)
+SELECT document, field, CASE WHEN reason LIKE 'selected%' THEN page END AS page, CASE WHEN reason LIKE 'selected%' THEN value END AS value, reason, critical AND reason NOT LIKE 'selected%' AS review FROM o""")
 def field_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each required field of a document the page and value that stand out."""
-    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), (F.col("l_linenumber") % 3).cast("string").alias("field"), F.col("l_returnflag").alias("value"), F.col("l_linenumber").alias("page"), (1 - F.col("l_discount")).alias("score"))
+    """For each required field of a document the page that stands out, and what is read there."""
+    score = F.round(policies.page_evidence(1 - F.col("l_discount"), 1 - F.col("l_tax"), F.col("l_quantity") / 50, F.lit(0.9)), 9)
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), (F.col("l_linenumber") % 3).cast("string").alias("field"), F.col("l_returnflag").alias("value"), (F.col("l_suppkey") % 3).alias("page"), score.alias("score"), (F.col("l_linestatus") == "F").alias("valid"))
     required = spark.createDataFrame([("0", True), ("1", False), ("2", True)], "field string, critical boolean")
-    return policies.routed_fields(found, required, "document", "field", "critical", "score", "page", "value", 0.92, 0.02)
+    return policies.routed_fields(found, required, "document", "field", "critical", "score", "page", "value", F.col("valid"))
 
 
 @query("""WITH f AS (SELECT l_orderkey AS claim, 1 - l_discount AS c, l_linenumber <= 2 AS crit, l_quantity > 3 AS p FROM lineitem), a AS (SELECT claim, CAST(count(*) FILTER (WHERE p) AS DOUBLE) / count(*) AS completeness, min(CASE WHEN crit THEN CASE WHEN p THEN c ELSE 0 END END) AS weakest_critical, min(CASE WHEN p THEN c END) AS weakest FROM f GROUP BY 1)
@@ -177,8 +182,7 @@ def claim_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE event_id % 5 WHEN 0 THEN 'NPI' WHEN 1 THEN 'CURRENCY' WHEN 2 THEN 'TEXT' WHEN 3 THEN 'DATE' ELSE 'ALPHANUMERIC_ID' END AS kind FROM events)
 SELECT kind, grade, count(*) AS n FROM (SELECT kind, CAST(CASE WHEN trim(value) = '' THEN 0 WHEN kind = 'NPI' THEN CASE WHEN length(regexp_replace(value, '[^0-9]', '', 'g')) = 10 THEN 1 ELSE 0 END WHEN kind = 'CURRENCY' THEN CASE WHEN regexp_full_match(value, '\\$?[0-9][0-9,]*(\\.[0-9]{1,2})?') THEN 1 ELSE 0.1 END
  WHEN kind = 'TEXT' THEN CASE WHEN NOT regexp_matches(value, '[A-Za-z]') THEN 0 ELSE 0.8 END WHEN kind = 'ALPHANUMERIC_ID' THEN CASE WHEN regexp_full_match(value, '[A-Za-z0-9-]{5,24}') THEN 0.95 ELSE 0.15 END
- ELSE CASE WHEN TRY_CAST(CASE WHEN regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN value END AS DATE) IS NOT NULL OR (length(regexp_replace(value, '[^0-9]', '', 'g')) = 8 AND (try_strptime(regexp_replace(value, '[^0-9]', '', 'g'), '%Y%m%d') IS NOT NULL OR try_strptime(regexp_replace(value, '[^0-9]', '', 'g'), '%m%d%Y') IS NOT NULL))
-  OR (length(regexp_replace(value, '[^0-9]', '', 'g')) = 6 AND try_strptime(substr(regexp_replace(value, '[^0-9]', '', 'g'), 1, 4) || '20' || substr(regexp_replace(value, '[^0-9]', '', 'g'), 5), '%m%d%Y') IS NOT NULL) THEN 1 ELSE 0 END END AS DOUBLE) AS grade FROM v) GROUP BY 1, 2""")
+ ELSE CASE WHEN TRY_CAST(CASE WHEN regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN value END AS DATE) IS NOT NULL OR (length(regexp_replace(value, '[^0-9]', '', 'g')) = 8 AND (try_strptime(regexp_replace(value, '[^0-9]', '', 'g'), '%Y%m%d') IS NOT NULL OR try_strptime(regexp_replace(value, '[^0-9]', '', 'g'), '%m%d%Y') IS NOT NULL)) THEN 1 ELSE 0 END END AS DOUBLE) AS grade FROM v) GROUP BY 1, 2""")
 def type_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well values suit the datatypes they are read as."""
     e, six, five = table(spark, sf_dir, "events"), F.col("event_id") % 6, F.col("event_id") % 5

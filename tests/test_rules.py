@@ -25,7 +25,7 @@ def values(spark, rows, schema, *columns):
 
 GRADES = [
     ("TEXT", "x", None, 0.0), ("TEXT", "relationship", "self", 1.0), ("TEXT", "relationship", "uncle", 0.0), ("TEXT", "member_id", "AB123", 1.0), ("TEXT", "member_id", "12345", 0.45), ("TEXT", "member_id", "a b", 0.1),
-    ("NPI", "x", "123-456-7890", 1.0), ("NPI", "x", "12", 0.0), ("DATE", "x", "2024-02-30", 0.0), ("DATE", "x", "02/29/24", 1.0), ("ICD_CODE", "x", "a01.1  B20", 1.0), ("ICD_CODE", "x", "U07", 0.1), ("CPT_HCPCS", "x", "j1234", 1.0),
+    ("NPI", "x", "123-456-7890", 1.0), ("NPI", "x", "12", 0.0), ("DATE", "x", "2024-02-30", 0.0), ("DATE", "x", "02/29/24", 0.0), ("DATE", "x", "010224", 0.0), ("DATE", "x", "02292024", 1.0), ("DATE", "x", "2024/02/29", 1.0), ("ICD_CODE", "x", "a01.1  B20", 1.0), ("ICD_CODE", "x", "U07", 0.1), ("CPT_HCPCS", "x", "j1234", 1.0),
     ("CURRENCY", "x", "$1,200.5", 1.0), ("CURRENCY", "x", "1.234", 0.1), ("TYPE_OF_BILL", "x", "0131", 1.0), ("TAX_IDENTIFIER", "x", "12-3456789", 1.0), ("TAX_IDENTIFIER", "x", "1", 0.2), ("ALPHANUMERIC_ID", "x", "AB-12345", 0.95),
     ("PERSON_NAME", "x", "patient name", 0.05), ("ADDRESS", "x", "12 34", 0.0), ("TEXT", "x", "words", 0.8), ("OTHER", "x", "?", 0.7),
 ]
@@ -85,7 +85,7 @@ def test_boxes(spark):
 def test_unknown_values_accept_nothing(spark):
     none, text, many = F.lit(None).cast("boolean"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     row = spark.range(1).select(
-        policies.reference_accepted(none, none, F.lit(None).cast("double"), none, F.lit(None).cast("double")).alias("r"), policies.address_accepted(none, none, none, many, many, text).alias("a"), policies.processing_route(text, text, text, none, none)["route"].alias("p"),
+        policies.reference_accepted(none, none, F.lit(None).cast("double"), none, F.lit(None).cast("double")).alias("r"), policies.address_accepted(none, none, none, many, many, text).alias("a"), policies.processing_route(text, text, text, none, none, none)["route"].alias("p"),
         policies.fixed_geometry_refusal(text, text, none, none, none, text, text).alias("g"), policies.adjudication_tier(none, none, none, none, none, none, none)["tier"].alias("t"), policies.region_usable(text, text, none, none, none).alias("u"),
     ).first()
     assert tuple(row) == (False, False, "SAFE_UNKNOWN", "REGISTERED_FIXED_REQUIRES_VERIFIED_FORM_IDENTITY", "LOCAL_ONLY", False)
@@ -188,9 +188,34 @@ def test_decisions(spark):
     assert [one(d.field_decision(*b(*row))) for row in ((True, True, True, 1.0), (False, True, True, 1.0), (False, False, True, 0.1), (False, False, False, 0.98), (False, False, False, 0.94), (False, False, False, 0.93), (None, None, None, None))] == [
         "HITL_MISSING", "HITL_CONTRADICTION", "REFERENCE_CONFIRMED", "AUTO_ACCEPT", "ACCEPT_WITH_CORROBORATION", "HITL_LOW_CONFIDENCE", "HITL_LOW_CONFIDENCE",
     ]
-    verdict = lambda *x: one(d.challenger_verdict(*b(*x)))
-    assert [verdict("a", "b", False, True, True), verdict("a", None, False, True, False), verdict("a", "a", False, True, False), verdict("a", "b", False, True, False), verdict("a", "b", True, True, False), verdict("a", "b", False, False, False)] == ["HITL", "KEEP_PRIMARY", "KEEP", "USE_CHALLENGER", "HITL", "HITL"]
+    low = lambda v: F.lower(v)
+    verdict = lambda *x: tuple(one(d.challenger_verdict(*b(*x), agreement_form=low)))
+    # primary, challenger, primary valid, challenger valid, independent, safe crop
+    assert [verdict(*row) for row in (("1", "2", False, True, True, False), ("1", None, False, True, True, False), ("1", "", False, True, True, True), ("A1", "a1", True, True, True, True), ("A1", "a1", True, True, False, True), ("1", "2", True, True, True, True), ("1", "2", False, True, True, True), ("1", "garbage", False, False, True, True), ("1", "2", False, True, False, True), (None, "2", False, True, True, True))] == [
+        ("HITL", "DISAGREE", "LOCALIZATION_NOT_CROP_SAFE"), ("HITL", "NO_CANDIDATE", "LOCALIZATION_NOT_CROP_SAFE"), ("KEEP_PRIMARY", "NO_CANDIDATE", "CHALLENGER_EMPTY"), ("KEEP_PRIMARY", "AGREE", "INDEPENDENT_ENGINE_AGREEMENT"), ("KEEP_PRIMARY", "AGREE", "AGREEMENT_NOT_INDEPENDENT"),
+        ("HITL", "DISAGREE", "INDEPENDENT_VALID_CANDIDATES_DISAGREE"), ("USE_CHALLENGER", "DISAGREE", "VALID_INDEPENDENT_CHALLENGER_REPLACES_INVALID_PRIMARY"), ("HITL", "DISAGREE", "CHALLENGER_ACCEPTANCE_GATES_FAILED"), ("HITL", "DISAGREE", "CHALLENGER_ACCEPTANCE_GATES_FAILED"),
+        ("USE_CHALLENGER", "DISAGREE", "VALID_INDEPENDENT_CHALLENGER_REPLACES_INVALID_PRIMARY"),
+    ]
+    arrays = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    apart = lambda crops, regions, shared: one(d.independent_readings(tuple(b(*crops)), tuple(b(*regions)), shared))
+    assert [apart("ab", "rs", (arrays("x"), arrays("y"))), apart("aa", "rs", (arrays(), arrays())), apart("ab", ("r", None), (arrays(), arrays())), apart("ab", "rs", (arrays("x"), arrays("x", "y"))), apart("ab", "rs", (F.lit(None).cast("array<string>"), arrays("x")))] == [True, False, False, False, True]
     assert tuple(one(d.largest_risk({"A": F.lit(0.5), "B": F.lit(0.2), "C": F.lit(0.9)}))) == (0.9, "A,C")
     assert tuple(one(d.form_status(b(True, True, False), F.lit(False), 2, 1))) == (pytest.approx(2 / 3), "AMBIGUOUS")
     rows = spark.createDataFrame([("p", "v", k, k == 1) for k in (1, 2, 3)] + [("p", "w", k, False) for k in (4, 5, 6)] + [("q", "v", 7, True), ("q", "v", 7, True), ("q", "v", 8, True)], "pop string, value string, doc int, anchor boolean")
     assert sorted(r.doc for r in d.with_consensus(rows, ["pop"], "value", "doc", F.col("anchor")).collect()) == [1, 2, 3]
+
+
+def test_fields_are_routed_by_page(spark):
+    """The margin is between pages: readings of one page don't stand against each other, and invalid ones don't count."""
+    rows = [
+        ("d", "one", 1, "v", 0.9, True), ("d", "one", 1, "w", 0.89, True), ("d", "one", 2, "v", 0.5, True), ("d", "two", 1, "v", 0.9, True), ("d", "two", 2, "v", 0.85, True), ("d", "three", 1, "v", 0.95, False), ("d", "three", 2, "v", 0.6, True),
+        ("d", "four", 3, "", 0.9, True), ("d", "five", 7, "x", 0.70, True), ("d", "six", 1, "x", 0.88, True), ("d", "six", 2, "x", 0.80, True), ("e", "one", 1, "v", 0.69, None),
+    ]
+    found = spark.createDataFrame(rows, "doc string, field string, page int, value string, score double, ok boolean")
+    required = spark.createDataFrame([(f, f in ("two", "four")) for f in ("one", "two", "three", "four", "five", "six")], "field string, critical boolean")
+    out = {(r.doc, r.field): (r.page, r.value, r.reason, r.review) for r in policies.routed_fields(found, required, "doc", "field", "critical", "score", "page", "value", F.col("ok")).collect()}
+    assert len(out) == 12 and {k[1]: v for k, v in out.items() if k[0] == "d"} == {
+        "one": (1, "v", "selected_page_1_for_one", False), "two": (None, None, "winning_page_margin_below_threshold", True), "three": (None, None, "best_page_evidence_below_threshold", False),
+        "four": (None, None, "no_page_candidate_passed_hard_validation", True), "five": (7, "x", "selected_page_7_for_five", False), "six": (1, "x", "selected_page_1_for_six", False),
+    }
+    assert out["e", "one"][2] == "no_page_candidate_passed_hard_validation"
