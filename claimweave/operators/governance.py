@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..sources.staging import staged
 
 
 def ranked_split(df: DataFrame, key: str, seed: str, fraction: float, name: str = "split") -> DataFrame:
@@ -58,6 +59,33 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, target: int, seed:
     return near.withColumn("__rank", rank + F.col("__before")).filter("__rank <= quota").select(*df.columns)
 
 
+def quota_sample(rows: DataFrame, package: str, kind: str, targets: dict[str, int], seed: str) -> DataFrame:
+    """package: whole packages, in the order of their seeded digest, each if it has rows of a kind that still lacks some, until no kind does.
+
+    As long as a kind lacks rows, every package that has any is taken, so what
+    has been taken of it is the running sum over all packages, whatever the
+    other kinds do. The package at which that sum reaches the target closes the
+    kind, and a package is taken if it comes no later than the close of one of
+    its kinds: the same packages as going through them one by one. Sums per
+    leading digits of the digest find each close; only the digits with the close
+    are sorted, and a kind's packages are nowhere together. A kind that never
+    reaches its target never closes; packages without a wanted kind, or with a
+    null name, aren't taken.
+    """
+    wanted = {k: n for k, n in targets.items() if n > 0}
+    counts = rows.filter(F.col(kind).isin(*wanted) & F.col(package).isNotNull()).groupBy(package, kind).agg(F.count(F.lit(1)).alias("__n"))
+    digest = F.sha2(F.to_json(F.array(F.lit(seed), F.col(package).cast("string"))), 256)
+    keyed = staged(counts.select(package, kind, "__n", F.struct(digest.alias("d"), F.col(package).alias("p")).alias("__key")).withColumn("__lead", F.substring("__key.d", 1, 4)), "packages")
+    sums = keyed.groupBy(kind, "__lead").agg(F.sum("__n").alias("__in"))
+    before = F.coalesce(F.sum("__in").over(Window.partitionBy(kind).orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    target = F.element_at(F.create_map(*(F.lit(x) for pair in wanted.items() for x in pair)), F.col(kind)) if wanted else F.lit(0)
+    cut = sums.withColumn("__before", before).filter((F.col("__before") < target) & (F.col("__before") + F.col("__in") >= target)).select(kind, "__lead", "__before")
+    reached = F.col("__before") + F.sum("__n").over(Window.partitionBy(kind).orderBy("__key"))
+    close = keyed.join(F.broadcast(cut), [kind, "__lead"]).withColumn("__reached", reached).filter(F.col("__reached") >= target).groupBy(kind).agg(F.min("__key").alias("__close"))  # a row for each kind
+    taken = keyed.join(F.broadcast(close), kind, "left").filter(F.col("__close").isNull() | (F.col("__key") <= F.col("__close")))
+    return taken.select(package).distinct()
+
+
 def round_robin(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:
     """The first of every group, then the second of every group, until ``limit``: a report's top rows."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))

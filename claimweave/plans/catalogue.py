@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import claims, contracts, decisions, evaluation, fields, governance, matching, pages, records, reference, reports, rules, streams
+from . import claims, contracts, decisions, evaluation, fields, governance, localization, matching, pages, records, reference, reports, rules, streams
 from .base import Query
 
-_PARTS = (claims.catalogue, fields.catalogue, contracts.catalogue, decisions.catalogue, matching.catalogue, evaluation.catalogue, governance.catalogue, records.catalogue, pages.catalogue, reference.catalogue, reports.catalogue, rules.catalogue, streams.catalogue)
+_PARTS = (claims.catalogue, fields.catalogue, contracts.catalogue, decisions.catalogue, matching.catalogue, evaluation.catalogue, governance.catalogue, localization.catalogue, records.catalogue, pages.catalogue, reference.catalogue, reports.catalogue, rules.catalogue, streams.catalogue)
 
 
 def queries() -> dict[str, Query]:

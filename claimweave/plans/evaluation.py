@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import metrics
+from ..operators import calibration, metrics
 from ..sources.tables import table
 from .base import Catalogue
 
@@ -103,19 +103,53 @@ def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(numbers.platt(v, 0.08, -1.5), 9).alias("platt"), F.round(numbers.logit_affine(v / 100, 0.8, 0.1), 9).alias("affine"))
 
 
-@query()
-def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isotonic calibration of a score against correctness; thresholds and fitted values.
+#: Pooling in SQL: a score's rate is the largest, over begins at or before it, of the smallest mean up to an end at or after it.
+_ISOTONIC = """ps AS (SELECT *, sum(positives) OVER w AS sy, sum(n) OVER w AS sn, row_number() OVER w AS k FROM {points} WINDOW w AS (PARTITION BY family ORDER BY score)),
+mean AS (SELECT a.family, a.k AS j, b.k AS e, (b.sy - a.sy + a.positives) / (b.sn - a.sn + a.n) AS m FROM ps a JOIN ps b ON a.family = b.family AND b.k >= a.k),
+low AS (SELECT family, j, e AS i, min(m) OVER (PARTITION BY family, j ORDER BY e DESC ROWS UNBOUNDED PRECEDING) AS m FROM mean), fit AS (SELECT family, i, max(m) AS p FROM low GROUP BY 1, 2)"""
 
-    Scores are brought to thousandths first, so the fit has as many knots as
-    there are of these at most, however many rows there are.
-    """
-    from pyspark.ml.regression import IsotonicRegression
 
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").cast("double").alias("label"), F.round(F.log1p("n_chars"), 3).alias("features"))
-    points = rows.groupBy("features").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    model = IsotonicRegression(weightCol="weight").fit(points)
-    return spark.createDataFrame(list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True)), "threshold double, value double")
+@query(f"""WITH pts AS (SELECT '' AS family, CAST(n_chars AS DOUBLE) AS score, CAST(sum(quality) AS DOUBLE) AS positives, CAST(count(*) AS DOUBLE) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 2), {_ISOTONIC.format(points="pts")}
+SELECT round(p, 9) AS value, min(score) AS lo, max(score) AS hi, CAST(sum(positives) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS n FROM fit JOIN ps ON fit.i = ps.k GROUP BY 1""")
+def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The non-decreasing fit of quality to a document's length, over exact scores: its levels, and from where to where each holds."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("family", F.lit(""))
+    blocks = calibration.isotonic_blocks(calibration.equal_scores(rows, ["family"], "n_chars", "quality"), ["family"])
+    # blocks of equal rate are one level
+    return blocks.groupBy(F.round(F.col("positives") / F.col("n"), 9).alias("value")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("positives").cast("long").alias("positives"), F.sum("n").cast("long").alias("n"))
+
+
+def _newton(points: str, steps: int) -> str:
+    """Common table expressions of Newton steps for a logistic curve of each family; the last one is ``step<steps>``."""
+    out = [f"step0 AS (SELECT family, 1.0::DOUBLE AS a, ln(greatest(1e-6, least(1 - 1e-6, sum(positives) / sum(n))) / (1 - greatest(1e-6, least(1 - 1e-6, sum(positives) / sum(n))))) - sum(score * n) / sum(n) AS b FROM {points} GROUP BY 1)"]
+    for k in range(steps):
+        out.append(f"""g{k} AS (SELECT family, a, b, sum((n * p - positives) * score) / sum(n) + {calibration.RIDGE} * a AS gs, sum(n * p - positives) / sum(n) AS gi, sum(n * p * (1 - p) * score * score) / sum(n) + {calibration.RIDGE} AS hss, sum(n * p * (1 - p) * score) / sum(n) AS hsi, sum(n * p * (1 - p)) / sum(n) + 1e-12 AS hii
+ FROM (SELECT *, 1 / (1 + exp(-(a * score + b))) AS p FROM {points} JOIN step{k} USING (family)) GROUP BY 1, 2, 3),
+step{k + 1} AS (SELECT family, a - (hii * gs - hsi * gi) / (hss * hii - hsi * hsi) AS a, b - (hss * gi - hsi * gs) / (hss * hii - hsi * hsi) AS b FROM g{k})""")
+    return ",\n".join(out)
+
+
+def _quality(name: str) -> str:
+    return f"""(SELECT family, sum(squares) / sum(m) AS brier, sum(abs(y - p)) / sum(m) AS ece FROM (SELECT family, {" + ".join(f"CAST(p >= {k / 10} AS INTEGER)" for k in range(1, 10))} AS bin, sum(n) AS m, sum(positives) AS y, sum(n * p) AS p, sum(positives * (1 - p) ** 2 + (n - positives) * p ** 2) AS squares FROM {name} GROUP BY 1, 2) GROUP BY 1)"""
+
+
+_CALIBRATED = "SELECT event_type AS family, floor(least(value, 50) * 2) / 100 AS score, CAST(user_id % 10 + 1 <= least(value, 50) / 5 + event_id % 3 AS INTEGER) AS y, CASE event_id % 4 WHEN 0 THEN 'validation' WHEN 1 THEN 'holdout' ELSE 'calibration' END AS split FROM events"
+
+
+@query(f"""WITH r AS ({_CALIBRATED}), grp AS (SELECT family, split, score, CAST(sum(y) AS DOUBLE) AS positives, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY 1, 2, 3),
+tr AS MATERIALIZED (SELECT * FROM grp WHERE split = 'calibration'), va AS MATERIALIZED (SELECT * FROM grp WHERE split = 'validation'), {_newton("tr", 14)},
+{_ISOTONIC.format(points="tr")}, knot AS (SELECT ps.family, score AS x, p FROM fit JOIN ps ON fit.family = ps.family AND fit.i = ps.k),
+bp AS (SELECT va.*, 1 / (1 + exp(-(a * score + b))) AS p FROM va JOIN step14 USING (family)),
+near AS (SELECT va.*, (SELECT max(x) FROM knot WHERE knot.family = va.family AND x <= score) AS x0, (SELECT min(x) FROM knot WHERE knot.family = va.family AND x >= score) AS x1 FROM va),
+bi AS (SELECT near.family, score, positives, n, CASE WHEN x0 IS NULL THEN k1.p WHEN x1 IS NULL OR x0 = x1 THEN k0.p ELSE k0.p + (score - x0) * (k1.p - k0.p) / (x1 - x0) END AS p FROM near LEFT JOIN knot k0 ON k0.family = near.family AND k0.x = x0 LEFT JOIN knot k1 ON k1.family = near.family AND k1.x = x1),
+ra AS (SELECT *, score AS p FROM va)
+SELECT c.family, 'SELECTED' AS status, train, validation, CASE WHEN (i.brier, i.ece) < (q.brier, q.ece) THEN 'isotonic' ELSE 'platt' END AS selected, round(w.brier, 6) AS raw_brier, round(w.ece, 6) AS raw_ece, round(q.brier, 6) AS platt_brier, round(q.ece, 6) AS platt_ece, round(i.brier, 6) AS isotonic_brier, round(i.ece, 6) AS isotonic_ece
+FROM (SELECT family, count(*) FILTER (WHERE split = 'calibration') AS train, count(*) FILTER (WHERE split = 'validation') AS validation FROM r GROUP BY 1) c JOIN {_quality("ra")} w USING (family) JOIN {_quality("bp")} q USING (family) JOIN {_quality("bi")} i USING (family)""")
+def calibrator_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each type of event the calibration curve that does best on its validation rows; the holdout isn't read."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_type AS family", "floor(least(value, 50) * 2) / 100 AS score", "CAST(user_id % 10 + 1 <= least(value, 50) / 5 + event_id % 3 AS int) AS y", "CASE event_id % 4 WHEN 0 THEN 'validation' WHEN 1 THEN 'holdout' ELSE 'calibration' END AS split")
+    report = calibration.chosen_calibrators(rows, "family", "score", "y", "split").report
+    return report.select("family", "status", "train", "validation", "selected", *(F.round(f"{n}_{m}", 6).alias(f"{n}_{m}") for n in ("raw", "platt", "isotonic") for m in ("brier", "ece")))
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)

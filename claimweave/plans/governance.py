@@ -48,6 +48,18 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 133, SEED)
 
 
+_QUOTAS = {"AO": 400, "NF": 900, "RF": 100, "NO": 0, "AF": 1_000_000}
+
+
+@query(f"""WITH q AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {n})" for k, n in _QUOTAS.items() if n)}) t(kind, target)), c AS (SELECT CAST(l_orderkey AS VARCHAR) AS package, l_returnflag || l_linestatus AS kind, count(*) AS n, sha256('["quota","' || l_orderkey || '"]') AS d FROM lineitem JOIN q ON kind = l_returnflag || l_linestatus GROUP BY ALL),
+r AS (SELECT c.*, target, sum(n) OVER (PARTITION BY kind ORDER BY d, package) - n AS before FROM c JOIN q USING (kind))
+SELECT DISTINCT package FROM r WHERE before < target""")
+def quota_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole orders until each kind of line has its number; one kind never gets there."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("package"), F.concat("l_returnflag", "l_linestatus").alias("kind"))
+    return g.quota_sample(rows, "package", "kind", _QUOTAS, "quota")
+
+
 @query("""WITH r AS (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS turn FROM documents) SELECT doc_id, source, turn FROM r ORDER BY turn, source LIMIT 50""")
 def round_robin_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty documents that a review round-robin over sources shows first."""

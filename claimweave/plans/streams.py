@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules
 from ..sources.tables import table
-from ..streaming import jobs
+from ..streaming import governor, jobs
 from .base import Catalogue
 
 catalogue = Catalogue()
@@ -54,6 +54,24 @@ def rate_window_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.spend_within_budget(_stream(spark, sf_dir), 40.0)
 
 
+_LIMITS = governor.Limits({"TEXT": 3, "CROP": 2}, 6.0, 1.5, 0.5)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id % 20 AS account, event_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY date_trunc('milliseconds', ts), event_id) AS k, event_type = 'view' AS is_page, user_id || '/' || event_id % 4 AS page, user_id % 60 || '' AS claim, CASE WHEN event_type = 'purchase' THEN 'CROP' ELSE 'TEXT' END AS tier, value / 20 AS cost FROM events),
+g AS (SELECT DISTINCT account, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, false AS is_page, CAST(NULL AS VARCHAR) AS why, CAST(MAP {} AS MAP(VARCHAR, INTEGER)) AS calls, CAST(MAP {} AS MAP(VARCHAR, DOUBLE)) AS costs, CAST(0 AS BIGINT) AS pages, CAST(0 AS DOUBLE) AS total FROM e
+ UNION ALL SELECT account, k, event_id, is_page, why, CASE WHEN why = 'AUTHORIZED' THEN map_concat(calls, MAP {key: coalesce(calls[key], 0) + 1}) ELSE calls END, CASE WHEN why = 'AUTHORIZED' THEN map_concat(costs, MAP {claim: coalesce(costs[claim], 0) + cost}) ELSE costs END, pages + CAST(is_page AS BIGINT), CASE WHEN why = 'AUTHORIZED' THEN total + cost ELSE total END
+ FROM (SELECT g.account, e.k, e.event_id, e.is_page, calls, costs, pages, total, page || tier AS key, claim, cost, CASE WHEN e.is_page THEN '' WHEN coalesce(calls[page || tier], 0) >= CASE WHEN tier = 'TEXT' THEN 3 ELSE 2 END THEN 'PAGE_CALL_LIMIT' WHEN coalesce(costs[claim], 0) + 0.5 > 6 THEN 'CLAIM_COST_LIMIT' WHEN (total + 0.5) / greatest(1, pages) > 1.5 THEN 'MEAN_COST_LIMIT' ELSE 'AUTHORIZED' END AS why
+  FROM g JOIN e ON e.account = g.account AND e.k = g.k + 1))
+SELECT account, event_id, why = 'AUTHORIZED' AS granted, why AS reason FROM g WHERE NOT is_page AND event_id IS NOT NULL""")
+def governed_spending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls granted within the limits of their page, claim and account, in order of time, by state; times count to the millisecond, as watermarks do."""
+    kind, tier = F.when(F.col("event_type") == "view", "PAGE").otherwise("CALL"), F.when(F.col("event_type") == "purchase", "CROP").otherwise("TEXT")
+    events = _stream(spark, sf_dir).select(
+        (F.col("user_id") % 20).alias("account"), "event_id", F.date_trunc("millisecond", "ts").alias("ts"), kind.alias("kind"), F.concat_ws("/", "user_id", (F.col("event_id") % 4).cast("string")).alias("page"), (F.col("user_id") % 60).cast("string").alias("claim"), tier.alias("tier"), (F.col("value") / 20).alias("cost")
+    )
+    return governor.governed_calls(events, _LIMITS, "0 seconds")
+
+
 @query("""WITH s AS (SELECT event_type AS segment, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE value > 30) AS high FROM events GROUP BY 1)
 SELECT '1998-W52' AS as_of_week, segment, n, users, concat_ws(',', CASE WHEN NOT n >= 1900 THEN 'ENOUGH' END, CASE WHEN NOT CAST(high AS DOUBLE) / n <= 0.05 THEN 'HIGH_VALUES' END) AS failed, sha256(concat_ws('|', '1998-W52', segment, n, users, high)) AS content_hash FROM s""")
 def ledger_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
