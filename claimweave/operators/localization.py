@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.candidates import type_compatibility
 from ..functions.similarity import sequence_ratio
+from ..sources.staging import staged
 from .policies import region_ownership
 
 #: Datatypes that are read as a run of words on a line.
@@ -286,7 +287,7 @@ def located_fields(tokens: DataFrame, rules: list[FieldRule], least_score: float
     """
     spark = tokens.sparkSession
     table = _rule_table(spark, rules)
-    found = anchors(tokens, rules)
+    found = staged(anchors(tokens, rules), "anchors")  # read three times
     near = nearby(tokens, found, table)
     labels = _label_boxes(tokens, table)
     extra = table.select("field", "datatype", "wide", "width_part", "weights", "has_declared")
@@ -301,6 +302,7 @@ def located_fields(tokens: DataFrame, rules: list[FieldRule], least_score: float
     span = F.aggregate("tokens", F.lit(0.0), lambda a, t: a + t["confidence"]) / F.size("tokens")
     touched = F.exists("label_boxes", lambda b: (F.least(b["x1"], F.col("box.x1")) > F.greatest(b["x0"], F.col("box.x0"))) & (F.least(b["y1"], F.col("box.y1")) > F.greatest(b["y0"], F.col("box.y0"))))
     groups = groups.withColumns({"value": value, "span": span, "cross_field": F.when(F.col("has_declared"), F.when(touched, 0.0).otherwise(1.0)), "direction": F.concat(F.lit("ANCHOR_"), F.upper("relation.name"))})
+    groups = staged(groups, "groups")
 
     contracts = _contracts(tokens, found, table).join(groups.groupBy("page", "field").agg(F.collect_set("box").alias("seen")), ["page", "field"], "left").filter(F.col("seen").isNull() | ~F.array_contains("seen", F.col("fallback")))
     contracts = prepared(contracts.withColumn("tokens", F.filter(F.array("t"), lambda t: t.isNotNull())))
