@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
+import os
+import re
+import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: First bytes of file types, in hex.
 MAGIC = (("49492A00", "TIFF"), ("4D4D002A", "TIFF"), ("25504446", "PDF"), ("89504E470D0A1A0A", "PNG"), ("FFD8FF", "JPEG"), ("504B0304", "ZIP"))
@@ -115,6 +124,10 @@ class WorkbookSource(DataSource):
     """One sheet of an XLSX workbook as strings: ``format("workbook").option("path", ...).option("sheet", "1")``.
 
     The first row names the columns in the schema that the reader is given.
+    Writing makes a folder with a workbook of one sheet for each task (and for
+    each ``most_rows`` rows of it), the columns' names in the first row. Parts
+    are written under hidden names and take their own when all tasks are done;
+    if one fails, nothing stays. The folder must be one that all machines mount.
     """
 
     @classmethod
@@ -124,6 +137,9 @@ class WorkbookSource(DataSource):
     def reader(self, schema):
         return _WorkbookReader(self.options, schema.names)
 
+    def writer(self, schema, overwrite: bool):
+        return _WorkbookWriter(self.options, schema.names, overwrite)
+
 
 class _WorkbookReader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
@@ -153,3 +169,107 @@ class _WorkbookReader(DataSourceReader):
                         by_name = {header.get(k): v for k, v in cells.items()}
                         yield tuple(by_name.get(n) for n in self.names)
                     row.clear()
+
+
+#: Fixed value: the rows that a sheet can have, its header among them.
+SHEET_ROWS = 1_048_576
+#: The parts of a workbook beside its sheet.
+_BOOK = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{sheet}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
+
+
+def _letters(k: int) -> str:
+    """A column's letters: 0 is A, 26 is AA."""
+    out = ""
+    k += 1
+    while k:
+        k, r = divmod(k - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def _shown(value) -> str:
+    """A cell's text: lists and structs as JSON, null as nothing; characters that XML can't hold as a question mark."""
+    if isinstance(value, Row):
+        value = value.asDict(recursive=True)
+    text = "" if value is None else json.dumps(value, sort_keys=True, default=str) if isinstance(value, list | dict) else str(value)
+    return escape(re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "?", text))
+
+
+class _WorkbookWriter(DataSourceWriter):
+    def __init__(self, options: dict, names: list[str], overwrite: bool):
+        self.path, self.sheet, self.names, self.overwrite = options["path"].removeprefix("file://"), options.get("sheet", "Sheet1"), names, overwrite
+        self.rows, self.job = int(options.get("most_rows", SHEET_ROWS)) - 1, uuid.uuid4().hex
+        if not overwrite and os.path.isdir(self.path) and any(n.endswith(".xlsx") for n in os.listdir(self.path)):
+            self.first = 1 + max(int(n[5:10]) for n in os.listdir(self.path) if re.fullmatch(r"part-\d{5,}-\d+\.xlsx", n))
+        else:
+            self.first = 0
+
+    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        task = TaskContext.get()
+        folder = os.path.join(self.path, f".{self.job}")
+        os.makedirs(folder, exist_ok=True)
+        names, left = [], _Ahead(iterator)
+        while left or not names:
+            name = f"part-{self.first + task.partitionId():05d}-{len(names)}.xlsx"
+            own = os.path.join(folder, f"{name}.{task.taskAttemptId()}")
+            with zipfile.ZipFile(own, "w", zipfile.ZIP_DEFLATED) as book:
+                for part, text in _BOOK.items():
+                    book.writestr(part, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text.replace("{sheet}", escape(self.sheet, {'"': "&quot;"})))
+                with book.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as out:
+                    out.write(b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+                    out.write(self._row(1, self.names))
+                    for k, row in enumerate(left.take(self.rows), 2):
+                        out.write(self._row(k, row))
+                    out.write(b"</sheetData></worksheet>")
+            names.append(os.path.basename(own))
+        return _Written(names)
+
+    @staticmethod
+    def _row(number: int, values) -> bytes:
+        cells = "".join(f'<c r="{_letters(k)}{number}" t="inlineStr"><is><t xml:space="preserve">{_shown(v)}</t></is></c>' for k, v in enumerate(values))
+        return f'<row r="{number}">{cells}</row>'.encode()
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        os.makedirs(self.path, exist_ok=True)
+        if self.overwrite:
+            for name in os.listdir(self.path):
+                if name.endswith(".xlsx"):
+                    os.unlink(os.path.join(self.path, name))
+        for message in messages:
+            for name in message.names if message else []:
+                os.replace(os.path.join(self.path, f".{self.job}", name), os.path.join(self.path, name.rpartition(".")[0]))
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        """What this job has written and not committed goes."""
+        shutil.rmtree(os.path.join(self.path, f".{self.job}"), ignore_errors=True)
+
+
+class _Ahead:
+    """An iterator that knows whether there is more."""
+
+    def __init__(self, rows: Iterator) -> None:
+        self.rows, self.next = rows, []
+        self._fill()
+
+    def _fill(self) -> None:
+        self.next = [row for row in islice(self.rows, 1)]
+
+    def __bool__(self) -> bool:
+        return bool(self.next)
+
+    def take(self, many: int) -> Iterator:
+        while self.next and many > 0:
+            row, many = self.next[0], many - 1
+            self._fill()
+            yield row
