@@ -80,7 +80,7 @@ def adjudication_order(distance: Column, critical: Column, localized: Column) ->
 
 
 def next_action(route: list[dict], tried: Column, budget: Column, time_left: Column, cloud_allowed: Column, reference_available: Column, last: str = "HITL", none: str = "ABSTAIN") -> Column:
-    """Struct (action, skipped): the first action of a route that wasn't tried and that its limits allow.
+    """Struct (action, skipped, exhausted): the first action of a route that wasn't tried and that its limits allow.
 
     ``route``: dicts of action, cost, seconds, and cloud or reference if it is
     or needs one, in order. ``skipped`` names the limits, each once, that ruled
@@ -97,7 +97,7 @@ def next_action(route: list[dict], tried: Column, budget: Column, time_left: Col
         skipped.append(F.when(fresh & (why != ""), why))
         done = F.when(fresh & (why == ""), step["action"]).otherwise(done)
     end = F.when(F.array_contains(tried, last), none).otherwise(last)
-    return F.struct(F.coalesce(done, end).alias("action"), F.array_sort(F.array_distinct(F.array_compact(F.array(*skipped)))).alias("skipped"))
+    return F.struct(F.coalesce(done, end).alias("action"), F.array_sort(F.array_distinct(F.array_compact(F.array(*skipped)))).alias("skipped"), done.isNull().alias("exhausted"))
 
 
 def finalizable(dispositions: DataFrame, claims: DataFrame, critical: list[str], claim: str, field: str, disposition: str, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
