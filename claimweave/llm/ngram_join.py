@@ -62,8 +62,8 @@ TILE_BYTES, STRIP, COLUMNS = 1 << 25, 512, 512
 BROADCAST_MEMBERS = 200_000
 #: Rows up to which a table of lists or of set ids is broadcast (16 bytes each).
 BROADCAST_LISTS = 200_000
-#: Bits of the Bloom filter that finds the sets to verify; a full one lets more through.
-BLOOM_BITS = 1 << 23
+#: Bits for each set of the Bloom filter that finds those to verify, and a filter's at least and at most (64 MB).
+BLOOM_EACH, LEAST_BLOOM_BITS, MOST_BLOOM_BITS = 32, 1 << 20, 1 << 29
 
 _FLUSH = 1 << 18  # entries a task holds before it sends them on
 _BAND = 1.18  # more than 1 / 0.85, so linked sets are in the same or in neighbouring bands
@@ -317,38 +317,62 @@ def candidates(docs: DataFrame, frequent: np.ndarray, total: int, shingle: int,
     return _source(docs).mapInArrow(index, "bucket int, postings binary").groupBy("bucket").applyInArrow(pairs, _FOUND)
 
 
-def _bloom_places(names: np.ndarray) -> list[np.ndarray]:
-    return [(words.mix(names.astype(np.uint64) + np.uint64(k * 0x9E3779B9)) % np.uint64(BLOOM_BITS)).astype(np.int64) for k in range(1, 4)]
+def _bloom_places(names: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(words.mix(names.astype(np.uint64) + np.uint64(k * 0x9E3779B9)) & np.uint64(bits - 1)).astype(np.int64) for k in range(1, 4)]
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(set_id, shingles) of the sets named in ``wanted.set_id``, and of a few more that a Bloom filter lets through."""
+def _bloom_plan(wanted: int, most_bits: int) -> tuple[int, int]:
+    """Bits of a filter, and passes over the texts: BLOOM_EACH bits for each wanted set, in as many filters as that takes."""
+    passes = max(1, -(-wanted * BLOOM_EACH // most_bits))
+    bits = LEAST_BLOOM_BITS
+    while bits < min(most_bits, wanted * BLOOM_EACH):
+        bits *= 2
+    return bits, passes
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, most_bits: int = MOST_BLOOM_BITS) -> DataFrame:
+    """(set_id, shingles) of the sets named in ``wanted.set_id``, and of a few more that a Bloom filter lets through.
+
+    The filter grows with the wanted sets, so that about one in a thousand of
+    the others gets through however many there are. Beyond ``most_bits`` the
+    wanted sets are dealt out to several filters by their names, each with a
+    pass over the texts of its own.
+    """
+    bits, passes = _bloom_plan(wanted.count(), most_bits)
+    out = None
+    for turn in range(passes):
+        part = _sets_in_pass(docs, wanted, shingle, bits, turn, passes)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _sets_in_pass(docs: DataFrame, wanted: DataFrame, shingle: int, bits: int, turn: int, passes: int) -> DataFrame:
+    def in_turn(names: np.ndarray) -> np.ndarray:
+        return words.mix(names.astype(np.uint64)) % np.uint64(passes) == turn
 
     def mark(batches):
-        bits = np.zeros(BLOOM_BITS, np.uint8)
         for batch in batches:
-            for p in _bloom_places(batch.column(0).to_numpy(zero_copy_only=False)):
-                bits[p] = 1
-        packed = np.packbits(bits, bitorder="little").view("<i8")
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed[at], pa.int64())], ["w", "v"])
-
-    rows = wanted.select("set_id").mapInArrow(mark, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).collect()
-    bloom = np.zeros(BLOOM_BITS // 64, np.int64)  # as many rows at most
-    for r in rows:
-        bloom[r.w] = r.v
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            place = np.unique(np.concatenate(_bloom_places(names[in_turn(names)], bits)))
+            word, first = np.unique(place >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (place & 63).astype(np.uint64)), first) if len(word) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(value.view(np.int64), pa.int64())], ["w", "v"])
+
+    marked = wanted.select("set_id").mapInArrow(mark, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # bits / 64 rows at most
+    bloom = np.zeros(bits // 64, np.int64)
+    bloom[marked.column("w").to_numpy()] = marked.column("v").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(bloom.tobytes())
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little")
+        held = np.frombuffer(sent.value, np.uint64)
         seen: set[int] = set()
         for batch in batches:
             for _, _, raw, offs in words.chunks(batch.column(1)):
                 sets = [x for x in words.shingle_sets(raw, offs, shingle) if len(x)]
                 names = np.array([set_id(x) for x in sets], np.int64)
-                keep = np.ones(len(names), bool)
-                for p in _bloom_places(names):
-                    keep &= bits[p] == 1
+                keep = in_turn(names)
+                for p in _bloom_places(names, bits):
+                    keep &= (held[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
                 out = []
                 for i in np.flatnonzero(keep).tolist():
                     if (name := int(names[i])) not in seen:

@@ -31,6 +31,24 @@ def test_links_are_counted_like_all_pairs(documents, rows, how, monkeypatch):
     assert max(want.values()) > 20
 
 
+def test_sets_are_found_by_a_filter_of_their_number(spark, documents, rows):
+    """In one pass or in several: all wanted sets come, and hardly any others."""
+    assert ngram_join._bloom_plan(0, 1 << 29) == (1 << 20, 1) and ngram_join._bloom_plan(3_000_000, 1 << 29) == (1 << 27, 1)
+    assert ngram_join._bloom_plan(10**9, 1 << 29) == (1 << 29, 60)
+    docs = documents.select("doc_id", "text")
+    every = {}
+    for _, text, *_ in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        x = ngram_join.words.shingle_sets(raw, np.array([0, len(raw)]), 4)[0]
+        if len(x):
+            every[ngram_join.set_id(x)] = x.tobytes()
+    names = sorted(every)[::3]
+    wanted = spark.createDataFrame([(n,) for n in names], "set_id long")
+    for most in (1 << 29, 1 << 10, 1 << 20):
+        found = {r.set_id: bytes(r.shingles) for r in ngram_join.sets_of(docs, wanted, 4, most).collect()}
+        assert set(names) <= set(found) and all(every[n] == x for n, x in found.items()) and len(found) <= len(names) + len(every) // 20
+
+
 def test_groups_equal_sql(spark, small_dir):
     import duckdb
 
