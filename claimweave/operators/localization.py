@@ -351,3 +351,36 @@ def _owned(chosen: DataFrame, tokens: DataFrame, rules: DataFrame, ambiguity: fl
     unread = (F.col("top.kind") == "CONTRACT") & (F.size("top.ids") == 0)
     rows = rows.withColumn("v", verdict).withColumns({"ownership": F.when(unread, "UNKNOWN").otherwise(F.col("v.ownership")), "ownership_confidence": F.when(unread, 0.35).otherwise(F.col("v.confidence"))})
     return rows.withColumn("wrong_crop", F.col("ownership").isin("REGION_AMBIGUOUS", "WRONG_NEIGHBOR", "MULTI_FIELD_CROP", "LABEL_CONTAMINATED")).select("page", "field", "top", "ownership", "ownership_confidence", "wrong_crop")
+
+
+#: Labels of names, without blanks, that aren't names.
+NAME_LABELS = ("PATIENTNAME", "PATIENTSNAME", "INSUREDNAME", "INSUREDSNAME", "BILLINGPROVIDER", "RENDERINGPROVIDER", "REFERRINGPROVIDER", "NAME")
+#: Fixed value: how far apart two lines of a name's zone are at least.
+LINE_STEP = 12
+
+
+def name_regions(tokens: DataFrame, fields: DataFrame, zones: DataFrame, labels: tuple[str, ...] = NAME_LABELS) -> DataFrame:
+    """page, form, field, value, confidence, outcome, reason and the zone's sides for every row of ``fields`` (page, form, field).
+
+    ``zones``: form, field, x0, y0, x1, y1 in parts of the page, a policy table.
+    Of the tokens whose centre is in the zone, labels, numbers and what begins
+    with a digit in its first three letters are no names. The line nearest to
+    the zone's middle is the value, from left to right (then by reading order);
+    of equally near ones the upper. Tokens of a page meet only its own fields.
+    """
+    size = tokens.groupBy("page").agg(F.max("width").alias("w"), F.max("height").alias("h"))
+    asked = fields.select("page", "form", "field").join(zones.withColumnRenamed("x0", "zx0").withColumnRenamed("y0", "zy0").withColumnRenamed("x1", "zx1").withColumnRenamed("y1", "zy1"), ["form", "field"], "left").join(size, "page", "left")
+    asked = asked.select("page", "form", "field", *((F.col(f"z{s}") * F.col("w" if s[0] == "x" else "h")).alias(f"b{s}") for s in ("x0", "y0", "x1", "y1")))
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    letters = F.regexp_replace(F.upper("text"), "[^\\p{L}\\p{N}]", "")
+    named = ~letters.isin(*labels) & ~letters.rlike("^[0-9]+$") & ~F.substring(letters, 1, 3).rlike("[0-9]")
+    inside = asked.filter("bx0 IS NOT NULL").join(tokens.filter(named), "page").filter(cx.between(F.col("bx0"), F.col("bx1")) & cy.between(F.col("by0"), F.col("by1")))
+    each = inside.withColumn("__line", F.bround(cy / LINE_STEP, 0).cast("long")).groupBy("page", "form", "field", "__line").agg(
+        F.round(F.abs(F.avg(cy) - F.max((F.col("by0") + F.col("by1")) / 2)), 9).alias("off"), F.array_sort(F.collect_list(F.struct("x0", "place", "ord", F.trim("text").alias("text")))).alias("t"), F.avg("confidence").alias("confidence")
+    )
+    best = each.groupBy("page", "form", "field").agg(F.min_by(F.struct(F.array_join("t.text", " ").alias("value"), "confidence"), F.struct("off", "__line")).alias("b"))
+    out = asked.join(best, ["page", "form", "field"], "left")
+    unknown, found = F.col("bx0").isNull(), F.col("b").isNotNull()
+    outcome = F.when(unknown, "LOCALIZATION_UNCERTAIN").when(found, "CROP_SAFE").otherwise("EMPTY_CROP")
+    reason = F.when(unknown, "NO_STANDARD_NAME_ZONE").when(found, "STANDARD_ZONE_TOKEN_GEOMETRY").otherwise("NO_NAME_TOKEN_IN_VALUE_ZONE")
+    return out.select("page", "form", "field", F.col("b.value").alias("value"), F.col("b.confidence").alias("confidence"), outcome.alias("outcome"), reason.alias("reason"), *(F.col(f"b{s}").alias(s) for s in ("x0", "y0", "x1", "y1")))

@@ -61,6 +61,16 @@ def settled_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page", "field", "place", "line", "part")
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 250 by 800: the words of a turn, in lines of five with uneven heights."""
+    words = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("page"), F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    x, y = (F.col("pos") % 5) * 50.0, F.floor(F.col("pos") / 5) * 12.0 + (F.col("pos") % 3) * 1.5
+    return words.select(
+        "page", F.col("pos").cast("string").alias("token"), "text", x.alias("x0"), y.alias("y0"), (x + 40.0).alias("x1"), (y + 9.0).alias("y1"), (0.5 + F.col("pos") * 7 % 50 / 100.0).alias("confidence"), F.floor(F.col("pos") / 5).cast("int").alias("line"),
+        F.col("pos").alias("place"), F.col("pos").cast("long").alias("ord"), F.lit(250).alias("width"), F.lit(800).alias("height"),
+    )
+
+
 _RULES = [
     localization.FieldRule("noun", "ALPHANUMERIC_ID", ("the",), (localization.Relation("right_of"), localization.Relation("below")), neighbours=("and",), negatives=("of",), threshold=1.0),
     localization.FieldRule("joined", "OTHER", ("and",), (localization.Relation("right_of"),), zone="UPPER_LEFT", threshold=1.0),
@@ -98,11 +108,24 @@ SELECT e.page, e.field, CASE WHEN a.page IS NULL THEN 'UNRESOLVED' WHEN o.page I
 FROM (SELECT DISTINCT page, field FROM tok, rule) e LEFT JOIN anchored a ON a.page = e.page AND a.field = e.field LEFT JOIN owned o ON o.page = e.page AND o.field = e.field""")
 def located_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where two fields stand on the pages that turns of conversations make, by their labels; and who owns the place."""
-    words = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("page"), F.posexplode(F.split("text", " ")).alias("pos", "text"))
-    x, y = (F.col("pos") % 5) * 50.0, F.floor(F.col("pos") / 5) * 12.0 + (F.col("pos") % 3) * 1.5
-    tokens = words.select(
-        "page", F.col("pos").cast("string").alias("token"), "text", x.alias("x0"), y.alias("y0"), (x + 40.0).alias("x1"), (y + 9.0).alias("y1"), (0.5 + F.col("pos") * 7 % 50 / 100.0).alias("confidence"), F.floor(F.col("pos") / 5).cast("int").alias("line"),
-        F.col("pos").alias("place"), F.col("pos").cast("long").alias("ord"), F.lit(250).alias("width"), F.lit(800).alias("height"),
-    )
-    out = localization.located_fields(tokens, _RULES)
+    out = localization.located_fields(_tokens(spark, sf_dir), _RULES)
     return out.select("page", "field", "stage", "x0", "y0", "x1", "y1", "source", "value", F.round("score", 6).alias("score"), "ownership")
+
+
+_ZONES = [("A", "first", 0.1, 0.0, 0.7, 0.05), ("A", "second", 0.3, 0.04, 0.9, 0.12), ("B", "first", 0.0, 0.5, 1.0, 0.52)]
+
+
+@query(f"""WITH word AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), raw AS (SELECT conv_id || '-' || turn AS page, conv_id % 3 AS c, unnest(w) AS text, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos FROM word),
+tok AS (SELECT page, pos, text, pos % 5 * 50e0 AS x0, pos % 5 * 50e0 + 20e0 AS cx, pos // 5 * 12e0 + pos % 3 * 1.5e0 + 4.5e0 AS cy, 0.5e0 + pos * 7 % 50 / 100e0 AS conf, regexp_replace(upper(replace(text, 'ß', 'ss')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS n FROM raw),
+ask AS (SELECT DISTINCT page, field, CASE c WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS form FROM raw, (VALUES ('first'), ('second')) f(field)), zone AS (SELECT * FROM (VALUES {", ".join(f"('{f}', '{n}', {a}e0, {b}e0, {c}e0, {d}e0)" for f, n, a, b, c, d in _ZONES)}) t(form, field, zx0, zy0, zx1, zy1)),
+box AS (SELECT page, field, zx0 * 250 AS x0, zy0 * 800 AS y0, zx1 * 250 AS x1, zy1 * 800 AS y1 FROM ask LEFT JOIN zone USING (form, field)),
+ins AS (SELECT b.page, b.field, t.x0 AS tx, pos, trim(text) AS text, conf, cy, (b.y0 + b.y1) / 2 AS mid, CAST(round_even(cy / 12, 0) AS BIGINT) AS line FROM box b JOIN tok t ON t.page = b.page AND cx BETWEEN b.x0 AND b.x1 AND cy BETWEEN b.y0 AND b.y1 WHERE n <> 'NAME' AND NOT regexp_full_match(n, '[0-9]+') AND NOT regexp_matches(substr(n, 1, 3), '[0-9]')),
+per AS (SELECT page, field, line, abs(avg(cy) - max(mid)) AS off, string_agg(text, ' ' ORDER BY tx, pos) AS value, avg(conf) AS confidence FROM ins GROUP BY 1, 2, 3), best AS (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY page, field ORDER BY round(off, 9), line) = 1)
+SELECT b.page, b.field, value, round(confidence, 9) AS confidence, CASE WHEN x0 IS NULL THEN 'LOCALIZATION_UNCERTAIN' WHEN p.page IS NULL THEN 'EMPTY_CROP' ELSE 'CROP_SAFE' END AS outcome FROM box b LEFT JOIN best p ON p.page = b.page AND p.field = b.field""")
+def name_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in the zones that two of three kinds of pages have for them."""
+    tokens = _tokens(spark, sf_dir)
+    form = F.substring_index("page", "-", 1).cast("long") % 3
+    asked = tokens.select("page").distinct().select("page", F.when(form == 0, "A").when(form == 1, "B").otherwise("C").alias("form"), F.explode(F.array(F.lit("first"), F.lit("second"))).alias("field"))
+    zones = spark.createDataFrame(_ZONES, "form string, field string, x0 double, y0 double, x1 double, y1 double")
+    return localization.name_regions(tokens, asked, zones).select("page", "field", "value", F.round("confidence", 9).alias("confidence"), "outcome")

@@ -244,4 +244,19 @@ def test_close_labels_lose_nothing_to_the_bound(spark):
 def test_located_fields_of_no_tokens(spark):
     assert loc.located_fields(spark.createDataFrame([], SCHEMA), RULES).count() == 0
     assert [r.stage for r in loc.located_fields(spark.createDataFrame(token_rows("p", [("NOTHING", 1, 1, 5, 5, 0.9, 0)]), SCHEMA), RULES[:1]).collect()] == ["UNRESOLVED"]
-    assert loc.normal(F.lit("x")) is not None
+    assert spark.createDataFrame([(" ab-1 c ",)], "t string").select(loc.normal(F.col("t"))).first()[0] == "ABI C"
+
+
+def test_name_regions(spark):
+    """One line of the zone, from left to right; labels and numbers aren't names."""
+    width, height = 1000, 1000
+    words = [
+        ("PATIENT'S NAME", 60, 101, 160, 109, 0.9, 0), ("SMITH", 160, 108, 220, 124, 0.8, 1), ("JANE", 60, 109, 120, 125, 0.6, 1), ("123", 230, 108, 260, 124, 0.9, 1), ("A1B", 262, 108, 280, 124, 0.9, 1), ("OTHER", 60, 124, 120, 134, 0.9, 2), ("FAR", 700, 108, 800, 124, 0.9, 1), ("ABC1", 270, 112, 290, 120, 1.0, 1),
+    ]
+    tokens = spark.createDataFrame(token_rows("p", words, width, height) + token_rows("q", [("x", 900, 900, 910, 910, 1.0, 0)], width, height), SCHEMA)
+    zones = spark.createDataFrame([("F", "patient", 0.04, 0.10, 0.30, 0.13)], "form string, field string, x0 double, y0 double, x1 double, y1 double")
+    asked = spark.createDataFrame([("p", "F", "patient"), ("q", "F", "patient"), ("p", "G", "patient"), ("p", "F", "other")], "page string, form string, field string")
+    out = loc.name_regions(tokens, asked, zones).collect()
+    assert sorted((r.page, r.field, r.value, r.outcome, r.reason) for r in out if r.value) == [("p", "patient", "JANE SMITH ABC1", "CROP_SAFE", "STANDARD_ZONE_TOKEN_GEOMETRY")]
+    assert sorted((r.page, r.outcome) for r in out if not r.value) == [("p", "LOCALIZATION_UNCERTAIN"), ("p", "LOCALIZATION_UNCERTAIN"), ("q", "EMPTY_CROP")]
+    assert next(r for r in out if r.value).confidence == pytest.approx((0.6 + 0.8 + 1.0) / 3)
