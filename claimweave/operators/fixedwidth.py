@@ -99,3 +99,60 @@ def parse_spec_text(lines: DataFrame, source: str, number: str, column: str) ->
         F.when(F.contains(part(4), F.lit("V")), "DECIMAL_IMPLIED").when(part(4).startswith("9"), "NUMERIC").otherwise("STRING").alias("kind"),
         (F.col("record").isNotNull() & (picture_length(part(4)) == size)).alias("clear"),
     )
+
+
+def merged_sections(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fields, issues) of record layouts whose sections go on over pages and repeat their headings.
+
+    ``fields``: source, line (in the text), record, number (of the field), name,
+    start, end, picture and further columns, a row for each mention. The first
+    mention of a field in its record stands; a later one that says something
+    else of its place or picture is an issue, at its own line. A field without a
+    number is one of its own.
+    """
+    key = ["source", "record", "number"]
+    place = F.struct("start", "end", "picture")
+    first = fields.filter("number IS NOT NULL").groupBy(*key).agg(F.min("line").alias("__line"), F.min_by(place, "line").alias("__place"))
+    known = fields.join(first, key, "left")
+    kept = known.filter("number IS NULL OR line = __line").select(*fields.columns)
+    differs = known.filter(F.col("number").isNotNull() & (F.col("line") > F.col("__line")) & (place != F.col("__place")))
+    message = F.concat(F.lit("defined as "), F.col("__place.start").cast("string"), F.lit("-"), F.col("__place.end").cast("string"), F.lit(", then as "), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
+    return kept, differs.select("source", "record", "number", F.lit("duplicate_field_conflict").alias("code"), F.lit("ERROR").alias("severity"), message.alias("message"), "line")
+
+
+def spec_issues(fields: DataFrame, records: DataFrame) -> DataFrame:
+    """source, record, number, code, severity, message of all that is wrong with record layouts, each once.
+
+    ``fields``: source, record, number, name, start, end, picture, requirement,
+    notes; ``records``: source, record, length, a row for each definition. Fields
+    of a record are compared with the farthest end of those before them, in order
+    of start, so one pass over sorted fields finds gaps and overlaps, also of
+    fields that lie in others.
+    """
+    from ..functions.text import picture_length
+
+    issue = lambda rows, code, message, severity="ERROR", number="number": rows.select("source", "record", F.col(number).alias("number") if number else F.lit(None).cast("string").alias("number"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"))
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    defined = records.groupBy("source", "record").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("length"))
+    order = Window.partitionBy("source", "record").orderBy("start", "end", "number")
+    seen = Window.partitionBy("source", "record", "number").orderBy("start", "end")
+    rows = fields.withColumn("number", text("number")).withColumn("__next", F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).withColumn("__k", F.row_number().over(seen))
+    last = fields.groupBy("source", "record").agg(F.max("end").alias("__end")).join(defined, ["source", "record"], "right").withColumn("__end", F.coalesce("__end", F.lit(0)))
+    size = F.col("end") - F.col("start") + 1
+    digits = F.upper("picture").rlike(r"(^|PIC\s*)[9S]")
+    said = F.lower(F.coalesce("notes", F.lit("")))
+    out = [
+        issue(defined.filter("n > 1"), "duplicate_record", F.lit("record type appears more than once"), number=None),
+        issue(rows.filter(F.col("number").isNotNull() & (F.col("__k") > 1)), "duplicate_field", F.lit("duplicate field number")),
+        issue(rows.filter("start > __next"), "unexplained_gap", F.concat(F.lit("unmapped positions "), text("__next"), F.lit("-"), text(F.col("start") - 1)), "WARNING"),
+        issue(rows.filter("start < __next"), "overlapping_field", F.concat(F.lit("starts at "), text("start"), F.lit(" where "), text("__next"), F.lit(" is free"))),
+        issue(rows.filter(F.coalesce(picture_length(F.col("picture")) != size, F.lit(False))), "picture_length_mismatch", F.concat(F.lit("picture of "), text(picture_length(F.col("picture"))), F.lit(" in "), text(size))),
+        issue(rows.filter((F.col("requirement") == "R") & (F.trim(F.coalesce("name", F.lit(""))) == "")), "required_field_without_name", F.lit("required field has no name")),
+        issue(rows.filter(digits & (F.contains(said, F.lit("left justify")) | F.contains(said, F.lit("blank fill")))), "numeric_format_conflict", F.lit("numeric picture with left or blank formatting"), "WARNING"),
+        issue(last.filter("__end < length"), "unexplained_gap", F.concat(F.lit("unmapped positions "), text(F.col("__end") + 1), F.lit("-"), text("length")), "WARNING", None),
+        issue(last.filter("__end > length"), "record_overflow", F.concat(F.lit("fields extend to "), text("__end"), F.lit(", expected "), text("length")), number=None),
+    ]
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every.distinct()

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import wilson
+from ..sources.staging import staged
 from .decisions import ladder
 from .policies import next_action
 
@@ -194,3 +195,71 @@ def shadow_gates(claims: DataFrame, run: str, policy: ShadowPolicy = ShadowPolic
     )
     failed = _listed(*((~_yes(ok), name) for ok, name in gates))
     return s.select(run, "claims", "review_rate", "review_upper", "worst_segment", "accuracy", "false_accept_rate", failed.alias("failed"))
+
+
+#: Sections of a document whose values for a field vouch for each other.
+COMPATIBLE_SECTIONS = {
+    "member_id": [("subscriber", "claim_header")], "provider_npi": [("billing_provider", "service_facility")], "federal_tax_no": [("billing_provider", "tax_summary")], "service_date": [("service_line", "certification")], "patient_name": [("patient", "subscriber")],
+}
+
+
+def pair_assessment(field: Column, left: Column, right: Column, sections: dict[str, list[tuple[str, str]]] | None = None, left_form: Column | None = None, right_form: Column | None = None) -> Column:
+    """Struct (independent, compatible, agreeing, conflicting, different_page, different_document, reasons): what two readings of a field are to each other.
+
+    Readings are structs of value, section, invocation, crop, region, page,
+    document, shared (array). They are independent if invocation, crop and region
+    are all known and all differ, nothing is shared, and their sections are two;
+    compatible if such sections vouch for each other for this field. Only
+    compatible ones agree or conflict, by their normal forms (the values, if not given).
+    """
+    sections = COMPATIBLE_SECTIONS if sections is None else sections
+    apart = F.lit(True)
+    for name in ("invocation", "crop", "region"):
+        apart = apart & _yes((left[name] != "") & (right[name] != "") & (left[name] != right[name]))
+    none = F.array().cast("array<string>")
+    apart = apart & ~F.arrays_overlap(F.coalesce(left["shared"], none), F.coalesce(right["shared"], none))
+    two = _yes(left["section"] != right["section"])
+    fits = F.lit(False)
+    for name, pairs in sections.items():
+        for a, b in pairs:
+            fits = fits | _yes((field == name) & (((left["section"] == a) & (right["section"] == b)) | ((left["section"] == b) & (right["section"] == a))))
+    independent = apart & two
+    compatible = independent & fits
+    x, y = (F.coalesce(v, F.lit("")) for v in (left["value"] if left_form is None else left_form, right["value"] if right_form is None else right_form))
+    agreeing, conflicting = compatible & (x != "") & (x == y), compatible & (x != "") & (y != "") & (x != y)
+    why = _listed((left["crop"].eqNullSafe(right["crop"]), "SAME_CROP_SHA256"), (left["region"].eqNullSafe(right["region"]), "SAME_LOCALIZATION_REGION"), (~two, "SEMANTIC_SECTION_NOT_DISTINCT"), (two & ~fits, "SEMANTIC_SECTIONS_INCOMPATIBLE"), (conflicting, "MATERIAL_VALUE_CONFLICT"))
+    differ = lambda name: ~left[name].eqNullSafe(right[name])
+    return F.struct(independent.alias("independent"), compatible.alias("compatible"), agreeing.alias("agreeing"), conflicting.alias("conflicting"), differ("page").alias("different_page"), differ("document").alias("different_document"), why.alias("reasons"))
+
+
+def challenge_refusal(scope: Column, source: Column, family: Column, blocker: Column, unlocks: Column, crop_safe: Column, resolved: Column, failure: Column, failures: tuple[str, ...], sources: tuple[str, ...] = ("SOURCE_B",), families: tuple[str, ...] = ("CMS1500", "UB04")) -> Column:
+    """Why a field may not be put to a challenger, the first reason; null if it may, within the budget."""
+    steps = (
+        (~_yes(scope == "FIELD_CROP"), "FULL_PAGE_REJECTED"), (~_yes(source.isin(*sources)), "SOURCE_NOT_ELIGIBLE"), (~_yes(family.isin(*families)), "FAMILY_NOT_ELIGIBLE"), (~_yes(blocker) & ~_yes(unlocks), "NO_CLAIM_UNLOCK_IMPACT"), (~_yes(crop_safe), "UNSAFE_CROP"), (_yes(resolved), "VALID_PRIMARY_BYPASS"),
+        (~_yes(failure.isin(*failures)), "FAILURE_REASON_NOT_ELIGIBLE"),
+    )
+    return F.nullif(ladder(*steps, otherwise=""), F.lit(""))
+
+
+def challenges(requests: DataFrame, refusal: str, blocker: Column, order: list[str], rate: float = 0.30, parts: int = 200) -> DataFrame:
+    """``requests`` with granted and reason: of those without a refusal the first in ``order``, as many as the budget has.
+
+    The budget is ``rate`` of all blockers, rounded down, and one at least where
+    there is a blocker. ``order`` must leave no ties. Requests are put in ranges
+    of that order; counts of the ranges say in which one the budget ends, and
+    only inside a range are rows numbered.
+    """
+    if not 0 < rate <= 0.30:
+        raise ValueError("a challenger's rate is over 0 and at most 0.30")
+    ranged = staged(requests.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "requests")
+    open_ = F.col(refusal).isNull()
+    counts = ranged.groupBy("__part").agg(F.count_if(open_).alias("__n"), F.count_if(_yes(blocker)).alias("__b"))  # a row for each range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blockers = F.sum("__b").over(Window.partitionBy())
+    limit = F.when(blockers == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1), F.floor(blockers * F.lit(rate))).cast("long"))
+    places = counts.select("__part", (limit - before).alias("__left"))
+    number = F.sum(open_.cast("int")).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = ranged.withColumn("__number", number).join(F.broadcast(places), "__part")
+    granted = open_ & (F.col("__number") <= F.col("__left"))
+    reason = F.coalesce(F.col(refusal), F.when(granted, "BLOCKER_CHALLENGE").otherwise("INVOCATION_BUDGET_EXHAUSTED"))
+    return rows.select(*requests.columns, granted.alias("granted"), reason.alias("reason"))

@@ -99,3 +99,32 @@ def shadow_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("run"), F.col("o_orderkey").alias("claim"), F.col("o_orderstatus").alias("segment"), F.concat(F.lit("s"), (k % 11).cast("string")).alias("source_group"), (k % 40 == 0).alias("review"), *(c.alias(n) for n, c in {**counts, **flags}.items()))
     out = ladders.shadow_gates(claims, "run", prohibited=["s7"])
     return out.select("run", "claims", *(F.round(c, 9).alias(c) for c in ("review_rate", "review_upper", "worst_segment", "accuracy", "false_accept_rate")), F.array_join("failed", ",").alias("failed"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'PAGE' ELSE 'FIELD_CROP' END AS scope, user_id % 3 AS src, event_type, event_id % 2 = 0 AS blocker, event_id % 5 = 0 AS unlocks, event_id % 11 <> 0 AS safe, value > 60 AS resolved FROM events),
+f AS (SELECT *, CASE WHEN scope <> 'FIELD_CROP' THEN 'FULL_PAGE_REJECTED' WHEN src = 2 THEN 'SOURCE_NOT_ELIGIBLE' WHEN event_type = 'signup' THEN 'FAMILY_NOT_ELIGIBLE' WHEN NOT blocker AND NOT unlocks THEN 'NO_CLAIM_UNLOCK_IMPACT' WHEN NOT safe THEN 'UNSAFE_CROP' WHEN resolved THEN 'VALID_PRIMARY_BYPASS' WHEN event_type = 'error' THEN 'FAILURE_REASON_NOT_ELIGIBLE' END AS refusal FROM e),
+b AS (SELECT CASE WHEN count(*) FILTER (WHERE blocker) = 0 THEN 0 ELSE greatest(1, floor(count(*) FILTER (WHERE blocker) * 0.3e0)) END AS cap FROM e), r AS (SELECT *, sum(CAST(refusal IS NULL AS INTEGER)) OVER (ORDER BY event_id) AS k FROM f, b)
+SELECT event_id, refusal IS NULL AND k <= cap AS granted, coalesce(refusal, CASE WHEN k <= cap THEN 'BLOCKER_CHALLENGE' ELSE 'INVOCATION_BUDGET_EXHAUSTED' END) AS reason FROM r""")
+def challenger_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fields are put to a challenger, within a budget over all of them."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    scope, source = F.when(k % 13 == 0, "PAGE").otherwise("FIELD_CROP"), F.when(F.col("user_id") % 3 == 2, "SOURCE_A").otherwise("SOURCE_B")
+    family, failure = F.when(kind == "signup", "OTHER").otherwise("UB04"), F.when(kind == "error", "TIMEOUT").otherwise("EMPTY")
+    refusal = ladders.challenge_refusal(scope, source, family, k % 2 == 0, k % 5 == 0, k % 11 != 0, F.col("value") > 60, failure, ("EMPTY",))
+    asked = table(spark, sf_dir, "events").select("event_id", refusal.alias("refusal"), (k % 2 == 0).alias("blocker"))
+    return ladders.challenges(asked, "refusal", F.col("blocker"), ["event_id"]).select("event_id", "granted", "reason")
+
+
+@query("""WITH a AS (SELECT doc_id, lang, source, n_chars FROM documents), p AS (SELECT x.doc_id AS a_id, y.doc_id AS b_id, CASE x.doc_id % 3 WHEN 0 THEN 'member_id' WHEN 1 THEN 'patient_name' ELSE 'other' END AS field, x.lang AS xv, y.lang AS yv, CASE x.doc_id % 4 WHEN 0 THEN 'subscriber' WHEN 1 THEN 'patient' ELSE 'claim_header' END AS xs, CASE y.doc_id % 4 WHEN 0 THEN 'subscriber' WHEN 1 THEN 'patient' ELSE 'claim_header' END AS ys,
+ x.source AS xc, y.source AS yc, x.n_chars % 7 AS xr, y.n_chars % 7 AS yr FROM a x JOIN a y ON y.doc_id = x.doc_id + 1),
+q AS (SELECT *, xs <> ys AS two, xc <> yc AND xr <> yr AS apart, (field = 'member_id' AND ((xs = 'subscriber' AND ys = 'claim_header') OR (ys = 'subscriber' AND xs = 'claim_header'))) OR (field = 'patient_name' AND ((xs = 'patient' AND ys = 'subscriber') OR (ys = 'patient' AND xs = 'subscriber'))) AS fits FROM p)
+SELECT a_id, b_id, apart AND two AS independent, apart AND two AND fits AS compatible, apart AND two AND fits AND coalesce(xv = yv, false) AS agreeing, concat_ws(',', CASE WHEN xc = yc OR (xc IS NULL AND yc IS NULL) THEN 'SAME_CROP_SHA256' END, CASE WHEN xr = yr THEN 'SAME_LOCALIZATION_REGION' END, CASE WHEN NOT two THEN 'SEMANTIC_SECTION_NOT_DISTINCT' END, CASE WHEN two AND NOT fits THEN 'SEMANTIC_SECTIONS_INCOMPATIBLE' END, CASE WHEN apart AND two AND fits AND xv <> yv THEN 'MATERIAL_VALUE_CONFLICT' END) AS reasons FROM q""")
+def pair_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What neighbouring documents' readings of a field are to each other."""
+    k = F.col("doc_id")
+    reading = F.struct(F.col("lang").alias("value"), F.when(k % 4 == 0, "subscriber").when(k % 4 == 1, "patient").otherwise("claim_header").alias("section"), k.cast("string").alias("invocation"), F.col("source").alias("crop"), (F.col("n_chars") % 7).cast("string").alias("region"), F.lit("p").alias("page"), k.cast("string").alias("document"), F.array().cast("array<string>").alias("shared"))
+    d = table(spark, sf_dir, "documents").select("doc_id", reading.alias("reading"))
+    pairs = d.select(k.alias("a_id"), F.col("reading").alias("left"), (k + 1).alias("b_id")).join(d.select(k.alias("b_id"), F.col("reading").alias("right")), "b_id")
+    field = F.when(F.col("a_id") % 3 == 0, "member_id").when(F.col("a_id") % 3 == 1, "patient_name").otherwise("other")
+    out = ladders.pair_assessment(field, F.col("left"), F.col("right"))
+    return pairs.select("a_id", "b_id", out.alias("o")).select("a_id", "b_id", "o.independent", "o.compatible", "o.agreeing", F.array_join("o.reasons", ",").alias("reasons"))

@@ -60,6 +60,26 @@ def spec_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fw.spec_gaps(spec, "record", "start", "length")
 
 
+@query("""WITH f AS (SELECT p_brand AS record, p_partkey AS line, p_size % 12 AS number, p_size % 12 * 6 + 1 AS s, p_size % 12 * 6 + 5 + p_partkey % 3 AS e FROM part), first AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY record, number ORDER BY line) = 1),
+x AS (SELECT *, 1 + coalesce(max(e) OVER (PARTITION BY record ORDER BY s, e, CAST(number AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nx FROM first),
+i AS (SELECT f.record, CAST(f.number AS VARCHAR) AS number, 'duplicate_field_conflict' AS code, 'defined as ' || first.s || '-' || first.e || ', then as ' || f.s || '-' || f.e AS message FROM f JOIN first ON f.record = first.record AND f.number = first.number AND f.line > first.line AND (f.s, f.e) <> (first.s, first.e)
+ UNION ALL SELECT record, CAST(number AS VARCHAR), 'unexplained_gap', 'unmapped positions ' || nx || '-' || (s - 1) FROM x WHERE s > nx UNION ALL SELECT record, CAST(number AS VARCHAR), 'overlapping_field', 'starts at ' || s || ' where ' || nx || ' is free' FROM x WHERE s < nx
+ UNION ALL SELECT record, CAST(number AS VARCHAR), 'picture_length_mismatch', 'picture of 6 in ' || (e - s + 1) FROM first WHERE e - s + 1 <> 6 UNION ALL SELECT record, CAST(number AS VARCHAR), 'required_field_without_name', 'required field has no name' FROM first WHERE number = 5 AND line % 2 = 0
+ UNION ALL SELECT record, NULL, 'unexplained_gap', 'unmapped positions ' || (max(e) + 1) || '-72' FROM first GROUP BY record HAVING max(e) < 72 UNION ALL SELECT record, NULL, 'record_overflow', 'fields extend to ' || max(e) || ', expected 72' FROM first GROUP BY record HAVING max(e) > 72)
+SELECT record, number, code, message, count(*) AS n FROM i GROUP BY ALL""")
+def layout_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record layouts that go on over pages, merged; and all that is wrong with them."""
+    number, start = F.col("p_size") % 12, F.col("p_size") % 12 * 6 + 1
+    fields = table(spark, sf_dir, "part").select(
+        F.lit("spec").alias("source"), F.col("p_partkey").alias("line"), F.col("p_brand").alias("record"), number.cast("string").alias("number"), F.when((number == 5) & (F.col("p_partkey") % 2 == 0), "").otherwise("field").alias("name"), start.alias("start"), (start + 4 + F.col("p_partkey") % 3).cast("int").alias("end"),
+        F.lit("X(6)").alias("picture"), F.when(number == 5, "R").otherwise("O").alias("requirement"), F.lit("").alias("notes"),
+    )
+    kept, conflicts = fw.merged_sections(fields)
+    records = fields.select("source", "record").distinct().withColumn("length", F.lit(72))
+    issues = conflicts.drop("line").unionByName(fw.spec_issues(kept, records))
+    return issues.groupBy("record", "number", "code", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
 _ANCHORS = {"notice": ["the", "copyright", "nav"], "article": ["<article>", "<h1>", "<p>"], "form": ["<form", "<input", "name="]}
 
 

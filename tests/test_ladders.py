@@ -95,3 +95,51 @@ def test_shadow_gates(spark, broken):
     assert out["good"].worst_segment == (1.0 if broken == "review" else 0.0) and out["none"].accuracy is None
     few = ladders.shadow_gates(spark.createDataFrame(rows[:5], schema), "run", small).first().failed
     assert {"MINIMUM_CLAIMS", "MINIMUM_ACCEPTED_CRITICAL_FIELDS"} <= set(few)
+
+
+def test_pair_assessment(spark):
+    schema = "f string, a struct<value:string,section:string,invocation:string,crop:string,region:string,page:string,document:string,shared:array<string>>, b struct<value:string,section:string,invocation:string,crop:string,region:string,page:string,document:string,shared:array<string>>"
+    one, two = ("V1", "subscriber", "i1", "c1", "r1", "p1", "d", ["x"]), ("v1", "claim_header", "i2", "c2", "r2", "p2", "d", ["y"])
+    change = lambda row, **c: tuple(c.get(n, v) for n, v in zip(("value", "section", "invocation", "crop", "region", "page", "document", "shared"), row, strict=True))
+    rows = [
+        ("member_id", one, two), ("member_id", two, one), ("member_id", one, change(two, value="w")), ("member_id", one, change(two, value="")), ("member_id", one, change(two, crop="c1")), ("member_id", one, change(two, region=None)), ("member_id", one, change(two, shared=["x", "y"])), ("member_id", one, change(two, section="subscriber")),
+        ("service_date", one, two), ("member_id", one, change(two, invocation="i1", page="p1")), ("member_id", change(one, shared=None), change(two, shared=None)),
+    ]
+    low = lambda c: F.lower(F.col(c))
+    out = rows_of(spark, rows, schema, ladders.pair_assessment(F.col("f"), F.col("a"), F.col("b"), left_form=low("a.value"), right_form=low("b.value")))
+    assert [(r.independent, r.compatible, r.agreeing, r.conflicting, r.reasons) for r in out] == [
+        (True, True, True, False, []), (True, True, True, False, []), (True, True, False, True, ["MATERIAL_VALUE_CONFLICT"]), (True, True, False, False, []), (False, False, False, False, ["SAME_CROP_SHA256"]), (False, False, False, False, []), (False, False, False, False, []), (False, False, False, False, ["SEMANTIC_SECTION_NOT_DISTINCT"]),
+        (True, False, False, False, ["SEMANTIC_SECTIONS_INCOMPATIBLE"]), (False, False, False, False, []), (True, True, True, False, []),
+    ]
+    assert (out[0].different_page, out[0].different_document, out[9].different_page) == (True, False, False)
+
+
+@pytest.mark.parametrize(("blockers", "rate", "limit"), [(0, 0.3, 0), (1, 0.1, 1), (50, 0.1, 5), (200, 0.3, 60)])
+def test_challenges_keep_to_their_budget(spark, blockers, rate, limit):
+    rows = [(k, None if k % 3 else "UNSAFE_CROP", k < blockers) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, refusal string, blocker boolean").repartition(5)
+    out = {r.id: (r.granted, r.reason) for r in ladders.challenges(df, "refusal", F.col("blocker"), ["id"], rate, 7).collect()}
+    open_ = [k for k, refusal, _ in rows if refusal is None]
+    assert out == {k: (False, "UNSAFE_CROP") if k % 3 == 0 else (k in open_[:limit], "BLOCKER_CHALLENGE" if k in open_[:limit] else "INVOCATION_BUDGET_EXHAUSTED") for k in range(200)}
+    with pytest.raises(ValueError, match="0.30"):
+        ladders.challenges(df, "refusal", F.col("blocker"), ["id"], 0.31)
+
+
+def test_layouts_are_merged_and_checked(spark):
+    from claimweave.operators import fixedwidth as fw
+
+    names = "source string, line int, record string, number string, name string, start int, end int, picture string, requirement string, notes string"
+    rows = [
+        ("s", 1, "A", "1", "a", 1, 4, "X(4)", "R", None), ("s", 2, "A", "2", "b", 5, 8, "9(4)", "O", "Left justify"), ("s", 20, "A", "1", "a", 1, 4, "X(4)", "R", None), ("s", 21, "A", "2", "b", 5, 9, "9(5)", "O", None), ("s", 22, "A", "3", "c", 10, 12, "X(3)", "O", None),
+        ("s", 3, "B", "1", "a", 1, 10, "X(10)", "O", None), ("s", 4, "B", "2", "", 3, 4, "X(2)", "R", None), ("s", 5, "B", "3", "c", 6, 7, "X(2)", "O", None), ("s", 6, "C", None, "a", 1, 5, "X(4)", "O", None), ("s", 7, "C", None, "b", 6, 12, "S9(7)", "O", "blank fill"),
+    ]
+    kept, conflicts = fw.merged_sections(spark.createDataFrame(rows, names))
+    assert sorted(r.line for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 7, 22]
+    assert [tuple(r) for r in conflicts.collect()] == [("s", "A", "2", "duplicate_field_conflict", "ERROR", "defined as 5-8, then as 5-9", 21)]
+    records = spark.createDataFrame([("s", "A", 14), ("s", "B", 10), ("s", "B", 10), ("s", "C", 11), ("s", "D", 3)], "source string, record string, length int")
+    out = sorted((r.record, r.number or "", r.code, r.message) for r in fw.spec_issues(kept, records).collect())
+    assert out == sorted([
+        ("A", "3", "unexplained_gap", "unmapped positions 9-9"), ("A", "", "unexplained_gap", "unmapped positions 13-14"), ("A", "2", "numeric_format_conflict", "numeric picture with left or blank formatting"), ("B", "", "duplicate_record", "record type appears more than once"),
+        ("B", "2", "overlapping_field", "starts at 3 where 11 is free"), ("B", "3", "overlapping_field", "starts at 6 where 11 is free"), ("B", "2", "required_field_without_name", "required field has no name"), ("C", "", "picture_length_mismatch", "picture of 4 in 5"), ("C", "", "record_overflow", "fields extend to 12, expected 11"),
+        ("C", "", "numeric_format_conflict", "numeric picture with left or blank formatting"), ("D", "", "unexplained_gap", "unmapped positions 1-3"),
+    ])
