@@ -18,13 +18,26 @@ DIGIT_GRADES = {"NPI": (r"^[0-9]{10}$", 1.0, 0.0), "TYPE_OF_BILL": (r"^0?[0-9]{3
 #: Datatypes of free text, and form labels that don't belong in one.
 TEXT_TYPES = ("PERSON_NAME", "PERSON_OR_ORGANIZATION", "ADDRESS", "TEXT")
 FORM_LABELS = ("SYNTHETIC", "DOCUMENT", "OFFICIAL FORM", "PATIENT NAME", "PROVIDER NAME", "RELATIONSHIP", "TOTAL CHARGE")
-#: Labels of an address or a city, and what streets end in.
-PLACE_LABELS = r"(?i)\b(?:PATIENT|ADDRESS|CITY|STATE|ZIP|INSURED)\b"
-STREETS = r"\b(?:STREET|ST|ROAD|RD|AVENUE|AVE|LANE|LN|DRIVE|DR)\b"
+#: Words that label an address or a city, and words that streets end in.
+PLACE_LABELS = ("PATIENT", "ADDRESS", "CITY", "STATE", "ZIP", "INSURED")
+STREETS = ("STREET", "ST", "ROAD", "RD", "AVENUE", "AVE", "LANE", "LN", "DRIVE", "DR")
+#: Fixed value: a stroke and a number that a form's line leaves behind an address.
+STREET_NOISE = r"\s+[.|]\s*[0-9]+\s*[.]?\s*$"
 #: Labels of a form that a name or an address read from it may hold by mistake.
 READ_LABELS = r"(?i)\b(?:PATIENT'?S?|ADDRESS|BIRTH\s*DATE|ADMISSION|SEX|STREET|CITY|STATEA?|STAEA|ZIP\s*CODE|INSURED|CLAIM)\b"
-#: Relationship codes, and formats of a date in claim evidence.
-RELATIONSHIPS = ("01", "02", "19", "G8", "09")
+#: For fields whose name matches, the shapes a value must have, all of them, and those it mustn't have, any of them.
+CANDIDATE_RULES = (
+    ("^rel_code$", ("(?i)^(?:01|02|19|G8|09)$",), ()),
+    ("^patient_sex$", ("(?i)^[MFU]$",), ()),
+    ("_state$", ("^[A-Za-z]{2}$",), ()),
+    ("^federal_tax_(?:id|no)$", ("^[0-9]{9}$",), ()),
+    ("_zip$", ("^(?:[0-9]{5}|[0-9]{9})$",), ("^999999999$",)),
+    ("^insured_(?:addr1|addr2|city)$", (), ("(?i)^NA$",)),
+    ("^patient_(?:first|last)$", ("^[ ,]*[A-Za-z][A-Za-z'.-]*[ ,]*$",), (READ_LABELS, r"\S\s+\S+\s+\S")),
+    ("(?:addr1|addr2)$", ("[0-9]", "[A-Za-z]"), (READ_LABELS,)),
+    ("_city$", ("^[A-Za-z .'-]{2,}$",), ("(?i)^(?:CITY|STATE|ZIP CODE)$",)),
+)
+#: Formats of a date in claim evidence.
 EVIDENCE_DATES = (("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "y-M-d"), ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/y"), ("^[0-9]{8}$", "MMddyyyy"), ("^[0-9]{6}$", "MMddyy"), ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", "M/d/yy"))
 _SPACE = r"\s+"
 
@@ -76,34 +89,42 @@ def evidence_date(value: Column) -> Column:
     return F.coalesce(*out)
 
 
-def candidate_valid(field: Column, value: Column) -> Column:
-    """Whether a value may stand in its field: codes, states, tax ids, postal codes, names and addresses have rules, anything else must not be empty."""
-    upper = F.upper(value)
-    whole = lambda shape: value.rlike(f"^(?:{shape})$")
-    name = ~value.rlike(READ_LABELS) & ~value.rlike("[0-9]") & (F.size(F.split(F.trim(value), _SPACE)) <= 2) & F.trim(value, F.lit(" ,")).rlike(r"^[A-Za-z][A-Za-z'.-]*$")
-    street = ~value.rlike(READ_LABELS) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    out = (
-        F.when(F.coalesce(value, F.lit("")) == "", F.lit(False)).when(field == "rel_code", upper.isin(*RELATIONSHIPS)).when(field == "patient_sex", upper.isin("M", "F", "U")).when(field.endswith("_state"), whole("[A-Za-z]{2}"))
-        .when(field.isin("federal_tax_id", "federal_tax_no"), whole("[0-9]{9}")).when(field.endswith("_zip"), (value != "999999999") & whole("[0-9]{5}|[0-9]{9}")).when(field.isin("insured_addr1", "insured_addr2", "insured_city") & (upper == "NA"), F.lit(False))
-        .when(field.isin("patient_first", "patient_last"), name).when(field.endswith("addr1") | field.endswith("addr2"), street).when(field.endswith("_city"), whole("[A-Za-z .'-]{2,}") & ~upper.isin("CITY", "STATE", "ZIP CODE"))
-    )
-    return out.otherwise(F.lit(True))
+def candidate_valid(field: Column, value: Column, rules: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = CANDIDATE_RULES) -> Column:
+    """Whether a value may stand in its field: it isn't empty, and meets every rule whose pattern the field's name matches."""
+    out = F.coalesce(value, F.lit("")) != ""
+    for fields, wanted, refused in rules:
+        meets = F.lit(True)
+        for shape in wanted:
+            meets = meets & value.rlike(shape)
+        for shape in refused:
+            meets = meets & ~value.rlike(shape)
+        out = out & (~F.coalesce(field.rlike(fields), F.lit(False)) | meets)
+    return F.coalesce(out, F.lit(False))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[A-Z0-9_]+"), F.lit(0))
+
+
+def _has_word(text: Column, words: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(_words(text), F.array(*map(F.lit, words)))
 
 
 def clean_city(value: Column) -> Column:
-    """A city in capitals, without what isn't a letter, blank, point, apostrophe or hyphen; null if nothing is left or it has a label."""
-    v = F.upper(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"[^A-Za-z .'-]", " "), _SPACE, " "), r"^[ .'-]+|[ .'-]+$", ""))
-    return F.when(v.rlike(r"^[A-Z][A-Z .'-]+$") & ~v.rlike(PLACE_LABELS), v)
+    """A city in capitals: its runs of letters, points, apostrophes and hyphens, one blank between; null if that is less than two characters or has a label."""
+    runs = F.regexp_extract_all(F.upper(F.regexp_replace(value, "[^A-Za-z.'-]", " ")), F.lit("[A-Z.'-]+"), F.lit(0))
+    city = F.trim(F.array_join(runs, " "), F.lit(" .'-"))
+    return F.when((F.length(city) > 1) & ~_has_word(city, PLACE_LABELS), city)
 
 
 def repaired_address(value: Column) -> Column:
     """House number and street, where a parenthesis right after two digits or more is read as 2; null without a street's ending, or with a label."""
-    v = F.upper(F.trim(value))
-    shape = r"^([0-9]{2,7})([()]?)\s+(.+)$"
-    number = F.concat(F.regexp_extract(v, shape, 1), F.when(F.regexp_extract(v, shape, 2) != "", "2").otherwise(""))
-    street = F.regexp_replace(F.regexp_extract(v, shape, 3), r"\s+[.|]\s*[0-9]+\s*[.]?\s*$", "")
-    street = F.regexp_replace(F.regexp_replace(F.regexp_replace(street, r"[^A-Z0-9 #.'-]", " "), _SPACE, " "), r"^[ .]+|[ .]+$", "")
-    return F.when(v.rlike(shape) & street.rlike(STREETS) & ~street.rlike(PLACE_LABELS), F.concat_ws(" ", number, street))
+    parts = F.split(F.upper(F.trim(value)), _SPACE, 2)
+    number = F.regexp_replace(parts[0], "[()]$", "2")
+    runs = F.regexp_extract_all(F.regexp_replace(parts[1], STREET_NOISE, ""), F.lit("[A-Z0-9#.'-]+"), F.lit(0))
+    street = F.trim(F.array_join(runs, " "), F.lit(" ."))
+    fits = (F.size(parts) == 2) & parts[0].rlike("^[0-9]{2,7}[()]?$") & _has_word(street, STREETS) & ~_has_word(street, PLACE_LABELS)
+    return F.when(fits, F.concat_ws(" ", number, street))
 
 
 def same_as(source: Column, counterpart: Column, relationship: Column, state: str) -> Column:
