@@ -100,10 +100,11 @@ def test_many_matches_in_one_text(spark):
 
 def test_context_is_found_over_tiles(spark):
     """The word beside a span counts wherever the span stands."""
-    for pad in (*range(500, 516), 1020, 1024, 5000):
-        docs = spark.createDataFrame([(1, "é" * pad + " visa 4111 1111 1111 1111"), (2, "é" * pad + " 4111 1111 1111 1111 visa"), (3, "é" * pad + " 4111 1111 1111 1111")], "doc_id long, text string")
-        found = {r.doc_id: r.pii[0] for r in pii.find_spans(docs).collect()}
-        assert [round(found[k].score, 2) for k in (1, 2, 3)] == [1.0, 1.0, 0.7] and found[3].start == pad + 1
+    pads = (*range(500, 516), 1020, 1024, 5000)
+    texts = [(3 * pad + k, "é" * pad + text) for pad in pads for k, text in enumerate((" visa 4111 1111 1111 1111", " 4111 1111 1111 1111 visa", " 4111 1111 1111 1111"))]
+    found = {r.doc_id: r.pii[0] for r in pii.find_spans(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for pad in pads:
+        assert [round(found[3 * pad + k].score, 2) for k in (0, 1, 2)] == [1.0, 1.0, 0.7] and found[3 * pad + 2].start == pad + 1
 
 
 def test_checksums(spark):
