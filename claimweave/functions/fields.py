@@ -7,41 +7,64 @@ from pyspark.sql import functions as F
 
 from . import dates, text
 
-#: Shapes of layout datatypes.
+#: Shapes of datatypes; blanks don't count.
 DATATYPES = {
-    "MONEY": r"^\$?[0-9]{1,3}(,?[0-9]{3})*\.[0-9]{2}$", "NPI": r"^[0-9]{10}$", "TAX_ID": r"^[0-9]{2}-?[0-9]{7}$", "PHONE": r"^\(?[0-9]{3}\)?[ -]?[0-9]{3}-?[0-9]{4}$",
-    "ZIP": r"^[0-9]{5}(-[0-9]{4})?$", "CODE": r"^[A-Z][0-9A-Z]{2,6}$", "INTEGER": r"^[0-9]{1,9}$", "STATE": r"^[A-Z]{2}$", "CHECKBOX": r"^(X|\[X\]|YES|NO)$",
+    "MONEY": r"\$?[0-9][0-9,]*(?:\.[0-9]{2})?", "NPI": "[0-9]{10}", "MEMBER_ID": "(?i)[A-Z0-9][A-Z0-9-]{4,24}", "TAX_ID": "[0-9]{2}-?[0-9]{7}", "CPT_HCPCS": "(?i)(?:[0-9]{5}|[A-Z][0-9]{4})", "ICD": r"(?i)[A-TV-Z][0-9]{2}(?:\.?[A-Z0-9]{1,4})?",
+    "REVENUE_CODE": "[0-9]{4}", "TYPE_OF_BILL": "[0-9]{3,4}", "INTEGER": "[0-9]+",
 }
+#: What a field's name holds, by the way its values are compared.
+COMPARED_AS = {
+    "amount": ("charge", "amount", "paid", "rate"), "digits": ("date", "dob"),
+    "letters": ("name", "address", "member", "insured_id", "subscriber_id", "npi", "diagnos", "icd", "code", "tax", "bill", "zip", "postal"),
+}
+#: What a table column's name holds, by the kind of its cells.
+CELL_KINDS = {"NPI_DIGITS": ("npi",), "CODE_CASE_SPACE": ("revenue", "procedure", "diagnosis"), "VALID_DATE_ISO": ("date",), "CURRENCY_EVIDENCE": ("amount", "charge", "currency", "adjustment", "paid")}
+
+
+def named_any(name: Column, parts: tuple[str, ...]) -> Column:
+    """Whether a name holds one of the parts, letter case aside."""
+    return F.coalesce(F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.lower(name), p)), F.lit(False))
 
 
 def valid_datatype(value: Column, kind: Column) -> Column:
-    """Whether a trimmed, upper-case value has the shape of its datatype; dates parse, names have two to six words, text is anything."""
-    v = F.upper(F.trim(value))
-    out = F.when(kind == "DATE", dates.parse_date(value).isNotNull()).when(kind == "NAME", F.size(F.split(text.normalize_text(value), " ")).between(2, 6) & ~v.rlike("[0-9]")).when(kind == "TEXT", v != "")
-    for name, shape in DATATYPES.items():
-        out = out.when(kind == name, v.rlike(shape))
-    return F.coalesce(out, F.lit(False))
+    """Whether a value, without colons at its ends, has the form of its datatype: a date, a name of two to six words, any text, or a shape."""
+    v = F.regexp_replace(text.stripped(value), "^:+|:+$", "")
+    words = F.size(F.regexp_extract_all(v, F.lit("[A-Za-z][A-Za-z'.-]+"), F.lit(0)))
+    out = F.when(kind == "DATE", dates.first_date(v, dates.DATATYPE_FORMATS).isNotNull()).when(kind == "NAME", words.between(2, 6)).when(kind.isin("TEXT", "ADDRESS"), v != "")
+    shapes = "|".join(f"{name}:(?:{shape})" for name, shape in DATATYPES.items())
+    shaped = F.concat(kind, F.lit(":"), F.replace(v, F.lit(" "), F.lit(""))).rlike(rf"^(?:{shapes})\z")
+    return F.coalesce(out.otherwise(shaped), F.lit(False))
 
 
 def evaluation_form(value: Column, rule: Column) -> Column:
-    """A value as evaluation compares it; empty is null, a date or amount that doesn't parse stays as it is."""
-    up = F.upper(F.trim(value))
-    clean = F.upper(F.trim(F.regexp_replace(value, r"\s+", " ")))
-    out = (
-        F.when(rule == "identifier", F.regexp_replace(up, "[^A-Z0-9]", "")).when(rule == "digits", F.regexp_replace(up, "[^0-9]", "")).when(rule == "code", F.regexp_replace(up, "[^A-Z0-9.]", ""))
-        .when(rule == "date", F.coalesce(dates.parse_date(value).cast("string"), clean)).when(rule == "amount", F.coalesce(text.money(value).cast("string"), clean)).otherwise(clean)
+    """A value as evaluation compares it; a date that doesn't parse stays as it is, an amount without its other characters.
+
+    Nothing is null; an identifier with no letter or digit is the empty text.
+    """
+    up, clean = F.upper(value), text.normalize_text(value)
+    none = lambda x: F.nullif(x, F.lit(""))
+    number = none(F.regexp_replace(value, r"[^0-9.\-]", ""))
+    return (
+        F.when(rule == "identifier", F.when(value != "", F.regexp_replace(up, "[^A-Z0-9]", ""))).when(rule == "digits", none(text.only_digits(value))).when(rule == "code", none(F.regexp_replace(up, "[^A-Z0-9.]", "")))
+        .when(rule == "date", F.coalesce(dates.first_date(clean, dates.EVALUATION_FORMATS).cast("string"), clean)).when(rule == "amount", F.coalesce(text.amount_text(number), number)).otherwise(clean)
     )
-    return F.nullif(out, F.lit(""))
+
+
+def plain_number(number: Column) -> Column:
+    """A number without zeros that say nothing; null if the text isn't one."""
+    shape = r"^(-?)0*([0-9]*)(?:\.([0-9]*?)0*)?$"
+    whole, part = F.regexp_extract(number, shape, 2), F.regexp_extract(number, shape, 3)
+    out = F.concat(F.regexp_extract(number, shape, 1), F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    return F.when(number.rlike(shape) & number.rlike("[0-9]"), out)
 
 
 def agreement_form(field: Column, value: Column) -> Column:
-    """A value as two readings of it are compared: amounts without trailing zeros, dates as digits, names and ids squeezed."""
-    amount = text.money(value).cast("string")
-    plain = F.regexp_replace(F.regexp_replace(amount, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    squeezed = F.upper(F.regexp_replace(value, r"\s+", " "))
+    """A value as two readings of a field are compared: amounts without idle zeros, dates as digits, names and codes squeezed; null is empty."""
+    up = F.upper(text.stripped(F.coalesce(value, F.lit(""))))
+    number = F.translate(F.regexp_replace(up, "[^0-9.()-]", ""), "()", "-")
     return (
-        F.when(field.rlike("amount|charge|total"), F.coalesce(plain, squeezed)).when(field.rlike("date|dob"), F.regexp_replace(value, "[^0-9]", ""))
-        .when(field.rlike("id|npi|name"), F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))).otherwise(squeezed)
+        F.when(named_any(field, COMPARED_AS["amount"]), F.coalesce(plain_number(number), up)).when(named_any(field, COMPARED_AS["digits"]), text.only_digits(up))
+        .when(named_any(field, COMPARED_AS["letters"]), F.regexp_replace(up, "[^A-Z0-9]", "")).otherwise(text.squeezed(up))
     )
 
 
@@ -143,17 +166,34 @@ def transformed_box(box: list[Column], h: list[float]) -> Column:
 
 
 def table_cell(raw: Column, column: Column) -> Column:
-    """Struct (value, change, status, acceptable) of a table cell by its column: charge, units, date, code or text."""
-    squeezed = text.normalize_text(raw)
-    charge = text.money(raw).cast("string")
-    units = F.regexp_extract(raw, r"^\s*([0-9]{1,4})(?:\.0+)?\s*$", 1)
-    code = F.regexp_replace(F.upper(raw), "[^0-9A-Z]", "")
-    value = (
-        F.when(column == "charge", charge).when(column == "units", F.nullif(units, F.lit(""))).when(column == "date", dates.parse_date(raw).cast("string"))
-        .when(column == "code", F.when(code.rlike("^[0-9A-Z]{5}$"), code)).otherwise(squeezed)
-    )
-    status = F.when(squeezed.isNull(), "BLANK").when(value.isNull(), "INVALID").otherwise("VALID")
-    change = F.when(value.isNull(), "NONE").when(value == raw, "NONE").otherwise("NORMALISED")
+    """Struct (value, change, status, acceptable) of a table cell by what its column's name says: number of a provider, code, date, amount or text.
+
+    What doesn't have its column's form stays as it is, but for white space
+    (codes also for letter case). Only valid cells of a known kind are
+    acceptable. Null is blank.
+    """
+    v = F.coalesce(text.squeezed(raw), F.lit(""))
+    is_a = {kind: named_any(column, parts) for kind, parts in CELL_KINDS.items()}
+    digits = text.only_digits(v)
+    code = F.replace(F.upper(v), F.lit(" "), F.lit(""))
+    code = F.when(named_any(column, ("diagnosis",)), F.rtrim(code, F.lit("."))).otherwise(code)
+    day_shape = r"^([0-9]{1,2})[ /-]([0-9]{1,2})[ /-]([0-9]{2}|[0-9]{4})$"
+    part = [F.regexp_extract(v, day_shape, k).try_cast("int") for k in (1, 2, 3)]
+    year = F.when(part[2] < 100, part[2] + 2000).otherwise(part[2])
+    day = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), part[0].cast("string"), part[1].cast("string")).try_cast("date").cast("string")
+    bare = F.trim(F.trim(v, F.lit("|")))
+    inner = F.regexp_extract(bare, r"^\((.*)\)$", 1)
+    negative = bare.rlike(r"^\(.*\)$")
+    shown = F.when(negative, inner).otherwise(bare)
+    money = F.when(shown.rlike(r"^\$? *[0-9][0-9,]*(?:\.[0-9]{2})?$"), F.concat(F.when(negative, "-").otherwise(""), F.regexp_replace(shown, "[$ ,]", "")))
+    found = {"NPI_DIGITS": F.when(text.valid_npi(digits), digits), "CODE_CASE_SPACE": F.when(code.rlike("^[A-Z0-9.]{2,10}$"), code), "VALID_DATE_ISO": F.when(v.rlike(day_shape), day), "CURRENCY_EVIDENCE": money}
+    value, change, status = v, F.lit("WHITESPACE_ONLY"), F.lit("NOT_APPLICABLE")
+    for kind in reversed(CELL_KINDS):
+        kept = code if kind == "CODE_CASE_SPACE" else v
+        value, change = F.when(is_a[kind], F.coalesce(found[kind], kept)).otherwise(value), F.when(is_a[kind], kind).otherwise(change)
+        status = F.when(is_a[kind], F.when(found[kind].isNull(), "INVALID").otherwise("VALID")).otherwise(status)
+    blank = v == ""
+    value, change, status = F.when(blank, "").otherwise(value), F.when(blank, "PRESERVE_BLANK").otherwise(change), F.when(blank, "VALID_BLANK").otherwise(status)
     return F.struct(value.alias("value"), change.alias("change"), status.alias("status"), (status == "VALID").alias("acceptable"))
 
 

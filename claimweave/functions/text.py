@@ -6,9 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: a run of white space of any kind.
+WHITE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def squeezed(raw: Column) -> Column:
+    """Runs of white space made one blank, none at the ends."""
+    return F.trim(F.regexp_replace(raw, WHITE, " "))
+
+
+def stripped(raw: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(raw, f"^{WHITE}|{WHITE}$", "")
+
+
 def normalize_text(raw: Column) -> Column:
     """Trimmed, runs of white space made one space; null when nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(raw, r"\s+", " ")), F.lit(""))
+    return F.nullif(squeezed(raw), F.lit(""))
 
 
 def only_digits(raw: Column) -> Column:
@@ -26,18 +40,47 @@ def normalize_code(raw: Column) -> Column:
 
 
 def normalize_checkbox(raw: Column) -> Column:
-    """True for a mark, false for an empty box, null for anything else."""
-    x = F.upper(F.trim(F.coalesce(raw, F.lit(""))))
-    return F.when(x.isin("X", "[X]", "YES", "Y", "TRUE"), True).when(x.isin("", "[ ]", "[]", "NO", "N", "FALSE"), False)
+    """True for a mark, false for an empty box (or nothing), null for anything else."""
+    x = F.upper(stripped(F.coalesce(raw, F.lit(""))))
+    return F.when(x.isin("X", "[X]", "YES"), True).when(x.isin("", "[ ]", "NO"), False)
+
+
+def amount(number: Column) -> Column:
+    """A plain number (digits, one point, a minus in front) at cents, half to even; null for other text. Twelve decimals count."""
+    fits = number.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    return F.bround(F.when(fits, number).try_cast("decimal(38,12)"), 2).cast("decimal(28,2)")
+
+
+def amount_text(number: Column) -> Column:
+    """The same as text; a negative number that comes to nothing keeps its sign."""
+    value = amount(number)
+    return F.when((value == 0) & F.startswith(number, F.lit("-")), "-0.00").otherwise(value.cast("string"))
+
+
+def _number(raw: Column) -> Column:
+    """What of a money text is read as a number: all but digits, points and minuses is dropped, parentheses (inside strokes) are a minus."""
+    bare = F.regexp_replace(stripped(raw), f"^[|]+{WHITE}|{WHITE}[|]+$|^[|]+|[|]+$", "")
+    number = F.regexp_replace(raw, r"[^0-9.\-]", "")
+    negative = bare.rlike(r"(?s)^\(.*\)$") & (number != "") & ~F.startswith(number, F.lit("-"))
+    return F.when(negative, F.concat(F.lit("-"), number)).otherwise(number)
 
 
 def money(raw: Column) -> Column:
-    """Amount at cents, half to even; currency signs and separators dropped, parentheses negative; null if it isn't one."""
-    x = F.regexp_replace(F.trim(raw), r"[$|,\s]", "")
-    negative = x.rlike(r"^\(.*\)$")
-    plain = F.regexp_replace(x, r"[()]", "")
-    value = F.bround(plain.try_cast("decimal(20,6)"), 2).cast("decimal(18,2)")
-    return F.when(plain == "", None).when(negative, -value).otherwise(value)
+    """Amount at cents of a money text; null if what is read of it is no number."""
+    return amount(_number(raw))
+
+
+def money_text(raw: Column) -> Column:
+    """The same as text."""
+    return amount_text(_number(raw))
+
+
+def strict_money(raw: Column) -> Column:
+    """Struct (value, changed) of an amount where only signs of currency, separators and white space may be dropped: digits with at most two decimals, else null."""
+    given = F.coalesce(raw, F.lit(""))
+    clean = F.regexp_replace(F.regexp_replace(given, "[$,]", ""), WHITE, "")
+    nothing = stripped(given) == ""
+    return F.struct(F.when(clean.rlike(r"^[0-9]+(\.[0-9]{1,2})?$"), clean).try_cast("decimal(28,2)").alias("value"), (~nothing & (clean != given)).alias("changed"))
 
 
 def luhn_sum(digits: Column) -> Column:

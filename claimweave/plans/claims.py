@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import evidence, rules
+from ..operators import evidence, rules, totals
 from ..sources.tables import table
 from .base import Catalogue
 
@@ -59,19 +59,20 @@ def claim_reconciliation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT o_orderkey AS claim_id, CASE WHEN t IS NULL AND n = 0 THEN 'MISSING_LINES' WHEN n = 0 THEN 'MISSING_LINES' WHEN t IS NULL THEN 'MISSING_TOTAL'
-  WHEN distinct_totals > 1 THEN 'AMBIGUOUS' WHEN t = s THEN 'EXACT' WHEN round_even(t, 0) = round_even(s, 0) THEN 'NORMALISED' ELSE 'CONFLICT' END AS state
-FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN s ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS t, s, coalesce(n, 0) AS n, CASE WHEN o_orderkey % 13 = 0 THEN 2 ELSE 1 END AS distinct_totals
-  FROM orders LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)""")
+_TOTAL = "CASE o_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN '$' || CAST(s AS {text}) WHEN 3 THEN CAST(s AS {text}) WHEN 4 THEN CAST(s AS {text}) ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS {text}) END"
+_CHARGE = "CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 2 THEN '1O.00' WHEN l_orderkey % 5 = 0 THEN ' ' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS {text}) ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS {text}) END"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS o_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s, bool_or(l_orderkey % 7 = 0 AND l_linenumber = 2) AS bad FROM lineitem GROUP BY 1), t AS (SELECT o_orderkey, {_TOTAL.format(text="VARCHAR")} AS total, s, bad, o_totalprice FROM orders LEFT JOIN l USING (o_orderkey)),
+m AS (SELECT *, CASE WHEN total = '' OR total = 'n/a' OR total IS NULL THEN NULL ELSE CAST(replace(total, '$', '') AS DECIMAL(18,2)) END AS t FROM t)
+SELECT o_orderkey AS claim_id, CAST(CASE WHEN t IS NOT NULL AND NOT bad THEN t - s END AS DOUBLE) AS difference, CASE WHEN t IS NULL THEN 'MISSING_TOTAL' WHEN s IS NULL THEN 'MISSING_SERVICE_LINES' WHEN bad THEN 'AMBIGUOUS' WHEN t <> s THEN 'ARITHMETIC_CONFLICT' WHEN total LIKE '$%' OR o_orderkey % 5 = 0 THEN 'DETERMINISTIC_NORMALIZATION_MATCH' ELSE 'EXACT_MATCH' END AS state FROM m""")
 def claim_reconciliation_six_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict reconciliation: missing, ambiguous, exact, equal when rounded to whole units, or in conflict."""
-    c = _claim_totals(spark, sf_dir)
-    key, s = F.col("claim_id"), F.col("line_total")
-    t = F.when(key % 11 == 0, None).otherwise(F.when(key % 3 == 0, s).otherwise(F.col("reported")))
-    state = (
-        F.when(F.col("n_lines") == 0, "MISSING_LINES").when(t.isNull(), "MISSING_TOTAL").when(key % 13 == 0, "AMBIGUOUS").when(t == s, "EXACT").when(F.bround(t, 0) == F.bround(s, 0), "NORMALISED").otherwise("CONFLICT")
-    )
-    return c.select("claim_id", state.alias("state"))
+    """Totals and charges as they are written, some wrongly, against each other: strictly, to the cent."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_orderkey", "l_extendedprice")
+    sums = lines.groupBy("o_orderkey").agg(F.sum(numbers.cents(F.col("l_extendedprice"))).alias("s"))
+    claims = table(spark, sf_dir, "orders").join(sums, "o_orderkey", "left")
+    states = totals.reconciled(claims, lines, "o_orderkey", F.expr(_TOTAL.format(text="STRING")), F.expr(_CHARGE.format(text="STRING")))
+    return states.select(F.col("o_orderkey").alias("claim_id"), F.col("difference").cast("double").alias("difference"), "state")
 
 
 @query("""SELECT l_orderkey AS claim_id, l_linenumber AS line_number, count(*) AS n, count(*) FILTER (WHERE abs(charge - expected) <= greatest(0.01, CAST(greatest(abs(charge), abs(expected), 1.00) * 0.0001 AS DECIMAL(18,6)))) AS n_pass
@@ -114,7 +115,7 @@ def parse_currency_half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_dates_in_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim dates written in five formats and one wrong way, read back."""
     day = F.to_date("o_orderdate")
-    forms = [F.date_format(day, f) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "M/d/yy", "M-d-yyyy", "MMddyyyy")]
+    forms = [F.date_format(day, f) for f in ("MM-dd-yy", "MM/dd/yyyy", "M/d/yy", "M-d-yyyy", "MMddyyyy")]
     raw = F.lit("31/31/1995")
     for k, form in enumerate(forms):
         raw = F.when(F.col("o_orderkey") % 6 == k, form).otherwise(raw)

@@ -12,32 +12,36 @@ from .base import Catalogue
 catalogue = Catalogue()
 query = catalogue.query
 
-_TYPES = "CASE p_partkey % 5 WHEN 0 THEN 'ZIP' WHEN 1 THEN 'CODE' WHEN 2 THEN 'INTEGER' WHEN 3 THEN 'STATE' ELSE 'TEXT' END"
-_VALUES = "CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey * 37 % 200000 AS VARCHAR) WHEN 1 THEN substr(p_type, 1, 1) || CAST(p_partkey AS VARCHAR) WHEN 2 THEN CAST(p_size AS VARCHAR) WHEN 3 THEN substr(p_type, 1, 2) ELSE p_name END"
+_TYPES = "CASE p_partkey % 6 WHEN 0 THEN 'MEMBER_ID' WHEN 1 THEN 'ICD' WHEN 2 THEN 'INTEGER' WHEN 3 THEN 'MONEY' WHEN 4 THEN 'NAME' ELSE 'TEXT' END"
+_VALUES = "CASE p_partkey % 6 WHEN 0 THEN substr(p_type, 1, 2) || ' ' || CAST(p_partkey AS VARCHAR) WHEN 1 THEN substr(p_type, 1, 1) || CAST(p_partkey AS VARCHAR) || ':' WHEN 2 THEN CAST(p_size AS VARCHAR) || substr(p_type, 1, p_size % 2) WHEN 3 THEN '$ ' || CAST(p_retailprice AS VARCHAR) ELSE p_name END"
 
 
-@query(f"""WITH v AS (SELECT p_partkey, {_TYPES} AS kind, upper(trim({_VALUES})) AS v FROM part)
-SELECT p_partkey, kind, CASE kind WHEN 'ZIP' THEN regexp_full_match(v, '[0-9]{{5}}(-[0-9]{{4}})?') WHEN 'CODE' THEN regexp_full_match(v, '[A-Z][0-9A-Z]{{2,6}}') WHEN 'INTEGER' THEN regexp_full_match(v, '[0-9]{{1,9}}') WHEN 'STATE' THEN regexp_full_match(v, '[A-Z]{{2}}') ELSE v <> '' END AS valid FROM v""")
+@query(f"""WITH v AS (SELECT p_partkey, {_TYPES} AS kind, replace(trim(trim({_VALUES}), ':'), ' ', '') AS v, {_VALUES} AS raw FROM part)
+SELECT p_partkey, kind, CASE kind WHEN 'MEMBER_ID' THEN regexp_full_match(v, '[A-Za-z0-9][A-Za-z0-9-]{{4,24}}') WHEN 'ICD' THEN regexp_full_match(upper(v), '[A-TV-Z][0-9]{{2}}(\\.?[A-Z0-9]{{1,4}})?') WHEN 'INTEGER' THEN regexp_full_match(v, '[0-9]+') WHEN 'MONEY' THEN regexp_full_match(v, '\\$?[0-9][0-9,]*(\\.[0-9]{{2}})?')
+  WHEN 'NAME' THEN len(regexp_extract_all(raw, '[A-Za-z][A-Za-z''.-]+')) BETWEEN 2 AND 6 ELSE v <> '' END AS valid FROM v""")
 def datatype_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", F.expr(_TYPES).alias("kind"), F.expr(_VALUES.replace("VARCHAR", "STRING")).alias("v"))
     return parts.select("p_partkey", "kind", fields.valid_datatype(F.col("v"), F.col("kind")).alias("valid"))
 
 
-@query(r"""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'identifier' WHEN 1 THEN 'digits' WHEN 2 THEN 'code' ELSE 'text' END AS rule, '  ' || o_orderpriority || '  #' || o_orderkey || '. ' AS v FROM orders)
-SELECT o_orderkey, rule, nullif(CASE rule WHEN 'identifier' THEN regexp_replace(upper(v), '[^A-Z0-9]', '', 'g') WHEN 'digits' THEN regexp_replace(v, '[^0-9]', '', 'g') WHEN 'code' THEN regexp_replace(upper(v), '[^A-Z0-9.]', '', 'g') ELSE upper(trim(regexp_replace(v, '\s+', ' ', 'g'))) END, '') AS form FROM v""")
+@query(r"""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'identifier' WHEN 1 THEN 'digits' WHEN 2 THEN 'code' WHEN 3 THEN 'date' WHEN 4 THEN 'amount' ELSE 'text' END AS rule, CASE o_orderkey % 6 WHEN 3 THEN CASE WHEN o_orderkey % 5 = 0 THEN ' in  May' ELSE strftime(o_orderdate, '%m-%d-%y ') END WHEN 4 THEN CASE WHEN o_orderkey % 5 = 0 THEN '1-2 $' ELSE '($' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || ')' END ELSE '  ' || o_orderpriority || '  #' || o_orderkey || '. ' END AS v, o_orderdate, o_totalprice FROM orders)
+SELECT o_orderkey, rule, CASE rule WHEN 'identifier' THEN regexp_replace(upper(v), '[^A-Z0-9]', '', 'g') WHEN 'digits' THEN regexp_replace(v, '[^0-9]', '', 'g') WHEN 'code' THEN regexp_replace(upper(v), '[^A-Z0-9.]', '', 'g') WHEN 'date' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'in May' ELSE strftime(o_orderdate, '%Y-%m-%d') END
+ WHEN 'amount' THEN CASE WHEN o_orderkey % 5 = 0 THEN '1-2' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END ELSE trim(regexp_replace(v, '\s+', ' ', 'g')) END AS form FROM v""")
 def evaluation_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values as evaluation compares them, by the field's rule."""
-    k = F.col("o_orderkey") % 4
-    rule = F.when(k == 0, "identifier").when(k == 1, "digits").when(k == 2, "code").otherwise("text")
-    raw = F.concat(F.lit("  "), "o_orderpriority", F.lit("  #"), F.col("o_orderkey").cast("string"), F.lit(". "))
+    k, odd = F.col("o_orderkey") % 6, F.col("o_orderkey") % 5 == 0
+    rule = F.when(k == 0, "identifier").when(k == 1, "digits").when(k == 2, "code").when(k == 3, "date").when(k == 4, "amount").otherwise("text")
+    day = F.when(odd, " in  May").otherwise(F.date_format("o_orderdate", "MM-dd-yy "))
+    price = F.when(odd, "1-2 $").otherwise(F.concat(F.lit("($"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(")")))
+    raw = F.when(k == 3, day).when(k == 4, price).otherwise(F.concat(F.lit("  "), "o_orderpriority", F.lit("  #"), F.col("o_orderkey").cast("string"), F.lit(". ")))
     return table(spark, sf_dir, "orders").select("o_orderkey", rule.alias("rule"), fields.evaluation_form(raw, rule).alias("form"))
 
 
-@query(r"""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN regexp_replace(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', '') WHEN 1 THEN regexp_replace(c_name, '[^0-9]', '', 'g') ELSE upper(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) END AS form FROM customer""")
+@query(r"""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN regexp_replace(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', '') WHEN 1 THEN regexp_replace(c_name, '[^0-9]', '', 'g') WHEN 2 THEN upper(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) ELSE upper(c_name) END AS form FROM customer""")
 def agreement_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey") % 3
-    field = F.when(k == 0, "total_charge").when(k == 1, "birth_date").otherwise("member_name")
-    value = F.when(k == 0, F.col("c_acctbal").cast("decimal(18,2)").cast("string")).otherwise(F.col("c_name"))
+    k = F.col("c_custkey") % 4
+    field = F.when(k == 0, "total_charge").when(k == 1, "birth_date").when(k == 2, "member_name").otherwise("remark")
+    value = F.when(k == 0, F.col("c_acctbal").cast("decimal(18,2)").cast("string")).otherwise(F.concat(F.lit(" "), F.col("c_name")))
     return table(spark, sf_dir, "customer").select("c_custkey", fields.agreement_form(field, value).alias("form"))
 
 
@@ -160,13 +164,15 @@ def registered_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", box.alias("b")).select("event_id", *(F.round(f"b.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")), "b.convex")
 
 
-_CELL = "CASE l_linenumber % 4 WHEN 0 THEN ' $' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS {text}) WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS {text}) || CASE WHEN l_suppkey % 2 = 0 THEN '.0' ELSE '' END WHEN 2 THEN CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE CAST(l_partkey % 100000 AS {text}) END ELSE l_returnflag || '  ' || l_linestatus END"
-_COLUMN = "CASE l_linenumber % 4 WHEN 0 THEN 'charge' WHEN 1 THEN 'units' WHEN 2 THEN 'code' ELSE 'text' END"
+_CELL = "CASE l_linenumber % 4 WHEN 0 THEN ' $' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS {text}) || CASE WHEN l_suppkey % 3 = 0 THEN '0' ELSE '' END WHEN 1 THEN CAST(l_suppkey % 14 AS {text}) || '/1-' || CAST(l_partkey % 100 + 100 * (l_suppkey % 2) AS {text}) WHEN 2 THEN CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'j' || CAST(l_partkey % 100000 AS {text}) || ' .' END ELSE l_returnflag || '  ' || l_linestatus END"
+_COLUMN = "CASE l_linenumber % 4 WHEN 0 THEN 'Total_Charge' WHEN 1 THEN 'service_date' WHEN 2 THEN 'diagnosis' ELSE 'remark' END"
 
 
-@query(f"""WITH c AS (SELECT l_orderkey, {_CELL.format(text="VARCHAR")} AS raw, {_COLUMN} AS col FROM lineitem),
-v AS (SELECT *, CASE col WHEN 'charge' THEN trim(replace(raw, '$', '')) WHEN 'units' THEN regexp_replace(raw, '\\.0$', '') WHEN 'code' THEN CASE WHEN length(raw) = 5 THEN raw END ELSE regexp_replace(raw, ' +', ' ', 'g') END AS value FROM c)
-SELECT col, CASE WHEN raw = '' THEN 'BLANK' WHEN value IS NULL THEN 'INVALID' ELSE 'VALID' END AS status, CASE WHEN value IS NULL OR value = raw THEN 'NONE' ELSE 'NORMALISED' END AS change, count(*) AS n, min(value) AS least, max(value) AS most FROM v GROUP BY 1, 2, 3""")
+@query(f"""WITH c AS (SELECT {_CELL.format(text="VARCHAR")} AS raw, {_COLUMN} AS col, l_extendedprice AS price, l_suppkey AS s, l_partkey AS p FROM lineitem),
+v AS (SELECT *, CASE WHEN raw = '' THEN 'VALID_BLANK' WHEN col = 'Total_Charge' THEN CASE WHEN s % 3 = 0 THEN 'INVALID' ELSE 'VALID' END WHEN col = 'service_date' THEN CASE WHEN s % 14 BETWEEN 1 AND 12 AND s % 2 = 0 AND p % 100 >= 10 THEN 'VALID' ELSE 'INVALID' END WHEN col = 'diagnosis' THEN 'VALID' ELSE 'NOT_APPLICABLE' END AS status FROM c),
+w AS (SELECT col, status, CASE WHEN raw = '' THEN '' WHEN col = 'diagnosis' THEN 'J' || p % 100000 WHEN col = 'remark' THEN regexp_replace(raw, ' +', ' ', 'g') WHEN status = 'INVALID' THEN trim(raw) WHEN col = 'Total_Charge' THEN CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) ELSE printf('20%02d-%02d-01', p % 100, s % 14) END AS value,
+ CASE WHEN raw = '' THEN 'PRESERVE_BLANK' WHEN col = 'Total_Charge' THEN 'CURRENCY_EVIDENCE' WHEN col = 'service_date' THEN 'VALID_DATE_ISO' WHEN col = 'diagnosis' THEN 'CODE_CASE_SPACE' ELSE 'WHITESPACE_ONLY' END AS change FROM v)
+SELECT col, status, change, count(*) AS n, min(value) AS least, max(value) AS most FROM w GROUP BY 1, 2, 3""")
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of service line tables put in their column's form."""
     c = table(spark, sf_dir, "lineitem").select(F.expr(_CELL.format(text="STRING")).alias("raw"), F.expr(_COLUMN).alias("col"))

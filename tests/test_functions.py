@@ -34,7 +34,7 @@ def test_money_is_half_even(spark, raw, amount):
 
 
 @pytest.mark.parametrize(
-    ("raw", "day"), [("2020-02-29", "2020-02-29"), ("2/3/69", "1969-02-03"), ("2/3/68", "2068-02-03"), ("01 05 2020", "2020-01-05"), ("12312019", "2019-12-31"), ("2021-02-29", None), ("13/13/2020", None), (None, None)]
+    ("raw", "day"), [("02-29-2020", "2020-02-29"), ("2020-02-29", None), ("2/3/69", "1969-02-03"), ("2/3/68", "2068-02-03"), ("01 05 2020", "2020-01-05"), ("12312019", "2019-12-31"), ("02-29-2021", None), ("13/13/2020", None), (None, None)]
 )
 def test_dates(spark, raw, day):
     got = one(spark, dates.parse_date(F.col("v0")), raw)
