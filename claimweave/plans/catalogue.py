@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import claims, contracts, decisions, evaluation, fields, governance, ladders, localization, matching, pages, readings, records, reference, reports, rules, stores, streams
+from . import claims, contracts, decisions, evaluation, fields, governance, ladders, localization, matching, pages, readings, records, reference, reports, routing, rules, stores, streams
 from .base import Query
 
-_PARTS = (claims.catalogue, fields.catalogue, contracts.catalogue, decisions.catalogue, matching.catalogue, evaluation.catalogue, governance.catalogue, ladders.catalogue, localization.catalogue, records.catalogue, pages.catalogue, readings.catalogue, reference.catalogue, reports.catalogue, rules.catalogue, stores.catalogue, streams.catalogue)
+_PARTS = (claims.catalogue, fields.catalogue, contracts.catalogue, decisions.catalogue, matching.catalogue, evaluation.catalogue, governance.catalogue, ladders.catalogue, localization.catalogue, records.catalogue, pages.catalogue, readings.catalogue, reference.catalogue, reports.catalogue, routing.catalogue, rules.catalogue, stores.catalogue, streams.catalogue)
 
 
 def queries() -> dict[str, Query]:
