@@ -197,6 +197,19 @@ def table_cell(raw: Column, column: Column) -> Column:
     return F.struct(value.alias("value"), change.alias("change"), status.alias("status"), (status == "VALID").alias("acceptable"))
 
 
+def cell_faults(box: list[Column], page: Column, indexes: list[Column], confidence: Column, digest: Column, status: Column, acceptable: Column) -> Column:
+    """What is wrong with a table cell's record, as names in order: a box (x0, y0, x1, y1) without area, a page below 1, a negative index, a confidence outside 0 to 1, a digest that isn't one, or a cell for review only that may be accepted unseen. What isn't known is wrong, but for ``status`` (then REVIEW_ONLY) and ``acceptable`` (then not)."""
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    placed = F.lit(True)
+    for index in indexes:
+        placed = placed & (index >= 0)
+    checks = (
+        (holds((box[2] > box[0]) & (box[3] > box[1])), "BOX_WITHOUT_AREA"), (holds(page >= 1), "PAGE_NOT_VALID"), (holds(placed), "INDEX_NOT_VALID"), (holds(confidence.between(0, 1)), "CONFIDENCE_NOT_VALID"), (holds(digest.rlike(r"^[0-9a-f]{64}\z")), "DIGEST_NOT_VALID"),
+        (~(holds(acceptable) & (F.coalesce(status, F.lit("REVIEW_ONLY")) == "REVIEW_ONLY")), "REVIEW_ONLY_IS_NEVER_AUTOMATIC"),
+    )
+    return F.array_compact(F.array(*(F.when(~good, F.lit(name)) for good, name in checks)))
+
+
 def fused_tokens(a: Column, b: Column, vocabulary: Column) -> Column:
     """Two readings of a text made one, word by word; null if their words can't be matched up.
 

@@ -180,6 +180,18 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("col", "c.status", "c.change").agg(F.count(F.lit(1)).alias("n"), F.min("c.value").alias("least"), F.max("c.value").alias("most"))
 
 
+@query("""WITH c AS (SELECT l_suppkey % 20 AS wide, l_linenumber AS page, l_partkey % 50 - 1 AS idx, l_quantity / 49 AS conf, CASE WHEN l_suppkey % 9 = 0 THEN 'x' ELSE sha256(CAST(l_orderkey AS VARCHAR)) END AS digest, CASE l_returnflag WHEN 'R' THEN 'REVIEW_ONLY' WHEN 'A' THEN 'PROMOTED' END AS status, l_linestatus = 'F' AS acc FROM lineitem),
+f AS (SELECT concat_ws(',', CASE WHEN wide = 0 THEN 'BOX_WITHOUT_AREA' END, CASE WHEN page - 1 < 1 THEN 'PAGE_NOT_VALID' END, CASE WHEN idx < 0 THEN 'INDEX_NOT_VALID' END, CASE WHEN conf > 1 THEN 'CONFIDENCE_NOT_VALID' END, CASE WHEN digest = 'x' THEN 'DIGEST_NOT_VALID' END, CASE WHEN acc AND coalesce(status, 'REVIEW_ONLY') = 'REVIEW_ONLY' THEN 'REVIEW_ONLY_IS_NEVER_AUTOMATIC' END) AS faults FROM c)
+SELECT faults, count(*) AS n FROM f GROUP BY 1""")
+def cell_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of table cells by all that is wrong with them."""
+    c, zero = F.col, F.lit(0)
+    digest = F.when(c("l_suppkey") % 9 == 0, "x").otherwise(F.sha2(c("l_orderkey").cast("string"), 256))
+    status = F.when(c("l_returnflag") == "R", "REVIEW_ONLY").when(c("l_returnflag") == "A", "PROMOTED")
+    faults = fields.cell_faults([zero, zero, c("l_suppkey") % 20, F.lit(9)], c("l_linenumber") - 1, [zero, c("l_partkey") % 50 - 1], c("l_quantity") / 49, digest, status, c("l_linestatus") == "F")
+    return table(spark, sf_dir, "lineitem").select(F.array_join(faults, ",").alias("faults")).groupBy("faults").agg(F.count(F.lit(1)).alias("n"))
+
+
 _VOCABULARY = ("office", "visit", "brief", "therapy")
 
 

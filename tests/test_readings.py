@@ -231,3 +231,12 @@ def test_strict_totals(spark):
     assert got == {
         1: ("EXACT_MATCH", "0.00", False), 2: ("DETERMINISTIC_NORMALIZATION_MATCH", "0.00", True), 3: ("ARITHMETIC_CONFLICT", "1.00", False), 4: ("MISSING_SERVICE_LINES", None, False), 5: ("MISSING_TOTAL", None, False), 6: ("AMBIGUOUS", None, False), 7: ("MISSING_TOTAL", None, False), 8: ("MISSING_TOTAL", None, False),
     }
+
+
+def test_cell_faults(spark):
+    good = (0, 0, 5, 5, 1, 0, 0.5, "a" * 64, "PROMOTED", True)
+    changes = [({}, []), ({2: 0}, ["BOX_WITHOUT_AREA"]), ({1: None}, ["BOX_WITHOUT_AREA"]), ({4: 0}, ["PAGE_NOT_VALID"]), ({5: -1}, ["INDEX_NOT_VALID"]), ({6: 1.01}, ["CONFIDENCE_NOT_VALID"]), ({7: "A" * 64, 8: None}, ["DIGEST_NOT_VALID", "REVIEW_ONLY_IS_NEVER_AUTOMATIC"]), ({8: "REVIEW_ONLY"}, ["REVIEW_ONLY_IS_NEVER_AUTOMATIC"]), ({8: "REVIEW_ONLY", 9: None}, []), ({6: None, 7: None}, ["CONFIDENCE_NOT_VALID", "DIGEST_NOT_VALID"])]
+    rows = [tuple(ch.get(k, v) for k, v in enumerate(good)) for ch, _ in changes]
+    c = [F.col(x) for x in "abcdefghij"]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e int, f int, g double, h string, i string, j boolean").coalesce(1)
+    assert [r.x for r in df.select(fields.cell_faults(c[:4], c[4], [c[5]], c[6], c[7], c[8], c[9]).alias("x")).collect()] == [want for _, want in changes]
