@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,3 +44,38 @@ def phrase_ratio(phrase: pd.Series, text: pd.Series) -> pd.Series:
                 best = max(best, matcher.ratio())
         out.append(best)
     return pd.Series(out, dtype=float)
+
+
+def _edits(pattern: str, masks: dict[str, int], text: str) -> int:
+    """Edit distance, a column of the table at once as the bits of two whole numbers (Myers, Hyyrö); ``masks`` keeps where letters stand in ``pattern``."""
+    if not pattern:
+        return len(text)
+    if not masks:
+        codes = np.frombuffer(pattern.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        masks[""] = (1 << len(pattern)) - 1
+        for c in np.unique(codes):
+            masks[chr(c)] = int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little")
+    whole = up = masks[""]
+    down = 0
+    for c in text:
+        x = masks.get(c, 0) | down
+        same = (((up + (x & up)) ^ up) | x) & whole
+        left = up & same
+        right = ((down | (whole ^ (up | same))) << 1 | 1) & whole
+        down = right & same
+        up = (left << 1 & whole) | (whole ^ (right | same))
+    return len(text) + up.bit_count() - down.bit_count()
+
+
+@F.pandas_udf(T.IntegerType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of two texts, for long ones: as Spark's, at a small part of its cost. Rows with one text ``b`` should stand together; null stays null."""
+    out, last, masks = [], None, {}
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        if y != last:
+            last, masks = y, {}
+        out.append(_edits(y, masks, x))
+    return pd.Series(out, dtype="Int32")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,10 +120,10 @@ def all_codes_match(raw: Column, syntax: str) -> Column:
     return F.coalesce((F.size(parts) > 0) & F.forall(parts, lambda x: x.rlike(syntax)), F.lit(False))
 
 
-def character_error_rate(expected: Column, actual: Column) -> Column:
-    """Edit distance by expected length; with nothing expected 0 or 1; null counts as empty."""
+def character_error_rate(expected: Column, actual: Column, distance: Callable[[Column, Column], Column] = F.levenshtein) -> Column:
+    """Edit distance by expected length; with nothing expected 0 or 1; null counts as empty. For long texts take ``similarity.edit_distance``."""
     e, a = F.coalesce(expected, F.lit("")), F.coalesce(actual, F.lit(""))
-    return F.when(F.length(e) == 0, F.when(F.length(a) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(e, a) / F.length(e))
+    return F.when(F.length(e) == 0, F.when(F.length(a) == 0, 0.0).otherwise(1.0)).otherwise(distance(e, a) / F.length(e))
 
 
 def firewall(value: Column, labels: Column) -> Column:

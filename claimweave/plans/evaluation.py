@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from ..functions.similarity import edit_distance
 from ..operators import calibration, metrics
 from ..sources.tables import table
 from .base import Catalogue
@@ -189,8 +190,8 @@ def cer_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of documents against the items they are paired with."""
     plain = F.regexp_replace("text", "[^ -~]", "")
     b = table(spark, sf_dir, "benchmark").select("item_id", plain.alias("expected"), (F.col("item_id") % 40).alias("k")).filter(F.length("expected") > 0)
-    d = table(spark, sf_dir, "documents").select("doc_id", plain.alias("actual"), (F.col("doc_id") % 40).alias("k"))
-    return d.join(b, "k").select("item_id", "doc_id", F.round(text.character_error_rate(F.col("expected"), F.col("actual")), 9).alias("cer"))
+    d = table(spark, sf_dir, "documents").select("doc_id", plain.alias("actual"), (F.col("doc_id") % 40).alias("k")).repartition("doc_id")  # however few tasks read them
+    return d.join(b, "k").select("item_id", "doc_id", F.round(text.character_error_rate(F.col("expected"), F.col("actual"), edit_distance), 9).alias("cer"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS truth_among, count(*) AS n, arg_max(l_returnflag, {'p': 1 - l_discount, 's': -l_suppkey, 'q': l_quantity, 'e': l_extendedprice}) AS chosen FROM lineitem GROUP BY 1, 2)
