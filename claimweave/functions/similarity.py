@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,3 +81,27 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
             last, masks = y, {}
         out.append(_edits(y, masks, x))
     return pd.Series(out, dtype="Int32")
+
+
+def _forms(text: str, least: int, most: int, exchange: bool) -> list[str]:
+    """What is left of a text after a few edits; see ``edited_forms``."""
+    out, kept = [], {text}
+    for cut in range(min(most, len(text)) + 1):
+        free = most - cut - max(0, least - len(text) + cut)  # the other text loses so many letters at least
+        if free < 0:
+            break
+        for k in kept:
+            for n in range((min(free, len(k)) if exchange else 0) + 1):
+                out += (f"{cut}{n}{','.join(map(str, at))}|{''.join(c for i, c in enumerate(k) if i not in at)}" for at in combinations(range(len(k)), n))
+        kept = {k[:i] + k[i + 1 :] for k in kept for i in range(len(k))}
+    return out
+
+
+def edited_forms(text: Column, least: int, most: int, exchange: bool) -> Column:
+    """All forms of a text (``most`` below ten), an array of: letters cut out, letters passed over, their places, what is left.
+
+    Two texts of ``least`` letters or more are apart by at most ``most`` letters
+    cut out of either or, with ``exchange``, also exchanged, exactly if two of
+    their forms with as many edits in all are equal but for the first digit. Null has none.
+    """
+    return F.pandas_udf(lambda texts: texts.map(lambda x: [] if x is None else _forms(x, least, most, exchange)), T.ArrayType(T.StringType()))(text)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import edited_forms, sequence_ratio
+from ..sources.staging import staged
+
 
 def unique_match(requests: DataFrame, reference: DataFrame, key: str, attributes: list[str], request_id: str) -> DataFrame:
     """request_id, outcome and matches of every request.
@@ -74,6 +80,65 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int) -> DataFra
     return left.join(right, ["band", "bits"]).filter("a < b").select("a", "b", distance.alias("distance")).filter(F.col("distance") <= most).distinct()
 
 
+@dataclass(frozen=True)
+class Likeness:
+    """A similarity of two names (higher is more alike), the edits that names are first looked up by, and what is the most that names further apart can reach.
+
+    ``most(size, longest, edits)``: of a name of ``size`` letters and any up to
+    ``longest``, if there are ``edits`` or more between them. It must be a
+    quotient of whole numbers as the similarity is, or less 1 of one, so that equal values compare as equal.
+    """
+
+    similarity: Callable[[Column, Column], Column]
+    most: Callable[[Column, Column, int], Column]
+    steps: tuple[int, ...]
+    exchange: bool
+
+
+#: Edit distance in parts of the longer name.
+BY_EDITS = Likeness(lambda a, b: 1 - F.levenshtein(a, b).cast("double") / F.greatest(F.length(a), F.length(b)), lambda size, longest, edits: 1 - edits / F.greatest(size, longest).cast("double"), (1, 2, 3), True)
+#: Ratio of matching blocks: these are a common subsequence, so all letters outside one count as cut out.
+BY_BLOCKS = Likeness(sequence_ratio, lambda size, longest, edits: (size + longest - edits).cast("double") / (size + longest), (2, 4), False)
+
+
+def most_similar(asked: DataFrame, reference: DataFrame, block: list[str], name: str, key: str, like: Likeness) -> DataFrame:
+    """``asked`` with ``key`` and similarity of the reference row of its block whose name is most like its own; of equally like ones the smallest ``key``.
+
+    Exact, without meeting all names of a block: each different name is looked
+    up once, first by its forms after a few edits (an equi-join), then after
+    more. A name is settled as soon as what it found is more like it than
+    anything further apart can be. Only the names that no step settles meet
+    their whole block; the fuller a block, the fewer these are. What all names
+    begin with has no part in the edits. Rows of blocks without reference are
+    left out, and null names are like none.
+    """
+    ref = staged(reference.groupBy(*block, F.col(name).alias("__ref")).agg(F.min(key).alias(key)), "reference")
+    left = staged(asked.select(*block, name).distinct(), "asked")
+    all_names = ref.select(F.col("__ref").alias("n")).unionByName(left.select(F.col(name).alias("n")))
+    ends = all_names.agg(F.min("n").alias("first"), F.max("n").alias("last"), F.min(F.length("n")).alias("least"), F.max(F.length("n")).alias("longest")).first()
+    same = len(os.path.commonprefix([ends["first"] or "", ends["last"] or ""]))
+    best = F.min_by(F.struct("similarity", key), F.struct(F.isnull("similarity"), -F.col("similarity"), key)).alias("__best")
+    settled, tasks = None, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # narrow rows with much work each
+    for edits in like.steps if ends["first"] is not None else ():
+        def by_form(rows: DataFrame, text: str, cut: str, edits: int = edits) -> DataFrame:
+            form = edited_forms(F.substring(F.col(text), F.lit(same + 1), F.length(text)), ends["least"] - same, edits, like.exchange)
+            return rows.repartition(tasks, *block, text).withColumn("__form", F.explode(form)).withColumns({cut: F.ascii("__form") - 48, "__form": F.substring("__form", 2, 1 << 30)})
+
+        met = by_form(left, name, "__a").join(by_form(ref, "__ref", "__b"), [*block, "__form"]).filter(F.col("__a") + F.col("__b") + F.ascii("__form") - 48 <= edits)
+        found = met.select(*block, name, "__ref", key).distinct().withColumn("similarity", like.similarity(F.col(name), F.col("__ref"))).groupBy(*block, name).agg(best)
+        sure = F.coalesce(F.col("__best.similarity") > like.most(F.length(name), F.lit(ends["longest"]), edits + 1), F.lit(False))
+        tried = staged(left.join(found, [*block, name], "left").withColumn("__sure", sure), "tried")
+        done, left = tried.filter("__sure").drop("__sure"), tried.filter("NOT __sure").select(*block, name)
+        settled = done if settled is None else settled.unionByName(done)
+    rest = left.repartition(tasks, *block, name).join(ref, block).withColumn("similarity", like.similarity(F.col(name), F.col("__ref"))).groupBy(*block, name).agg(best)
+    settled = rest if settled is None else settled.unionByName(rest)
+    names = settled.select(*(F.col(b).alias(f"__{b}") for b in block), F.col(name).alias("__name"), "__best")
+    equal = F.col(name).eqNullSafe(F.col("__name"))
+    for b in block:
+        equal = equal & (F.col(b) == F.col(f"__{b}"))
+    return asked.join(names, equal).select(*asked.columns, F.col(f"__best.{key}").alias(key), F.col("__best.similarity").alias("similarity"))
+
+
 def exact_binding(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str]) -> DataFrame:
     """left_id, outcome and targets: rows bound by any of several keys; one target is exact, more are ambiguous.
 

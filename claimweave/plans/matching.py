@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..functions.similarity import sequence_ratio
 from ..operators import joins, ranking
 from ..operators.graph import connected_components
 from ..sources.tables import table
@@ -48,28 +47,25 @@ def code_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(known, "code", "left").select("p_partkey", outcome.alias("outcome"))
 
 
-def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members and reference rows of one block: place and segment."""
-    c = table(spark, sf_dir, "customer")
-    ask = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("member"), F.col("c_name").alias("name"), "c_nationkey", "c_mktsegment")
-    ref = c.filter("c_custkey % 2 = 1").select(F.col("c_custkey").alias("reference"), F.col("c_name").alias("ref_name"), "c_nationkey", "c_mktsegment")
-    return ask.join(ref, ["c_nationkey", "c_mktsegment"])
+def _closest_names(spark: SparkSession, sf_dir: str, like: joins.Likeness) -> DataFrame:
+    """Members and the reference row of their block, place and segment, whose name is most like theirs."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member"), F.coalesce("c_name", F.lit("")).alias("name") if like is joins.BY_BLOCKS else F.col("c_name").alias("name"), "c_nationkey", "c_mktsegment")
+    found = joins.most_similar(c.filter("member % 2 = 0"), c.filter("member % 2 = 1").withColumnRenamed("member", "reference"), ["c_nationkey", "c_mktsegment"], "name", "reference", like)
+    best = ranking.top_with_margin(found, ["member"], "similarity", [F.col("reference")])
+    return best.select("member", "reference", "similarity", (F.col("similarity") >= 0.92).alias("verified"))
 
 
 @query("""WITH p AS (SELECT a.c_custkey AS member, b.c_custkey AS reference, 1 - CAST(levenshtein(a.c_name, b.c_name) AS DOUBLE) / greatest(length(a.c_name), length(b.c_name)) AS similarity FROM customer a JOIN customer b USING (c_nationkey, c_mktsegment) WHERE a.c_custkey % 2 = 0 AND b.c_custkey % 2 = 1)
 SELECT member, reference, similarity, similarity >= 0.92 AS verified FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY similarity DESC, reference) AS k FROM p) WHERE k = 1""")
 def fuzzy_reference_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar name within a member's block, by edit distance."""
-    similarity = 1 - F.levenshtein("name", "ref_name").cast("double") / F.greatest(F.length("name"), F.length("ref_name"))
-    best = ranking.top_with_margin(_name_pairs(spark, sf_dir).withColumn("similarity", similarity), ["member"], "similarity", [F.col("reference")])
-    return best.select("member", "reference", "similarity", (F.col("similarity") >= 0.92).alias("verified"))
+    return _closest_names(spark, sf_dir, joins.BY_EDITS)
 
 
 @query()
 def fuzzy_reference_match_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the ratio of matching blocks, which SQL doesn't have."""
-    scored = _name_pairs(spark, sf_dir).withColumn("similarity", sequence_ratio("name", "ref_name"))
-    return ranking.top_with_margin(scored, ["member"], "similarity", [F.col("reference")]).select("member", "reference", "similarity", (F.col("similarity") >= 0.92).alias("verified"))
+    return _closest_names(spark, sf_dir, joins.BY_BLOCKS)
 
 
 @query("""WITH a AS (SELECT doc_id, md5(text) AS h, CAST(n_chars AS VARCHAR) || ':' || lang || ':' || source AS r FROM documents),

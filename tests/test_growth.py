@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimweave.functions.similarity import _edits, edit_distance
+from claimweave.operators import joins
 
 
 def test_edit_distance_of_any_texts(spark):
@@ -24,3 +26,25 @@ def test_edit_distance_of_long_texts_is_quick():
     start = time.perf_counter()
     assert _edits(long, {}, long[:1000]) == 99_000
     assert time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize("like", [joins.BY_EDITS, joins.BY_BLOCKS])
+def test_most_similar_names_are_those_of_all_pairs(spark, like):
+    r = random.Random(3)
+    names = ["", "ab", "aba", "b|0a"] + ["x" + "".join(r.choices("ab0|,", k=r.randrange(1, 9))) for _ in range(90)]
+    rows = [(i, f"b{i % 3}", r.choice(names)) for i in range(200)] + [(300, "b1", None), (301, "alone", "ab"), (302, None, "ab")]
+    asked, reference = spark.createDataFrame(rows[::2] + [rows[-1]], "id long, block string, name string"), spark.createDataFrame(rows[1::2], "key long, block string, name string").filter("block <> 'alone'")
+    pairs = asked.join(reference.withColumnRenamed("name", "other"), "block").withColumn("s", like.similarity(F.col("name"), F.col("other")))
+    want = {}
+    for p in sorted(pairs.collect(), key=lambda p: (p.s is None, -(p.s or 0), p.key)):
+        want.setdefault(p.id, (p.key, p.s))
+    assert {x.id: (x.key, x.similarity) for x in joins.most_similar(asked, reference, ["block"], "name", "key", like).collect()} == want
+
+
+def test_few_names_meet_their_whole_block(spark):
+    pairs = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda a, b: pairs.add(1) or float(sum(x == y for x, y in zip(a, b, strict=True))) / 8, "double")
+    like = joins.Likeness(lambda a, b: count(a, b), lambda size, longest, edits: (size - edits) / size, (1, 2), True)
+    c = spark.range(6000).select("id", F.lit(1).alias("block"), F.lpad(F.col("id").cast("string"), 8, "0").alias("name"))
+    assert joins.most_similar(c.filter("id % 2 = 0"), c.filter("id % 2 = 1").withColumnRenamed("id", "key"), ["block"], "name", "key", like).count() == 3000
+    assert pairs.value < 3000 * 3000 / 20
