@@ -7,12 +7,17 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import edited_forms, sequence_ratio
 from ..sources.staging import staged
 
+#: Hashes of a block, and pairs compared at a time.
+BLOCK, CELLS = 8192, 1 << 20
+
 
 def unique_match(requests: DataFrame, reference: DataFrame, key: str, attributes: list[str], request_id: str) -> DataFrame:
     """request_id, outcome and matches of every request.
@@ -72,6 +77,8 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int) -> DataFra
     """
     cuts = [k * 64 // (most + 1) for k in range(most + 2)] if most < 64 else [0, 0]  # beyond 63 bits every pair is one
     one = hashes.groupBy(value).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
+    if most > 7:
+        return _tiled_pairs(one, key, value, most)
     parts = [F.shiftrightunsigned(value, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1).cast("long")) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     bands = F.array(*(F.struct(F.lit(k).alias("band"), bits.alias("bits")) for k, bits in enumerate(parts)))
     rows = one.select(F.col(key).alias("k"), F.col(value).alias("v"), F.explode(bands).alias("b")).select("k", "v", "b.band", "b.bits")
@@ -80,6 +87,34 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int) -> DataFra
     return left.join(right, ["band", "bits"]).filter("a < b").select("a", "b", distance.alias("distance")).filter(F.col("distance") <= most).distinct()
 
 
+def _tiled_pairs(one: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """``hamming_pairs`` of different hashes by all pairs: each of B blocks meets itself and the others, in a group for each two."""
+    one = staged(one.select(key, value).dropna(), "hashes")
+    blocks = max(1, -(-one.count() // BLOCK))
+    kind = one.schema[key].dataType.simpleString()
+    block = F.pmod(F.xxhash64(value), F.lit(blocks)).cast("int")
+    with_other = one.select(F.col(key).alias("k"), F.col(value).alias("v"), block.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    rows = with_other.select("k", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("first"))
+
+    def near(frame: pd.DataFrame) -> pd.DataFrame:
+        same = frame["p"].iat[0] == frame["q"].iat[0]
+        left = frame if same else frame[frame["first"]]
+        right = frame if same else frame[~frame["first"]]
+        v, w = left["v"].to_numpy(np.int64).view(np.uint64), right["v"].to_numpy(np.int64).view(np.uint64)
+        step, at, to, gaps = max(1, CELLS // max(1, len(w))), [], [], []
+        for lo in range(0, len(v), step):
+            gap = np.bitwise_count(v[lo : lo + step, None] ^ w)
+            i, j = np.nonzero(gap <= most)
+            if same:
+                i, j = i[i + lo < j], j[i + lo < j]
+            at, to, gaps = [*at, i + lo], [*to, j], [*gaps, gap[i, j]]
+        join = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
+        a, b = left["k"].take(join(at)).reset_index(drop=True), right["k"].take(join(to)).reset_index(drop=True)
+        return pd.DataFrame({"a": a.where(a < b, b), "b": b.where(a < b, a), "distance": join(gaps).astype(np.int32)})
+
+    return rows.groupBy("p", "q").applyInPandas(near, f"a {kind}, b {kind}, distance int")
+
+
 @dataclass(frozen=True)
 class Likeness:
     """A similarity of two names (higher is more alike), the edits that names are first looked up by, and what is the most that names further apart can reach.

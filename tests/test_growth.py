@@ -48,3 +48,17 @@ def test_few_names_meet_their_whole_block(spark):
     c = spark.range(6000).select("id", F.lit(1).alias("block"), F.lpad(F.col("id").cast("string"), 8, "0").alias("name"))
     assert joins.most_similar(c.filter("id % 2 = 0"), c.filter("id % 2 = 1").withColumnRenamed("id", "key"), ["block"], "name", "key", like).count() == 3000
     assert pairs.value < 3000 * 3000 / 20
+
+
+def test_all_pairs_of_hashes_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 37)
+    r = random.Random(7)
+    rows = [(i, r.getrandbits(64) - (1 << 63)) for i in range(300)]
+    nulls = [(600, None), (None, 77)]
+    rows += [(400 + i, v ^ 5) for i, (_, v) in enumerate(rows[:60])] + [(500, rows[0][1])]
+    bits = lambda v: (v + (1 << 64)) % (1 << 64)
+    want = {(a, b): (bits(v) ^ bits(w)).bit_count() for a, v in rows[:-1] for b, w in rows[:-1] if a < b and (bits(v) ^ bits(w)).bit_count() <= 22}
+    pairs = joins.hamming_pairs(spark.createDataFrame(rows + nulls, "k long, v long"), "k", "v", 22)
+    got = pairs.collect()
+    assert {(p.a, p.b): p.distance for p in got} == want and len(got) == len(want)
+    assert "bits" not in pairs._jdf.queryExecution().optimizedPlan().toString()  # no pair meets in bands
