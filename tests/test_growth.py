@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from claimweave.functions.similarity import _edits, edit_distance
 from claimweave.operators import joins
+from claimweave.streaming import governor, jobs
 
 
 def test_edit_distance_of_any_texts(spark):
@@ -62,3 +66,79 @@ def test_all_pairs_of_hashes_by_tiles(spark, monkeypatch):
     got = pairs.collect()
     assert {(p.a, p.b): p.distance for p in got} == want and len(got) == len(want)
     assert "bits" not in pairs._jdf.queryExecution().optimizedPlan().toString()  # no pair meets in bands
+
+
+class Store(dict):
+    """State of one name, with the calls that were made to it."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if not name.startswith("_"):
+            Store.calls += 1
+        return super().__getattribute__(name)
+
+    def exists(self):
+        return bool(self.__len__())
+
+    def get(self):
+        return self["whole"]
+
+    def update(self, value):
+        self["whole"] = value
+
+    def updateValue(self, k, v):  # noqa: N802
+        self[k] = v
+
+    def getValue(self, k):  # noqa: N802
+        return self[k] if k in self else None
+
+    def containsKey(self, k):  # noqa: N802
+        return k in self
+
+    def removeKey(self, k):  # noqa: N802
+        del self[k]
+
+    def iterator(self):
+        return iter([*zip(self.__iter__(), map(self.__getitem__, self.__iter__()), strict=True)])
+
+    def keys(self):
+        return iter([*self.__iter__()])
+
+
+def test_governor_calls_its_state_by_batch_page_and_claim():
+    timers = []
+    handle = SimpleNamespace(getMapState=lambda *a: Store(), getValueState=lambda *a: Store(), registerTimer=lambda at: timers.append(at))
+    g = governor.CostGovernor(governor.Limits({"TEXT": 9}, 1e9, 1e9, 0.5))
+    g.init(handle)
+    n = 5000
+    events = pd.DataFrame({"event_id": range(n), "ts": pd.date_range("2024-01-01", periods=n, freq="10s"), "kind": "CALL", "page": [f"p{i % 7}" for i in range(n)], "claim": [f"c{i % 3}" for i in range(n)], "tier": "TEXT", "cost": 1.0})
+    list(g.handleInputRows((1,), iter([events.iloc[::2], events.iloc[1::2]]), None))
+    out = []
+    while timers:
+        now = min(timers) + 6 * 3_600_000
+        timers[:] = [t for t in timers if t > now]
+        out += list(g.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now), None))
+    got = pd.concat(out)
+    assert got["event_id"].tolist() == list(range(n)) and got["granted"].sum() == 63 and got["granted"][:63].all()
+    assert Store.calls < n / 5
+
+
+def test_budgets_of_many_users_share_their_state_row(spark, tmp_path):
+    r = random.Random(9)
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    rows = [(i, start + datetime.timedelta(minutes=r.randrange(3000)), r.choice([None, *range(2**60, 2**60 + 300)]), r.random() * 30) for i in range(3000)]
+    schema = "event_id long, ts timestamp, user_id long, value double"
+    rows.sort(key=lambda x: x[1])
+    for k in range(3):
+        spark.createDataFrame(rows[k * 1000 : k * 1000 + 1000], schema).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    stream = jobs.event_stream(spark, f"{tmp_path}", 1)
+    want, spent = {}, {}
+    for i, ts, user, value in sorted(rows, key=lambda x: (x[1], x[0])):
+        before = spent.get((user, ts.date()), 0.0)
+        want[i] = (user, before + value <= 40)
+        if before + value <= 40:
+            spent[user, ts.date()] = before + value
+    got = jobs.spend_within_budget(stream, 40.0).collect()
+    assert {x.event_id: (x.user_id, x.granted) for x in got} == want and len(got) == len(rows)
+    assert jobs.SHARES * 30 < 10_000  # groups of a month, however many users there are
