@@ -88,24 +88,33 @@ def split_dead_letters(stream: DataFrame, schema: str, rejects: str) -> tuple[Da
     return read.parquet(f"{out}/good"), read.parquet(f"{out}/dead")
 
 
+#: Groups that users are dealt to; their state is kept together, so it can't be changed for a stream that has run.
+SHARES = 128
+
+
 def spend_within_budget(stream: DataFrame, budget: float) -> DataFrame:
     """Each user's requests of a day, in order, granted as long as the day's spend with it stays within the budget.
 
     What a day has spent so far is state, so it carries over micro-batches;
-    within one, a user's events are put in order of time first.
+    within one, a user's events are put in order of time first. A call and a
+    row of state are for a share of the users and a day, as a call costs
+    milliseconds and most users have a few events a day.
     """
 
     def grant(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spent = state.get[0] if state.exists else 0.0
+        spent = dict(zip(*state.get, strict=True)) if state.exists else {}
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        users = [None] * len(rows) if key[0] < 0 else rows["user_id"].tolist()
         granted = []
-        for value in rows["value"]:
-            ok = spent + value <= budget
-            spent += value if ok else 0.0
-            granted.append(ok)
-        state.update((spent,))
+        for user, value in zip(users, rows["value"].tolist(), strict=True):
+            after = spent.get(user, 0.0) + value
+            granted.append(after <= budget)
+            if granted[-1]:
+                spent[user] = after
+        state.update((list(spent), list(spent.values())))
         yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "granted": granted})
 
-    days = stream.withColumn("day", F.to_date("ts"))
-    out = days.groupBy("user_id", "day").applyInPandasWithState(grant, "user_id long, event_id long, granted boolean", "spent double", "append", GroupStateTimeout.NoTimeout)
+    share = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.hash("user_id"), F.lit(SHARES)))
+    days = stream.select(share.alias("share"), F.to_date("ts").alias("day"), "user_id", "event_id", "ts", "value")
+    out = days.groupBy("share", "day").applyInPandasWithState(grant, "user_id long, event_id long, granted boolean", "users array<long>, spent array<double>", "append", GroupStateTimeout.NoTimeout)
     return collected(out, "budget").drop("batch")
