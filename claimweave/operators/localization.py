@@ -22,6 +22,8 @@ RIGHT_ELSE = (2.25, 0.0)
 #: A value's place relative to its anchor, in parts of the page: centre right of it, or top below it.
 RIGHT_REACH = {"from": -0.015, "to": 0.36, "aside": 0.055}
 BELOW_REACH = {"from": -0.008, "to": 0.10, "aside": 0.46}
+#: Tasks that the tokens of one text are dealt to.
+DEALT = 64
 #: Size of a grid cell, in parts of the page.
 CELL_X, CELL_Y = 0.12, 0.055
 #: Weights of the signals.
@@ -134,7 +136,9 @@ def anchors(tokens: DataFrame, rules: list[FieldRule]) -> DataFrame:
     named = tokens.withColumn("__normal", normal(F.col("text")))
     close = close_labels(named, "__normal", labels)
     fields = F.array(*(F.lit(f) for f, _, _ in labels))
-    found = named.join(close.withColumn("field", F.get(fields, F.col("label"))), "__normal").join(table.select("field", "zone", F.col("negatives").alias("__negatives")), "field")
+    # one word may be a good part of all tokens: it is dealt to many tasks, and what it is like to all of them
+    close = close.withColumn("field", F.get(fields, F.col("label"))).withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+    found = named.withColumn("__deal", F.pmod(F.xxhash64("page", "token"), F.lit(DEALT))).join(close, ["__normal", "__deal"]).join(table.select("field", "zone", F.col("negatives").alias("__negatives")), "field")
     found = found.filter((F.col("confidence") >= 0.45) & ~F.exists("__negatives", lambda n: F.contains(F.col("__normal"), n)))
     zone = zone_score(F.col("zone"), (F.col("x0") + F.col("x1")) / (2 * F.col("width")), (F.col("y0") + F.col("y1")) / (2 * F.col("height")))
     score = F.col("similarity") * (0.8 + 0.2 * zone) * F.col("confidence")
@@ -250,11 +254,10 @@ def weighted(weights: Column, **signals: Column) -> Column:
 def _label_boxes(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     """page, field, label_boxes: tokens of a page that are labels of the field's neighbours."""
     declared = rules.select("field", "declared").filter(F.size("declared") > 0)
-    fields = declared.select(F.explode("declared").alias("label"), "field")
     named = tokens.select("page", "token", "x0", "y0", "x1", "y1", normal(F.col("text")).alias("n"))
-    # different texts meet the labels (a policy table), not every token
-    hits = named.select("n").distinct().join(F.broadcast(fields), _holds(F.col("label"), F.col("n"))).select("n", "field").distinct()
-    return named.join(hits, "n").groupBy("page", "field").agg(F.collect_list(F.struct("token", "x0", "y0", "x1", "y1")).alias("label_boxes"))
+    # each token meets the labels (a policy table) where it is: a join by text would gather all tokens of a frequent word in one task
+    hits = named.crossJoin(F.broadcast(declared)).filter(F.exists("declared", lambda d: _holds(d, F.col("n"))))
+    return hits.groupBy("page", "field").agg(F.collect_list(F.struct("token", "x0", "y0", "x1", "y1")).alias("label_boxes"))
 
 
 def _contracts(tokens: DataFrame, found: DataFrame, rules: DataFrame) -> DataFrame:

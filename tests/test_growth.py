@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave.functions.similarity import _edits, edit_distance
-from claimweave.operators import joins
+from claimweave.operators import joins, localization
 from claimweave.streaming import governor, jobs
 
 
@@ -142,3 +142,21 @@ def test_budgets_of_many_users_share_their_state_row(spark, tmp_path):
     got = jobs.spend_within_budget(stream, 40.0).collect()
     assert {x.event_id: (x.user_id, x.granted) for x in got} == want and len(got) == len(rows)
     assert jobs.SHARES * 30 < 10_000  # groups of a month, however many users there are
+
+
+def test_frequent_words_of_pages_are_no_single_task(spark):
+    word = F.when(F.col("id") % 8 == 0, F.concat(F.lit("w"), F.col("id").cast("string"))).otherwise("the")
+    tokens = spark.range(20_000).select(F.floor(F.col("id") / 20).alias("page"), (F.col("id") % 20).cast("string").alias("token"), word.alias("text"), *(F.lit(float(v)).alias(c) for c, v in (("x0", 1), ("y0", 1), ("x1", 9), ("y1", 9), ("confidence", 1))), F.lit(1).alias("line"), F.col("id").alias("place"), F.col("id").alias("ord"), F.lit(100).alias("width"), F.lit(100).alias("height"))
+    rules = [localization.FieldRule("f", "OTHER", ("the",), (localization.Relation("below"),), neighbours=("the",), threshold=1.0)]
+    for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+        spark.conf.set(c, "-1" if "Join" in c else "false")
+    try:
+        found, boxes = localization.anchors(tokens, rules), localization._label_boxes(tokens, localization._rule_table(spark, rules))
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (found, boxes)]
+        assert found.count() == 1000 and boxes.agg(F.sum(F.size("label_boxes"))).first()[0] == 17_500
+        by_text = [line for plan in plans for line in plan.split("\n") if "hashpartitioning(" in line and ("(n#" in line or "__normal#" in line) and "__deal#" not in line and "(__normal#" in line.split("hashpartitioning")[1][:10]]
+        assert not [line for line in plans[1].split("\n") if "hashpartitioning(n#" in line] and "__deal#" in plans[0]
+        assert len(by_text) <= 1  # the different texts
+    finally:
+        for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(c)
