@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,30 +18,69 @@ def reading_order(tokens: DataFrame, page: str, tolerance: float = 0.55) -> Data
     Tokens go down the page; one joins the line whose mean centre is within
     ``tolerance`` of the page's median height, else it starts a line. Where a
     line lies depends on the tokens before, so a page is worked through in
-    order: in one task for each page, whose tokens are few.
+    order, and must fit a task's memory; pages come one after the other through
+    a task, not in a call for each.
     """
     fields = T.StructType([*tokens.schema, T.StructField("line", T.IntegerType()), T.StructField("place", T.IntegerType())])
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__c=(pdf.y0 + pdf.y1) / 2).sort_values(["__c", "x0", "ord"], kind="stable")
-        limit = tolerance * float(np.median(pdf.y1 - pdf.y0))
-        sums, counts, lines = [], [], []
-        for c in pdf["__c"]:
+    def worked(rows: pa.Table, ends: list[int]) -> pa.RecordBatch:
+        x0, y0, y1 = (rows[c].to_numpy().astype(float) for c in ("x0", "y0", "y1"))
+        at, centre = rows["ord"].to_numpy(), (y0 + y1) / 2
+        line, place = np.zeros(len(x0), np.int32), np.zeros(len(x0), np.int32)
+        for lo, hi in zip([0, *ends], ends, strict=False):
+            down = lo + np.lexsort((at[lo:hi], x0[lo:hi], centre[lo:hi]))
+            line[down] = _lines(centre[down].tolist(), tolerance * float(np.median(y1[lo:hi] - y0[lo:hi])))
+            place[lo + np.lexsort((at[lo:hi], x0[lo:hi], line[lo:hi]))] = np.arange(hi - lo)
+        return pa.Table.from_arrays([*rows.columns, pa.array(line), pa.array(place)], fields.names).combine_chunks().to_batches()[0]
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # of one page, which may go on
+        for batch in (b for b in batches if b.num_rows):
+            key = batch[page]
+            start = not rest or bool(_changes(pa.concat_arrays([rest[-1][page].slice(rest[-1].num_rows - 1), key.slice(0, 1)])))
+            cuts = [0] * (start and bool(rest)) + _changes(key)
+            if not cuts:
+                rest.append(batch)
+                continue
+            before = sum(b.num_rows for b in rest)
+            yield worked(pa.Table.from_batches([*rest, batch.slice(0, cuts[-1])]), [before + c for c in cuts])
+            rest = [batch.slice(cuts[-1])]
+        if rest:
+            yield worked(pa.Table.from_batches(rest), [sum(b.num_rows for b in rest)])
+
+    return tokens.repartition(page).sortWithinPartitions(page).mapInArrow(order, fields)
+
+
+def _changes(keys: pa.Array) -> list[int]:
+    """Places at which a key isn't the one before it; nulls are equal."""
+    a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
+    other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+    return (np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist()
+
+
+def _lines(centres: list[float], limit: float) -> list[int]:
+    """The line of each centre, from the top; centres come in order.
+
+    A line's mean is above all that come after, so the last line is the nearest.
+    Only where a limit is as small as rounding, or a centre is no number, all lines are looked at.
+    """
+    sums, counts, lines = [], [], []
+    last = limit > 1e-9 * max(map(abs, centres), default=0.0) and np.isfinite(centres).all()
+    for c in centres:
+        if last:
+            k = len(sums) - 1 if sums and abs(sums[-1] / counts[-1] - c) <= limit else len(sums)
+        else:
             gaps = [abs(s / n - c) for s, n in zip(sums, counts, strict=True)]
             k = int(np.argmin(gaps)) if gaps and min(gaps) <= limit else len(sums)
-            if k == len(sums):
-                sums.append(0.0)
-                counts.append(0)
-            sums[k] += c
-            counts[k] += 1
-            lines.append(k)
-        centre = [s / n for s, n in zip(sums, counts, strict=True)]
-        rank = {k: r for r, k in enumerate(sorted(range(len(centre)), key=centre.__getitem__))}
-        pdf = pdf.assign(line=[rank[k] for k in lines]).sort_values(["line", "x0", "ord"], kind="stable").drop(columns="__c")
-        pdf["line"] = pdf["line"].astype("int32")
-        return pdf.assign(place=np.arange(len(pdf), dtype="int32"))[fields.names]
-
-    return tokens.groupBy(page).applyInPandas(order, fields)
+        if k == len(sums):
+            sums.append(0.0)
+            counts.append(0)
+        sums[k] += c
+        counts[k] += 1
+        lines.append(k)
+    centre = [s / n for s, n in zip(sums, counts, strict=True)]
+    rank = {k: r for r, k in enumerate(sorted(range(len(centre)), key=centre.__getitem__))}
+    return [rank[k] for k in lines]
 
 
 def anchor_scores(pages: DataFrame, page: str, text: Column, anchors: dict[str, list[str]]) -> DataFrame:

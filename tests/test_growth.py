@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import difflib
 import random
+import statistics
 import time
 from types import SimpleNamespace
 
@@ -11,8 +13,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from claimweave.functions import similarity
 from claimweave.functions.similarity import _edits, edit_distance
-from claimweave.operators import joins, localization
+from claimweave.operators import joins, layout, localization
 from claimweave.streaming import governor, jobs
 
 
@@ -160,3 +163,41 @@ def test_frequent_words_of_pages_are_no_single_task(spark):
     finally:
         for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
             spark.conf.unset(c)
+
+
+def test_best_window_is_that_of_all_windows():
+    r = random.Random(4)
+    for _ in range(400):
+        p, t = (" ".join("".join(r.choices("abcé ", k=r.randrange(1, 6))) for _ in range(r.randrange(n))) for n in (5, 12))
+        words, n = t.split(), max(1, len(p.split()))
+        want = max((difflib.SequenceMatcher(None, " ".join(words[k : k + n]), p).ratio() for k in range(max(1, len(words) - n + 1))), default=0.0) if words else 0.0
+        assert similarity._best_window(p, t) == want
+    start = time.perf_counter()
+    similarity._best_window("what is the", " ".join("".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(100_000)))
+    assert time.perf_counter() - start < 1
+
+
+def test_reading_order_takes_pages_one_after_the_other(spark):
+    r = random.Random(6)
+    rows = [(r.choice([None, *range(2**60, 2**60 + 40)]), i, float(r.randrange(9)), y := r.randrange(60) / 4, y + r.choice([1.0, 2.0])) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        tokens = spark.createDataFrame([(p, i, x, y, x + 1, z) for p, i, x, y, z in rows], "page long, ord long, x0 double, y0 double, x1 double, y1 double")
+        df = layout.reading_order(tokens, "page")
+        got = {x.ord: (x.page, x.line, x.place) for x in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    for page in {p for p, *_ in rows}:
+        own = sorted((((y + z) / 2, x, i, z - y) for p, i, x, y, z in rows if p == page))
+        limit, lines = 0.55 * statistics.median(h for *_, h in own), []
+        for c, x, i, _ in own:  # every token looks at every line
+            near = min(lines, key=lambda of: abs(of[0] / of[1] - c), default=None)
+            if near is None or abs(near[0] / near[1] - c) > limit:
+                near = [0.0, 0, []]
+                lines.append(near)
+            near[0], near[1] = near[0] + c, near[1] + 1
+            near[2].append((x, i))
+        lines.sort(key=lambda of: of[0] / of[1])
+        flat = [(k, i) for k, of in enumerate(lines) for _, i in sorted(of[2])]
+        assert [(page, k, n) for n, (k, _) in enumerate(flat)] == [got[i] for _, i in flat]
