@@ -35,19 +35,42 @@ def phrase_ratio(phrase: pd.Series, text: pd.Series) -> pd.Series:
     """How well a phrase is found in a text: 1 if it's contained, else the best ratio over windows of as many words."""
     out = []
     for p, t in zip(phrase.fillna(""), text.fillna(""), strict=True):
-        words, n = t.split(), max(1, len(p.split()))
-        if p and p in t:
-            out.append(1.0)
-            continue
-        matcher, best = difflib.SequenceMatcher(None, "", p), 0.0
-        for k in range(max(1, len(words) - n + 1) if words else 0):
-            matcher.set_seq1(" ".join(words[k : k + n]))
-            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-                best = max(best, matcher.ratio())
-        out.append(best)
+        out.append(1.0 if p and p in t else _best_window(p, t))
     return pd.Series(out, dtype=float)
 
 
+def _best_window(p: str, t: str) -> float:
+    """The best ratio over windows of as many words: those with most letters in common first, until no other can be better.
+
+    Matching blocks are a common subsequence, so a window whose longest one isn't long enough isn't compared.
+    """
+    words, n = t.split(), max(1, len(p.split()))
+    if not words:
+        return 0.0
+    ends = np.cumsum([len(w) + 1 for w in words])
+    n = min(n, len(words))
+    lo, hi = np.concatenate([[0], ends])[: len(words) - n + 1], ends[n - 1 :] - 1
+    codes, common = np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4"), np.zeros(len(lo), dtype=np.int64)
+    for c in set(p):
+        seen = np.concatenate([[0], np.cumsum(codes == ord(c))])
+        common += np.minimum(seen[hi] - seen[lo], p.count(c))
+    bound = 2.0 * common / (hi - lo + len(p))
+    matcher, best, whole = difflib.SequenceMatcher(None, "", p), 0.0, (1 << len(p)) - 1
+    masks = {c: sum(1 << i for i, x in enumerate(p) if x == c) for c in set(p)}
+    for k in np.argsort(-bound, kind="stable").tolist():
+        if bound[k] <= best:
+            break
+        window, free = " ".join(words[k : k + n]), whole
+        for c in window:
+            if c in masks:
+                x = free & masks[c]
+                free = (free + x | free - x) & whole
+        if 2.0 * (len(p) - free.bit_count()) / (len(window) + len(p)) > best:
+            matcher.set_seq1(window)
+            best = max(best, matcher.ratio())
+    return best
+
+
 def _edits(pattern: str, masks: dict[str, int], text: str) -> int:
     """Edit distance, a column of the table at once as the bits of two whole numbers (Myers, Hyyrö); ``masks`` keeps where letters stand in ``pattern``."""
     if not pattern:

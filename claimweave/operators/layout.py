@@ -116,7 +116,8 @@ def family_scores(pages: DataFrame, page: str, text: Column, anchors: dict[str,
 
     low = F.lower(text)
     phrases = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(p.lower()).alias("phrase")) for f, ps in sorted(anchors.items()) for p in ps))
-    rows = pages.select(page, low.alias("__low"), F.explode(phrases).alias("p")).select(page, "__low", "p.*").withColumn("held", F.contains("__low", F.col("phrase")))
+    # dealt first, as a search takes long and few tasks may read the texts
+    rows = pages.select(page, low.alias("__low")).repartition(page).select(page, "__low", F.explode(phrases).alias("p")).select(page, "__low", "p.*").withColumn("held", F.contains("__low", F.col("phrase")))
     sure = rows.filter("held").select(page, "family", F.lit(1.0).alias("ratio"))
     searched = rows.filter("NOT held").select(page, "family", phrase_ratio("phrase", "__low").alias("ratio"))
     g = sure.unionByName(searched).groupBy(page, "family").agg(F.max("ratio").alias("best"), F.count_if(F.col("ratio") >= good).alias("n"))
