@@ -40,7 +40,8 @@ SELECT p_partkey, value, method FROM r""")
 def cell_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other readings of codes, for review."""
     cell = F.concat(F.lit(" "), F.substring("p_type", 1, 2), F.lit("-"), (F.col("p_partkey") % 1000).cast("string"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(readings.cell_readings(cell, F.lit("code"))).alias("r")).select("p_partkey", "r.value", "r.method")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # narrow rows with much work each, however few tasks read them
+    return parts.select("p_partkey", F.explode(readings.cell_readings(cell, F.lit("code"))).alias("r")).select("p_partkey", "r.value", "r.method")
 
 
 @query("""WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE 'PO BOX ' || CAST(c_custkey AS VARCHAR) || CASE WHEN c_custkey % 4 = 1 THEN '' ELSE 'O/' END END AS address, CAST(c_custkey % 90 + 10 AS VARCHAR) AS z, c_custkey % 3 = 0 AS short FROM customer),

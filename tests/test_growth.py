@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import similarity
 from claimweave.functions.similarity import _edits, edit_distance
 from claimweave.operators import joins, layout, localization
+from claimweave.plans import catalogue
 from claimweave.streaming import governor, jobs
 
 
@@ -201,3 +202,7 @@ def test_reading_order_takes_pages_one_after_the_other(spark):
         lines.sort(key=lambda of: of[0] / of[1])
         flat = [(k, i) for k, of in enumerate(lines) for _, i in sorted(of[2])]
         assert [(page, k, n) for n, (k, _) in enumerate(flat)] == [got[i] for _, i in flat]
+
+
+def test_readings_are_dealt_however_few_tasks_read_the_cells(spark, small_dir):
+    assert catalogue.queries()["cell_readings"](spark, small_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
