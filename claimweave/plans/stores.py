@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import releases
@@ -25,14 +25,18 @@ def truth_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and their lines written as fixed-width text, and every field read back as the truth of its claim."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     head = orders.select(F.col("o_orderkey").alias("k"), F.lit(0).alias("n"), F.concat(F.lit("HD"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), "o_orderstatus").alias("line"))
-    body = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select(F.col("l_orderkey").alias("k"), F.lit(1).alias("n"), F.concat(F.lit("LN"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"), F.lpad(F.col("l_quantity").cast("bigint").cast("string"), 6, " ")).alias("line"))
+    body = lines.filter("l_orderkey IS NOT NULL").select(F.col("l_orderkey").alias("k"), F.lit(1).alias("n"), F.concat(F.lit("LN"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"), F.lpad(F.col("l_quantity").cast("bigint").cast("string"), 6, " ")).alias("line"))
+    # as if joined to the orders, but lines are moved once: a line stands as often as its key has orders before it
+    orders_before = F.count_if(F.col("n") == 0).over(Window.partitionBy("k").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = head.unionByName(body).repartition("k").withColumn("times", F.when(F.col("n") == 0, 1).otherwise(orders_before.cast("int")))
     path = f"{shared_folder(spark)}/claimweave/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/records"
-    head.unionByName(body).repartition("k").sortWithinPartitions("k", "n").select("line").write.text(path)
+    rows.select(F.explode(F.array_repeat("line", F.col("times"))).alias("line")).write.text(path)
     groups = recordfiles.record_groups(recordfiles.text_lines(spark, path), F.col("line").startswith("HD"))
     spec = spark.createDataFrame(_SPEC, "record string, field string, start int, length int, record_length int")
-    labels = recordfiles.truth_labels(groups, spec, F.substring("line", 1, 2), ("total",))
-    claims = labels.filter("field = 'order_id'").select("file", "group", F.col("raw").alias("claim"))
-    return labels.join(claims, ["file", "group"]).groupBy("claim", "field", "raw", "normalized", "criticality").agg(F.count(F.lit(1)).alias("n"))
+    _, _, start, length, record_length = _SPEC[0]  # a claim is named by its head
+    claims = groups.withColumn("claim", F.when(F.length("head") == record_length, F.substring("head", start, length))).filter("claim IS NOT NULL")
+    labels = recordfiles.truth_labels(claims.repartition("claim"), spec, F.substring("line", 1, 2), ("total",), ("claim",))
+    return labels.groupBy("claim", "field", "raw", "normalized", "criticality").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH f AS (SELECT source AS release, doc_id, sha256(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents), m AS (SELECT release, doc_id, CASE WHEN doc_id % 211 = 0 THEN sha256('as it was') ELSE digest END AS digest FROM f WHERE doc_id % 97 <> 0 UNION ALL SELECT release, -doc_id - 1, digest FROM f WHERE doc_id % 301 = 0),

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave.operators import releases
+from claimweave.plans import catalogue
 from claimweave.sources import files, ledger, recordfiles
 
 
@@ -50,6 +51,34 @@ def test_truth_labels(spark):
     ]
 
 
+def test_groups_know_their_head_over_stretches(spark, tmp_path):
+    lines = ["x", "10a", "y", "10b"] + [f"z{k}" for k in range(40)] + ["10c", "10d", "w"]
+    (tmp_path / "f.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "g.txt").write_text("v\n" * 9)
+    numbered = recordfiles.text_lines(spark, str(tmp_path))
+    got = {r.number: (r.line, r.group, r.head) for r in recordfiles.record_groups(numbered, F.col("line").startswith("10"), lines_each=5).collect()}
+    heads = [[x for x in lines[: n + 1] if x.startswith("10")] for n in range(len(lines))]
+    assert got == {n + 1: (lines[n], len(h), h[-1]) for n, h in enumerate(heads) if h}
+
+
+def test_lines_are_numbered_where_they_are(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("a\n" * 10)
+    plan = recordfiles.text_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "line" not in "".join(x for x in plan.splitlines() if "Sort [" in x or "Exchange" in x)
+
+
+def test_truth_labels_of_orders_like_a_join(spark, tmp_path):
+    """Lines without an order are no one's; two orders of a number have the lines each."""
+    spark.createDataFrame([(1, "O"), (2, "F"), (2, "F"), (3, "P")], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 7, 5.0), (2, 8, 6.0), (9, 9, 9.0), (None, 9, 9.0)], "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalogue.queries()["truth_labels"](spark, str(tmp_path))
+    got = {(int(r.claim), r.field, r.normalized): (r.n, r.criticality) for r in found.collect()}
+    want = {(k, "order_id", f"{k:010d}"): (n, "standard") for k, n in ((1, 1), (2, 2), (3, 1))} | {(k, "status", s): (n, "standard") for k, s, n in ((1, "O", 1), (2, "F", 2), (3, "P", 1))}
+    want |= {(k, "part_id", f"{p:08d}"): (n, "standard") for k, p, n in ((1, 7, 1), (2, 8, 2))} | {(k, "total_units", u): (n, "critical") for k, u, n in ((1, "5", 1), (2, "6", 2))}
+    assert got == want
+    assert "SortMergeJoin [record" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_release_differences_name_every_file(spark, tmp_path):
     for name, text in {"a.yaml": b"one\r\ntwo\r\n", "sub/b.bin": b"\x00\r\n", "c.yaml": b"changed", "new.yaml": b"x"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
