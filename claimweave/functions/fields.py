@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,29 +174,46 @@ def table_cell(raw: Column, column: Column) -> Column:
     (codes also for letter case). Only valid cells of a known kind are
     acceptable. Null is blank.
     """
-    v = F.coalesce(text.squeezed(raw), F.lit(""))
-    is_a = {kind: named_any(column, parts) for kind, parts in CELL_KINDS.items()}
-    digits = text.only_digits(v)
-    code = F.replace(F.upper(v), F.lit(" "), F.lit(""))
-    code = F.when(named_any(column, ("diagnosis",)), F.rtrim(code, F.lit("."))).otherwise(code)
-    day_shape = r"^([0-9]{1,2})[ /-]([0-9]{1,2})[ /-]([0-9]{2}|[0-9]{4})$"
-    part = [F.regexp_extract(v, day_shape, k).try_cast("int") for k in (1, 2, 3)]
+    kind = F.lit("WHITESPACE_ONLY")
+    for name, parts in reversed(CELL_KINDS.items()):
+        kind = F.when(named_any(column, parts), name).otherwise(kind)
+    is_diagnosis = named_any(column, ("diagnosis",))
+
+    def checked(c: Column) -> Column:
+        v, digits = c["v"], text.only_digits(c["v"])
+        code = F.replace(F.upper(v), F.lit(" "), F.lit(""))
+        code = F.when(is_diagnosis, F.rtrim(code, F.lit("."))).otherwise(code)
+        form = F.when(c["kind"] == "NPI_DIGITS", F.when(text.valid_npi(digits), digits)).when(c["kind"] == "CODE_CASE_SPACE", F.when(code.rlike("^[A-Z0-9.]{2,10}$"), code)).when(c["kind"] == "VALID_DATE_ISO", _cell_date(v)).when(c["kind"] == "CURRENCY_EVIDENCE", _cell_amount(v))
+        return F.struct(v.alias("v"), c["kind"].alias("kind"), form.alias("form"), F.when(c["kind"] == "CODE_CASE_SPACE", code).otherwise(v).alias("kept"))
+
+    def told(c: Column) -> Column:
+        status = F.when(c["v"] == "", "VALID_BLANK").when(c["kind"] == "WHITESPACE_ONLY", "NOT_APPLICABLE").when(c["form"].isNull(), "INVALID").otherwise("VALID")
+        value, change = F.when(c["v"] == "", "").otherwise(F.coalesce(c["form"], c["kept"])), F.when(c["v"] == "", "PRESERVE_BLANK").otherwise(c["kind"])
+        return F.struct(value.alias("value"), change.alias("change"), status.alias("status"), (status == "VALID").alias("acceptable"))
+
+    return _once(_once(F.struct(F.coalesce(text.squeezed(raw), F.lit("")).alias("v"), kind.alias("kind")), checked), told)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _cell_date(v: Column) -> Column:
+    """A day of a month of a year as an ISO date; null for other text."""
+    shape = r"^([0-9]{1,2})[ /-]([0-9]{1,2})[ /-]([0-9]{2}|[0-9]{4})$"
+    part = [F.regexp_extract(v, shape, k).try_cast("int") for k in (1, 2, 3)]
     year = F.when(part[2] < 100, part[2] + 2000).otherwise(part[2])
     day = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), part[0].cast("string"), part[1].cast("string")).try_cast("date").cast("string")
+    return F.when(v.rlike(shape), day)
+
+
+def _cell_amount(v: Column) -> Column:
+    """An amount without signs and separators, in parentheses a negative one; null for other text."""
     bare = F.trim(F.trim(v, F.lit("|")))
-    inner = F.regexp_extract(bare, r"^\((.*)\)$", 1)
     negative = bare.rlike(r"^\(.*\)$")
-    shown = F.when(negative, inner).otherwise(bare)
-    money = F.when(shown.rlike(r"^\$? *[0-9][0-9,]*(?:\.[0-9]{2})?$"), F.concat(F.when(negative, "-").otherwise(""), F.regexp_replace(shown, "[$ ,]", "")))
-    found = {"NPI_DIGITS": F.when(text.valid_npi(digits), digits), "CODE_CASE_SPACE": F.when(code.rlike("^[A-Z0-9.]{2,10}$"), code), "VALID_DATE_ISO": F.when(v.rlike(day_shape), day), "CURRENCY_EVIDENCE": money}
-    value, change, status = v, F.lit("WHITESPACE_ONLY"), F.lit("NOT_APPLICABLE")
-    for kind in reversed(CELL_KINDS):
-        kept = code if kind == "CODE_CASE_SPACE" else v
-        value, change = F.when(is_a[kind], F.coalesce(found[kind], kept)).otherwise(value), F.when(is_a[kind], kind).otherwise(change)
-        status = F.when(is_a[kind], F.when(found[kind].isNull(), "INVALID").otherwise("VALID")).otherwise(status)
-    blank = v == ""
-    value, change, status = F.when(blank, "").otherwise(value), F.when(blank, "PRESERVE_BLANK").otherwise(change), F.when(blank, "VALID_BLANK").otherwise(status)
-    return F.struct(value.alias("value"), change.alias("change"), status.alias("status"), (status == "VALID").alias("acceptable"))
+    shown = F.when(negative, F.regexp_extract(bare, r"^\((.*)\)$", 1)).otherwise(bare)
+    return F.when(shown.rlike(r"^\$? *[0-9][0-9,]*(?:\.[0-9]{2})?$"), F.concat(F.when(negative, "-").otherwise(""), F.regexp_replace(shown, "[$ ,]", "")))
 
 
 def cell_faults(box: list[Column], page: Column, indexes: list[Column], confidence: Column, digest: Column, status: Column, acceptable: Column) -> Column:

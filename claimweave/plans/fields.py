@@ -176,8 +176,9 @@ SELECT col, status, change, count(*) AS n, min(value) AS least, max(value) AS mo
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of service line tables put in their column's form."""
     c = table(spark, sf_dir, "lineitem").select(F.expr(_CELL.format(text="STRING")).alias("raw"), F.expr(_COLUMN).alias("col"))
-    v = c.select("col", fields.table_cell(F.col("raw"), F.col("col")).alias("c"))
-    return v.groupBy("col", "c.status", "c.change").agg(F.count(F.lit(1)).alias("n"), F.min("c.value").alias("least"), F.max("c.value").alias("most"))
+    # many cells are alike, and the least text of a group is found by sorting: each different one is put in form once
+    v = c.groupBy("raw", "col").agg(F.count(F.lit(1)).alias("n")).select("col", "n", fields.table_cell(F.col("raw"), F.col("col")).alias("c"))
+    return v.groupBy("col", "c.status", "c.change").agg(F.sum("n").alias("n"), F.min("c.value").alias("least"), F.max("c.value").alias("most"))
 
 
 @query("""WITH c AS (SELECT l_suppkey % 20 AS wide, l_linenumber AS page, l_partkey % 50 - 1 AS idx, l_quantity / 49 AS conf, CASE WHEN l_suppkey % 9 = 0 THEN 'x' ELSE sha256(CAST(l_orderkey AS VARCHAR)) END AS digest, CASE l_returnflag WHEN 'R' THEN 'REVIEW_ONLY' WHEN 'A' THEN 'PROMOTED' END AS status, l_linestatus = 'F' AS acc FROM lineitem),

@@ -143,6 +143,11 @@ def test_table_cells(spark):
     assert [tuple(r) for r in got] == [c[2] for c in cases]
 
 
+def test_a_cell_is_squeezed_once(spark):
+    cells = spark.createDataFrame([("a", "b")], "v string, c string").select(fields.table_cell(F.col("v"), F.col("c")).alias("x")).select("x.value", "x.change", "x.status")
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(v") == 1
+
+
 def test_field_readings(spark):
     cases = [
         ("patient_last", "Montgomery-Featherstonehaugh, Jo", [("MONTGOMERY-FEATHERSTONEHAUGH", ["person_name_component"]), ("MONTGOMERY-FEATHERST", ["person_name_component", "fixed_width_output_projection"])]), ("patient_first", "Doe, Jane Q.", [("JANE", ["person_name_component"])]), ("patient_first", "Doe  Maximiliana", [("MAXIMILIANA", ["person_name_component"]), ("MAXIMILIA", ["person_name_component", "fixed_width_output_projection"])]),
