@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,23 @@ def test_phrases_equal_the_plain_search(spark):
     assert phrases.recovered_phrases(df, {}).count() == 0 and phrases.recovered_phrases(df.limit(0), PHRASES).count() == 0
 
 
+def test_texts_that_pass_for_a_word_are_those_of_the_plain_rule():
+    for word in ("", "of", "units", "ofofof"):
+        tried = {word[:k] + x + word[k + n :] for k in range(len(word) + 1) for n in (0, 1, 2) for x in ("", "a", "z", "of")}
+        plain = {m for m in tried if m == word or (len(word) >= 5 and sum(a != b for a, b in zip(m, word, strict=False)) + abs(len(m) - len(word)) <= 1)}
+        assert plain == tried & phrases._passing(word) and plain
+
+
+def test_phrases_of_many_words_are_quick(spark):
+    """A token isn't held against every word: the words are looked up."""
+    rng = random.Random(2)
+    many = {"F": ["".join(rng.choices("abcdefgh", k=9)) for _ in range(1500)]}
+    lines = spark.range(2000).select(F.col("id").alias("page"), F.lit(0).alias("ord"), F.concat(F.repeat(F.lit("Other words 5tand here "), 5), F.lit(many["F"][7].upper()), F.lit(" 42")).alias("text"), *(F.lit(x).alias(c) for c, x in (("x0", 0.1), ("y0", 0.1), ("x1", 0.9), ("y1", 0.13))))
+    began = time.perf_counter()
+    found = phrases.recovered_phrases(lines, many).groupBy("phrase").count().collect()
+    assert [tuple(r) for r in found] == [(many["F"][7], 2000)] and time.perf_counter() - began < 60
+
+
 def sequential(rows: list[tuple]) -> list[tuple]:
     """One conflict at a time, from the first field on."""
     fields: dict = {}
