@@ -21,27 +21,29 @@ def resolved_conflicts(candidates: DataFrame, group: list[str], field: str, plac
     result doesn't depend on the sequence of steps: it is the one of a rule that
     moves one field at a time. Every round but the last moves some field on, so
     there are at most as many rounds as a group has candidates. Groups without a
-    conflict are done and leave the rounds. A null place is a place.
+    conflict are done and leave the rounds, and so do candidates that are lost.
+    A null place is a place; rows of no group or field are left out.
+
+    A group's candidates are brought together once and then only sorted, round
+    after round, in the task that has them; what is open after a few rounds is
+    written and read again.
     """
-    columns = candidates.columns
-    key = [*group, field]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("__rank")
-    rows = staged(candidates.select("*", rank, F.struct(*(c.alias(f"p{k}") for k, c in enumerate(place))).alias("__place"), F.struct(*((-c).alias(f"s{k}") for k, c in enumerate(strength)), F.col(field).alias("__name")).alias("__weak")), "claims")
-    most = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    at, out = rows.select(*key).distinct().withColumn("__rank", F.lit(1)), None
-    for _ in range(0, most + ROUNDS_EACH, ROUNDS_EACH):
-        moved = at
+    key, tasks = [*group, field], int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # sorted many times, so by number and not by size
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    rows, out = candidates.dropna(subset=key).repartition(tasks, *group).withColumns({"__rank": rank, "__at": F.lit(1)}), None
+    while True:  # each time every open group has fewer candidates
+        rows = rows.withColumns({"__place": F.struct(*(c.alias(f"p{k}") for k, c in enumerate(place))), "__weak": F.struct(*((-c).alias(f"s{k}") for k, c in enumerate(strength)), F.col(field).alias("__name"))})
         for k in range(ROUNDS_EACH):
-            held = Window.partitionBy(*group, "__place").orderBy("__weak")
-            claims = rows.join(moved, [*key, "__rank"]).withColumn("__loses", (F.row_number().over(held) > 1).cast("int"))
-            moved = claims.select(*key, (F.col("__rank") + F.col("__loses")).alias("__rank"), "__loses")
-            if k < ROUNDS_EACH - 1:
-                moved = moved.drop("__loses")
-        # a field without candidates left isn't in the next join, and so has dropped out
-        moved = staged(moved.withColumn("__open", F.max("__loses").over(Window.partitionBy(*group))), "round")
-        settled = moved.filter("__open = 0").select(*key, "__rank")
+            claims = F.col("__rank") == F.col("__at")
+            held = F.row_number().over(Window.partitionBy(*group, "__place", "__claims").orderBy("__weak"))
+            rows = rows.withColumn("__claims", claims).withColumn("__loses", (F.col("__claims") & (held > 1)).cast("int"))
+            if k == ROUNDS_EACH - 1:
+                rows = rows.withColumn("__open", F.max("__loses").over(Window.partitionBy(*group)) == 1)
+            rows = rows.withColumn("__at", F.col("__at") + F.max("__loses").over(Window.partitionBy(*key))).filter(F.col("__rank") >= F.col("__at"))
+        rows = staged(rows.filter(F.col("__open") | (F.col("__rank") == F.col("__at"))).select(*candidates.columns, "__rank", "__at", "__open"), "round")
+        settled = rows.filter("NOT __open").select(*candidates.columns)
         out = settled if out is None else out.unionByName(settled)
-        at = moved.filter("__open = 1").select(*key, "__rank")
-        if at.isEmpty():
-            return rows.join(out, [*key, "__rank"]).select(*columns)
-    raise RuntimeError("claims didn't settle within the number of candidates")
+        rows = rows.filter("__open").drop("__open")
+        if rows.isEmpty():
+            return out
+        rows = rows.repartition(tasks, *group)

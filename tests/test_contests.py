@@ -123,3 +123,13 @@ def test_conflicts_end_as_one_at_a_time(spark):
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect())) == sorted(w for p in {r[0] for r in rows} for w in sequential([r for r in rows if r[0] == p]))
     assert conflicts.resolved_conflicts(df.limit(0), ["page"], "field", [F.col("box")], [F.col("confidence")], [F.col("id")]).count() == 0
+
+
+def test_candidates_are_moved_once_for_some_rounds(spark, monkeypatch):
+    plans, written = [], conflicts.staged
+    monkeypatch.setattr(conflicts, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    rows = [(1, f"f{k}", k % 2, 0.5 + k / 10, n) for k in range(4) for n in range(3)] + [(None, "f0", 0, 0.1, 0), (2, None, 0, 0.1, 0)]
+    df = spark.createDataFrame(rows, "page long, field string, place long, s double, n long")
+    got = conflicts.resolved_conflicts(df, ["page"], "field", [F.col("place")], [F.col("s")], [F.col("n")]).collect()
+    assert sorted((r.page, r.field, r.place) for r in got) == [(1, "f2", 0), (1, "f3", 1)]
+    assert plans and all(p.count("Exchange hashpartitioning") == 1 and "Join" not in p for p in plans)
