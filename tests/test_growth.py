@@ -206,3 +206,12 @@ def test_reading_order_takes_pages_one_after_the_other(spark):
 
 def test_readings_are_dealt_however_few_tasks_read_the_cells(spark, small_dir):
     assert catalogue.queries()["cell_readings"](spark, small_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_evidence_is_moved_once_and_families_counted_with_the_best(spark, tmp_path):
+    rows = [(1, 5, 7.0, 0.1), (1, 9, 7.0, 0.2), (1, -1, 7.0, 0.0), (1, None, 7.0, 0.3), (2, None, 3.0, 0.01), (2, 4, 4.0, 0.5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalogue.queries()["evidence_reconcile"](spark, str(tmp_path))
+    assert {r.claim_id: (r.value, r.families, r.decision) for r in found.collect()} == {1: (7.0, 2, "ACCEPT"), 2: (4.0, 1, "REVIEW")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
