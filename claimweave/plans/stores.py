@@ -35,7 +35,8 @@ def truth_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = spark.createDataFrame(_SPEC, "record string, field string, start int, length int, record_length int")
     _, _, start, length, record_length = _SPEC[0]  # a claim is named by its head
     claims = groups.withColumn("claim", F.when(F.length("head") == record_length, F.substring("head", start, length))).filter("claim IS NOT NULL")
-    labels = recordfiles.truth_labels(claims.repartition("claim"), spec, F.substring("line", 1, 2), ("total",), ("claim",))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number, as fields are more rows than the lines that are dealt
+    labels = recordfiles.truth_labels(claims.repartition(tasks, "claim"), spec, F.substring("line", 1, 2), ("total",), ("claim",))
     return labels.groupBy("claim", "field", "raw", "normalized", "criticality").agg(F.count(F.lit(1)).alias("n"))
 
 
