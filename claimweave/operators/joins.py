@@ -17,6 +17,8 @@ from ..sources.staging import staged
 
 #: Hashes of a block, and pairs compared at a time.
 BLOCK, CELLS = 8192, 1 << 20
+#: Names of a block that meet all its reference names in one group.
+NAMES = 256
 
 
 def unique_match(requests: DataFrame, reference: DataFrame, key: str, attributes: list[str], request_id: str) -> DataFrame:
@@ -146,6 +148,10 @@ def most_similar(asked: DataFrame, reference: DataFrame, block: list[str], name:
     their whole block; the fuller a block, the fewer these are. What all names
     begin with has no part in the edits. Rows of blocks without reference are
     left out, and null names are like none.
+
+    Names are few bytes as files and many as forms, so joins don't go by the
+    size of files: only the list of full blocks, a row for ``NAMES`` names or
+    more, is sent whole.
     """
     ref = staged(reference.groupBy(*block, F.col(name).alias("__ref")).agg(F.min(key).alias(key)), "reference")
     left = staged(asked.select(*block, name).distinct(), "asked")
@@ -159,19 +165,23 @@ def most_similar(asked: DataFrame, reference: DataFrame, block: list[str], name:
             form = edited_forms(F.substring(F.col(text), F.lit(same + 1), F.length(text)), ends["least"] - same, edits, like.exchange)
             return rows.repartition(tasks, *block, text).withColumn("__form", F.explode(form)).withColumns({cut: F.ascii("__form") - 48, "__form": F.substring("__form", 2, 1 << 30)})
 
-        met = by_form(left, name, "__a").join(by_form(ref, "__ref", "__b"), [*block, "__form"]).filter(F.col("__a") + F.col("__b") + F.ascii("__form") - 48 <= edits)
+        met = by_form(left, name, "__a").join(by_form(ref, "__ref", "__b").hint("merge"), [*block, "__form"]).filter(F.col("__a") + F.col("__b") + F.ascii("__form") - 48 <= edits)
         found = met.select(*block, name, "__ref", key).distinct().withColumn("similarity", like.similarity(F.col(name), F.col("__ref"))).groupBy(*block, name).agg(best)
         sure = F.coalesce(F.col("__best.similarity") > like.most(F.length(name), F.lit(ends["longest"]), edits + 1), F.lit(False))
         tried = staged(left.join(found, [*block, name], "left").withColumn("__sure", sure), "tried")
         done, left = tried.filter("__sure").drop("__sure"), tried.filter("NOT __sure").select(*block, name)
         settled = done if settled is None else settled.unionByName(done)
-    rest = left.repartition(tasks, *block, name).join(ref, block).withColumn("similarity", like.similarity(F.col(name), F.col("__ref"))).groupBy(*block, name).agg(best)
+    full = left.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / NAMES).cast("int").alias("__parts")).filter("__parts > 1")
+    of_parts = lambda rows: rows.join(F.broadcast(full), block, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    parts = of_parts(left).select(*block, name, F.pmod(F.xxhash64(name), "__parts").cast("int").alias("__part"))
+    each = of_parts(ref).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    rest = parts.join(each.hint("merge"), [*block, "__part"]).withColumn("similarity", like.similarity(F.col(name), F.col("__ref"))).groupBy(*block, name).agg(best)
     settled = rest if settled is None else settled.unionByName(rest)
     names = settled.select(*(F.col(b).alias(f"__{b}") for b in block), F.col(name).alias("__name"), "__best")
     equal = F.col(name).eqNullSafe(F.col("__name"))
     for b in block:
         equal = equal & (F.col(b) == F.col(f"__{b}"))
-    return asked.join(names, equal).select(*asked.columns, F.col(f"__best.{key}").alias(key), F.col("__best.similarity").alias("similarity"))
+    return asked.join(names.hint("merge"), equal).select(*asked.columns, F.col(f"__best.{key}").alias(key), F.col("__best.similarity").alias("similarity"))
 
 
 def exact_binding(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str]) -> DataFrame:

@@ -58,6 +58,31 @@ def test_few_names_meet_their_whole_block(spark):
     assert pairs.value < 3000 * 3000 / 20
 
 
+def test_forms_of_names_are_not_sent_whole(spark, monkeypatch):
+    plans, staged = [], joins.staged
+    monkeypatch.setattr(joins, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name))
+    c = spark.range(400).select("id", F.lit(1).alias("block"), F.lpad(F.col("id").cast("string"), 8, "0").alias("name"))
+    out = joins.most_similar(c.filter("id % 2 = 0"), c.filter("id % 2 = 1").withColumnRenamed("id", "key"), ["block"], "name", "key", joins.BY_EDITS)
+    lookups = [x for p in plans for x in p.splitlines() if "Join" in x and "__form" in x]
+    assert lookups and all("SortMergeJoin" in x for x in lookups)
+    sent = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+    assert all("LeftOuter" in x for x in sent)  # the list of full blocks only
+
+
+@pytest.mark.parametrize("most", [3, 256])
+def test_names_far_from_all_others_meet_their_block_in_parts(spark, monkeypatch, most):
+    monkeypatch.setattr(joins, "NAMES", most, raising=False)
+    r = random.Random(11)
+    rows = [(i, "full" if i % 5 else f"b{i % 7}", "".join(r.choices("abcdefghijklmnop", k=r.randrange(12, 20)))) for i in range(240)] + [(500, "full", None), (501, "full", None)]
+    asked, reference = spark.createDataFrame(rows[::2], "id long, block string, name string"), spark.createDataFrame(rows[1::2], "key long, block string, name string")
+    pairs = asked.join(reference.withColumnRenamed("name", "other"), "block").withColumn("s", 1 - F.levenshtein("name", "other").cast("double") / F.greatest(F.length("name"), F.length("other")))
+    want = {}
+    for p in sorted(pairs.collect(), key=lambda p: (p.s is None, -(p.s or 0), p.key)):
+        want.setdefault(p.id, (p.key, p.s))
+    got = joins.most_similar(asked, reference, ["block"], "name", "key", joins.BY_EDITS).collect()
+    assert {x.id: (x.key, x.similarity) for x in got} == want and len(got) == len(want)
+
+
 def test_all_pairs_of_hashes_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(joins, "BLOCK", 37)
     r = random.Random(7)
